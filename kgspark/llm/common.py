@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset."""
+    sc = spark.sparkContext
+    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-shared-")
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the cluster's shared folder.
 
