@@ -97,7 +97,7 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str = KEY) ->
     """The keyed replacement of a canonical entity, in canonical form.
 
     email: local part and host keep their shape, the last two labels become example with the same top
-    domain; phone: the first digit stays; card: same length, same check sum; ip: an address of 10.0.0.0/8;
+    domain; phone: the first digit stays; card: same length, same check sum; ip: an address of 10.0.0.0/8 (from the fifth attempt on, any);
     iban: country and length stay; key: its prefix stays; name: same form of address, hence gender, same script
     and number of words. The attempt number enters the digest.
     """
@@ -106,14 +106,17 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str = KEY) ->
     top = F.regexp_extract(entity, r"(\.[a-z]{2,})$", 1)
     host = F.substring_index(entity, "@", -1)
     labels = F.regexp_replace(host, r"(?:^|\.)[^.]+\.[^.]+$", "")
-    email = F.concat(_same_shape(local, digest), F.lit("@"), F.when(labels != "", F.concat(_same_shape(labels, F.sha2(digest, 256)), F.lit("."))).otherwise(F.lit("")), F.lit("example"), top)
+    # Shapes that are used up, as those of one letter soon are, grow from the fifth attempt on.
+    more = _same_shape(F.repeat(F.lit("x"), F.greatest(F.lit(0), 2 * (attempt - 3)).cast("int")), F.sha2(F.concat(digest, F.lit("+")), 256))
+    email = F.concat(_same_shape(local, digest), more, F.lit("@"), F.when(labels != "", F.concat(_same_shape(labels, F.sha2(digest, 256)), F.lit("."))).otherwise(F.lit("")), F.lit("example"), top)
     shaped = _same_shape(entity, digest)
     phone = F.concat(entity.substr(F.lit(1), F.lit(1)), shaped.substr(F.lit(2), F.length(entity)))
     body = shaped.substr(F.lit(1), F.length(entity) - 1)
     # The last digit counts once, so it takes what the others leave of the check sum.
     last = F.pmod(_luhn(entity) - _luhn(F.concat(body, F.lit("0"))), F.lit(10))
     card = F.concat(body, last.cast("string"))
-    ip = F.concat_ws(".", F.lit("10"), *[_draw(digest, F.lit(k), 256).cast("string") for k in range(3)])
+    net = F.when(attempt < 4, F.lit(10)).otherwise(_draw(digest, F.lit(3), 223) + 1).cast("string")
+    ip = F.concat_ws(".", net, *[_draw(digest, F.lit(k), 256).cast("string") for k in range(3)])
     iban = F.concat(entity.substr(F.lit(1), F.lit(2)), shaped.substr(F.lit(3), F.length(entity)))
     secret = F.concat(F.lit("AKIA"), shaped.substr(F.lit(5), F.length(entity)))
     title = F.substring_index(entity, " ", 1)

@@ -64,9 +64,8 @@ def subwords(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct words, index of each word of all texts, words per text)."""
-    lists = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.utf8_lower(pc.fill_null(texts.cast(pa.string()), ""))))
     flat = lists.flatten()
-    # Blank edges of a text give empty words.
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = flat.dictionary_encode()
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), counts
@@ -115,6 +114,9 @@ class Model:
         first = (np.cumsum(per) - per)[some]
         logits = np.maximum.reduceat(_segment_means(own, starts), first) + self.bias
         out[some] = 1 / (1 + np.exp(-np.clip(self.slope * logits + self.shift, -40, 40)))
+        # A text without a word splits into one empty word.
+        blank = pc.equal(pc.binary_length(pc.ascii_trim_whitespace(pc.fill_null(texts.cast(pa.string()), ""))), 0)
+        out[blank.to_numpy(zero_copy_only=False)] = 0
         return out
 
 
@@ -148,8 +150,9 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 5) ->
     rows = rng.permutation(np.flatnonzero(counts > 0))
     check, fit = rows[: len(rows) // 5], rows[len(rows) // 5 :]
     for _ in range(EPOCHS):
-        for at in range(0, len(fit), 128):
-            part = fit[at : at + 128] if at else rng.permutation(fit)[:128]
+        order = rng.permutation(fit)
+        for at in range(0, len(order), 128):
+            part = order[at : at + 128]
             use = np.concatenate([np.arange(ends[r] - counts[r], ends[r]) for r in part])
             own, place = np.unique(index[use], return_inverse=True)
             sub = np.concatenate([buckets[edges[w] : edges[w + 1]] for w in own])
