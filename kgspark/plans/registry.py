@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import retrieval
+from . import ledger, retrieval
 
-_FAMILIES = (retrieval,)
+_FAMILIES = (retrieval, ledger)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -114,6 +114,8 @@ def oracle(names: tuple[str, ...], query: str) -> str:
     if not own:
         return query
     rest = query.strip()
+    if rest.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {', '.join(own)}, {rest[15:]}"
     if rest.upper().startswith("WITH "):
         return f"WITH {', '.join(own)}, {rest[5:]}"
     return f"WITH {', '.join(own)} {rest}"
