@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ledger, retrieval
+from . import curation, ledger, retrieval
 
-_FAMILIES = (retrieval, ledger)
+_FAMILIES = (retrieval, ledger, curation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
