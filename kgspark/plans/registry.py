@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curation, ledger, retrieval
+from . import curation, events, ledger, retrieval
 
-_FAMILIES = (retrieval, ledger, curation)
+_FAMILIES = (retrieval, ledger, curation, events)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
