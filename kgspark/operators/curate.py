@@ -411,7 +411,7 @@ def cycles(edges: DataFrame) -> DataFrame:
                     stack.extend(out.get(x, ()))
             if start in seen:
                 found.append(start)
-        return pd.DataFrame({"doc_id": [part["doc_id"].iloc[0]] * len(found), "node": found})
+        return pd.DataFrame({"doc_id": pd.Series([part["doc_id"].iloc[0]] * len(found), dtype="int64"), "node": pd.Series(found, dtype="object")})
 
     pairs = trim_acyclic(edges.select("doc_id", "from_id", "to_id").distinct())
     return pairs.groupBy("doc_id").applyInPandas(run, "doc_id long, node string")

@@ -42,8 +42,9 @@ def match_entities(nodes: DataFrame, keywords: DataFrame) -> DataFrame:
     pieces = F.array_distinct(F.concat(F.split("name", " "), F.split(F.lower("id"), "_")))
     ends = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: w.substr(i, F.length(w)))
     by_phrase = known.withColumn("term", F.explode(F.array_distinct(F.flatten(F.transform(pieces, ends))))).join(asked.where(is_phrase).withColumn("term", F.lower(F.substring_index("keyword", " ", 1))), "term")
-    heads = lambda a: F.transform(F.sequence(F.lit(1), F.greatest(F.length(a), F.lit(1))), lambda i: a.substr(i, F.lit(3)))
-    sized = F.flatten(F.array(*[F.transform(heads(F.col("alias")), lambda h, n=n: F.substring(h, 1, n)) for n in (1, 2, 3)]))
+    places = F.sequence(F.lit(1), F.greatest(F.length("alias"), F.lit(1)))
+    heads = lambda n: F.transform(places, lambda i: F.col("alias").substr(i, F.lit(n)))
+    sized = F.flatten(F.array(heads(1), heads(2), heads(3)))
     by_alias = known.where(F.col("label").isin(DISEASE, SYMPTOM) & (F.col("alias") != "")).withColumn("term", F.explode(F.array_distinct(sized))).join(asked.withColumn("term", F.substring("keyword", 1, 3)), "term")
     pairs = by_word.unionByName(by_phrase).unionByName(by_alias)
     hits = pairs.where(entity_predicate(F.col("id"), F.col("label"), F.col("name"), F.col("alias"), F.col("keyword")))
@@ -143,7 +144,7 @@ def split_usage_question(questions: DataFrame) -> DataFrame:
     """kw1 of the form "A chữa B" becomes two keywords where kw2 is empty."""
     parts = F.split("kw1", " chữa ", 2)
     two = (F.coalesce("kw2", F.lit("")) == "") & (F.size(parts) == 2)
-    return questions.withColumn("kw2", F.when(two, F.trim(parts[1])).otherwise(F.col("kw2"))).withColumn("kw1", F.when(two, F.trim(parts[0])).otherwise(F.col("kw1")))
+    return questions.withColumns({"kw1": F.when(two, F.trim(parts[0])).otherwise(F.col("kw1")), "kw2": F.when(two, F.trim(parts[1])).otherwise(F.col("kw2"))})
 
 
 def entity_overview(nodes: DataFrame, edges: DataFrame, questions: DataFrame, limit: int = LIMIT) -> DataFrame:
