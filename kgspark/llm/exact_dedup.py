@@ -131,7 +131,11 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     key = ["fp", "n_bytes"]
     shared = meta.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
     false = materialize(false_matches(docs, shared)).withColumn("false_match", F.lit(True))
-    split = meta.join(false, key, "left").withColumn("own_sha", F.when(F.col("false_match"), F.col("text_sha256")).otherwise(F.lit("")))
+    if false.isEmpty():
+        # Nothing to tell apart, so no join that would leave copies unsummed in one task.
+        split = meta.withColumn("own_sha", F.lit(""))
+    else:
+        split = meta.join(false, key, "left").withColumn("own_sha", F.when(F.col("false_match"), F.col("text_sha256")).otherwise(F.lit("")))
     best = F.max(F.struct("n_chars", F.col("doc_id").isNotNull().alias("has"), (-F.col("doc_id")).alias("first"), (-F.col("row")).alias("row")))
     groups = split.groupBy(*key, "own_sha").agg(best.alias("best"), F.count("*").alias("group_size"))
     return split.join(groups, [*key, "own_sha"]).select("doc_id", (-F.col("best.first")).alias("keep_id"), "group_size", (F.col("row") == -F.col("best.row")).alias("kept"), "text_sha256", "n_bytes")
