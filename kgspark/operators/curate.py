@@ -448,3 +448,80 @@ def normal_patches(patches: DataFrame) -> DataFrame:
     """Upper-case types, and delete proposals for illness and attribute edges flagged as guarded."""
     guarded = (F.col("action") == "XOA_EDGE") & F.col("to_id").rlike("^(B|S|T|V|K)_")
     return patches.withColumn("relation_type", F.upper("relation_type")).withColumn("guarded", guarded)
+
+
+#: Phrases that mark a statement as inferred.
+INFERRED = ("suy luận", "có lẽ", "có thể suy ra", "không đề cập", "theo kinh nghiệm chung")
+DNA = ("CO_TINH", "CO_VI", "QUY_KINH")
+
+
+def _any_phrase(text: Column, phrases: Sequence[str]) -> Column:
+    out = F.lit(False)
+    for p in phrases:
+        out |= text.contains(p)
+    return out
+
+
+def evidence_filter(edges: DataFrame, anchors: DataFrame, phrases: Sequence[str] = INFERRED, keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(edges, issues): attribute and treatment edges whose description bears them out.
+
+    anchors: core, words (array): what a description must hold one of; without a row the core itself with blanks. An attribute
+    edge with an inferring phrase goes; without an anchor a meridian edge goes and others get a WARNING. Other edges with an
+    inferring phrase go too, unless their core is in keep, with a WARNING.
+    """
+    low, core = F.lower(F.coalesce("description", F.lit(""))), F.lower(F.regexp_replace("to_id", "^[^_]+_", ""))
+    joined = edges.withColumn("_core", core).join(anchors.select(F.col("core").alias("_core"), F.col("words").alias("_words")), "_core", "left")
+    words = F.coalesce("_words", F.array(F.replace("_core", F.lit("_"), F.lit(" "))))
+    held = F.exists(words, lambda w: low.contains(w))
+    is_dna, inferred = F.col("relation_type").isin(*DNA), _any_phrase(low, phrases)
+    verdict = (
+        F.when(is_dna & inferred, "DROP")
+        .when(is_dna & ~held & (F.col("relation_type") == "QUY_KINH"), "DROP")
+        .when(is_dna & ~held, "WARNING")
+        .when(~is_dna & inferred & F.col("_core").isin(*keep), "WARNING")
+        .when(~is_dna & inferred, "DROP")
+        .otherwise("OK")
+    )
+    judged = joined.withColumn("_verdict", verdict)
+    issues = judged.where("_verdict <> 'OK'").select("doc_id", "from_id", "to_id", F.when(F.col("_verdict") == "DROP", "FIXED").otherwise("WARNING").alias("level"))
+    return judged.where("_verdict <> 'DROP'").select(*edges.columns), issues
+
+
+def fuse_fragments(identity: DataFrame, others: Sequence[DataFrame], order: Sequence[str]) -> DataFrame:
+    """Edges of the identity fragments with those of other fragments of the same documents, merged per document."""
+    ids = identity.select("doc_id").distinct()
+    both = identity
+    for df in others:
+        both = both.unionByName(df.join(ids, "doc_id", "left_semi").select(*identity.columns))
+    return merge_edges(both, order, keys=("doc_id", *EDGE_KEY))
+
+
+def join_bronze(silver: DataFrame, bronze: DataFrame) -> DataFrame:
+    """Silver fragments (file) with the bronze text of their document (doc_id, text): the name without its fragment suffix."""
+    key = F.regexp_replace("file", r"(_bai_thuoc|_duoc_ly|_dinh_danh)?(\.json)?$", "")
+    return silver.withColumn("doc_id", key).join(bronze, "doc_id")
+
+
+def hub_properties(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """nodes (id, props) with the properties of their document (hub_id, props) where they have none; empty and null words don't count."""
+    real = F.map_filter("hub_props", lambda k, v: (F.coalesce(v, F.lit("")) != "") & ~F.lower(v).isin("null", "không có thông tin"))
+    own = F.coalesce("props", F.create_map().cast("map<string,string>"))
+    joined = nodes.join(docs.select(F.col("hub_id").alias("id"), F.col("props").alias("hub_props")), "id", "left")
+    new = F.map_filter(F.coalesce(real, F.create_map().cast("map<string,string>")), lambda k, v: ~F.map_contains_key(own, k))
+    return joined.withColumn("props", F.map_concat(own, new)).drop("hub_props")
+
+
+def link_attributes(claims: DataFrame, lookup: DataFrame, field: str, prefix: str) -> DataFrame:
+    """Per document: the canonical ids of a claim's values, distinct and sorted; unknown ones keep their own id."""
+    rows = claims.select("doc_id", F.explode(field).alias("value")).where("trim(value) <> ''")
+    keyed = rows.withColumn("own", F.concat(F.lit(prefix), F.upper(F.regexp_replace(F.trim("value"), " +", "_")))).withColumn("key", F.lower("own"))
+    linked = keyed.join(lookup, "key", "left").select("doc_id", F.coalesce("canonical_id", "own").alias("id"))
+    return linked.groupBy("doc_id").agg(F.sort_array(F.collect_set("id")).alias(field))
+
+
+def merge_identity(first: DataFrame, second: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """One identity a document from two extraction stages: each field's first value that isn't empty."""
+    a, b = first.alias("a"), second.alias("b")
+    full = a.join(b, F.col("a.doc_id") == F.col("b.doc_id"), "full")
+    value = lambda c: F.coalesce(F.when(F.trim(F.col(f"a.{c}")) != "", F.col(f"a.{c}")), F.when(F.trim(F.col(f"b.{c}")) != "", F.col(f"b.{c}"))).alias(c)
+    return full.select(F.coalesce("a.doc_id", "b.doc_id").alias("doc_id"), *[value(c) for c in fields])

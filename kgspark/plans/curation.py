@@ -247,6 +247,51 @@ def merge_split_recipes(spark, sf_dir):
     return C.merge_split_recipes(items).select("doc_id", "pos", F.md5("text").alias("digest"))
 
 
+def evidence_filter(spark, sf_dir):
+    p = load(spark, sf_dir, "part")
+    rel = F.when(F.col("p_size") % 3 == 0, "QUY_KINH").when(F.col("p_size") % 3 == 1, "CO_TINH").otherwise("CHU_TRI_BENH")
+    text = F.concat("p_name", F.when(F.col("p_size") % 5 == 0, " suy luận").otherwise(F.concat(F.lit(" "), F.lower("p_type"))))
+    edges = p.select(F.col("p_partkey").alias("doc_id"), F.lit("VT_1").alias("from_id"), F.concat(F.lit("K_"), "p_type").alias("to_id"), rel.alias("relation_type"), text.alias("description"))
+    anchors = p.where("p_type = 'SMALL'").select(F.lower("p_type").alias("core"), F.array(F.lit("nothing")).alias("words")).distinct()
+    kept, issues = C.evidence_filter(edges, anchors, keep=["economy"])
+    return kept.select("doc_id", F.lit("KEPT").alias("level")).unionByName(issues.select("doc_id", "level"))
+
+
+def fuse_fragments(spark, sf_dir):
+    e = _raw(spark, sf_dir)
+    parts = [e.where(F.col("relation_type") == r) for r in ("BAO_GOM_VI_THUOC", "CHU_TRI_BENH", "CO_CONG_NANG")]
+    return C.fuse_fragments(parts[0], parts[1:], ORDER).groupBy("doc_id").agg(F.count("*").alias("n_edges"), F.sum("n_merged").alias("n_merged"), F.round(F.max("confidence"), 4).alias("best"))
+
+
+def join_bronze(spark, sf_dir):
+    d = load(spark, sf_dir, "documents")
+    suffix = F.element_at(F.array(F.lit("_bai_thuoc"), F.lit("_duoc_ly"), F.lit("_dinh_danh"), F.lit("")), (F.col("doc_id") % 4 + 1).cast("int"))
+    silver = d.where("source <> 'src3'").select(F.concat(F.col("doc_id").cast("string"), suffix, F.lit(".json")).alias("file"))
+    return C.join_bronze(silver, d.select(F.col("doc_id").cast("string").alias("doc_id"), F.md5("text").alias("digest"))).select("file", "doc_id", "digest")
+
+
+def hub_properties(spark, sf_dir):
+    p = load(spark, sf_dir, "part")
+    nodes = p.select(F.col("p_partkey").cast("string").alias("id"), F.when(F.col("p_size") % 2 == 0, F.create_map(F.lit("name"), "p_name")).alias("props"))
+    docs = p.where("p_size > 10").select(F.col("p_partkey").cast("string").alias("hub_id"), F.create_map(F.lit("name"), F.lit("other"), F.lit("brand"), F.when(F.col("p_size") % 3 == 0, "null").otherwise(F.col("p_brand"))).alias("props"))
+    return C.hub_properties(nodes, docs).select("id", F.col("props")["name"].alias("name"), F.col("props")["brand"].alias("brand"))
+
+
+def link_attributes(spark, sf_dir):
+    p = load(spark, sf_dir, "part")
+    claims = p.select(F.col("p_size").alias("doc_id"), F.array(F.lower("p_type"), F.lit(" ")).alias("taste"))
+    lookup = p.where("p_type <> 'SMALL'").select(F.concat(F.lit("t_"), F.lower("p_type")).alias("key"), F.concat(F.lit("T_"), F.substring("p_type", 1, 3)).alias("canonical_id")).distinct()
+    out = C.link_attributes(claims, lookup, "taste", "T_")
+    return out.select("doc_id", F.array_join("taste", ",").alias("taste"))
+
+
+def merge_identity(spark, sf_dir):
+    c = load(spark, sf_dir, "customer")
+    first = c.where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("doc_id"), F.when(F.col("c_acctbal") > 0, F.col("c_name")).otherwise(" ").alias("name"), F.col("c_mktsegment").alias("kind"))
+    second = c.where("c_custkey % 5 > 0").select(F.col("c_custkey").alias("doc_id"), F.lit("second").alias("name"), F.lit(None).cast("string").alias("kind"))
+    return C.merge_identity(first, second, ["name", "kind"])
+
+
 # text and id columns
 
 
@@ -364,6 +409,15 @@ ORACLE = {
     "merge_split_recipes": """WITH i AS (SELECT conv_id AS doc_id, turn AS pos, CASE WHEN role = 'assistant' THEN text || ' [src]' ELSE text END AS t, CASE WHEN role = 'assistant' OR contains(text, '[src]') THEN 1 ELSE 0 END AS has FROM conversations),
       g AS (SELECT *, coalesce(sum(has) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island FROM i),
       m AS (SELECT doc_id, island, string_agg(t, ' ' ORDER BY pos) AS t, min(pos) AS pos FROM g GROUP BY 1, 2) SELECT doc_id, min(pos) AS pos, md5(t) AS digest FROM m GROUP BY doc_id, t""",
+    "evidence_filter": """WITH e AS (SELECT p_partkey AS doc_id, p_type, p_size % 3 AS r, p_size % 5 = 0 AS inferred, p_size % 5 <> 0 AND p_type <> 'SMALL' OR contains(p_name, lower(p_type)) AND p_type <> 'SMALL' AS held FROM part),
+      v AS (SELECT doc_id, CASE WHEN r < 2 AND inferred THEN 'D' WHEN r = 0 AND NOT held THEN 'D' WHEN r = 1 AND NOT held THEN 'W' WHEN r = 2 AND inferred AND p_type = 'ECONOMY' THEN 'W' WHEN r = 2 AND inferred THEN 'D' ELSE 'O' END AS v FROM e)
+      SELECT doc_id, 'KEPT' AS level FROM v WHERE v <> 'D' UNION ALL SELECT doc_id, CASE WHEN v = 'D' THEN 'FIXED' ELSE 'WARNING' END FROM v WHERE v <> 'O'""",
+    "fuse_fragments": _edges("""WITH f AS (SELECT * FROM edges_raw WHERE doc_id IN (SELECT doc_id FROM edges_raw WHERE relation_type = 'BAO_GOM_VI_THUOC'))
+      SELECT doc_id, count(DISTINCT (from_id, relation_type, to_id)) AS n_edges, count(*) AS n_merged, round(max(CASE WHEN coalesce(confidence, 0) = 0 THEN 0.75 ELSE confidence END), 4) AS best FROM f GROUP BY 1"""),
+    "join_bronze": "SELECT doc_id || (['_bai_thuoc', '_duoc_ly', '_dinh_danh', ''])[doc_id % 4 + 1] || '.json' AS file, doc_id::VARCHAR AS doc_id, md5(text) AS digest FROM documents WHERE source <> 'src3'",
+    "hub_properties": "SELECT p_partkey::VARCHAR AS id, CASE WHEN p_size % 2 = 0 THEN p_name WHEN p_size > 10 THEN 'other' END AS name, CASE WHEN p_size > 10 AND p_size % 3 <> 0 THEN p_brand END AS brand FROM part",
+    "link_attributes": "SELECT p_size AS doc_id, array_to_string(list_sort(list(DISTINCT CASE WHEN p_type = 'SMALL' THEN 'T_SMALL' ELSE 'T_' || p_type[1:3] END)), ',') AS taste FROM part GROUP BY 1",
+    "merge_identity": "SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 3 > 0 AND c_acctbal > 0 THEN c_name WHEN c_custkey % 5 > 0 THEN 'second' END AS name, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS kind FROM customer WHERE c_custkey % 3 > 0 OR c_custkey % 5 > 0",
     "strip_accents": "SELECT doc_id, md5(strip_accents(text)) AS digest FROM documents",
     "normalize_id": "SELECT doc_id, md5(regexp_replace(regexp_replace(upper(regexp_replace(strip_accents(text), '[^a-zA-Z0-9_]', '_', 'g')), '_+', '_', 'g'), '^_|_$', '', 'g')) AS digest FROM documents",
     "clean_text": r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '\r\n|\n|\r|\\n', ' ', 'g'), '\s{2,}', ' ', 'g'))) AS digest FROM documents",
@@ -373,5 +427,5 @@ ORACLE = {
       SELECT id, (CASE WHEN p = 'VT_' THEN 'VI_THUOC_' ELSE p END) || (CASE WHEN core = 'ECONOMY' THEN 'THRIFT' ELSE core END) AS same, 'CN_' || core AS as_function, p || core AS linked FROM c"""),
     "clean_entity_name": "SELECT p_partkey, upper(p_name[1]) || p_name[2:] || ' x' AS name FROM part",
 }
-_NAMES = "first_wins skip_processed merge_edges merge_nodes confidence_stats validation_score gate_summary route_quarantine rank_by_richness audit_score drop_blacklisted reject_known_edges patch_telemetry apply_patches relation_inventory schema_violations duplicate_edges direction_conflicts cycles ghost_nodes orphan_nodes inject_missing_nodes collect_garbage isolated_hubs drop_lazy_evidence drop_vague_targets drop_vague_categories orient_edges integrity_report harvest_dictionary enrich_aliases build_lookup dictionary_link knowledge_signature embedding_text pending_embeddings richness_score chunk_items carry_anchor merge_spilled_text merge_split_recipes strip_accents normalize_id clean_text strip_null_words label_from_prefix normalize_prefix clean_entity_name"
+_NAMES = "evidence_filter fuse_fragments join_bronze hub_properties link_attributes merge_identity first_wins skip_processed merge_edges merge_nodes confidence_stats validation_score gate_summary route_quarantine rank_by_richness audit_score drop_blacklisted reject_known_edges patch_telemetry apply_patches relation_inventory schema_violations duplicate_edges direction_conflicts cycles ghost_nodes orphan_nodes inject_missing_nodes collect_garbage isolated_hubs drop_lazy_evidence drop_vague_targets drop_vague_categories orient_edges integrity_report harvest_dictionary enrich_aliases build_lookup dictionary_link knowledge_signature embedding_text pending_embeddings richness_score chunk_items carry_anchor merge_spilled_text merge_split_recipes strip_accents normalize_id clean_text strip_null_words label_from_prefix normalize_prefix clean_entity_name"
 QUERIES = {name: globals()[name] for name in _NAMES.split()}

@@ -100,6 +100,12 @@ def generate_qa(spark, sf_dir):
     return Q.generate_qa(load(spark, sf_dir, "nodes"), load(spark, sf_dir, "edges"), 40)
 
 
+def answer_questions(spark, sf_dir):
+    nodes, edges = load(spark, sf_dir, "nodes"), load(spark, sf_dir, "edges")
+    asked = Q.generate_qa(nodes, edges, 40).select(F.concat_ws(":", "pattern", "key").alias("question_id"), "question")
+    return Q.answer_questions(Q.parse_questions(asked), nodes, edges)
+
+
 def grounded_answers(spark, sf_dir):
     hits = load(spark, sf_dir, "edges_raw").select(F.col("doc_id").alias("question_id"), F.col("from_id").alias("subject"), F.col("to_id").alias("object"))
     o = load(spark, sf_dir, "orders")
@@ -134,5 +140,5 @@ ORACLE = {
 }
 QUERIES = {
     f.__name__: f
-    for f in (stream_payments, stream_ledger, stream_login_sessions, stream_daily_queries, stream_query_cache, stream_deletions, repair_json, toc_by_page, flatten_text, vector_topk, parse_questions, generate_qa, grounded_answers)
+    for f in (stream_payments, stream_ledger, stream_login_sessions, stream_daily_queries, stream_query_cache, stream_deletions, repair_json, toc_by_page, flatten_text, vector_topk, parse_questions, generate_qa, answer_questions, grounded_answers)
 }
