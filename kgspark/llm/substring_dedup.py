@@ -121,24 +121,32 @@ def triggers(text: Text):
         yield q - _LEFT + first, trigger[q], phrase
 
 
-def strings(text: Text, wanted: np.ndarray, done: np.ndarray):
-    """(start, hash, second hash) of the strings for which a wanted trigger is the least, without those done.
+AROUND = REACH + LENGTH  # bytes of a phrase
+
+
+def phrases_at(text: Text, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(trigger hash, phrase) of triggers at positions of the text; a phrase is a row of AROUND bytes, 0 in gaps."""
+    padded = np.concatenate((np.full(REACH, _GAP, dtype=np.uint16), text.codes, np.full(LENGTH, _GAP, dtype=np.uint16)))
+    codes = padded[at[:, None] + np.arange(AROUND)]
+    key = np.zeros(len(at), dtype=np.uint64)
+    for j in range(TRIGGER):
+        key = key * np.uint64(_BASE) + _CODES[codes[:, REACH + j]]
+    return key * _MIX[0], np.where(codes == _GAP, 0, codes).astype(np.uint8)
 
-    wanted and done: flags for each position of the text (triggers, and starts of strings).
-    """
-    pad = np.zeros(_LEFT, dtype=bool)
-    want = np.concatenate((pad, wanted, np.zeros(_RIGHT, dtype=bool)))
-    for first, count, h2, h16, h32, trigger, whole in text.parts():
-        mine = want[first : first + len(trigger)]
-        if not mine.any():
-            continue
-        served = _served(trigger, whole)
-        own = np.where(mine, trigger, np.uint64(0xFFFFFFFFFFFFFFFF))
-        hit = _least(own, REACH + 1)
-        here = np.arange(_LEFT, _LEFT + count)
-        p = here[(hit[here] == served[here]) & (served[here] > 0)]
-        p = p[~done[p - _LEFT + first]]
-        yield p - _LEFT + first, _mix(h32[p], h16[p + 32], h2[p + 48]), _mix(h2[p + 48], h32[p] ^ _MIX[1], h16[p + 32])
+
+def string_hashes(phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each string of LENGTH bytes in each phrase: rows of REACH + 1."""
+    h1 = _CODES[phrases]
+
+    def doubled(h: np.ndarray, n: int) -> np.ndarray:
+        return h[:, :-n] * _power(n) + h[:, n:]
+
+    h2 = doubled(h1, 1)
+    h16 = doubled(doubled(doubled(h2, 2), 4), 8)
+    h32 = doubled(h16, 16)
+    n = REACH + 1
+    a, b, c = (np.ascontiguousarray(h[:, i : i + n]).ravel() for h, i in ((h32, 0), (h16, 32), (h2, 48)))
+    return _mix(a, b, c).reshape(-1, n), _mix(c, a ^ _MIX[1], b).reshape(-1, n)
 
 
 # --- dealing out and matching -------------------------------------------------------------------
@@ -149,27 +157,28 @@ _MARKS = pa.schema([("doc_id", pa.int64()), ("marks", pa.list_(pa.int64()))])
 _MARKS_SQL = "doc_id long, marks array<long>"
 
 
-def _rows(key, second, doc, pos) -> np.ndarray:
-    """Records as bytes: columns one after another, the two hashes by their lower six bytes."""
-    six = lambda a: a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-    return six(key) + six(second) + np.diff(doc, prepend=0).astype("<i8").tobytes() + pos.astype("<i8").tobytes()
+def _six(a: np.ndarray) -> bytes:
+    """The lower six bytes of hashes."""
+    return a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def _read(payloads: list[bytes]):
-    keys, seconds, docs, places = [], [], [], []
+def _eight(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(b, dtype=np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
 
-    def eight(b: bytes) -> np.ndarray:
-        out = np.zeros((len(b) // 6, 8), dtype=np.uint8)
-        out[:, :6] = np.frombuffer(b, dtype=np.uint8).reshape(-1, 6)
-        return out.view("<u8").ravel()
+def _rows(key, second, doc, pos) -> bytes:
+    """Records as bytes: columns one after another."""
+    return _six(key) + _six(second) + np.diff(doc, prepend=0).astype("<i8").tobytes() + pos.astype("<i8").tobytes()
 
+
+def _read(payloads: list[bytes]):
+    columns = []
     for p in payloads:
         n = len(p) // 28
-        keys.append(eight(p[: 6 * n]))
-        seconds.append(eight(p[6 * n : 12 * n]))
-        docs.append(np.cumsum(np.frombuffer(p[12 * n : 20 * n], dtype="<i8")))
-        places.append(np.frombuffer(p[20 * n :], dtype="<i8"))
-    return tuple(np.concatenate(x) for x in (keys, seconds, docs, places))
+        columns.append((_eight(p[: 6 * n]), _eight(p[6 * n : 12 * n]), np.cumsum(np.frombuffer(p[12 * n : 20 * n], dtype="<i8")), np.frombuffer(p[20 * n :], dtype="<i8")))
+    return tuple(np.concatenate(c) for c in zip(*columns))
 
 
 def _settle(key: np.ndarray, second: np.ndarray, doc: np.ndarray):
@@ -229,26 +238,60 @@ def _by_document(doc: np.ndarray, marks: np.ndarray) -> pa.Table:
     return pa.table({"doc_id": pa.array(doc[edge]), "marks": pa.ListArray.from_arrays(offsets, pa.array(marks))}, schema=_MARKS)
 
 
-def _match(with_open: bool):
+def _match_phrases(part: pa.Table) -> pa.Table:
     """A bucket's records -> marks by document: 2 * position for a repeat, 2 * position + 1 for an open one."""
-
-    def run(part: pa.Table) -> pa.Table:
-        done = part.filter(part.column("settled")).column("payload").to_pylist()
-        rest = part.filter(pc.invert(part.column("settled"))).column("payload").to_pylist()
-        docs, marks = [], []
-        for p in done:
-            both = np.frombuffer(p, dtype="<i8").reshape(2, -1)
-            docs.append(both[0])
-            marks.append(both[1] * 2)
-        if rest:
-            key, second, doc, pos = _read(rest)
-            order, repeats, is_open = _settle(key, second, doc)
-            for flags, bit in ((repeats, 0), (is_open, 1)) if with_open else ((repeats, 0),):
-                docs.append(doc[order[flags]])
-                marks.append(pos[order[flags]] * 2 + bit)
-        return _by_document(np.concatenate(docs), np.concatenate(marks))
-
-    return run
+    done = part.filter(part.column("settled")).column("payload").to_pylist()
+    rest = part.filter(pc.invert(part.column("settled"))).column("payload").to_pylist()
+    docs, marks = [], []
+    for p in done:
+        both = np.frombuffer(p, dtype="<i8").reshape(2, -1)
+        docs.append(both[0])
+        marks.append(both[1] * 2)
+    if rest:
+        key, second, doc, pos = _read(rest)
+        order, repeats, is_open = _settle(key, second, doc)
+        for flags, bit in ((repeats, 0), (is_open, 1)):
+            docs.append(doc[order[flags]])
+            marks.append(pos[order[flags]] * 2 + bit)
+    return _by_document(np.concatenate(docs), np.concatenate(marks))
+
+
+_OPEN_BYTES = 6 + AROUND + 2 + 16
+
+
+def _open_rows(key, phrases, left, right, doc, pos) -> bytes:
+    """Open triggers as bytes: hash, phrase, how much of it is there before and after, document, position."""
+    return _six(key) + phrases.tobytes() + left.astype(np.uint8).tobytes() + right.astype(np.uint8).tobytes() + np.diff(doc, prepend=0).astype("<i8").tobytes() + pos.astype("<i8").tobytes()
+
+
+def _match_strings(part: pa.Table) -> pa.Table:
+    """A bucket's open triggers -> runs of strings that stand in earlier documents: 64 * start + how many, by document."""
+    columns = []
+    for p in part.column("payload").to_pylist():
+        n = len(p) // _OPEN_BYTES
+        edges = np.cumsum([0, 6 * n, AROUND * n, n, n, 8 * n, 8 * n])
+        key, phrases, left, right, doc, pos = (p[i:j] for i, j in zip(edges, edges[1:]))
+        columns.append((_eight(key), np.frombuffer(phrases, dtype=np.uint8).reshape(n, AROUND), np.frombuffer(left, dtype=np.uint8), np.frombuffer(right, dtype=np.uint8), np.cumsum(np.frombuffer(doc, dtype="<i8")), np.frombuffer(pos, dtype="<i8")))
+    key, phrases, left, right, doc, pos = (np.concatenate(c) for c in zip(*columns))
+    start = np.arange(REACH + 1)
+    docs, marks = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    portions = 1 + len(key) // 20_000
+    for k in range(portions):  # all triggers of a hash are in one portion
+        own = np.flatnonzero(key % np.uint64(portions) == k)
+        if not len(own):
+            continue
+        first, second = string_hashes(phrases[own])
+        there = (start >= REACH - left[own, None].astype(np.int64)) & (start + LENGTH <= REACH + right[own, None].astype(np.int64))
+        row, at = np.nonzero(there)
+        order, repeats, _ = _settle(first[row, at], second[row, at], doc[own][row])
+        hit = np.zeros((len(own), REACH + 3), dtype=np.int8)
+        hit[row[order[repeats]], at[order[repeats]] + 1] = 1
+        change = np.diff(hit, axis=1)
+        r, begin = np.nonzero(change == 1)
+        _, end = np.nonzero(change == -1)
+        docs.append(doc[own][r])
+        marks.append((pos[own][r] - REACH + begin) * 64 + (end - begin))
+    return _by_document(np.concatenate(docs), np.concatenate(marks))
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
@@ -283,27 +326,39 @@ def _spans(marks, n: int) -> np.ndarray:
     return np.cumsum(change)[: max(0, last) + 1] > 0
 
 
-def _deal_strings(buckets: int):
+def _deal_open(buckets: int):
     def run(batches):
         for batch in slices(batches, max_chars=8_000_000):
             ids = batch.column("doc_id").to_numpy()
             texts = _bytes(batch.column("text"))
             text = Text(texts)
-            wanted, done = np.zeros(len(text.codes), dtype=bool), np.zeros(len(text.codes), dtype=bool)
-            for start, t, marks in zip(text.starts, texts, batch.column("marks")):
+            at, row = [], []
+            for i, (start, t, marks) in enumerate(zip(text.starts, texts, batch.column("marks"))):
                 marks = marks.values.to_numpy()
-                if len(t) >= LENGTH:
-                    q = marks[marks & 1 == 1] >> 1
-                    wanted[start + q[q < len(t)]] = True
-                    flags = _spans(marks, len(t))
-                    done[start : start + len(flags)] = flags
-            found = [np.concatenate(x) for x in zip(*strings(text, wanted, done))]
-            if not found or not len(found[0]):
+                q = np.unique(marks[marks & 1 == 1] >> 1)
+                q = q[q < len(t)]
+                # Those whose strings are all settled already have nothing to ask or to give.
+                if len(q) and len(t) >= LENGTH:
+                    settled = np.concatenate(([0], np.cumsum(_spans(marks, len(t)))))
+                    lo, hi = np.maximum(q - REACH, 0), np.minimum(q, len(t) - LENGTH) + 1
+                    q = q[(hi > lo) & (settled[np.maximum(hi, lo)] - settled[lo] < hi - lo)]
+                    at.append(start + q)
+                    row.append(np.full(len(q), i))
+            if not at or not sum(map(len, at)):
                 continue
-            at, key, second = found
-            row = np.searchsorted(text.starts, at, side="right") - 1
-            if (out := _deal(key, second, ids[row], at - text.starts[row], buckets)) is not None:
-                yield out
+            at, row = np.concatenate(at), np.concatenate(row)
+            pos = at - text.starts[row]
+            sizes = np.array([len(t) for t in texts])[row]
+            key, phrases = phrases_at(text, at)
+            left, right = np.minimum(pos, REACH), np.minimum(sizes - pos, LENGTH)
+            bucket = (key >> np.uint64(20)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+            out = []
+            for b in np.unique(bucket):
+                o = order[edges[int(b)] : edges[int(b) + 1]]
+                out.append((int(b), False, _open_rows(key[o], phrases[o], left[o], right[o], ids[row[o]], pos[o])))
+            yield batch_of(_DEALT, *map(list, zip(*out)))
 
     return run
 
@@ -311,16 +366,20 @@ def _deal_strings(buckets: int):
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
-def removed_bytes(n: int, marks: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Flags of the bytes that go from a document of n bytes: repeated phrases' strings, and strings by start."""
+def removed_bytes(n: int, marks: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """Flags of the bytes that go from a document of n bytes: repeated phrases' strings, and runs of strings."""
+    if n < LENGTH:
+        return np.zeros(n, dtype=bool)
+    change = np.zeros(n + 1, dtype=np.int64)
+    begin = runs >> 6
+    end = np.minimum(begin + (runs & 63), n - LENGTH + 1)
+    good = (begin >= 0) & (begin < end)
+    np.add.at(change, begin[good], 1)
+    np.add.at(change, end[good], -1)
+    first = np.flatnonzero(_spans(marks, n) | (np.cumsum(change)[: n - LENGTH + 1] > 0))
     gone = np.zeros(n + 1, dtype=np.int64)
-    if n >= LENGTH:
-        flags = _spans(marks, n)
-        starts = starts[starts <= n - LENGTH]
-        flags[starts] = True
-        p = np.flatnonzero(flags)
-        np.add.at(gone, p, 1)
-        np.add.at(gone, p + LENGTH, -1)
+    gone[first] += 1
+    gone[first + LENGTH] -= 1
     return np.cumsum(gone)[:n] > 0
 
 
@@ -331,7 +390,7 @@ def _remove(with_text: bool):
             rows = []
             for t, marks, starts in zip(_bytes(batch.column("text")), batch.column("marks"), batch.column("starts")):
                 marks = marks.values.to_numpy() if marks.is_valid else none
-                starts = starts.values.to_numpy() >> 1 if starts.is_valid else none
+                starts = starts.values.to_numpy() if starts.is_valid else none
                 if len(marks) or len(starts):
                     gone = removed_bytes(len(t), marks, starts)
                     rest = np.frombuffer(t, dtype=np.uint8)[~gone].tobytes()
@@ -354,19 +413,25 @@ def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, kept (binary).
 
     Positions and 48-bit hashes of triggers and phrases are shuffled, not texts; records that a slice of the
-    input settles by itself leave before the shuffle. Texts are shuffled once, to meet their marks.
+    input settles by itself leave before the shuffle. Texts are shuffled once, to meet their marks; of open triggers
+    the phrase itself is dealt out, and its strings are told apart where all phrases of the trigger meet.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    # Without a cast where there is none to do: both joins then have the same plan below, and share its exchange.
+    texts = docs.select("doc_id" if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long"), "text")
     known = texts.where("doc_id is not null")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
     phrases = known.mapInArrow(_deal_phrases(buckets), _DEALT_SQL)
-    marks = phrases.groupBy("bucket").applyInArrow(_match(True), _MARKS_SQL)
+    marks = phrases.groupBy("bucket").applyInArrow(_match_phrases, _MARKS_SQL)
     marks = materialize(marks.groupBy("doc_id").agg(F.flatten(F.collect_list("marks")).alias("marks")))
     pending = marks.where(F.exists("marks", lambda m: m % 2 == 1))
-    open_strings = texts.join(pending, "doc_id").mapInArrow(_deal_strings(buckets), _DEALT_SQL)
-    starts = open_strings.groupBy("bucket").applyInArrow(_match(False), _MARKS_SQL)
+    open_phrases = known.join(pending, "doc_id").mapInArrow(_deal_open(buckets), _DEALT_SQL)
+    starts = open_phrases.groupBy("bucket").applyInArrow(_match_strings, _MARKS_SQL)
     starts = starts.groupBy("doc_id").agg(F.flatten(F.collect_list("marks")).alias("starts"))
     both = marks.join(starts, "doc_id", "left")
-    out = texts.join(both, "doc_id", "left").mapInArrow(_remove(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    # The same exchange of the texts serves this join and the one above.
+    nothing = F.lit(None).cast("array<bigint>")
+    nameless = texts.where("doc_id is null").withColumn("marks", nothing).withColumn("starts", nothing)
+    marked = known.join(both, "doc_id", "left").unionByName(nameless)
+    out = marked.mapInArrow(_remove(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if with_text else out.drop("kept")
