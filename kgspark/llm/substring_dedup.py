@@ -230,15 +230,33 @@ def _deal(key, second, doc, pos, buckets: int):
     return batch_of(_DEALT, *map(list, zip(*out))) if out else None
 
 
-def _by_document(doc: np.ndarray, marks: np.ndarray) -> pa.Table:
+_SPREAD = pa.schema([("grp", pa.int32()), ("payload", pa.binary())])
+_SPREAD_SQL = "grp int, payload binary"
+
+
+def _spread(doc: np.ndarray, marks: np.ndarray, groups: int) -> pa.Table:
+    """Marks for groups of documents: a row for each group that has some, not for each document."""
+    grp = doc % groups
+    order = np.lexsort((marks, doc, grp))
+    grp, doc, marks = grp[order], doc[order], marks[order]
+    edges = np.searchsorted(grp, np.arange(groups + 1))
+    some = np.flatnonzero(np.diff(edges))
+    payloads = [np.diff(doc[edges[g] : edges[g + 1]], prepend=0).astype("<i8").tobytes() + marks[edges[g] : edges[g + 1]].astype("<i8").tobytes() for g in some]
+    return pa.table({"grp": pa.array(some, pa.int32()), "payload": pa.array(payloads, pa.binary())}, schema=_SPREAD)
+
+
+def _by_document(part: pa.Table) -> pa.Table:
+    """A group's marks -> one row for each of its documents."""
+    halves = [np.frombuffer(p, dtype="<i8").reshape(2, -1) for p in part.column("payload").to_pylist()]
+    doc, marks = np.concatenate([np.cumsum(h[0]) for h in halves]), np.concatenate([h[1] for h in halves])
     order = np.lexsort((marks, doc))
     doc, marks = doc[order], marks[order]
-    edge = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, dtype=np.int64)
+    edge = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
     offsets = pa.array(np.append(edge, len(doc)).astype(np.int32))
     return pa.table({"doc_id": pa.array(doc[edge]), "marks": pa.ListArray.from_arrays(offsets, pa.array(marks))}, schema=_MARKS)
 
 
-def _match_phrases(part: pa.Table) -> pa.Table:
+def _match_phrases(part: pa.Table, groups: int) -> pa.Table:
     """A bucket's records -> marks by document: 2 * position for a repeat, 2 * position + 1 for an open one."""
     done = part.filter(part.column("settled")).column("payload").to_pylist()
     rest = part.filter(pc.invert(part.column("settled"))).column("payload").to_pylist()
@@ -253,7 +271,7 @@ def _match_phrases(part: pa.Table) -> pa.Table:
         for flags, bit in ((repeats, 0), (is_open, 1)):
             docs.append(doc[order[flags]])
             marks.append(pos[order[flags]] * 2 + bit)
-    return _by_document(np.concatenate(docs), np.concatenate(marks))
+    return _spread(np.concatenate(docs), np.concatenate(marks), groups)
 
 
 _OPEN_BYTES = 6 + AROUND + 2 + 16
@@ -264,7 +282,7 @@ def _open_rows(key, phrases, left, right, doc, pos) -> bytes:
     return _six(key) + phrases.tobytes() + left.astype(np.uint8).tobytes() + right.astype(np.uint8).tobytes() + np.diff(doc, prepend=0).astype("<i8").tobytes() + pos.astype("<i8").tobytes()
 
 
-def _match_strings(part: pa.Table) -> pa.Table:
+def _match_strings(part: pa.Table, groups: int) -> pa.Table:
     """A bucket's open triggers -> runs of strings that stand in earlier documents: 64 * start + how many, by document."""
     columns = []
     for p in part.column("payload").to_pylist():
@@ -291,7 +309,7 @@ def _match_strings(part: pa.Table) -> pa.Table:
         _, end = np.nonzero(change == -1)
         docs.append(doc[own][r])
         marks.append((pos[own][r] - REACH + begin) * 64 + (end - begin))
-    return _by_document(np.concatenate(docs), np.concatenate(marks))
+    return _spread(np.concatenate(docs), np.concatenate(marks), groups)
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
@@ -422,12 +440,15 @@ def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
     phrases = known.mapInArrow(_deal_phrases(buckets), _DEALT_SQL)
-    marks = phrases.groupBy("bucket").applyInArrow(_match_phrases, _MARKS_SQL)
-    marks = materialize(marks.groupBy("doc_id").agg(F.flatten(F.collect_list("marks")).alias("marks")))
+
+    def marks_of(dealt: DataFrame, match) -> DataFrame:
+        spread = dealt.groupBy("bucket").applyInArrow(lambda part: match(part, buckets), _SPREAD_SQL)
+        return spread.groupBy("grp").applyInArrow(_by_document, _MARKS_SQL)
+
+    marks = materialize(marks_of(phrases, _match_phrases))
     pending = marks.where(F.exists("marks", lambda m: m % 2 == 1))
     open_phrases = known.join(pending, "doc_id").mapInArrow(_deal_open(buckets), _DEALT_SQL)
-    starts = open_phrases.groupBy("bucket").applyInArrow(_match_strings, _MARKS_SQL)
-    starts = starts.groupBy("doc_id").agg(F.flatten(F.collect_list("marks")).alias("starts"))
+    starts = marks_of(open_phrases, _match_strings).withColumnRenamed("marks", "starts")
     both = marks.join(starts, "doc_id", "left")
     # The same exchange of the texts serves this join and the one above.
     nothing = F.lit(None).cast("array<bigint>")

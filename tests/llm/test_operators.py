@@ -97,7 +97,9 @@ def test_substring_dedup(docs, rows, empty, odd):
     assert sorted(r.n_removed for r in substring_dedup.substring_dedup(odd).collect()) == [0, 0, 0, 0]
 
 
-def test_substring_dedup_many_overlaps(spark):
+@pytest.mark.parametrize("bucket_bytes", [16_000_000, 1500])
+def test_substring_dedup_many_overlaps(spark, monkeypatch, bucket_bytes):
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", bucket_bytes)
     rng = random.Random(9)
     for alphabet, size in (("ab", 300), ("a", 120), ("abcdefgh ", 500)):
         pool = ["".join(rng.choice(alphabet) for _ in range(size)) for _ in range(4)]
