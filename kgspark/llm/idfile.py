@@ -31,18 +31,19 @@ STEPS = 16
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
 VOCABULARY_SIZE = 50_257
-GAIN = 32  # what one occurrence adds to an id's count
+GAIN = 8  # what one occurrence adds to an id's count
 SLOTS = 1 << 16
 _HEADER = struct.Struct("<4sIIIIIII")  # magic, ids, vocabulary, lanes, documents' bytes, words, crc of ids, crc of the rest
 _U = np.uint64
-_WORD, _LOW = _U(32), _U(1 << 28)
+_WORD, _LOW = _U(32), _U(1 << 32)
+SHARE = 1024  # what the orders' shares add up to; times the counts' total it stays below 2**32
 
 
 # --- model --------------------------------------------------------------------------------------
 
 
 class Mixer:
-    """Predictions of a block; both sides call code_for / hits and learn in the same order."""
+    """Predictions of a block; both sides look and learn in the same order."""
 
     def __init__(self, size: int):
         self.size = size
@@ -54,23 +55,29 @@ class Mixer:
 
     def _settle(self) -> None:
         self.bounds = np.concatenate(([0], np.cumsum(self.counts)))
-        self.mix_bounds = np.concatenate((np.zeros((16, 1), dtype=np.int64), np.cumsum(self.mix, axis=1)), axis=1)
+        self.total = int(self.bounds[-1])
+        share = 1 + self.mix * (SHARE - 3) // self.mix.sum(axis=1, keepdims=True)
+        share[:, 2] += SHARE - share.sum(axis=1)
+        begin = (np.cumsum(share, axis=1) - share) * self.total
+        # By context * 3 + kind; and where a context's kinds 1 and 2 begin.
+        self.share, self.begin = share.ravel(), begin.ravel()
+        self.second, self.third = begin[:, 1].copy(), begin[:, 2].copy()
 
     def slots(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
-        return (before * 40_503 + last * 2_654_435) % 2_147_483_629 & SLOTS - 1
+        return (before * 2_654_435_761 ^ last * 40_503_119) >> 9 & SLOTS - 1
 
     def look(self, last: np.ndarray, before: np.ndarray):
-        """(guess of order 2, of order 1, mixing context)."""
+        """(guess of order 2, of order 1, mixing context, slot of order 2)."""
         slot = self.slots(last, before)
-        return self.guess[1][slot], self.guess[0][last], self.sure[1][slot] * 4 + self.sure[0][last]
+        return self.guess[1][slot], self.guess[0][last], self.sure[1][slot] * 4 + self.sure[0][last], slot
 
-    def learn(self, ids: np.ndarray, last: np.ndarray, before: np.ndarray) -> None:
-        """Take in ids with the contexts they stood in; of equal contexts the last one stays."""
-        two, one, context = self.look(last, before)
+    def learn(self, ids: np.ndarray, last: np.ndarray, seen: tuple) -> None:
+        """Take in ids with what look() said of them; of equal contexts the last one stays."""
+        two, one, context, slot = seen
         kind = np.where(ids == two, 0, np.where(ids == one, 1, 2))
         self.mix += 8 * np.bincount(context * 3 + kind, minlength=48).reshape(16, 3)
         self.counts += GAIN * np.bincount(ids, minlength=self.size)
-        for k, place, guess in ((0, last, one), (1, self.slots(last, before), two)):
+        for k, place, guess in ((0, last, one), (1, slot, two)):
             self.sure[k][place] = np.where(guess == ids, np.minimum(self.sure[k][place] + 1, 3), 0)
             self.guess[k][place] = ids
         self._settle()
@@ -91,8 +98,8 @@ class Writer:
     def __init__(self, lanes: int):
         self.low = np.zeros(lanes, dtype=np.uint64)
         self.range = np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
-        # A step puts out one word at most, an id takes two steps.
-        self.words = np.zeros((lanes, 2 * RUN + 4), dtype="<u4")
+        # An id puts out one word at most.
+        self.words = np.zeros((lanes, RUN + 4), dtype="<u4")
         self.used = np.zeros(lanes, dtype=np.int64)
 
     def put(self, n: int, start: np.ndarray, width: np.ndarray, total) -> None:
@@ -130,102 +137,102 @@ class Reader:
         self.low = np.zeros(len(used), dtype=np.uint64)
         self.range = np.full(len(used), 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
 
-    def value(self, lanes, total) -> np.ndarray:
-        """Where each lane's code stands in [0, total)."""
-        self.unit = self.range[lanes] // total
-        return np.minimum((self.code[lanes] - self.low[lanes]) // self.unit, total - _U(1)).astype(np.int64)
+    def value(self, n: int, total) -> np.ndarray:
+        """Where the code of each of the first n lanes stands in [0, total)."""
+        self.unit = self.range[:n] // total
+        return np.minimum((self.code[:n] - self.low[:n]) // self.unit, total - _U(1)).view(np.int64)
 
-    def take(self, lanes, start: np.ndarray, width: np.ndarray) -> None:
+    def take(self, n: int, start: np.ndarray, width: np.ndarray) -> None:
         """Move on past the interval that value() fell in."""
-        low = self.low[lanes] + start.astype(np.uint64) * self.unit
-        span = self.unit * width.astype(np.uint64)
-        code = self.code[lanes]
+        low, span, code = self.low[:n], self.range[:n], self.code[:n]
+        low += start * self.unit
+        np.multiply(self.unit, width, out=span)
         settled = (low ^ (low + span)) >> _WORD == 0
         narrow = ~settled & (span < _LOW)
         out = np.flatnonzero(settled | narrow)
         if len(out):
             at = np.flatnonzero(narrow)
             span[at] = (~low[at] + _U(1)) & (_LOW - _U(1))
-            own = out if isinstance(lanes, slice) else lanes[out]
-            code[out] = code[out] << _WORD | self.words[self.at[own]]
-            self.at[own] += 1
+            code[out] = code[out] << _WORD | self.words[self.at[out]]
+            self.at[out] += 1
             low[out] <<= _WORD
             span[out] <<= _WORD
-        self.low[lanes], self.range[lanes], self.code[lanes] = low, span, code
 
 
 # --- blocks -------------------------------------------------------------------------------------
 
 
-def _contexts(grid: np.ndarray, at: int, stop: int, none: int) -> tuple[np.ndarray, np.ndarray]:
-    """(last, before) of columns at ... stop - 1; grid has two columns of `none` ahead."""
-    return grid[:, at + 1 : stop + 1], grid[:, at:stop]
+def _known(lanes: int, last_len: int, at: int, stop: int):
+    """Flags of the ids that are there in steps at ... stop - 1 of all lanes; None if all are."""
+    if stop <= last_len:
+        return None
+    good = np.ones((stop - at, lanes), dtype=bool)
+    good[:, -1] = np.arange(at, stop) < last_len
+    return good
 
 
-def _known(lanes: int, last_len: int, at: int, stop: int) -> np.ndarray:
-    good = np.ones((lanes, stop - at), dtype=bool)
-    good[-1] = np.arange(at, stop) < last_len
-    return good
+def _learn(model: Mixer, grid: np.ndarray, at: int, stop: int, good, seen: tuple | None = None) -> None:
+    pick = (lambda a: a.ravel()) if good is None else (lambda a: a[good])
+    last, before = grid[at + 1 : stop + 1], grid[at:stop]
+    seen = model.look(pick(last), pick(before)) if seen is None else tuple(pick(a) for a in seen)
+    model.learn(pick(grid[at + 2 : stop + 2]), pick(last), seen)
 
 
 def encode_ids(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     lanes, last_len = _lanes(len(ids))
-    grid = np.full((lanes, RUN + 2), size, dtype=np.int64)
     padded = np.zeros(lanes * RUN, dtype=np.int64)
     padded[: len(ids)] = ids
-    grid[:, 2:] = padded.reshape(lanes, RUN)
+    # A row for each step, a column for each lane; two rows of no id ahead.
+    grid = np.full((RUN + 2, lanes), size, dtype=np.int64)
+    grid[2:] = padded.reshape(lanes, RUN).T
     model, writer = Mixer(size), Writer(lanes)
     length = RUN if lanes > 1 else last_len
     for at in range(0, length, STEPS):
         stop = min(at + STEPS, length)
-        cur = grid[:, at + 2 : stop + 2]
-        last, before = _contexts(grid, at, stop, size)
-        two, one, context = model.look(last, before)
-        kind = np.where(cur == two, 0, np.where(cur == one, 1, 2))
-        miss = kind == 2
-        a0 = model.mix_bounds[context, kind].astype(np.uint64).T.copy()
-        a1 = model.mix[context, kind].astype(np.uint64).T.copy()
-        at_ = model.mix_bounds[context, 3].astype(np.uint64).T.copy()
-        b0 = np.where(miss, model.bounds[cur], 0).astype(np.uint64).T.copy()
-        b1 = np.where(miss, model.counts[cur], 1).astype(np.uint64).T.copy()
-        bt = np.where(miss, model.bounds[-1], 1).astype(np.uint64).T.copy()
+        cur = grid[at + 2 : stop + 2]
+        seen = model.look(grid[at + 1 : stop + 1], grid[at:stop])
+        kind = np.where(cur == seen[0], 0, np.where(cur == seen[1], 1, 2))
+        place, miss = seen[2] * 3 + kind, kind == 2
+        share = model.share[place]
+        start = (model.begin[place] + np.where(miss, model.bounds[cur] * share, 0)).view(np.uint64)
+        width = (np.where(miss, model.counts[cur], model.total) * share).view(np.uint64)
+        total = _U(SHARE * model.total)
         for k in range(stop - at):
             n = lanes if at + k < last_len else lanes - 1
-            writer.put(n, a0[k, :n], a1[k, :n], at_[k, :n])
-            writer.put(n, b0[k, :n], b1[k, :n], bt[k, :n])
-        good = _known(lanes, last_len, at, stop)
-        model.learn(cur[good], last[good], before[good])
+            writer.put(n, start[k, :n], width[k, :n], total)
+        _learn(model, grid, at, stop, _known(lanes, last_len, at, stop), seen)
     return writer.finish()
 
 
 def decode_ids(words: np.ndarray, used: np.ndarray, n_ids: int, size: int) -> np.ndarray:
     lanes, last_len = _lanes(n_ids)
-    grid = np.full((lanes, RUN + 2), size, dtype=np.int64)
+    grid = np.full((RUN + 2, lanes), size, dtype=np.int64)
     model, reader = Mixer(size), Reader(words, used)
     length = RUN if lanes > 1 else last_len
     for at in range(0, length, STEPS):
         stop = min(at + STEPS, length)
-        total = _U(int(model.bounds[-1]))
+        total = _U(SHARE * model.total)
         for k in range(at, stop):
             n = lanes if k < last_len else lanes - 1
-            head = slice(0, n)
-            two, one, context = model.look(grid[:n, k + 1], grid[:n, k])
-            bounds = model.mix_bounds[context]
-            v = reader.value(head, bounds[:, 3].astype(np.uint64))
-            kind = (v >= bounds[:, 1]).astype(np.int64) + (v >= bounds[:, 2])
-            rows = np.arange(n)
-            reader.take(head, bounds[rows, kind], model.mix[context, kind])
+            two, one, context, _ = model.look(grid[k + 1, :n], grid[k, :n])
+            v = reader.value(n, total)
+            third = v >= model.third[context]
+            kind = np.add(v >= model.second[context], third, dtype=np.int64)
+            place = context * 3 + kind
+            share, start = model.share[place], model.begin[place]
+            width = share * model.total
             ids = np.where(kind == 0, two, one)
-            miss = np.flatnonzero(kind == 2)
+            miss = np.flatnonzero(third)
             if len(miss):
-                found = np.searchsorted(model.bounds, reader.value(miss, total), side="right") - 1
-                reader.take(miss, model.bounds[found], model.counts[found])
+                part = share[miss]
+                found = np.searchsorted(model.bounds, (v[miss] - start[miss]) // part, side="right") - 1
+                start[miss] += model.bounds[found] * part
+                width[miss] = model.counts[found] * part
                 ids[miss] = found
-            grid[:n, k + 2] = ids
-        good = _known(lanes, last_len, at, stop)
-        last, before = _contexts(grid, at, stop, size)
-        model.learn(grid[:, at + 2 : stop + 2][good], last[good], before[good])
-    return grid[:, 2:].ravel()[:n_ids].astype(np.uint32)
+            reader.take(n, start.view(np.uint64), width.view(np.uint64))
+            grid[k + 2, :n] = ids
+        _learn(model, grid, at, stop, _known(lanes, last_len, at, stop))
+    return grid[2:].T.ravel()[:n_ids].astype(np.uint32)
 
 
 def write_block(ids: np.ndarray, documents: list[tuple[int | None, int, bool]], size: int) -> bytes:
