@@ -2,12 +2,14 @@
 
 A text is cut where the vocabulary's own pre-tokenizer must cut too, so the ids of the pieces
 put together are the ids of the text. Texts for which that isn't certain (white space other
-than single blanks and line ends) go to the tokenizer as they are.
+than single blanks and line ends, or the content of an added token such as <|endoftext|>) go to the
+tokenizer as they are.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 from array import array
 
@@ -44,7 +46,8 @@ class PieceTokenizer:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
+        self.added = "(?i)" + "|".join(added) if added else None
         self.lower, self.keep, self.known = lower, keep, {}
         self.model = self.whole.model
         self.spelling = str.maketrans(_byte_alphabet())
@@ -98,6 +101,8 @@ class PieceTokenizer:
             marked = pc.replace_substring_regex(texts, r"([\pL\pN])([.,]+)([ \n]|$)", rf"\1 {_NO_BLANK}\2\3")
             marked = pc.replace_substring(marked, "\n", f" {_NO_BLANK}\n {_NO_BLANK}")
             lists = pc.split_pattern(pc.binary_join_element_wise(_NO_BLANK, marked, ""), " ")
+        if self.added:  # in any case of letters: the tokenizer itself tells which of them count
+            odd = odd | pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False)
         coded = lists.flatten().dictionary_encode()
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.combine_chunks()

@@ -320,6 +320,24 @@ def test_id_files(spark, docs, rows, empty, odd, tmp_path):
     assert idfile.id_files(odd, str(tmp_path)).count() == 4
 
 
+def test_special_tokens_in_texts(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    texts = ["end <|endoftext|> start", "a<|endoftext|>b, c.", "plain words, here.", "<|startoftext|> one two", "x <|ENDOFTEXT|> y", "<|endoftext", "last. <|endoftext|>"]
+    data = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    plain = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    idfile.write_ids(data, str(tmp_path / "ids"))
+    got, start = by_id(idfile.read_ids(spark, str(tmp_path / "ids"), with_ids=True)), 0
+    for d, text in enumerate(texts):
+        ids = np.array([*plain.encode(text, add_special_tokens=False).ids, 0], dtype="<u4")
+        assert (got[d].start, got[d].n_tokens, bytes(got[d].ids)) == (start, len(ids), ids.tobytes())
+        start += len(ids)
+    plain = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    for r in packing.pack(data).collect():
+        ids = np.array([*plain.encode(texts[r.doc_id], add_special_tokens=False).ids, 0], dtype="<u4")
+        assert (r.length, r.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_long_documents_span_blocks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(idfile, "BLOCK_IDS", 1000)
     text = " ".join(["word"] * 3500)
