@@ -57,20 +57,30 @@ def _bit_counts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 _PRINT = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+_KEYED = pa.schema([*_PRINT, ("sha", pa.string())])
+
+
+def _prints_of(texts) -> np.ndarray:
+    each = [shingle_hashes(t) for t in string_list(texts)]
+    n = np.array([len(x) for x in each], dtype=np.int64)
+    fps = np.zeros(len(each), dtype=np.uint64)
+    some = n > 0
+    if some.any():
+        flat = np.fromiter((h for x in each for h in x), dtype=np.uint64, count=int(n.sum()))
+        counts = _bit_counts(flat, (np.cumsum(n) - n)[some])
+        bits = counts * 2 > n[some, None]
+        fps[some] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
+    return fps.view(np.int64)
 
 
 def _fingerprints(batches):
     for batch in slices(batches, max_chars=2_000_000):
-        each = [shingle_hashes(t) for t in string_list(batch.column("text"))]
-        n = np.array([len(x) for x in each], dtype=np.int64)
-        fps = np.zeros(len(each), dtype=np.uint64)
-        some = n > 0
-        if some.any():
-            flat = np.fromiter((h for x in each for h in x), dtype=np.uint64, count=int(n.sum()))
-            counts = _bit_counts(flat, (np.cumsum(n) - n)[some])
-            bits = counts * 2 > n[some, None]
-            fps[some] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
-        yield batch_of(_PRINT, batch.column("doc_id"), fps.view(np.int64))
+        yield batch_of(_PRINT, batch.column("doc_id"), _prints_of(batch.column("text")))
+
+
+def _keyed_fingerprints(batches):
+    for batch in slices(batches, max_chars=2_000_000):
+        yield batch_of(_KEYED, batch.column("doc_id"), _prints_of(batch.column("text")), batch.column("_sha"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -312,7 +322,18 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each near-duplicate group, the one with the smallest doc_id; same columns."""
-    found = near_dedup(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = found.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """docs with one row of each near-duplicate group; same columns.
+
+    The row with the smallest doc_id stays (null last), of rows that share it the one with the least digest of its text,
+    of repeated rows one. Rows are told apart by id and text, so unrelated texts without an id, or with the same one,
+    all stay.
+    """
+    keyed = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    prints = materialize(keyed.select(F.col("doc_id").cast("long"), "text", "_sha").mapInArrow(_keyed_fingerprints, "doc_id long, fp long, sha string"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "sha")).alias("first")
+    nodes = materialize(prints.groupBy("fp").agg(first))
+    roots = components(links(nodes.select("fp")))
+    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("first", F.coalesce("root", "fp").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_kept_id"), F.col("first.sha").alias("_kept_sha"))
+    joined = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
+    return joined.dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)

@@ -368,6 +368,17 @@ def brute_simhash(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
+def test_keep_one_tells_rows_apart(spark):
+    rng = random.Random(12)
+    a, b, c, d, e, f = (prose(rng, 60) for _ in range(6))
+    data = [(None, a, 1), (None, b, 2), (None, c, 3), (None, c, 3), (5, d, 4), (5, e, 5), (5, e, 6), (9, a, 7), (7, f, 8), (6, f.upper().replace("É", "é"), 9), (None, None, 10), (None, "", 11)]
+    df = spark.createDataFrame(data, "doc_id long, text string, n long").repartition(3)
+    got = sorted(((r.doc_id or 0, r.text or "") for r in simhash.keep_one(df).collect()))
+    assert got == sorted([(0, b), (0, c), (5, d), (5, e), (9, a), (6, data[9][1]), (0, "")])
+    shared = spark.createDataFrame([(None, t) for t in (a, b, c)] + [(3, t) for t in (d, e, f)], "doc_id long, text string")
+    assert simhash.keep_one(shared).count() == 6
+
+
 def test_simhash(docs, rows, empty, odd):
     got = by_id(simhash.near_dedup(docs))
     prints = {r[0]: brute_simhash(r[1]) for r in rows}
