@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 KEY = "surrogates-1"
-#: Rounds of new attempts for surrogates that collide; each round leaves far fewer.
+#: Rounds of new attempts for surrogates that collide; each round leaves far fewer. What is left then is numbered.
 MAX_ROUNDS = 12
+#: Attempts that keep to the shape in all; later ones free what else stays, and grow.
+IN_SHAPE = 4
 
 #: Forms of address by gender, in five languages and two scripts.
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин")
@@ -102,26 +104,28 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str = KEY) ->
     email: local part and host keep their shape, the last two labels become example with the same top
     domain; phone: the first digit stays; card: same length, same check sum; ip: an address of 10.0.0.0/8 (from the fifth attempt on, any);
     iban: country and length stay; key: its prefix stays; name: same form of address, hence gender, same script
-    and number of words. The attempt number enters the digest.
+    and number of words. The attempt number enters the digest. Shapes can be used up, so from the fifth attempt on
+    a phone's first digit is free and all but ip grow, by a digit or syllable an attempt (a local part by two letters).
     """
     digest = F.sha2(F.concat_ws("|", F.lit(key), kind, attempt.cast("string"), entity), 256)
     local = F.substring_index(entity, "@", 1)
     top = F.regexp_extract(entity, r"(\.[a-z]{2,})$", 1)
     host = F.substring_index(entity, "@", -1)
     labels = F.regexp_replace(host, r"(?:^|\.)[^.]+\.[^.]+$", "")
-    # Shapes that are used up, as those of one letter soon are, grow from the fifth attempt on.
-    more = _same_shape(F.repeat(F.lit("x"), F.greatest(F.lit(0), 2 * (attempt - 3)).cast("int")), F.sha2(F.concat(digest, F.lit("+")), 256))
+    grown = F.greatest(F.lit(0), attempt - IN_SHAPE + 1).cast("int")
+    more = _same_shape(F.repeat(F.lit("x"), 2 * grown), F.sha2(F.concat(digest, F.lit("+")), 256))
+    digits = _same_shape(F.repeat(F.lit("0"), grown), F.sha2(F.concat(digest, F.lit("+")), 256))
     email = F.concat(_same_shape(local, digest), more, F.lit("@"), F.when(labels != "", F.concat(_same_shape(labels, F.sha2(digest, 256)), F.lit("."))).otherwise(F.lit("")), F.lit("example"), top)
     shaped = _same_shape(entity, digest)
-    phone = F.concat(entity.substr(F.lit(1), F.lit(1)), shaped.substr(F.lit(2), F.length(entity)))
-    body = shaped.substr(F.lit(1), F.length(entity) - 1)
+    phone = F.concat(F.when(attempt < IN_SHAPE, entity).otherwise(shaped).substr(F.lit(1), F.lit(1)), shaped.substr(F.lit(2), F.length(entity)), digits)
+    body = F.concat(shaped.substr(F.lit(1), F.length(entity) - 1), digits)
     # The last digit counts once, so it takes what the others leave of the check sum.
     last = F.pmod(_luhn(entity) - _luhn(F.concat(body, F.lit("0"))), F.lit(10))
     card = F.concat(body, last.cast("string"))
-    net = F.when(attempt < 4, F.lit(10)).otherwise(_draw(digest, F.lit(3), 223) + 1).cast("string")
+    net = F.when(attempt < IN_SHAPE, F.lit(10)).otherwise(_draw(digest, F.lit(3), 223) + 1).cast("string")
     ip = F.concat_ws(".", net, *[_draw(digest, F.lit(k), 256).cast("string") for k in range(3)])
-    iban = F.concat(entity.substr(F.lit(1), F.lit(2)), shaped.substr(F.lit(3), F.length(entity)))
-    secret = F.concat(F.lit("AKIA"), shaped.substr(F.lit(5), F.length(entity)))
+    iban = F.concat(entity.substr(F.lit(1), F.lit(2)), shaped.substr(F.lit(3), F.length(entity)), digits)
+    secret = F.concat(F.lit("AKIA"), shaped.substr(F.lit(5), F.length(entity)), digits)
     title = F.substring_index(entity, " ", 1)
     cyrillic = entity.rlike(r"^\P{L}*\p{L}+\P{L}+\p{IsCyrillic}")
     female = title.isin(*FEMALE) | (title.isin(*NEUTRAL) & (_draw(digest, F.lit(9), 2) == 1))
@@ -133,19 +137,41 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str = KEY) ->
     def family(script: str) -> Column:
         # Made from the last word alone, so a family keeps a name in common.
         own = F.sha2(F.concat_ws("|", F.lit(key), attempt.cast("string"), F.substring_index(entity, " ", -1)), 256)
-        return F.initcap(F.concat(*[_pick(SYLLABLES[script], _draw(own, F.lit(k), 16)) for k in range(5)]))
+        syllable = lambda k: _pick(SYLLABLES[script], _draw(own, F.lit(k), 16))
+        further = [F.when(grown > k, syllable(5 + k)).otherwise("") for k in range(MAX_ROUNDS - IN_SHAPE)]
+        return F.initcap(F.concat(*[syllable(k) for k in range(5)], *further))
 
     words = F.size(F.split(entity, " "))
     named = lambda script: F.when(words > 2, F.concat_ws(" ", title, given(script), family(script))).otherwise(F.concat_ws(" ", title, family(script)))
     name = F.when(cyrillic, named("cyrillic")).otherwise(named("latin"))
-    return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "key", secret).when(kind == "name", name).otherwise(shaped)
+    return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "key", secret).when(kind == "name", name).otherwise(F.concat(shaped, digits))
+
+
+def numbered(kind: Column, entity: Column, number: Column, width: Column) -> Column:
+    """The replacement of an entity by its number among those left over: longer than width, another one for each number.
+
+    The kind's marks stay: top domain, country, prefix, check sum, form of address and script; an ip becomes a local
+    one of version 6, since there may be no other.
+    """
+    places = F.lpad(number.cast("string"), F.greatest(width, F.lit(19)), "0")
+    title = F.substring_index(entity, " ", 1)
+    spelt = lambda script: F.initcap(F.array_join(F.transform(_characters(places), lambda c: _pick(SYLLABLES[script], c.cast("int"))), ""))
+    name = F.concat_ws(" ", title, F.when(entity.rlike(r"^\P{L}*\p{L}+\P{L}+\p{IsCyrillic}"), spelt("cyrillic")).otherwise(spelt("latin")))
+    email = F.concat(F.lit("x"), places, F.lit("@example"), F.regexp_extract(entity, r"(\.[a-z]{2,})$", 1))
+    last = F.pmod(_luhn(entity) - _luhn(F.concat(F.lit("4"), places, F.lit("0"))), F.lit(10))
+    card = F.concat(F.lit("4"), places, last.cast("string"))
+    ip = F.concat(F.lit("fd00::"), F.regexp_replace(F.lpad(F.lower(F.hex(number)), 16, "0"), "(.{4})(?=.)", "$1:"))
+    iban = F.concat(entity.substr(F.lit(1), F.lit(2)), places)
+    out = F.when(kind == "email", email).when(kind == "card", card).when(kind == "ip", ip).when(kind == "iban", iban)
+    return out.when(kind == "key", F.concat(F.lit("AKIA"), places)).when(kind == "name", name).otherwise(F.concat(F.lit("9"), places))
 
 
 def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
     """kind, entity, surrogate for distinct (kind, entity) rows: no two share one, and none is an entity itself.
 
     Of entities with the same surrogate the first keeps it; the others, and those whose surrogate occurs in the corpus,
-    try again with the next attempt. The rounds shrink to nothing fast; each is a checkpoint.
+    try again with the next attempt. The rounds shrink to nothing fast; each is a checkpoint. Any that are left
+    after MAX_ROUNDS are numbered, and get values longer than all entities and surrogates of their kind.
     """
     entities = materialize(entities)
     pending, given = entities, None
@@ -161,16 +187,28 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
         pending = materialize(pending.join(free, ["kind", "entity"], "left_anti"))
         if pending.isEmpty():
             return given
-    raise RuntimeError(f"surrogates still collide after {MAX_ROUNDS} rounds")
+    taken = entities.unionByName(given.select("kind", F.col("surrogate").alias("entity")))
+    width = taken.groupBy("kind").agg((F.max(F.length("entity")) + 1).alias("width"))  # a row for each kind
+    # Numbers of their own within parts of a kind, so that no task sees a whole kind.
+    part = F.pmod(F.xxhash64("kind", "entity"), F.lit(1024))
+    nth = F.row_number().over(Window.partitionBy("kind", "part").orderBy("entity"))
+    left = pending.withColumn("part", part).withColumn("number", nth.cast("long") * 1024 + F.col("part"))
+    left = left.join(F.broadcast(width), "kind")
+    return given.unionByName(left.select("kind", "entity", numbered(F.col("kind"), F.col("entity"), F.col("number"), F.col("width")).alias("surrogate")))
 
 
 def _render(kind: Column, mention: Column, value: Column) -> Column:
-    """The surrogate in the format of the mention: digits fall into its digits' places, a full stop after a title stays."""
+    """The surrogate in the format of the mention: digits fall into its digits' places, a full stop after a title stays.
+
+    What a grown surrogate has beyond the mention's places follows at the end.
+    """
+    beyond = lambda places: value.substr(F.length(F.regexp_replace(mention, places, "")) + 1, F.length(value))
     nth = lambda i: F.length(F.regexp_replace(mention.substr(F.lit(1), i + 1), "[^0-9]", ""))
     digits = F.array_join(F.transform(_characters(mention), lambda c, i: F.when(c.rlike("^[0-9]$"), value.substr(nth(i), F.lit(1))).otherwise(c)), "")
     dense = lambda i: F.length(F.regexp_replace(mention.substr(F.lit(1), i + 1), " ", ""))
     spaced = F.array_join(F.transform(_characters(mention), lambda c, i: F.when(c == " ", c).otherwise(value.substr(dense(i), F.lit(1)))), "")
     dotted = F.when(mention.rlike(r"^\p{L}+\. "), F.regexp_replace(value, "^([^ ]+) ", "$1. ")).otherwise(value)
+    digits, spaced = F.concat(digits, beyond("[^0-9]")), F.concat(spaced, beyond(" "))
     return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", spaced).when(kind == "name", dotted).otherwise(value)
 
 
