@@ -102,8 +102,7 @@ def generate_qa(spark, sf_dir):
 
 def answer_questions(spark, sf_dir):
     nodes, edges = load(spark, sf_dir, "nodes"), load(spark, sf_dir, "edges")
-    asked = Q.generate_qa(nodes, edges, 40).select(F.concat_ws(":", "pattern", "key").alias("question_id"), "question")
-    return Q.answer_questions(Q.parse_questions(asked), nodes, edges)
+    return Q.answer_questions(parse_questions(spark, sf_dir), nodes, edges)
 
 
 def grounded_answers(spark, sf_dir):

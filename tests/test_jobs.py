@@ -223,3 +223,36 @@ def test_entry_and_names():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert "two_hop_remedy" in entry.queries()
+
+
+def test_answer_questions_asks_all(spark):
+    from tests.conftest import SF
+
+    from kgspark.plans import events
+    from kgspark.plans.tables import load
+
+    nodes, edges = load(spark, SF, "nodes").collect(), load(spark, SF, "edges").collect()
+    asked = events.parse_questions(spark, SF).collect()
+    assert len(asked) == spark.read.parquet(f"{SF}/part.parquet").count() > 160
+
+    def hits(kw):
+        many = " " in kw
+        for n in nodes:
+            named = kw in n.name or kw.replace(" ", "_").upper() in n.id.upper() if many else n.id.upper() == kw.upper() or f" {kw} " in f" {n.name} "
+            if kw and (named or n.label in ("Benh", "TrieuChung") and kw in n.alias):
+                yield n
+
+    name, want = {n.id: n.name for n in nodes}, set()
+    for q in asked:
+        found = {n.id for n in hits(q.k1 or "")}
+        if q.intent == "KIEM_TRA_BOOLEAN":
+            ends = {n.id for n in hits(q.k2 or "")}
+            kinds = ("CHU_TRI_BENH", "CHU_TRI_TRIEU_CHUNG", "CO_CHUA_HOAT_CHAT", "BAO_GOM_VI_THUOC")
+            linked = any(e.relation_type in kinds and e.from_id in found and e.to_id in ends for e in edges)
+            want.add((q.question_id, "-", "-", str(linked).lower()))
+        if q.intent == "TIM_TINH_VI":
+            rows = {(name[e.from_id], e.relation_type, name[e.to_id], e.from_id, e.to_id) for e in edges if e.from_id in found and e.to_id in name and e.relation_type in ("CO_TINH", "CO_VI", "QUY_KINH")}
+            want |= {(q.question_id, *r[:3]) for r in sorted(rows)[:30]}
+    got = events.answer_questions(spark, SF).collect()
+    own = {(r.question_id, r.subject, r.relation, r.object) for r in got if r.intent in ("KIEM_TRA_BOOLEAN", "TIM_TINH_VI")}
+    assert own == want and {q.question_id for q in asked if q.intent == "KIEM_TRA_BOOLEAN"} <= {r.question_id for r in got}
