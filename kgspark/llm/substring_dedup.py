@@ -1,4 +1,4 @@
-"""Removal of long repeated byte strings by prefix-free parsing.
+"""Removal of long repeated byte strings by trigger hashing, in place of prefix-free parsing: no suffix array is built.
 
 A rolling hash picks triggers that depend on the nearby bytes alone: every string of LENGTH bytes holds one, at the same
 place wherever the string stands. The text around a trigger (as far as strings of LENGTH bytes that hold it
