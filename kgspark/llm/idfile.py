@@ -1,10 +1,9 @@
 """Token ids in compressed files: an adaptive context-mixing range coder over independent, checksummed blocks.
 
-A block holds up to BLOCK_IDS ids as runs of RUN ids, coded side by side ("lanes") with one model. Each id is predicted from
-the two ids before it (order 2), the one before it (order 1) and the block's counts so far (order 0). What the
-orders are worth is counted by how sure they were lately, and the range coder takes the mix: a hit of order 2,
-of order 1, or the id by its count. The model starts anew in each block and learns after every STEPS ids of the runs, so reader and
-writer stay in step.
+A block holds up to BLOCK_IDS ids as runs of RUN ids, coded side by side ("lanes") with one model, which takes in every step
+of the lanes. The two ids before an id (order 2) and the one before it (order 1) propose two ids each, by what followed them;
+order 0 counts the ids that no proposal met. What a proposal is worth is counted by how sure both orders are and
+whether they agree, and the range coder takes the mix. The model starts anew in each block; reader and writer learn alike.
 
 Block: magic, sizes, CRC-32 of the ids and of the rest, then the documents' ids and lengths and the lanes' words.
 """
@@ -24,63 +23,126 @@ from pyspark.sql import functions as F
 from .common import batch_of, slices
 from .tokens import tokenizer, vocabulary
 
-MAGIC = b"IDC1"
-BLOCK_IDS = 1 << 18
+MAGIC = b"IDC2"
+BLOCK_IDS = 1 << 20
 RUN = 256
-STEPS = 16
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
 VOCABULARY_SIZE = 50_257
-GAIN = 8  # what one occurrence adds to an id's count
-SLOTS = 1 << 16
+ID_BITS = 20  # of an id in a packed context; vocabularies are smaller
+ID_MASK = (1 << ID_BITS) - 1
+SUREST = 3
+SLOTS = 1 << 18
+#: What an id may be to its predictions: first of order 2, of order 1, second of order 2, of order 1, none of these.
+KINDS = 5
+MIXES = 2 * (SUREST + 1) ** 2
+FIRST_MIX = (4, 4, 1, 1, 20)
+OFTEN = 16  # steps after which counts and mix are worked into the ranges; in every step at first
+GAIN = 24  # what one occurrence adds to an id's count
 _HEADER = struct.Struct("<4sIIIIIII")  # magic, ids, vocabulary, lanes, documents' bytes, words, crc of ids, crc of the rest
+_ONE = 1 << 2 * ID_BITS
+_SURER = np.where(np.arange(SUREST + 1) < SUREST, _ONE, 0)
+_HIT_BITS = np.arange(KINDS - 1, dtype=np.uint8)[:, None]
+_FIRST_HIT = np.array([next((k for k in range(KINDS - 1) if bits >> k & 1), KINDS - 1) for bits in range(1 << KINDS - 1)])
 _U = np.uint64
 _WORD, _LOW = _U(32), _U(1 << 32)
-SHARE = 1024  # what the orders' shares add up to; times the counts' total it stays below 2**32
+SHARE = 1024  # what the kinds' shares add up to; times the counts' total it stays below 2**32
+MOST = 1 << 20  # counts are halved when their total is over it, so readers can afford a table of it
 
 
 # --- model --------------------------------------------------------------------------------------
 
 
+class Context:
+    """What followed each context: two ids and how sure the first is (0 to SUREST), packed in a word so one look-up has all."""
+
+    def __init__(self, slots: int, none: int):
+        self.packed = np.full(slots, none << ID_BITS | none, dtype=np.int64)
+
+    def look(self, slot: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(packed words, how sure); the ids go to first and second."""
+        p = self.packed.take(slot)
+        np.bitwise_and(p, ID_MASK, out=first)
+        np.right_shift(p, ID_BITS, out=second)
+        second &= ID_MASK
+        return p, p >> 2 * ID_BITS
+
+    def learn(self, slot: np.ndarray, ids: np.ndarray, first: np.ndarray, p: np.ndarray, sure: np.ndarray) -> None:
+        """A hit makes the first id surer. Another id makes a sure one less so and comes second; an unsure one makes way for it.
+
+        Of equal contexts in one step the last one stays.
+        """
+        replaced = first << ID_BITS
+        replaced += ids
+        replaced += _ONE
+        second = p & ~(ID_MASK << ID_BITS)
+        second += (ids << ID_BITS) - _ONE
+        out = np.where(sure < 2, replaced, second)
+        np.copyto(out, p + _SURER.take(sure), where=ids == first)
+        self.packed[slot] = out
+
+
 class Mixer:
-    """Predictions of a block; both sides look and learn in the same order."""
+    """Predictions of a block; both sides look and learn in the same order.
 
-    def __init__(self, size: int):
-        self.size = size
-        self.counts = np.ones(size, dtype=np.int64)
-        self.guess = [np.full(size + 1, -1, dtype=np.int64), np.full(SLOTS, -1, dtype=np.int64)]
-        self.sure = [np.zeros(size + 1, dtype=np.int64), np.zeros(SLOTS, dtype=np.int64)]
-        self.mix = np.ones((16, 3), dtype=np.int64)
-        self._settle()
+    Order 2 and order 1 propose two ids each; order 0 has a count for every id, of the times that all proposals failed. How much of
+    the range each proposal gets is counted by how sure the two orders are and whether they agree.
+    """
 
-    def _settle(self) -> None:
+    def __init__(self, size: int, lanes: int, reads: bool):
+        self.size, self.steps, self.reads = size, 0, reads
+        self.two, self.one = Context(SLOTS, size), Context(size + 1, size)
+        self.counts = np.ones(size, dtype=np.int64)
+        self.missed: list[np.ndarray] = []
+        self.mix = np.tile(np.array(FIRST_MIX, dtype=np.int64), (MIXES, 1))
+        self.proposed = np.empty((KINDS, lanes), dtype=np.int64)
+        self.kinds = np.tile(np.arange(KINDS, dtype=np.int8), MIXES)
+        self.ids = np.arange(size, dtype=np.uint16 if size <= 1 << 16 else np.uint32)
+        self._settle_counts()
+        self._settle_mix()
+
+    def _settle_counts(self) -> None:
         self.bounds = np.concatenate(([0], np.cumsum(self.counts)))
         self.total = int(self.bounds[-1])
-        share = 1 + self.mix * (SHARE - 3) // self.mix.sum(axis=1, keepdims=True)
-        share[:, 2] += SHARE - share.sum(axis=1)
-        begin = (np.cumsum(share, axis=1) - share) * self.total
-        # By context * 3 + kind; and where a context's kinds 1 and 2 begin.
-        self.share, self.begin = share.ravel(), begin.ravel()
-        self.second, self.third = begin[:, 1].copy(), begin[:, 2].copy()
+        if self.reads:
+            self.id_at = np.repeat(self.ids, self.counts)
 
-    def slots(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
-        return (before * 2_654_435_761 ^ last * 40_503_119) >> 9 & SLOTS - 1
+    def _settle_mix(self) -> None:
+        share = 1 + self.mix * (SHARE - KINDS) // self.mix.sum(axis=1, keepdims=True)
+        share[:, -1] += SHARE - share.sum(axis=1)
+        # By context * KINDS + kind: width and start; for readers, by context * SHARE + place: the kind.
+        self.share, self.start = share.ravel(), (np.cumsum(share, axis=1) - share).ravel()
+        if self.reads:
+            self.kind_at = np.repeat(self.kinds, self.share)
 
     def look(self, last: np.ndarray, before: np.ndarray):
-        """(guess of order 2, of order 1, mixing context, slot of order 2)."""
-        slot = self.slots(last, before)
-        return self.guess[1][slot], self.guess[0][last], self.sure[1][slot] * 4 + self.sure[0][last], slot
-
-    def learn(self, ids: np.ndarray, last: np.ndarray, seen: tuple) -> None:
-        """Take in ids with what look() said of them; of equal contexts the last one stays."""
-        two, one, context, slot = seen
-        kind = np.where(ids == two, 0, np.where(ids == one, 1, 2))
-        self.mix += 8 * np.bincount(context * 3 + kind, minlength=48).reshape(16, 3)
-        self.counts += GAIN * np.bincount(ids, minlength=self.size)
-        for k, place, guess in ((0, last, one), (1, slot, two)):
-            self.sure[k][place] = np.where(guess == ids, np.minimum(self.sure[k][place] + 1, 3), 0)
-            self.guess[k][place] = ids
-        self._settle()
+        """(proposals by kind, mixing context, what learn() needs)."""
+        slot = before * 2_654_435_761
+        slot ^= last * 40_503_119
+        slot >>= 9
+        slot &= SLOTS - 1
+        ids = self.proposed[:, : len(last)]
+        two, sure_two = self.two.look(slot, ids[0], ids[2])
+        one, sure_one = self.one.look(last, ids[1], ids[3])
+        context = sure_two * (2 * SUREST + 2) + 2 * sure_one
+        context += ids[0] == ids[1]
+        return ids, context, (slot, two, sure_two, last, one, sure_one)
+
+    def learn(self, ids: np.ndarray, proposed: np.ndarray, place: np.ndarray, missed: np.ndarray, seen: tuple) -> None:
+        """Take in a step's ids; place: context * KINDS + kind of each."""
+        slot, two, sure_two, last, one, sure_one = seen
+        self.two.learn(slot, ids, proposed[0], two, sure_two)
+        self.one.learn(last, ids, proposed[1], one, sure_one)
+        self.mix += np.bincount(place, minlength=MIXES * KINDS).reshape(MIXES, KINDS)
+        self.missed.append(missed)
+        self.steps += 1
+        if self.steps <= OFTEN or self.steps % OFTEN == 0:
+            self._settle_mix()
+            self.counts += GAIN * np.bincount(np.concatenate(self.missed), minlength=self.size)
+            self.missed = []
+            if self.counts.sum() > MOST:
+                self.counts = (self.counts + 1) >> 1
+            self._settle_counts()
 
 
 def _lanes(n: int) -> tuple[int, int]:
@@ -92,6 +154,17 @@ def _lanes(n: int) -> tuple[int, int]:
 # --- range coder --------------------------------------------------------------------------------
 
 
+def _settled(low: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """Lanes whose upper word is ready; where the range got narrow across a carry it is cut, so the word is ready too."""
+    ready = (low ^ (low + span)) < _LOW
+    narrow = span < _LOW
+    out = np.flatnonzero(ready | narrow)
+    if len(out):
+        at = out[~ready[out]]
+        span[at] = (~low[at] + _U(1)) & (_LOW - _U(1))
+    return out
+
+
 class Writer:
     """Carry-less range coders, one for each lane, that put out 32-bit words."""
 
@@ -108,32 +181,33 @@ class Writer:
         unit = span // total
         low += start * unit
         np.multiply(unit, width, out=span)
-        settled = (low ^ (low + span)) >> _WORD == 0
-        narrow = ~settled & (span < _LOW)
-        out = np.flatnonzero(settled | narrow)
+        out = _settled(low, span)
         if len(out):
-            at = np.flatnonzero(narrow)
-            span[at] = (~low[at] + _U(1)) & (_LOW - _U(1))
             self.words[out, self.used[out]] = (low[out] >> _WORD).astype(np.uint32)
             self.used[out] += 1
             low[out] <<= _WORD
             span[out] <<= _WORD
 
     def finish(self) -> tuple[np.ndarray, np.ndarray]:
-        """(words of all lanes, words per lane)."""
+        """(words of all lanes, words per lane). One word does where it can be rounded up; readers take zeros after the end."""
         lanes = np.arange(len(self.low))
-        for part in (self.low >> _WORD, self.low & _U(0xFFFFFFFF)):
-            self.words[lanes, self.used] = part.astype(np.uint32)
-            self.used += 1
+        lower = self.low & (_LOW - _U(1))
+        up = (lower > 0) & (self.low < _U(0xFFFFFFFF00000000))
+        self.words[lanes, self.used] = ((self.low >> _WORD) + up).astype(np.uint32)
+        self.used += 1
+        both = np.flatnonzero((lower > 0) & ~up)
+        self.words[both, self.used[both]] = lower[both].astype(np.uint32)
+        self.used[both] += 1
         return self.words[np.arange(self.words.shape[1]) < self.used[:, None]], self.used
 
 
 class Reader:
     def __init__(self, words: np.ndarray, used: np.ndarray):
-        self.words = np.concatenate((words.astype(np.uint64), np.zeros(2, dtype=np.uint64)))
-        self.at = np.cumsum(used) - used
-        self.code = self.words[self.at] << _WORD | self.words[self.at + 1]
-        self.at += 2
+        width = int(used.max()) + 3
+        table = np.zeros((len(used), width), dtype=np.uint64)
+        table[np.arange(width) < used[:, None]] = words
+        self.words, self.at = table.ravel(), np.arange(len(used)) * width + 2
+        self.code = table[:, 0] << _WORD | table[:, 1]
         self.low = np.zeros(len(used), dtype=np.uint64)
         self.range = np.full(len(used), 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
 
@@ -147,12 +221,8 @@ class Reader:
         low, span, code = self.low[:n], self.range[:n], self.code[:n]
         low += start * self.unit
         np.multiply(self.unit, width, out=span)
-        settled = (low ^ (low + span)) >> _WORD == 0
-        narrow = ~settled & (span < _LOW)
-        out = np.flatnonzero(settled | narrow)
+        out = _settled(low, span)
         if len(out):
-            at = np.flatnonzero(narrow)
-            span[at] = (~low[at] + _U(1)) & (_LOW - _U(1))
             code[out] = code[out] << _WORD | self.words[self.at[out]]
             self.at[out] += 1
             low[out] <<= _WORD
@@ -162,22 +232,6 @@ class Reader:
 # --- blocks -------------------------------------------------------------------------------------
 
 
-def _known(lanes: int, last_len: int, at: int, stop: int):
-    """Flags of the ids that are there in steps at ... stop - 1 of all lanes; None if all are."""
-    if stop <= last_len:
-        return None
-    good = np.ones((stop - at, lanes), dtype=bool)
-    good[:, -1] = np.arange(at, stop) < last_len
-    return good
-
-
-def _learn(model: Mixer, grid: np.ndarray, at: int, stop: int, good, seen: tuple | None = None) -> None:
-    pick = (lambda a: a.ravel()) if good is None else (lambda a: a[good])
-    last, before = grid[at + 1 : stop + 1], grid[at:stop]
-    seen = model.look(pick(last), pick(before)) if seen is None else tuple(pick(a) for a in seen)
-    model.learn(pick(grid[at + 2 : stop + 2]), pick(last), seen)
-
-
 def encode_ids(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     lanes, last_len = _lanes(len(ids))
     padded = np.zeros(lanes * RUN, dtype=np.int64)
@@ -185,53 +239,50 @@ def encode_ids(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     # A row for each step, a column for each lane; two rows of no id ahead.
     grid = np.full((RUN + 2, lanes), size, dtype=np.int64)
     grid[2:] = padded.reshape(lanes, RUN).T
-    model, writer = Mixer(size), Writer(lanes)
-    length = RUN if lanes > 1 else last_len
-    for at in range(0, length, STEPS):
-        stop = min(at + STEPS, length)
-        cur = grid[at + 2 : stop + 2]
-        seen = model.look(grid[at + 1 : stop + 1], grid[at:stop])
-        kind = np.where(cur == seen[0], 0, np.where(cur == seen[1], 1, 2))
-        place, miss = seen[2] * 3 + kind, kind == 2
-        share = model.share[place]
-        start = (model.begin[place] + np.where(miss, model.bounds[cur] * share, 0)).view(np.uint64)
-        width = (np.where(miss, model.counts[cur], model.total) * share).view(np.uint64)
-        total = _U(SHARE * model.total)
-        for k in range(stop - at):
-            n = lanes if at + k < last_len else lanes - 1
-            writer.put(n, start[k, :n], width[k, :n], total)
-        _learn(model, grid, at, stop, _known(lanes, last_len, at, stop), seen)
+    model, writer = Mixer(size, lanes, False), Writer(lanes)
+    for k in range(RUN if lanes > 1 else last_len):
+        n = lanes if k < last_len else lanes - 1
+        cur = grid[k + 2, :n]
+        proposed, context, seen = model.look(grid[k + 1, :n], grid[k, :n])
+        hits = (proposed[: KINDS - 1] == cur).view(np.uint8)
+        hits <<= _HIT_BITS
+        kind = _FIRST_HIT.take(hits[0] | hits[1] | hits[2] | hits[3])
+        place = context * KINDS + kind
+        miss = np.flatnonzero(kind == KINDS - 1)
+        share = model.share.take(place)
+        start, width = model.start.take(place) * model.total, share * model.total
+        missed, part = cur.take(miss), share.take(miss)
+        start[miss] += model.bounds.take(missed) * part
+        width[miss] = model.counts.take(missed) * part
+        writer.put(n, start.view(np.uint64), width.view(np.uint64), _U(SHARE * model.total))
+        model.learn(cur, proposed, place, missed, seen)
     return writer.finish()
 
 
 def decode_ids(words: np.ndarray, used: np.ndarray, n_ids: int, size: int) -> np.ndarray:
     lanes, last_len = _lanes(n_ids)
     grid = np.full((RUN + 2, lanes), size, dtype=np.int64)
-    model, reader = Mixer(size), Reader(words, used)
-    length = RUN if lanes > 1 else last_len
-    for at in range(0, length, STEPS):
-        stop = min(at + STEPS, length)
-        total = _U(SHARE * model.total)
-        for k in range(at, stop):
-            n = lanes if k < last_len else lanes - 1
-            two, one, context, _ = model.look(grid[k + 1, :n], grid[k, :n])
-            v = reader.value(n, total)
-            third = v >= model.third[context]
-            kind = np.add(v >= model.second[context], third, dtype=np.int64)
-            place = context * 3 + kind
-            share, start = model.share[place], model.begin[place]
-            width = share * model.total
-            ids = np.where(kind == 0, two, one)
-            miss = np.flatnonzero(third)
-            if len(miss):
-                part = share[miss]
-                found = np.searchsorted(model.bounds, (v[miss] - start[miss]) // part, side="right") - 1
-                start[miss] += model.bounds[found] * part
-                width[miss] = model.counts[found] * part
-                ids[miss] = found
-            reader.take(n, start.view(np.uint64), width.view(np.uint64))
-            grid[k + 2, :n] = ids
-        _learn(model, grid, at, stop, _known(lanes, last_len, at, stop))
+    model, reader = Mixer(size, lanes, True), Reader(words, used)
+    lane, row, flat = np.arange(lanes), np.arange(KINDS) * lanes, model.proposed.ravel()
+    for k in range(RUN if lanes > 1 else last_len):
+        n = lanes if k < last_len else lanes - 1
+        proposed, context, seen = model.look(grid[k + 1, :n], grid[k, :n])
+        v = reader.value(n, _U(SHARE * model.total))
+        kind = model.kind_at.take(context * SHARE + v // model.total)
+        place = context * KINDS + kind
+        share, start = model.share.take(place), model.start.take(place)
+        start *= model.total
+        width = share * model.total
+        miss = np.flatnonzero(kind == KINDS - 1)
+        ids = flat.take(row.take(kind) + lane[:n])
+        part, begin = share.take(miss), start.take(miss)
+        found = model.id_at.take((v.take(miss) - begin) // part).astype(np.int64)
+        start[miss] = begin + model.bounds.take(found) * part
+        width[miss] = model.counts.take(found) * part
+        ids[miss] = found
+        reader.take(n, start.view(np.uint64), width.view(np.uint64))
+        grid[k + 2, :n] = ids
+        model.learn(ids, proposed, place, found, seen)
     return grid[2:].T.ravel()[:n_ids].astype(np.uint32)
 
 
@@ -301,7 +352,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str = "", vocabulary_s
     envelope, so any store that Spark writes to will do, with its commit of whole tasks. Null texts count as
     empty; null ids come first.
     """
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # The hash deals out repeated and null ids too.
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_h"))
+    ordered = keyed.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").drop("_h")
     blocks = ordered.mapInArrow(_encode(tokenizer_path, vocabulary_size), _BLOCKS_SQL)
     blocks.write.option("compression", "uncompressed").parquet(path)
 
@@ -345,7 +398,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
     files = blocks.groupBy("file_no").agg(F.sum("n_ids").alias("n"))
     ahead = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     files = files.select("file_no", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
-    ordered = blocks.select("file_no", "block_no", "block").repartition("file_no").sortWithinPartitions("file_no", "block_no")
+    ordered = blocks.select("file_no", "block_no", "block").repartitionByRange("file_no").sortWithinPartitions("file_no", "block_no")
     parts = ordered.mapInArrow(_decode(with_ids), _READ_SQL)
     out = parts.join(files, "file_no").select("doc_id", (F.col("ahead") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "ids")
     return out if with_ids else out.drop("ids")

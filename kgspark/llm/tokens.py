@@ -89,7 +89,7 @@ class PieceTokenizer:
         lengths = np.fromiter(map(len, found), dtype=np.int32, count=len(found)) // 4
         return np.frombuffer(b"".join(found), dtype=np.uint32), lengths
 
-    def encode(self, texts: pa.Array, words_at_once: int = 500_000):
+    def encode(self, texts: pa.Array, words_at_once: int = 60_000):
         """Yield (row, ids) for each text; null counts as empty."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
         if self.lower:
@@ -116,9 +116,11 @@ class PieceTokenizer:
             begin = int(ends[row - 1]) if row else 0
             stop = max(row + 1, int(np.searchsorted(ends, begin + words_at_once, side="right")))
             part = index[begin : int(ends[stop - 1])]
-            n = lengths[part].astype(np.int64)
-            upto = np.cumsum(n)
-            ids = flat[np.repeat(starts[part] - (upto - n), n) + np.arange(int(n.sum()))] if len(part) else flat[:0]
+            n = lengths.take(part)
+            upto = np.cumsum(n, dtype=np.int64)
+            at = np.repeat(starts.take(part) - (upto - n), n)
+            at += np.arange(len(at))
+            ids = flat.take(at)
             edges = np.concatenate(([0], upto))[np.concatenate(([0], ends[row:stop] - begin))]
             for k in range(row, stop):
                 if odd[k]:

@@ -1,17 +1,20 @@
 """The training-data operators on small tables, against brute force."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from kgspark.llm import exact_dedup, idfile, langid, mixing, packing, pii, quality, simhash, substring_dedup, toxicity
-from kgspark.llm.tokens import PieceTokenizer, vocabulary
+from kgspark.llm.tokens import vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
@@ -200,7 +203,7 @@ def test_packing(docs, rows, empty, odd):
     packed = packing.pack(docs, capacity=capacity).collect()
     total = sum(r.length for r in packed)
     assert check_packing(packed, capacity) <= -(-total // capacity) + 2
-    whole = PieceTokenizer(vocabulary("word_bpe_49k.json"), True).whole
+    whole = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
     own = defaultdict(list)
     for r in packed:
         own[r.doc_id].append(r)
@@ -330,11 +333,23 @@ def test_repetitive_ids_shrink():
     assert len(idfile.write_block(ids, [], 50_257)) < 0.12 * 4 * len(ids)
 
 
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no test data")
+def test_contexts_beat_order_0_and_zlib():
+    """Bytes an id of real ids: below the entropy of the block's own counts, which no order-0 coder can reach, and zlib."""
+    plain = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()
+    ids = np.array([i for t in texts for i in [*plain.encode(t or "", add_special_tokens=False).ids, 0]][: idfile.BLOCK_IDS], dtype=np.uint32)
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    size = len(idfile.write_block(ids, [(1, len(ids), False)], 50_257)) / len(ids)
+    assert size < -(share * np.log2(share)).sum() / 8
+    assert size < len(zlib.compress(ids.astype("<u2").tobytes(), 9)) / len(ids)
+
+
 def test_id_files(spark, docs, rows, empty, odd, tmp_path):
     path = str(tmp_path / "ids")
     idfile.write_ids(docs, path)
     got = by_id(idfile.read_ids(spark, path, with_ids=True))
-    whole = PieceTokenizer(vocabulary("byte_bpe_50k.json"), False).whole
+    whole = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
     start = 0
     for d, text, *_ in sorted(rows, key=lambda r: r[0]):
         ids = np.array([*whole.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
@@ -346,8 +361,6 @@ def test_id_files(spark, docs, rows, empty, odd, tmp_path):
 
 
 def test_special_tokens_in_texts(spark, tmp_path):
-    from tokenizers import Tokenizer
-
     texts = ["end <|endoftext|> start", "a<|endoftext|>b, c.", "plain words, here.", "<|startoftext|> one two", "x <|ENDOFTEXT|> y", "<|endoftext", "last. <|endoftext|>"]
     data = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
     plain = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
@@ -635,7 +648,7 @@ def test_pipeline(spark, docs, rows, tmp_path):
     unique = [d for d in kept if label[d] == d]
     subset = docs.where(F.col("doc_id").isin(unique))
     mixed = {r.doc_id: r.copies for r in mixing.mix(subset).collect() if r.copies}
-    whole = PieceTokenizer(vocabulary("word_bpe_49k.json"), True).whole
+    whole = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
     want = Counter()
     for d, n in mixed.items():
         size = len(whole.encode(texts[d], add_special_tokens=False).ids) + 1
