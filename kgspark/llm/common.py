@@ -47,6 +47,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
+def draw(key: Column) -> Column:
+    """A number from 0 to 1 that depends on the key alone, fine enough for any number of rows; to draw a share by."""
+    return F.shiftrightunsigned(F.xxhash64(key, F.lit("sample")), 11) / float(1 << 53)
+
+
 def string_list(column) -> list[str]:
     """Arrow strings as Python strings, null as empty."""
     return ["" if x is None else x for x in column.to_pylist()]

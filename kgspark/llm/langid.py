@@ -10,13 +10,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, held_out, slices
+from .common import batch_of, draw, held_out, slices
 
 BITS = 15
 GRAMS = (1, 2, 3)
-#: Training draws at most so many rows of each language, from texts of at most MAX_CHARS code points.
+#: Training draws about so many rows of each language, and not more than ROWS in all; languages beyond the LANGUAGES most frequent
+#: ones aren't learnt. Texts of any length are drawn; the driver gets their n-gram counts, 2 ** BITS a row at most.
 ROWS_PER_LANGUAGE = 400
-MAX_CHARS = 20_000
+ROWS = 4000
+LANGUAGES = 256
 EPOCHS = 4
 #: Follow-the-regularised-leader: step size, its smoothing, and the two penalties of the elastic net.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.01
@@ -84,15 +86,15 @@ class Model:
     bias: np.ndarray
     temperature: float
 
-    def features(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(n-grams, values): TF-IDF of unit length."""
-        counts = gram_counts(text)
-        some = np.flatnonzero(counts)
-        x = counts[some] * self.idf[some]
+    def features(self, some: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(n-grams, values) of a text's n-grams and their counts: TF-IDF of unit length."""
+        x = counts * self.idf[some]
         return some, x / max(np.linalg.norm(x), 1e-12)
 
     def logits(self, text: str) -> np.ndarray:
-        some, x = self.features(text)
+        counts = gram_counts(text)
+        some = np.flatnonzero(counts)
+        some, x = self.features(some, counts[some])
         return x @ self.weights[some] + self.bias
 
 
@@ -101,12 +103,14 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], idf: np.ndarray, seed: int = 3) -> Model:
-    """FTRL-proximal with elastic net on four fifths of the rows; the temperature fits the likelihood of the others."""
+def train(texts: list[tuple[np.ndarray, np.ndarray]], langs: list[str], idf: np.ndarray, seed: int = 3) -> Model:
+    """A model of (n-grams, counts) of texts and their languages.
+
+    FTRL-proximal with elastic net on four fifths of the rows; the temperature fits the likelihood of the others."""
     names = sorted(set(langs))
     rng = np.random.default_rng(seed)
     model = Model(names, idf, np.zeros((1 << BITS, len(names))), np.zeros(len(names)), 1.0)
-    rows = [(model.features(t), names.index(y)) for t, y in zip(texts, langs)]
+    rows = [(model.features(*t), names.index(y)) for t, y in zip(texts, langs)]
     order = rng.permutation(len(rows))
     check, use = order[: len(rows) // 5], order[len(rows) // 5 :]
     z, n = np.zeros((1 << BITS, len(names))), np.zeros((1 << BITS, len(names)))
@@ -137,21 +141,39 @@ def train(texts: list[str], langs: list[str], idf: np.ndarray, seed: int = 3) ->
     return model
 
 
+_COUNTED = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("h2", pa.int64()), ("grams", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
+
+
+def _counted(batches):
+    for batch in slices(batches):
+        some, counts = [], []
+        for text in _lower(batch.column("text")):
+            n = gram_counts(text)
+            some.append(np.flatnonzero(n))
+            counts.append(np.minimum(n[some[-1]], (1 << 31) - 1))
+        yield batch_of(_COUNTED, batch.column("lang"), batch.column("h"), batch.column("h2"), some, counts)
+
+
 def fit(docs: DataFrame) -> Model | None:
     """A model from documents that aren't held out and have a language; None without any.
 
     The inverse frequencies cover all documents that aren't held out, the weights a bounded sample in hash order.
     """
     may = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")))
-    rows = may.where("lang is not null and text is not null").where(F.length("text") <= MAX_CHARS)
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = may.where("lang is not null and text is not null")
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return None
     idf = inverse_frequencies(may)
-    u = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) / 1_000_000.0
-    share = F.create_map(*[x for k, v in counts.items() for x in (F.lit(k), F.lit(min(1.0, ROWS_PER_LANGUAGE / v)))])
-    got = rows.where(u < share[F.col("lang")]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * ROWS_PER_LANGUAGE * len(counts)).toPandas()
-    return train(got["text"].str.lower().tolist(), got["lang"].tolist(), idf) if len(got) else None
+    each = max(1, min(ROWS_PER_LANGUAGE, ROWS // len(counts)))
+    u = draw(F.col("doc_id"))
+    share = F.create_map(*[x for k, v in counts.items() for x in (F.lit(k), F.lit(min(1.0, each / v)))])
+    # Rows may share an id: the order is by the text too, so runs agree.
+    drawn = rows.where(u < share[F.col("lang")]).withColumns({"h": F.xxhash64("doc_id"), "h2": F.xxhash64("text", "lang")})
+    counted = drawn.select("lang", "h", "h2", "text").mapInArrow(_counted, "lang string, h long, h2 long, grams array<int>, counts array<int>")
+    got = counted.orderBy("h", "h2").limit(2 * each * len(counts)).toArrow()
+    grams, n = ([np.asarray(x.values) for x in got.column(c)] for c in ("grams", "counts"))
+    return train(list(zip(grams, n)), got.column("lang").to_pylist(), idf) if got.num_rows else None
 
 
 _PREDICTED = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -181,7 +203,7 @@ def language_id(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each document, by its whole text alone.
 
     docs: doc_id (long), text and lang. Learns from text and non-null lang of rows whose crc32(doc_id as text) mod 4
-    isn't 2. Texts that are null or have no letter, and all texts if there is nothing to learn from, get "und" with
+    isn't 2, of any length. Long texts are counted in slices and predicted whole. Texts that are null or have no letter, and all texts if there is nothing to learn from, get "und" with
     score 0; others the likeliest language and its calibrated probability. Repeated rows come back as they are.
     """
     held = docs.sparkSession.sparkContext.broadcast(fit(docs))

@@ -10,17 +10,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, held_out, slices
+from .common import batch_of, draw, held_out, slices
 
-#: Training draws at most so many rows of each label, from texts of at most MAX_CHARS code points.
+#: Training draws about so many rows of each label, twice as many at most, and of a longer text so many words, in segments
+#: spread evenly over it. This bounds what the driver holds; scoring has no such bounds.
 ROWS_PER_LABEL = 2500
-MAX_CHARS = 20_000
+WORDS_PER_TEXT = 1 << 14
 DIM = 8
 BUCKET_BITS = 18
 GRAMS = (3, 4, 5, 6)
 #: Words averaged at a time: one bad word in a long text must still tell, so a text's score is its worst segment's.
-SEGMENT = 6
-EPOCHS = 12
+SEGMENT = 3
+EPOCHS = 10
+BATCH = 32
+STEP, SOFT_STEP = 0.3, 0.05
 THRESHOLD = 0.3
 _TRIM = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _BYTES = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -136,76 +139,118 @@ def _calibrate(logits: np.ndarray, y: np.ndarray, prior: float) -> tuple[float,
     return float(max(theta[0], 1e-3)), float(theta[1])
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (sizes[0] of them), starts[1], ..."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def _log_odds(labels: np.ndarray, index: np.ndarray, counts: np.ndarray, buckets: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Smoothed log odds of each subword by the texts of either label that have a word with it; where the search begins."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    n_words = len(edges) - 1
+    pairs = np.unique(row * n_words + index)
+    word, toxic = pairs % n_words, labels[pairs // n_words] == 1
+    seen = [np.bincount(word[flag], minlength=n_words) for flag in (toxic, ~toxic)]
+    each = [np.bincount(buckets, weights=np.repeat(n, np.diff(edges)), minlength=1 << BUCKET_BITS) for n in seen]
+    return np.log((each[0] + 0.5) / (labels == 1).sum()) - np.log((each[1] + 0.5) / (labels == 0).sum())
+
+
 def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 5) -> Model:
-    """Fit embeddings and softmax together by Adagrad; a text learns through its worst segment alone."""
+    """Fit embeddings and softmax together by Adagrad on four fifths of the texts, calibrate on the others.
+
+    A text learns through its worst segment alone, which is looked up anew before each epoch.
+    """
     rng = np.random.default_rng(seed)
     words, index, counts = _coded(pa.array(texts, pa.string()))
     buckets, edges = subwords(words)
-    ends = np.cumsum(counts)
+    grams = np.diff(edges)
     table = rng.uniform(-0.5 / DIM, 0.5 / DIM, (1 << BUCKET_BITS, DIM)).astype(np.float32)
     softmax = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2)
     table_seen = np.full(1 << BUCKET_BITS, 1e-6, dtype=np.float32)
     soft_seen, bias_seen = np.full((DIM, 2), 1e-6), np.full(2, 1e-6)
     rows = rng.permutation(np.flatnonzero(counts > 0))
-    check, fit = rows[: len(rows) // 5], rows[len(rows) // 5 :]
+    check, fit = rows[: len(rows) // 5], np.sort(rows[len(rows) // 5 :])
+    use = _ranges((np.cumsum(counts) - counts)[fit], counts[fit])
+    index, counts, y = index[use], counts[fit], labels[fit]
+    starts, per = _segments(counts)
+    stops, first = np.append(starts[1:], len(index)), np.cumsum(per) - per
+    gains = _log_odds(y, index, counts, buckets, edges) if 0 < y.sum() < len(y) else np.zeros(1 << BUCKET_BITS)
     for _ in range(EPOCHS):
-        order = rng.permutation(fit)
-        for at in range(0, len(order), 128):
-            part = order[at : at + 128]
-            use = np.concatenate([np.arange(ends[r] - counts[r], ends[r]) for r in part])
-            own, place = np.unique(index[use], return_inverse=True)
-            sub = np.concatenate([buckets[edges[w] : edges[w + 1]] for w in own])
-            sub_edges = np.concatenate(([0], np.cumsum(edges[own + 1] - edges[own])))
-            diff = softmax[:, 1] - softmax[:, 0]
-            score = word_scores(table @ diff, sub, sub_edges)[place]
-            starts, per = _segments(counts[part])
-            means = _segment_means(score, starts)
-            stops = np.append(starts[1:], len(score))
-            first = np.cumsum(per) - per
-            for row, f, n in zip(part, first, per):
-                best = f + int(np.argmax(means[f : f + n]))
-                y = labels[row]
-                error = 1 / (1 + np.exp(-np.clip(means[best] + bias[1] - bias[0], -40, 40))) - y
-                ws = place[starts[best] : stops[best]]
-                grams = [sub[sub_edges[w] : sub_edges[w + 1]] for w in ws]
-                share = np.concatenate([np.full(len(g), 1.0 / (len(g) * len(ws)), dtype=np.float32) for g in grams])
-                grams = np.concatenate(grams)
-                hidden = share @ table[grams]
-                grad = np.float32(error) * (softmax[:, 1] - softmax[:, 0])
-                pull = share[:, None] * grad
-                table_seen[grams] += (pull**2).mean(axis=1)
-                np.subtract.at(table, grams, np.float32(0.3) * pull / np.sqrt(table_seen[grams])[:, None])
-                g = np.outer(hidden, [-error, error])
-                soft_seen += g**2
-                softmax -= (0.05 * g / np.sqrt(soft_seen)).astype(np.float32)
-                b = np.array([-error, error])
-                bias_seen += b**2
-                bias -= 0.05 * b / np.sqrt(bias_seen)
-    model = Model(table @ (softmax[:, 1] - softmax[:, 0]), float(bias[1] - bias[0]), 1.0, 0.0)
+        means = _segment_means(word_scores(gains, buckets, edges)[index], starts)
+        top = np.maximum.reduceat(means, first)
+        best = np.flatnonzero(means == np.repeat(top, per))
+        best = best[np.unique(np.repeat(np.arange(len(fit)), per)[best], return_index=True)[1]]  # the first of each text
+        order = rng.permutation(len(fit))
+        for at in range(0, len(order), BATCH):
+            part = order[at : at + BATCH]
+            begin, n_words = starts[best[part]], stops[best[part]] - starts[best[part]]
+            ws = index[_ranges(begin, n_words)]
+            n = grams[ws]
+            g = buckets[_ranges(edges[ws], n)]
+            share = np.repeat((1.0 / (n * np.repeat(n_words, n_words))).astype(np.float32), n)
+            size = np.add.reduceat(n, np.cumsum(n_words) - n_words)
+            owner = np.repeat(np.arange(len(part)), size)
+            hidden = np.add.reduceat(share[:, None] * table[g], np.cumsum(size) - size, axis=0)
+            toward = softmax[:, 1] - softmax[:, 0]
+            error = 1 / (1 + np.exp(-np.clip(hidden @ toward + (bias[1] - bias[0]), -40, 40))) - y[part]
+            pull = (share * error[owner])[:, None].astype(np.float32) * toward
+            np.add.at(table_seen, g, (pull**2).mean(axis=1))
+            pull *= np.float32(STEP) / np.sqrt(table_seen[g])[:, None]
+            np.subtract.at(table, g, pull)
+            both = np.stack((-error, error), axis=1)
+            step = hidden.T @ both
+            soft_seen += step**2
+            softmax -= (SOFT_STEP * step / np.sqrt(soft_seen)).astype(np.float32)
+            step = both.sum(axis=0)
+            bias_seen += step**2
+            bias -= SOFT_STEP * step / np.sqrt(bias_seen)
+        gains = (table @ (softmax[:, 1] - softmax[:, 0])).astype(np.float64)
+    model = Model(gains, float(bias[1] - bias[0]), 1.0, 0.0)
     if len(check) and 0 < labels[check].mean() < 1:
         p = np.clip(model.scores(pa.array([texts[i] for i in check], pa.string())), 1e-12, 1 - 1e-12)
         model.slope, model.shift = _calibrate(np.log(p / (1 - p)), labels[check], prior)
     return model
 
 
+_EXCERPT = pa.schema([("toxic", pa.int32()), ("h", pa.int64()), ("h2", pa.int64()), ("text", pa.string())])
+
+
+def _excerpts(batches):
+    """Texts of at most WORDS_PER_TEXT words: of longer ones so many segments, spread evenly from the first to the last."""
+    keep = WORDS_PER_TEXT // SEGMENT
+    for batch in slices(batches):
+        texts = []
+        for text in batch.column("text").to_pylist():
+            words = (text or "").split()
+            if len(words) > WORDS_PER_TEXT:
+                segments = -(-len(words) // SEGMENT)
+                words = [w for k in range(keep) for w in words[k * segments // keep * SEGMENT :][:SEGMENT]]
+                text = " ".join(words)
+            texts.append(text)
+        yield batch_of(_EXCERPT, batch.column("toxic").cast(pa.int32()), batch.column("h"), batch.column("h2"), texts)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """A model of labels.toxic from a bounded sample of rows that aren't held out; None if a label is missing.
 
-    The sample has at most ROWS_PER_LABEL ids of each label, in the order of a hash; the share of ones is that of all
-    rows that may be learnt from. An id with several labels counts as toxic if one of them says so.
+    The sample has at most ROWS_PER_LABEL ids of each label, in the order of a hash, of texts of any length; the share of ones is that of
+    all rows that may be learnt from. An id with several labels counts as toxic if one of them says so.
     """
     rows = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
-    counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    counts = {r["toxic"]: r["count"] for r in rows.where(F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect()}
     if not counts.get(0) or not counts.get(1):
         return None
     share = {y: min(1.0, ROWS_PER_LABEL / counts[y]) for y in (0, 1)}
-    u = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) / 1_000_000.0
+    u = draw(F.col("doc_id"))
     wanted = rows.where(u < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
     ids = [wanted.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(ROWS_PER_LABEL) for y in (0, 1)]
     ids = ids[0].union(ids[1])  # at most 2 * ROWS_PER_LABEL rows
-    sample = docs.select("doc_id", "text").where(F.length("text") <= MAX_CHARS).join(F.broadcast(ids), "doc_id")
-    got = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * ROWS_PER_LABEL).toPandas()
+    # An id may have several rows with different texts: the order is by the text too, so runs agree.
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("toxic", F.xxhash64("doc_id").alias("h"), F.xxhash64("text", "doc_id").alias("h2"), "text")
+    excerpts = sample.mapInArrow(_excerpts, "toxic int, h long, h2 long, text string")
+    got = excerpts.orderBy("h", "h2").limit(2 * ROWS_PER_LABEL).toPandas()
     y = got["toxic"].to_numpy(dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return None

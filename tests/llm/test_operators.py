@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
@@ -139,6 +140,62 @@ def test_language_id(spark, empty, odd):
     assert langid.language_id(odd).count() == 4
 
 
+def test_language_features_against_brute_force(spark):
+    """N-gram counts and document frequencies of hashed grams, by dictionaries of whole grams."""
+
+    def bucket(gram):
+        h = 0
+        for n, c in enumerate(gram, 1):
+            h = (h * 0x100000001B3 + ord(c) + n) % (1 << 64)
+        return ((h ^ (h >> 15)) * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - langid.BITS)
+
+    def brute(text):
+        text = f" {text} "
+        return Counter(bucket(text[i : i + n]) for n in langid.GRAMS for i in range(len(text) - n + 1))
+
+    texts = ["", "a", "ab ab", "straße über", "漢字 x", "\U0001f600 smile", "word " * 50]
+    for text in texts:
+        counts = langid.gram_counts(text)
+        assert {int(i): int(counts[i]) for i in np.flatnonzero(counts)} == brute(text)
+    df = Counter(b for t in texts for b in brute(t))
+    got = langid.inverse_frequencies(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    assert got == pytest.approx([np.log((1 + len(texts)) / (1 + df[b])) + 1 for b in range(1 << langid.BITS)])
+
+
+def test_language_counts_go_across_slices(monkeypatch):
+    text = "".join(random.Random(1).choice("abcd é漢") for _ in range(5000))
+    whole = langid.gram_counts(text)
+    monkeypatch.setattr(langid, "_AT_ONCE", 64)
+    assert (langid.gram_counts(text) == whole).all()
+
+
+def test_language_of_long_texts_only(spark):
+    """A language whose texts are all very long is learnt like the others."""
+    rng = random.Random(7)
+    words = {"aa": "the of and to in is".split(), "bb": "der die und ist ein nicht".split()}
+    data = [(i, " ".join(rng.choice(words["aa" if i % 2 else "bb"]) for _ in range(20 if i % 2 else 30_000)), "aa" if i % 2 else "bb") for i in range(60)]
+    data += [(100, "der ist nicht die", None), (101, "is the of", None)]
+    got = by_id(langid.language_id(spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(4)))
+    assert all(got[i].lang_pred == ("aa" if i % 2 else "bb") for i in range(60)) and got[100].lang_pred == "bb" and got[101].lang_pred == "aa"
+
+
+def test_language_ties_and_names(spark):
+    """Rows that share an id, in any order, give one model; columns named as the result's are no input."""
+    rng = random.Random(3)
+    data = [(i // 3, " ".join(rng.choice(["xa", "ya"] if i % 2 else ["ub", "vb"]) for _ in range(9)), "a" if i % 2 else "b", "zz", 0.5, True) for i in range(90)]
+    schema = "doc_id long, text string, lang string, lang_pred string, score double, held_out boolean"
+    one = langid.language_id(spark.createDataFrame(data, schema).repartition(4)).collect()
+    two = langid.language_id(spark.createDataFrame(data[::-1], schema).repartition(2)).collect()
+    assert sorted(map(str, one)) == sorted(map(str, two)) and {r.lang_pred for r in one} == {"a", "b"}
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1"), reason="no test data")
+def test_language_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    r = langid.language_id(docs).where("held_out and lang_pred <> 'und'").join(docs.where("lang is not null").select("doc_id", "lang"), "doc_id").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("right"), F.avg("score").alias("score")).first()
+    assert r.right > 0.99 and abs(r.right - r.score) < 0.02
+
+
 # 3
 
 
@@ -175,11 +232,37 @@ def test_quality_repeats(spark):
     assert all(got[i].n_repeat_words == brute_quality(t)[4] for i, t in data)
 
 
-def test_quality_order_is_by_rejection_per_cost(docs):
-    order = quality.cascade_order(quality.base_metrics(docs))
-    assert sorted(n for n, _, _ in order) == sorted(quality.rules())
+def test_quality_order_is_by_rejection_per_cost(docs, rows, empty):
+    order = quality.cascade_order(docs)
+    assert sorted(n for n, _, _ in order) == sorted(quality.RULES)
     rates = [rejected / cost for _, rejected, cost in order]
     assert rates == sorted(rates, reverse=True)
+    assert all(quality.cascade_order(docs.repartition(k)) == order for k in (1, 7))
+    # By brute force: the share of each rule among the rows that the earlier rules let pass.
+    m = {r[0]: r for r in quality.base_metrics(docs).select("doc_id", *[quality.RULES[n](quality._measured()).alias(n) for n in quality.RULES]).collect()}
+    left = list(m.values())
+    for name, rejected, _ in order:
+        bad = [r for r in left if r[name]]
+        assert rejected == pytest.approx(len(bad) / len(left) if left else 0)
+        left = [r for r in left if not r[name]]
+    assert {r.doc_id for r in left} == {r.doc_id for r in quality.keep_good(docs).collect()} == {r.doc_id for r in quality.quality(docs).where("kept").collect()}
+    assert len(quality.cascade_order(empty)) == len(order)
+
+
+def test_quality_verdict_is_the_same_in_any_order(docs):
+    names = list(quality.RULES)
+    want = {r.doc_id for r in quality.keep_good(docs).collect()}
+    for k in range(3):
+        random.Random(k).shuffle(names)
+        assert {r.doc_id for r in docs.where(quality.accepted(names)).collect()} == want
+
+
+def test_quality_of_a_very_long_text(spark):
+    rng = random.Random(5)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(300_000))
+    df = spark.createDataFrame([(1, long), (2, long + " " + " ".join(["one two three four five"] * 3))], "doc_id long, text string")
+    got = by_id(quality.quality(df))
+    assert (got[1].n_words, got[1].n_repeat_words, got[2].n_repeat_words) == (300_000, 0, 15)
 
 
 # 4
@@ -380,7 +463,6 @@ def test_long_documents_span_blocks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(idfile, "BLOCK_IDS", 1000)
     text = " ".join(["word"] * 3500)
     run = idfile._encode("", idfile.VOCABULARY_SIZE)
-    import pyarrow as pa
 
     class Context:
         def partitionId(self):
@@ -486,6 +568,58 @@ def test_forest_by_portions():
 # 8
 
 
+def test_toxic_scores_against_brute_force():
+    """A text's score is the best mean, over segments, of its words' mean gains of n-grams."""
+    rng = np.random.default_rng(2)
+    gains = rng.normal(size=1 << toxicity.BUCKET_BITS)
+    model = toxicity.Model(gains, 0.25, 1.5, -0.5)
+    texts = ["One, two THREE four five six seven", "", None, "!!! ??", "é漢字 straße x", " ".join(f"w{i}" for i in range(1000))]
+
+    def bucket(gram):
+        h = 0
+        for k, b in enumerate(gram):
+            h = int(toxicity._BYTES[b]) if k == 0 else (h * int(toxicity._BASE) + int(toxicity._BYTES[b])) % (1 << 64)
+        mixed = ((h ^ (h >> 31)) * 0xBF58476D1CE4E5B9 + len(gram)) % (1 << 64)
+        return mixed >> (64 - toxicity.BUCKET_BITS)
+
+    def gain(word):
+        b = f"<{word.strip(toxicity._TRIM)}>".encode()
+        grams = [b[i : i + n] for n in toxicity.GRAMS for i in range(len(b) - n + 1)] or [b]
+        return np.mean([gains[bucket(g)] for g in grams])
+
+    for text, score in zip(texts, model.scores(pa.array(texts, pa.string()))):
+        words = (text or "").lower().split()
+        if not words:
+            assert score == 0
+            continue
+        worst = max(np.mean([gain(w) for w in words[k : k + toxicity.SEGMENT]]) for k in range(0, len(words), toxicity.SEGMENT))
+        assert score == pytest.approx(1 / (1 + np.exp(-(1.5 * (worst + 0.25) - 0.5))))
+
+
+def test_toxicity_learns_from_long_texts(spark, monkeypatch):
+    """All labelled texts are longer than what training takes of one, and rows that share an id are told apart."""
+    monkeypatch.setattr(toxicity, "WORDS_PER_TEXT", 240)
+    rng = random.Random(11)
+    make = lambda bad, n: " ".join(("grobl" + rng.choice(["ax", "ix"]) if bad and k % 20 == 7 else rng.choice(WORDS)) for k in range(n))
+    data = [(i, make(i % 3 == 0, 400)) for i in range(240)] + [(1, make(False, 300)), (1000, make(True, 5)), (1001, make(True, 30_000)), (1002, make(False, 30_000))]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)], "doc_id long, toxic int")
+    schema = "doc_id long, text string, score double, predicted int"
+    df = spark.createDataFrame([(*r, 0.5, 1) for r in data], schema)
+    out = toxicity.toxicity(df.repartition(4), labels).collect()
+    got = {r.doc_id: r for r in out}
+    assert len(out) == len(data) and sum(got[i].predicted == int(i % 3 == 0) for i in range(2, 240)) > 0.97 * 238
+    assert got[1001].predicted == 1 and got[1002].predicted == 0
+    assert sorted(map(str, out)) == sorted(map(str, toxicity.toxicity(df.repartition(2), labels).collect()))
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1"), reason="no test data")
+def test_toxicity_held_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.toxicity(docs, labels).where("held_out").join(labels.where("toxic is not null"), "doc_id").select("predicted", "toxic").collect()
+    hit, false = sum(r.predicted == r.toxic == 1 for r in rows), sum(r.predicted > r.toxic for r in rows)
+    assert hit > 0.7 * sum(r.toxic for r in rows) and hit / (hit + false) > 0.8
+
+
 def test_toxicity(spark, empty, odd):
     rng = random.Random(3)
     data, labels = [], []
