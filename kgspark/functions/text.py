@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from collections.abc import Iterable
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -32,25 +35,43 @@ PREFIXES = {
     "V_": "V_",
     "K_": "K_",
 }
+#: The prefixes that the curation step itself tells apart, with the form it uses; the others stay.
+CURATED = {"VI_THUOC_": "VI_THUOC_", "BAI_THUOC_": "BT_", "TRIEU_CHUNG_": "S_", "BENH_LY_": "B_", "BENH_": "B_", "THUOC_": "THUOC_", "NHOMBENH_": "NHOMBENH_", "BT_": "BT_", "VT_": "VI_THUOC_", "CN_": "CN_", "HC_": "HC_", "DL_": "DL_", "B_": "B_", "S_": "S_", "T_": "T_", "V_": "V_", "K_": "K_", "G_": "G_"}
 #: Node label of each prefix.
 LABELS = {"VI_THUOC_": "ViThuoc", "VT_": "ViThuoc", "BT_": "BaiThuoc", "HC_": "HoatChat", "DL_": "DuocLy", "CN_": "CongNang", "NB_": "NhomBenh", "B_": "Benh", "S_": "TrieuChung", "T_": "TinhVi", "V_": "TinhVi", "K_": "KinhMach"}
-#: Natures, tastes and meridians, and ids that say nothing.
-NATURES = ("DAI_NHIET", "DAI_HAN", "HAN", "NHIET", "ON", "LUONG", "BINH")
-TASTES = ("TAN", "CAM", "TOAN", "KHO", "MAN", "CAY", "NGOT", "CHUA", "DANG", "MAN", "NHAT", "CHAT", "DAM")
-MERIDIANS = ("TAM_BAO", "TAM_TIEU", "DAI_TRUONG", "TIEU_TRUONG", "BANG_QUANG", "TAM", "CAN", "TY", "PHE", "THAN", "VI", "DOM")
+#: Tastes, natures and meridians, and attribute ids that say nothing.
+TASTES = ("CAY", "TAN", "CHUA", "TOAN", "DANG", "KHO", "DANG_KHO", "NGOT", "CAM", "MAN", "HAM", "NHAT", "DAM", "CHAT")
+NATURES = ("HAN", "NHIET", "ON", "LUONG", "BINH", "AM", "LANH", "DAI_NHIET", "DAI_ON", "HOI_HAN", "HOI_ON", "VI_ON", "VI_HAN", "TRUNG_TINH")
+MERIDIANS = ("TAM", "CAN", "TY", "PHE", "THAN", "DOM", "DAN", "VI", "DAI_TRANG", "TIEU_TRANG", "BANG_QUANG", "TAM_BAO", "TAM_TIEU")
+EMPTY_ATTRIBUTES = ("T_KHONG_DOC", "V_KHONG_DOC", "T_AN_THAN", "V_AN_THAN", "T_KY_TU", "V_KY_TU", "T_THAO_QUA", "V_THAO_QUA", "T_HOAT", "V_HOAT", "T_TINH", "V_VI", "T_DUONG", "V_DUONG", "T_CO_TINH", "V_CO_VI")
+#: Words around an attribute's core, in the order they are taken off; mixed values and the one that stays.
+WORDY = ("VI_CO_TINH_", "VI_TINH_", "CO_TINH_", "TINH_", "VI_CO_VI_", "CO_VI_", "VI_VI_")
+MIXED = {"CAY_DANG": "CAY", "TAN_KHO": "TAN", "CAY_ON": "ON", "TAN_ON": "ON"}
 UNITS = {"gam": "g", "gram": "g", "grams": "g", "kilogam": "kg", "kilogram": "kg", "mililit": "ml"}
 
 
-@F.pandas_udf(StringType())
-def strip_accents(s: pd.Series) -> pd.Series:
-    """đ and Đ to d and D, then compatibility decomposition without combining marks. Arrow batches; ASCII passes as it is."""
+def _combining() -> str:
+    """All combining marks as a regex class of ranges."""
+    runs: list[list[int]] = []
+    for c in range(0x300, sys.maxunicode + 1):
+        if unicodedata.combining(chr(c)):
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs) + "]"
 
-    def one(x):
-        if x is None or x.isascii():
-            return x
-        return "".join(c for c in unicodedata.normalize("NFKD", x.replace("đ", "d").replace("Đ", "D")) if not unicodedata.combining(c))
 
-    return s.map(one)
+_MARKS = _combining()
+
+
+@F.arrow_udf(StringType())
+def strip_accents(s: pa.Array) -> pa.Array:
+    """đ and Đ to d and D, then compatibility decomposition without combining marks. Whole Arrow arrays; ASCII passes as it is."""
+    if pc.all(pc.string_is_ascii(s)).as_py() is not False:
+        return s
+    plain = pc.replace_substring(pc.replace_substring(s, "đ", "d"), "Đ", "D")
+    return pc.replace_substring_regex(pc.utf8_normalize(plain, form="NFKD"), _MARKS, "")
 
 
 def normalize_plain_id(text: Column) -> Column:
@@ -87,9 +108,9 @@ def id_prefix(id_: Column) -> Column:
     return _prefix_case(id_, {p: p for p in PREFIXES}, F.when(head == "", "UNKNOWN_").otherwise(head))
 
 
-def id_core(id_: Column) -> Column:
+def id_core(id_: Column, prefixes: Iterable[str] = tuple(PREFIXES)) -> Column:
     """The id without a known prefix."""
-    p = "|".join(sorted(PREFIXES, key=len, reverse=True))
+    p = "|".join(sorted(prefixes, key=len, reverse=True))
     return F.regexp_replace(id_, f"^({p})", "")
 
 
@@ -98,13 +119,19 @@ def name_from_id(id_: Column) -> Column:
     return F.initcap(F.lower(F.replace(id_core(id_), F.lit("_"), F.lit(" "))))
 
 
-def normalize_prefix(id_: Column, target: str | None = None, synonyms: dict[str, str] | None = None) -> Column:
-    """Accent-free upper-case id with its prefix in the curation form, or the target prefix; synonyms apply to the core."""
-    up = F.upper(F.trim(id_))
-    core = F.regexp_replace(id_core(up), "^_+|_+$", "")
+def normalize_prefix(id_: Column, target: str | Column | None = None, synonyms: dict[str, str] | None = None) -> Column:
+    """Upper-case id without accents and with its prefix in the curation form, or the target prefix; synonyms apply to the core.
+
+    A column as target may be null or empty: then the id keeps its own prefix. An empty or null id gives an empty one.
+    """
+    up = strip_accents(F.upper(F.trim(F.coalesce(id_, F.lit("")))))
+    known = up.rlike("^(" + "|".join(CURATED) + ")")
+    core = F.when(known, F.regexp_replace(id_core(up, CURATED), "^_+|_+$", "")).otherwise(up)
     for word, other in (synonyms or {}).items():
         core = F.when(core == word, other).otherwise(core)
-    return F.concat(F.lit(target) if target else _prefix_case(up, PREFIXES, F.lit("")), core)
+    own = _prefix_case(up, CURATED, F.lit(""))
+    wanted = own if target is None else F.when(F.coalesce(F.lit(target) if isinstance(target, str) else target, F.lit("")) == "", own).otherwise(target)
+    return F.when(up == "", "").otherwise(F.regexp_replace(F.concat(wanted, core), "^_+|_+$", ""))
 
 
 def link_id(id_: Column, fallback: str = "VT_") -> Column:
@@ -117,25 +144,28 @@ def link_id(id_: Column, fallback: str = "VT_") -> Column:
 def clean_attribute_id(id_: Column) -> Column:
     """Repaired nature, taste or meridian id; null if it says nothing.
 
-    In order: upper case; doubled prefix; wordy cores; stutter within the core; mixed values; then the prefix that the core
-    belongs to, for a meridian the longest one in the core.
+    In order: upper case; doubled prefix; ids that say nothing; wordy cores; a lone VI_ that is no meridian; stutter within the
+    core; mixed values; then the prefix that the core belongs to, for a meridian the longest one in the id.
     """
-    up = F.regexp_replace(F.upper(F.trim(id_)), " +", "_")
-    up = F.regexp_replace(up, "^([TVK]_)\\1+", "$1")
-    prefix, core = F.substring(up, 1, 2), F.expr("1")
-    core = F.regexp_replace(F.substring(up, 3, 1000), "^(CO_TINH_|TINH_|CO_VI_|VI_VI_|KINH_)", "")
-    core = F.when(prefix != "K_", F.regexp_replace(core, "^VI_", "")).otherwise(core)
-    core = F.regexp_replace(core, "^(.+)_\\1$", "$1")
-    for mixed, single in {"CAY_DANG": "CAY", "TAN_KHO": "TAN", "CAY_ON": "ON", "TAN_ON": "ON"}.items():
-        core = F.when(core == mixed, single).otherwise(core)
-    meridian = F.regexp_extract(core, "(" + "|".join(sorted(MERIDIANS, key=len, reverse=True)) + ")", 1)
-    return (
-        F.when(core.rlike("KHONG|UNKNOWN|CHUA_RO") | (core == ""), F.lit(None).cast("string"))
-        .when(prefix == "K_", F.when(meridian != "", F.concat(F.lit("K_"), meridian)).otherwise(up))
-        .when(core.isin(*NATURES), F.concat(F.lit("T_"), core))
-        .when(core.isin(*TASTES), F.concat(F.lit("V_"), core))
-        .otherwise(F.concat(prefix, core))
-    )
+    up = F.replace(F.upper(F.trim(id_)), F.lit(" "), F.lit("_"))
+    up = F.regexp_replace(up, "^([TVK]_)\\1", "$1")
+    core = up
+    for words in WORDY:
+        core = F.regexp_replace(F.regexp_replace(core, f"^([TVK]_){words}", "$1"), f"^{words}", "")
+    core = F.regexp_replace(core, "^(?!K_)([TV]_)?VI_", "$1")
+    core = F.regexp_replace(core, "^([TVK]_)?(.+)_\\2$", "$1$2")
+    for mixed, single in MIXED.items():
+        core = F.replace(core, F.lit(mixed), F.lit(single))
+
+    def judged(c: Column) -> Column:
+        bare = F.regexp_replace(c, "^[TVK]_", "")
+        # Longest first, and anywhere: the leftmost match may be a short one.
+        meridian = F.coalesce(*[F.when(c.contains(m), F.lit(f"K_{m}")) for m in sorted(MERIDIANS, key=lambda m: (-len(m), m))], c)
+        return F.when(bare.isin("", "UNKNOWN"), F.lit(None).cast("string")).when(bare.isin(*TASTES), F.concat(F.lit("V_"), bare)).when(bare.isin(*NATURES), F.concat(F.lit("T_"), bare)).when(c.startswith("K_"), meridian).otherwise(c)
+
+    # The long chain above is worked out once: a lambda over a one-element array holds it.
+    known = F.when(up.isin("", *EMPTY_ATTRIBUTES), F.lit(None).cast("string")).otherwise(core)
+    return F.element_at(F.transform(F.array(known), judged), 1)
 
 
 def clean_text(text: Column) -> Column:

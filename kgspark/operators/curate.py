@@ -101,11 +101,17 @@ def gate_summary(scored: DataFrame) -> DataFrame:
 
 
 def rank_by_richness(scored: DataFrame, score: str = "score", key: str = "doc_id", buckets: int = 64) -> DataFrame:
-    """Global rank by score, descending, then key. Rows are dealt by score, ranked within, and moved up by the rows before."""
-    dealt = scored.withColumn("_b", -F.col(score).cast("long"))
-    ahead = dealt.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_ahead", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy("_b").orderBy(F.desc(score), key))
-    return dealt.withColumn("_place", inside).join(ahead, "_b").withColumn("rank", F.col("_ahead") + F.col("_place")).drop("_b", "_n", "_ahead", "_place")
+    """Global rank by score, descending, then key.
+
+    Rows are range-sorted into partitions (up to `buckets`, by score and key together, so equal scores are dealt out too), numbered
+    within, and moved up by the rows of the partitions before. A checkpoint holds which row went where.
+    """
+    order = [F.desc(score), F.asc(key)]
+    dealt = scored.repartitionByRange(buckets, *order).withColumn("_b", F.spark_partition_id()).checkpoint()
+    edges = dealt.groupBy("_b").agg(F.count("*").alias("_n"))  # a row for each partition
+    ahead = edges.withColumn("_ahead", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
+    return dealt.withColumn("_place", inside).join(F.broadcast(ahead), "_b").withColumn("rank", F.col("_ahead") + F.col("_place")).drop("_b", "_n", "_ahead", "_place")
 
 
 def audit_score(proposals: DataFrame) -> DataFrame:
@@ -251,7 +257,7 @@ def collect_garbage(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Data
 
 def isolated_hubs(hubs: DataFrame, edges: DataFrame) -> DataFrame:
     """Hubs (hub_id) without an edge (ERROR), or with none that treats or has a function (WARNING)."""
-    useful = F.col("relation_type").isin(*TREATS, "CO_CONG_NANG")
+    useful = F.col("relation_type").startswith("CHU_TRI") | F.col("relation_type").isin("CO_CONG_NANG", "CO_TAC_DUNG_DUOC_LY")
     ends = edges.select(F.col("from_id").alias("hub_id"), useful.alias("useful")).union(edges.select("to_id", F.lit(False)))
     per = ends.groupBy("hub_id").agg(F.max("useful").alias("useful"))
     joined = hubs.join(per, "hub_id", "left")
@@ -336,10 +342,10 @@ def dictionary_link(edges: DataFrame, lookup: DataFrame) -> DataFrame:
     return out.withColumns({"from_id": F.col("new_from"), "to_id": F.col("new_to")}).drop("new_from", "new_to").select(*edges.columns)
 
 
-def knowledge_signature(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+def knowledge_signature(nodes: DataFrame, edges: DataFrame, most: int | None = 1000) -> DataFrame:
     """A text for each node from its edges: "<relation> <name>", and the reverse phrase for containment and treatment.
 
-    most: keep the first so many phrases of a node; all by default.
+    most: the first so many phrases of a node make its text (None: all, which a hub of millions of edges can't hold in a row).
     """
     names = nodes.select("id", "name")
     ahead = edges.join(names.withColumnRenamed("id", "to_id"), "to_id").select(F.col("from_id").alias("id"), F.concat_ws(" ", F.lower("relation_type"), "name").alias("phrase"))
@@ -394,45 +400,90 @@ def trim_acyclic(edges: DataFrame, rounds: int = 3) -> DataFrame:
     return edges
 
 
+def _on_cycles(out: dict[str, list[str]]) -> list[str]:
+    """Nodes of strongly connected components of two or more, and of self loops; one walk, linear in the edges."""
+    index, low, stack, held, found = {}, {}, [], set(), []
+    for start in sorted(out):
+        if start in index:
+            continue
+        work = [(start, iter(out[start]))]
+        index[start] = low[start] = len(index)
+        stack.append(start)
+        held.add(start)
+        while work:
+            node, targets = work[-1]
+            for t in targets:
+                if t not in index:
+                    index[t] = low[t] = len(index)
+                    stack.append(t)
+                    held.add(t)
+                    work.append((t, iter(out.get(t, ()))))
+                    break
+                if t in held:
+                    low[node] = min(low[node], index[t])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == index[node]:
+                    part = []
+                    while not part or part[-1] != node:
+                        part.append(stack.pop())
+                        held.discard(part[-1])
+                    found += part if len(part) > 1 or node in out.get(node, ()) else []
+    return found
+
+
 def cycles(edges: DataFrame) -> DataFrame:
     """doc_id, cyclic nodes of each document (in a cycle of two or more, or a self loop), after trimming."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        out: dict = {}
+        out: dict[str, list[str]] = {}
         for a, b in zip(part["from_id"], part["to_id"]):
-            out.setdefault(a, set()).add(b)
-        found = []
-        for start in sorted(out):
-            seen, stack = set(), list(out[start])
-            while stack:
-                x = stack.pop()
-                if x not in seen:
-                    seen.add(x)
-                    stack.extend(out.get(x, ()))
-            if start in seen:
-                found.append(start)
+            out.setdefault(a, []).append(b)
+        found = _on_cycles(out)
         return pd.DataFrame({"doc_id": pd.Series([part["doc_id"].iloc[0]] * len(found), dtype="int64"), "node": pd.Series(found, dtype="object")})
 
     pairs = trim_acyclic(edges.select("doc_id", "from_id", "to_id").distinct())
     return pairs.groupBy("doc_id").applyInPandas(run, "doc_id long, node string")
 
 
-def carry_anchor(pages: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Every page with the last entity that began on it or before, and where: pages (book, page), anchors (book, page, entity)."""
-    joined = pages.join(anchors, ["book", "page"], "left")
-    so_far = Window.partitionBy("book").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
-    started = F.when(F.col("entity").isNotNull(), F.col("page"))
-    return joined.select("book", "page", F.last("entity", ignorenulls=True).over(so_far).alias("anchor"), F.last(started, ignorenulls=True).over(so_far).alias("start_page"))
-
+def carry_anchor(pages: DataFrame, anchors: DataFrame, block: int = 1024) -> DataFrame:
+    """Every page with the last entity that began on it or before, and where: pages (book, page), anchors (book, page, entity).
 
-def merge_spilled_text(pages: DataFrame) -> DataFrame:
-    """One text for each (book, anchor): parts in page order, after a line end with their page's tag if the text before
-    ended a sentence, else after a blank; pages without text are skipped."""
-    parts = pages.where("anchor is not null and text is not null and trim(text) <> ''")
-    ordered = F.sort_array(F.collect_list(F.struct("page", "text")))
-    tag = lambda p: F.concat(F.lit("[T"), p["page"].cast("string"), F.lit("]: "), p["text"])
-    add = lambda a, p: F.when(a == "", tag(p)).when(a.rlike("[.:!?]$"), F.concat(a, F.lit("\n"), tag(p))).otherwise(F.concat(a, F.lit(" "), p["text"]))
-    return parts.groupBy("book", "anchor").agg(F.aggregate(ordered, F.lit(""), add).alias("text"))
+    A book is cut into blocks of page numbers; each block's last anchor is a row, so only those are carried along a whole book and
+    no task has to hold a book.
+    """
+    started = F.when(F.col("entity").isNotNull(), F.struct("page", "entity"))
+    joined = pages.join(anchors, ["book", "page"], "left").select("book", "page", started.alias("a"), F.floor(F.col("page") / block).alias("block"))
+    last = joined.groupBy("book", "block").agg(F.max_by("a", F.when(F.col("a").isNotNull(), F.col("page"))).alias("a"))
+    before = Window.partitionBy("book").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("book", "block", F.last("a", ignorenulls=True).over(before).alias("before"))
+    so_far = Window.partitionBy("book", "block").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
+    own = joined.withColumn("a", F.last("a", ignorenulls=True).over(so_far)).join(carried, ["book", "block"])
+    anchor = F.coalesce("a", "before")
+    return own.select("book", "page", anchor["entity"].alias("anchor"), anchor["page"].alias("start_page"))
+
+
+def merge_spilled_text(pages: DataFrame, block: int = 1024) -> DataFrame:
+    """Text of each (book, anchor) by parts: parts in page order, after a line end with their page's tag if the text before
+    ended a sentence, else after a blank; pages without text are skipped.
+
+    An entity's pages are joined by blocks of page numbers, so book, anchor and part (the block) name a row of bounded size; the parts
+    of an entity put together in order are its text.
+    """
+    parts = pages.where("anchor is not null and text is not null and trim(text) <> ''").withColumn("part", F.floor(F.col("page") / block))
+    ends = F.col("text").rlike("[.:!?]$")
+    in_part = Window.partitionBy("book", "anchor", "part").orderBy("page")
+    marked = parts.withColumn("ends", ends).withColumn("_before", F.lag("ends").over(in_part))
+    # What the part before ended with: a row for each part.
+    last = marked.groupBy("book", "anchor", "part").agg(F.max_by("ends", "page").alias("ended"))
+    ahead = last.select("book", "anchor", "part", F.lag("ended").over(Window.partitionBy("book", "anchor").orderBy("part")).alias("ahead"))
+    joined = marked.join(ahead, ["book", "anchor", "part"]).withColumn("_before", F.coalesce("_before", "ahead"))
+    tag = F.concat(F.lit("[T"), F.col("page").cast("string"), F.lit("]: "), F.col("text"))
+    piece = F.when(F.col("_before").isNull(), tag).when(F.col("_before"), F.concat(F.lit("\n"), tag)).otherwise(F.concat(F.lit(" "), "text"))
+    rows = joined.select("book", "anchor", "part", "page", piece.alias("piece")).groupBy("book", "anchor", "part")
+    return rows.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "piece"))), lambda p: p["piece"]), "").alias("text"))
 
 
 def merge_split_recipes(items: DataFrame, marker: str = r"\[src\]") -> DataFrame:
@@ -444,47 +495,47 @@ def merge_split_recipes(items: DataFrame, marker: str = r"\[src\]") -> DataFrame
     return merged.groupBy("doc_id", "text").agg(F.min("pos").alias("pos"))
 
 
-def normal_patches(patches: DataFrame) -> DataFrame:
-    """Upper-case types, and delete proposals for illness and attribute edges flagged as guarded."""
-    guarded = (F.col("action") == "XOA_EDGE") & F.col("to_id").rlike("^(B|S|T|V|K)_")
-    return patches.withColumn("relation_type", F.upper("relation_type")).withColumn("guarded", guarded)
-
-
-#: Phrases that mark a statement as inferred.
-INFERRED = ("suy luận", "có lẽ", "có thể suy ra", "không đề cập", "theo kinh nghiệm chung")
+#: Phrases that mark an attribute as inferred, and those that mark what a herb treats, contains or does.
+INFERRED_DNA = ("không được đề cập", "suy luận", "không thấy nói", "chưa rõ quy kinh", "có thể liên quan", "không đề cập trực tiếp", "dựa trên công năng")
+INFERRED_OTHER = ("suy luận", "có lẽ")
+#: What is kept all the same, with a note.
+KEPT_CORES = ("an_thai", "chua_ho", "kham_tieng", "thong_tieu")
+KEPT_NOTE = " (Cần kiểm chứng từ nguyên tác)"
 DNA = ("CO_TINH", "CO_VI", "QUY_KINH")
 
 
-def _any_phrase(text: Column, phrases: Sequence[str]) -> Column:
+def any_phrase(text: Column, phrases: Sequence[str]) -> Column:
     out = F.lit(False)
     for p in phrases:
         out |= text.contains(p)
     return out
 
 
-def evidence_filter(edges: DataFrame, anchors: DataFrame, phrases: Sequence[str] = INFERRED, keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """(edges, issues): attribute and treatment edges whose description bears them out.
+def evidence_filter(edges: DataFrame, anchors: DataFrame, keep: Sequence[str] = KEPT_CORES) -> tuple[DataFrame, DataFrame]:
+    """(edges, issues): edges whose description bears them out.
 
     anchors: core, words (array): what a description must hold one of; without a row the core itself with blanks. An attribute
-    edge with an inferring phrase goes; without an anchor a meridian edge goes and others get a WARNING. Other edges with an
-    inferring phrase go too, unless their core is in keep, with a WARNING.
+    edge with an inferring phrase goes; without an anchor a meridian edge goes and others get a WARNING. A treatment, containment or
+    function edge with an inferring phrase goes too; if its core is in keep it stays, with a note and a WARNING. Others pass.
     """
     low, core = F.lower(F.coalesce("description", F.lit(""))), F.lower(F.regexp_replace("to_id", "^[^_]+_", ""))
     joined = edges.withColumn("_core", core).join(anchors.select(F.col("core").alias("_core"), F.col("words").alias("_words")), "_core", "left")
     words = F.coalesce("_words", F.array(F.replace("_core", F.lit("_"), F.lit(" "))))
     held = F.exists(words, lambda w: low.contains(w))
-    is_dna, inferred = F.col("relation_type").isin(*DNA), _any_phrase(low, phrases)
+    kind = F.col("relation_type")
+    is_dna, inferred = kind.isin(*DNA), kind.isin(*TREATS, CONTAINS, "CO_CONG_NANG") & any_phrase(low, INFERRED_OTHER)
     verdict = (
-        F.when(is_dna & inferred, "DROP")
-        .when(is_dna & ~held & (F.col("relation_type") == "QUY_KINH"), "DROP")
+        F.when(is_dna & any_phrase(low, INFERRED_DNA), "DROP")
+        .when(is_dna & ~held & (kind == "QUY_KINH"), "DROP")
         .when(is_dna & ~held, "WARNING")
-        .when(~is_dna & inferred & F.col("_core").isin(*keep), "WARNING")
-        .when(~is_dna & inferred, "DROP")
+        .when(inferred & F.col("_core").isin(*keep), "NOTE")
+        .when(inferred, "DROP")
         .otherwise("OK")
     )
     judged = joined.withColumn("_verdict", verdict)
     issues = judged.where("_verdict <> 'OK'").select("doc_id", "from_id", "to_id", F.when(F.col("_verdict") == "DROP", "FIXED").otherwise("WARNING").alias("level"))
-    return judged.where("_verdict <> 'DROP'").select(*edges.columns), issues
+    noted = F.when(F.col("_verdict") == "NOTE", F.concat("description", F.lit(KEPT_NOTE))).otherwise(F.col("description"))
+    return judged.where("_verdict <> 'DROP'").withColumn("description", noted).select(*edges.columns), issues
 
 
 def fuse_fragments(identity: DataFrame, others: Sequence[DataFrame], order: Sequence[str]) -> DataFrame:

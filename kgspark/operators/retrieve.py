@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kgspark.functions.text import strip_accents
+
 HERB, REMEDY, DISEASE, SYMPTOM = "ViThuoc", "BaiThuoc", "Benh", "TrieuChung"
 CONTAINS, HAS_COMPOUND = "BAO_GOM_VI_THUOC", "CO_CHUA_HOAT_CHAT"
 TREATS = ("CHU_TRI_BENH", "CHU_TRI_TRIEU_CHUNG")
@@ -18,45 +20,55 @@ FUNCTION = ("CO_CONG_NANG", "CO_TAC_DUNG_DUOC_LY")
 LIMIT = 30
 
 
-def entity_predicate(node_id: Column, label: Column, name: Column, alias: Column, keyword: Column) -> Column:
-    """One word: a whole word of the name, or the id. A phrase: part of the name or of the id. Diseases: or part of an alias."""
-    as_id = F.upper(F.replace(keyword, F.lit(" "), F.lit("_")))
+def keyword_id(keyword: Column) -> Column:
+    """A keyword as ids are written: without accents, upper case, _ for blanks."""
+    return F.upper(F.replace(strip_accents(keyword), F.lit(" "), F.lit("_")))
+
+
+def entity_predicate(node_id: Column, label: Column, name: Column, alias: Column, keyword: Column, as_id: Column) -> Column:
+    """One word: a whole word of the name, or the id. A phrase: part of the name or of the id. Diseases: or part of an alias.
+
+    An empty keyword matches everything. as_id: see keyword_id.
+    """
     word = (F.upper(node_id) == as_id) | F.concat(F.lit(" "), name, F.lit(" ")).contains(F.concat(F.lit(" "), keyword, F.lit(" ")))
     phrase = name.contains(keyword) | F.upper(node_id).contains(as_id)
     by_alias = label.isin(DISEASE, SYMPTOM) & alias.contains(keyword)
-    return F.when(keyword.contains(" "), phrase).otherwise(word) | by_alias
+    return (keyword == "") | F.when(keyword.contains(" "), phrase).otherwise(word) | by_alias
 
 
 def match_entities(nodes: DataFrame, keywords: DataFrame) -> DataFrame:
-    """keywords (key, keyword) with the nodes that match: key, id, label, name. Empty keywords match nothing.
+    """keywords (key, keyword) with the nodes that match: key, id, label, name. Null keywords match nothing, empty ones all.
 
-    No nested loop, three equi-joins: a word meets whole words of names, and ids; a phrase's first word
-    meets the ends of words of names and ids, since a phrase may begin inside a word; aliases, of the few labels that have
-    them, are met by the keyword's first three characters. The predicate then runs on those pairs alone.
+    Each distinct keyword is looked up once. No nested loop, three equi-joins: a word meets whole words of names, and ids; a phrase's
+    first word meets the ends of words of names and ids, since a phrase may begin inside a word; aliases, of the few labels
+    that have them, are met by the keyword's first three characters. The predicate then runs on those pairs alone.
     """
-    asked = keywords.where("keyword is not null and keyword <> ''").select("key", "keyword").distinct()
+    asked = keywords.where("keyword is not null").select("key", "keyword").distinct()
+    words = asked.select("keyword").distinct().withColumn("as_id", keyword_id(F.col("keyword")))
     known = nodes.select("id", "label", "name", F.coalesce("alias", F.lit("")).alias("alias"))
     is_phrase = F.col("keyword").contains(" ")
-    words = F.array_distinct(F.concat(F.split("name", " "), F.array(F.lower("id"))))
-    by_word = known.withColumn("term", F.explode(words)).join(asked.where(~is_phrase).withColumn("term", F.lower("keyword")), "term")
+    full = words.where("keyword <> ''")
+    met = lambda *terms: F.explode(F.array_distinct(F.array(*[F.lower(t) for t in terms])))
+    by_word = known.withColumn("term", F.explode(F.array_distinct(F.concat(F.split("name", " "), F.array(F.lower("id")))))).join(full.where(~is_phrase).withColumn("term", met("keyword", "as_id")), "term")
     pieces = F.array_distinct(F.concat(F.split("name", " "), F.split(F.lower("id"), "_")))
     ends = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: w.substr(i, F.length(w)))
-    by_phrase = known.withColumn("term", F.explode(F.array_distinct(F.flatten(F.transform(pieces, ends))))).join(asked.where(is_phrase).withColumn("term", F.lower(F.substring_index("keyword", " ", 1))), "term")
+    heads_of = (F.substring_index("keyword", " ", 1), F.substring_index("as_id", "_", 1))
+    by_phrase = known.withColumn("term", F.explode(F.array_distinct(F.flatten(F.transform(pieces, ends))))).join(full.where(is_phrase).withColumn("term", met(*heads_of)), "term")
     places = F.sequence(F.lit(1), F.greatest(F.length("alias"), F.lit(1)))
     heads = lambda n: F.transform(places, lambda i: F.col("alias").substr(i, F.lit(n)))
     sized = F.flatten(F.array(heads(1), heads(2), heads(3)))
-    by_alias = known.where(F.col("label").isin(DISEASE, SYMPTOM) & (F.col("alias") != "")).withColumn("term", F.explode(F.array_distinct(sized))).join(asked.withColumn("term", F.substring("keyword", 1, 3)), "term")
+    by_alias = known.where(F.col("label").isin(DISEASE, SYMPTOM) & (F.col("alias") != "")).withColumn("term", F.explode(F.array_distinct(sized))).join(full.withColumn("term", F.substring("keyword", 1, 3)), "term")
     pairs = by_word.unionByName(by_phrase).unionByName(by_alias)
-    hits = pairs.where(entity_predicate(F.col("id"), F.col("label"), F.col("name"), F.col("alias"), F.col("keyword")))
-    return hits.select("key", "id", "label", "name").distinct()
+    hits = pairs.where(entity_predicate(*[F.col(c) for c in ("id", "label", "name", "alias", "keyword", "as_id")])).select("keyword", "id", "label", "name").distinct()
+    # The empty keyword is one row at most.
+    everything = known.withColumn("keyword", F.lit("")).join(F.broadcast(words.where("keyword = ''").select("keyword")), "keyword")
+    return asked.join(hits.unionByName(everything.select("keyword", "id", "label", "name")), "keyword").select("key", "id", "label", "name").distinct()
 
 
 def match_entity(nodes: DataFrame, keyword: str) -> DataFrame:
     """The nodes that one keyword matches; an empty one matches all."""
-    if not keyword.strip():
-        return nodes
     kw = F.lit(keyword.strip().lower())
-    return nodes.where(entity_predicate(F.col("id"), F.col("label"), F.col("name"), F.coalesce("alias", F.lit("")), kw))
+    return nodes.where(entity_predicate(F.col("id"), F.col("label"), F.col("name"), F.coalesce("alias", F.lit("")), kw, keyword_id(kw)))
 
 
 def first_rows(hits: DataFrame, order: Sequence[str], limit: int = LIMIT) -> DataFrame:
@@ -87,13 +99,25 @@ def hop(nodes: DataFrame, edges: DataFrame, questions: DataFrame, relations: Seq
 
 
 def two_hop_remedy(nodes: DataFrame, edges: DataFrame, questions: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Herb <- contains - remedy - treats -> disease or symptom; remedies of a matched herb are made distinct first."""
-    herbs = _matched(questions, nodes, "kw1", "herb").where(F.col("herb_label") == HERB)
-    inside = edges.where(F.col("relation_type") == CONTAINS).select(F.col("from_id").alias("remedy_id"), F.col("to_id").alias("herb_id"))
-    treats = edges.where(F.col("relation_type").isin(*TREATS)).select(F.col("from_id").alias("remedy_id"), F.col("to_id").alias("target_id"))
-    via = herbs.join(inside, "herb_id").select("question_id", "herb_id", "herb_name", "remedy_id").distinct()
-    hits = via.join(treats, "remedy_id").join(_named(nodes, "remedy"), "remedy_id").join(_named(nodes, "target"), "target_id")
-    out = hits.select("question_id", F.col("herb_name").alias("subject"), F.col("remedy_name").alias("remedy"), F.col("target_name").alias("object"), "herb_id", "remedy_id", "target_id").distinct()
+    """Herb <- contains - remedy - treats -> disease or symptom.
+
+    A herb's first rows are the same for every question, so they are worked out once a herb; of the herbs that a
+    question matches, only those are joined whose names come before the limit is reached.
+    """
+    inside = edges.where(F.col("relation_type") == CONTAINS).select(F.col("from_id").alias("remedy_id"), F.col("to_id").alias("herb_id")).distinct()
+    treats = edges.where(F.col("relation_type").isin(*TREATS)).select(F.col("from_id").alias("remedy_id"), F.col("to_id").alias("target_id")).distinct()
+    matched = _matched(questions, nodes, "kw1", "herb").where(F.col("herb_label") == HERB).select("question_id", "herb_id", "herb_name")
+    named = treats.join(_named(nodes, "remedy"), "remedy_id").join(_named(nodes, "target"), "target_id")
+    rows = inside.join(matched.select("herb_id").distinct(), "herb_id", "left_semi").join(named, "remedy_id")
+    order = ["remedy_name", "target_name", "remedy_id", "target_id"]
+    place = F.row_number().over(Window.partitionBy("herb_id").orderBy(*order))
+    rows = rows.select("herb_id", *order).withColumn("_k", place).where(F.col("_k") <= limit).drop("_k")
+    sizes = rows.groupBy("herb_id").agg(F.count("*").alias("n"))
+    by_name = Window.partitionBy("question_id").orderBy("herb_name").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    # Rows of names before this one; equal names share their places.
+    before = F.sum("n").over(by_name) - F.sum("n").over(Window.partitionBy("question_id", "herb_name"))
+    needed = matched.join(sizes, "herb_id").withColumn("before", before).where(F.col("before") < limit)
+    out = needed.join(rows, "herb_id").select("question_id", F.col("herb_name").alias("subject"), F.col("remedy_name").alias("remedy"), F.col("target_name").alias("object"), "herb_id", "remedy_id", "target_id")
     return first_rows(out, ["subject", "remedy", "object", "herb_id", "remedy_id", "target_id"], limit)
 
 
@@ -171,18 +195,20 @@ def display_nodes(links: DataFrame) -> DataFrame:
     return both.groupBy("question_id", "id", "name").agg(F.min("grp").alias("grp"))
 
 
-def negative_pairs(herbs: DataFrame, compounds: DataFrame, edges: DataFrame, per_herb: int = 3, seed: int = 42) -> DataFrame:
+def negative_pairs(herbs: DataFrame, compounds: DataFrame, edges: DataFrame, per_herb: int = 3, seed: int = 42, slots: int = 64) -> DataFrame:
     """(herb, compound) pairs without an edge, a few candidates a herb drawn by hash; never all pairs.
 
-    herbs: herb_id; compounds: compound_id. Compounds are numbered, candidate k of a herb is the compound whose number
-    is the hash of (herb, k) modulo their count.
+    herbs: herb_id; compounds: compound_id. Compounds are numbered within each of some slots, by their digest, so no task numbers them
+    all. Candidate k of a herb is the compound whose slot and number its digest gives, modulo what there is.
     """
-    numbered = compounds.distinct().withColumn("number", F.row_number().over(Window.orderBy("compound_id")) - 1)
-    total = numbered.agg(F.count("*").alias("total"))
-    drawn = herbs.distinct().withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(per_herb)))).join(F.broadcast(total))
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), "herb_id", F.col("k").cast("string")))
-    drawn = drawn.where("total > 0").withColumn("number", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.col("total")).cast("int"))
-    pairs = drawn.join(numbered, "number").select("herb_id", "compound_id").distinct()
+    digest = lambda *c: F.md5(F.concat_ws(":", F.lit(str(seed)), *c))
+    part = lambda d, at, below: (F.conv(F.substring(d, at, 8), 16, 10).cast("long") % below).cast("int")
+    numbered = compounds.distinct().withColumn("slot", part(digest("compound_id"), 1, slots))
+    numbered = numbered.withColumn("number", F.row_number().over(Window.partitionBy("slot").orderBy("compound_id")) - 1)
+    sizes = numbered.groupBy("slot").agg(F.count("*").alias("size"))  # a row for each slot
+    drawn = herbs.distinct().withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(per_herb)))).withColumn("digest", digest("herb_id", F.col("k").cast("string")))
+    drawn = drawn.withColumn("slot", part("digest", 1, slots)).join(F.broadcast(sizes), "slot").withColumn("number", part("digest", 9, F.col("size")))
+    pairs = drawn.join(numbered, ["slot", "number"]).select("herb_id", "compound_id").distinct()
     known = edges.where(F.col("relation_type") == HAS_COMPOUND).select(F.col("from_id").alias("herb_id"), F.col("to_id").alias("compound_id"))
     return pairs.join(known, ["herb_id", "compound_id"], "left_anti")
 
@@ -231,11 +257,18 @@ def rank_hits(hits: DataFrame, k: int = 5) -> DataFrame:
     return weighted.withColumn("place", place).where(F.col("place") <= k).withColumn("bucket", F.when(F.col("weight") >= 3, "exact").otherwise("related"))
 
 
+def first_names(named: DataFrame, keys: Sequence[str], name: str, k: int, alias: str) -> DataFrame:
+    """For each key the first k distinct names, sorted. Ranked, then collected, so a group's size doesn't matter."""
+    each = named.select(*keys, name).distinct()
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(name))
+    return each.withColumn("_p", place).where(F.col("_p") <= k).groupBy(*keys).agg(F.sort_array(F.collect_list(name)).alias(alias))
+
+
 def facts_per_entity(nodes: DataFrame, edges: DataFrame, label: str, k: int = 5) -> DataFrame:
     """For each (node of a label, relation): the first k distinct names of its objects, sorted."""
     subject = nodes.where(F.col("label") == label).select(F.col("id").alias("from_id"))
     named = edges.join(subject, "from_id").join(_named(nodes, "to"), "to_id")
-    return named.groupBy("from_id", "relation_type").agg(F.slice(F.sort_array(F.collect_set("to_name")), 1, k).alias("facts"))
+    return first_names(named, ["from_id", "relation_type"], "to_name", k, "facts")
 
 
 def multi_constraint_groups(nodes: DataFrame, edges: DataFrame, first: str, second: str, k: int = 10) -> DataFrame:

@@ -11,17 +11,23 @@ from .tables import load, oracle
 
 ORDER = ["doc_id", "pos", "from_id", "to_id", "price", "seen_at", "relation_type", "source_id", "description"]
 _ORDER = ", ".join(ORDER)
-#: Patches drawn from the edges: each line item with a price over a bound proposes something by its number.
+#: Patches drawn from the edges: each line item proposes something by its number, with another target if its price is low.
 PATCHES_SQL = """patches AS (SELECT doc_id, pos, CASE pos % 4 WHEN 0 THEN 'THEM_EDGE' WHEN 1 THEN 'XOA_EDGE' WHEN 2 THEN 'SUA_PROPERTIES' ELSE 'SUA_ID' END AS action,
-  from_id, to_id, relation_type, description, 'code' || CAST(pos AS STRING) AS code, price FROM edges_raw WHERE price > 50000)"""
+  from_id, CASE WHEN price > 50000 THEN to_id ELSE to_id || '0' END AS to_id, relation_type, description, 'code' || CAST(pos AS STRING) AS code, price FROM edges_raw)"""
+#: Remedies with a few edges each: a supplier's orders are dealt out to many.
+_FINE = "fine AS (SELECT * REPLACE (from_id || '_' || CAST(doc_id % 400 AS STRING) AS from_id) FROM edges_raw)"
 
 
 def _raw(spark, sf_dir):
     return load(spark, sf_dir, "edges_raw")
 
 
+def _fine(spark, sf_dir):
+    return _raw(spark, sf_dir).withColumn("from_id", F.concat("from_id", F.lit("_"), (F.col("doc_id") % 400).cast("string")))
+
+
 def _patches(spark, sf_dir):
-    e = _raw(spark, sf_dir).where("price > 50000")
+    e = _raw(spark, sf_dir).withColumn("to_id", F.when(F.col("price") > 50000, F.col("to_id")).otherwise(F.concat("to_id", F.lit("0"))))
     k = F.col("pos") % 4
     action = F.when(k == 0, "THEM_EDGE").when(k == 1, "XOA_EDGE").when(k == 2, "SUA_PROPERTIES").otherwise("SUA_ID")
     return e.select("doc_id", "pos", action.alias("action"), "from_id", "to_id", "relation_type", "description", F.concat(F.lit("code"), F.col("pos").cast("string")).alias("code"), "price")
@@ -88,8 +94,7 @@ def drop_blacklisted(spark, sf_dir):
 
 
 def reject_known_edges(spark, sf_dir):
-    edges = _raw(spark, sf_dir).where("price < 50000")
-    return C.reject_known_edges(_patches(spark, sf_dir), edges).select("doc_id", "action", "from_id", "to_id", "relation_type", "price")
+    return C.reject_known_edges(_patches(spark, sf_dir), _raw(spark, sf_dir)).select("doc_id", "action", "from_id", "to_id", "relation_type", "price")
 
 
 def patch_telemetry(spark, sf_dir):
@@ -136,14 +141,13 @@ def inject_missing_nodes(spark, sf_dir):
 
 
 def collect_garbage(spark, sf_dir):
-    few = _raw(spark, sf_dir).where("price > 89000")
-    nodes, edges = C.collect_garbage(load(spark, sf_dir, "nodes_gappy"), few)
+    nodes, edges = C.collect_garbage(load(spark, sf_dir, "nodes_gappy"), _fine(spark, sf_dir))
     return nodes.select(F.col("id"), F.lit("node").alias("kind")).unionByName(edges.select(F.concat_ws(">", "from_id", "to_id").alias("id"), F.lit("edge").alias("kind")))
 
 
 def isolated_hubs(spark, sf_dir):
-    hubs = load(spark, sf_dir, "nodes_gappy").select(F.col("id").alias("hub_id"))
-    return C.isolated_hubs(hubs, _raw(spark, sf_dir).where("price > 80000"))
+    hubs = load(spark, sf_dir, "nodes_gappy").select(F.col("id").alias("hub_id")).union(_fine(spark, sf_dir).select("from_id").distinct())
+    return C.isolated_hubs(hubs, _fine(spark, sf_dir))
 
 
 def drop_lazy_evidence(spark, sf_dir):
@@ -232,13 +236,13 @@ def _anchors(spark, sf_dir):
 
 
 def carry_anchor(spark, sf_dir):
-    return C.carry_anchor(_pages(spark, sf_dir).select("book", "page"), _anchors(spark, sf_dir))
+    return C.carry_anchor(_pages(spark, sf_dir).select("book", "page"), _anchors(spark, sf_dir), 64)
 
 
 def merge_spilled_text(spark, sf_dir):
     p = _pages(spark, sf_dir)
     placed = C.carry_anchor(p.select("book", "page"), _anchors(spark, sf_dir)).join(p, ["book", "page"])
-    return C.merge_spilled_text(placed).select("book", "anchor", F.md5("text").alias("digest"), F.length("text").alias("length"))
+    return C.merge_spilled_text(placed, 4).select("book", "anchor", "part", F.md5("text").alias("digest"), F.length("text").alias("length"))
 
 
 def merge_split_recipes(spark, sf_dir):
@@ -249,12 +253,12 @@ def merge_split_recipes(spark, sf_dir):
 
 def evidence_filter(spark, sf_dir):
     p = load(spark, sf_dir, "part")
-    rel = F.when(F.col("p_size") % 3 == 0, "QUY_KINH").when(F.col("p_size") % 3 == 1, "CO_TINH").otherwise("CHU_TRI_BENH")
-    text = F.concat("p_name", F.when(F.col("p_size") % 5 == 0, " suy luận").otherwise(F.concat(F.lit(" "), F.lower("p_type"))))
-    edges = p.select(F.col("p_partkey").alias("doc_id"), F.lit("VT_1").alias("from_id"), F.concat(F.lit("K_"), "p_type").alias("to_id"), rel.alias("relation_type"), text.alias("description"))
+    rel = F.when(F.col("p_size") % 4 == 0, "QUY_KINH").when(F.col("p_size") % 4 == 1, "CO_TINH").when(F.col("p_size") % 4 == 2, "CHU_TRI_BENH").otherwise("KIENG_KY")
+    said = F.when(F.col("p_size") % 5 == 0, " Suy luận").when(F.col("p_size") % 5 == 1, " dựa trên công năng").when(F.col("p_size") % 5 == 2, " có lẽ").otherwise(F.concat(F.lit(" "), F.lower("p_type")))
+    edges = p.select(F.col("p_partkey").alias("doc_id"), F.lit("VT_1").alias("from_id"), F.concat(F.lit("K_"), "p_type").alias("to_id"), rel.alias("relation_type"), F.concat("p_name", said).alias("description"))
     anchors = p.where("p_type = 'SMALL'").select(F.lower("p_type").alias("core"), F.array(F.lit("nothing")).alias("words")).distinct()
     kept, issues = C.evidence_filter(edges, anchors, keep=["economy"])
-    return kept.select("doc_id", F.lit("KEPT").alias("level")).unionByName(issues.select("doc_id", "level"))
+    return kept.select("doc_id", F.lit("KEPT").alias("level"), F.length("description").alias("length")).unionByName(issues.select("doc_id", "level", F.lit(0).alias("length")))
 
 
 def fuse_fragments(spark, sf_dir):
@@ -266,7 +270,7 @@ def fuse_fragments(spark, sf_dir):
 def join_bronze(spark, sf_dir):
     d = load(spark, sf_dir, "documents")
     suffix = F.element_at(F.array(F.lit("_bai_thuoc"), F.lit("_duoc_ly"), F.lit("_dinh_danh"), F.lit("")), (F.col("doc_id") % 4 + 1).cast("int"))
-    silver = d.where("source <> 'src3'").select(F.concat(F.col("doc_id").cast("string"), suffix, F.lit(".json")).alias("file"))
+    silver = d.select(F.concat(F.col("doc_id").cast("string"), suffix, F.lit(".json")).alias("file"))
     return C.join_bronze(silver, d.select(F.col("doc_id").cast("string").alias("doc_id"), F.md5("text").alias("digest"))).select("file", "doc_id", "digest")
 
 
@@ -343,7 +347,7 @@ _DICT = """both_rows AS (SELECT id, label, 'herb ' || name AS name, alias, 0 AS
   lookup AS (SELECT key, arg_min(id, (priority, id)) AS canonical_id FROM (SELECT lower(id) AS key, id, 0 AS priority FROM rich UNION ALL SELECT unnest(aliases), id, 1 FROM rich) GROUP BY key)"""
 _SIGN = """phrases AS (SELECT DISTINCT e.from_id AS id, lower(relation_type) || ' ' || n.name AS phrase FROM edges e JOIN nodes n ON n.id = e.to_id
     UNION SELECT e.to_id, 'of ' || lower(relation_type) || ' ' || n.name FROM edges e JOIN nodes n ON n.id = e.from_id WHERE relation_type IN ('BAO_GOM_VI_THUOC', 'CHU_TRI_BENH', 'CO_CHUA_HOAT_CHAT')),
-  signed AS (SELECT id, array_to_string(list_sort(list(phrase)), '; ') AS signature FROM phrases GROUP BY id)"""
+  signed AS (SELECT id, string_agg(phrase, '; ' ORDER BY phrase) AS signature FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY phrase) AS k FROM phrases) WHERE k <= 1000 GROUP BY id)"""
 _ENDS = "ends AS (SELECT from_id AS id FROM edges_raw UNION SELECT to_id FROM edges_raw)"
 _PAGES = """pages_of AS (SELECT source AS book, doc_id AS page, text, CASE WHEN doc_id % 7 = 0 THEN 'E' || doc_id END AS entity FROM documents),
   placed AS (SELECT *, last_value(entity IGNORE NULLS) OVER w AS anchor, last_value(CASE WHEN entity IS NOT NULL THEN page END IGNORE NULLS) OVER w AS start_page FROM pages_of WINDOW w AS (PARTITION BY book ORDER BY page ROWS UNBOUNDED PRECEDING))"""
@@ -366,7 +370,7 @@ ORACLE = {
       SELECT doc_id, count(*) AS n_proposals, sum(CASE WHEN action = 'SUA_PROPERTIES' AND price <= 60000 THEN 20 WHEN pos >= 7 THEN 20 WHEN action = 'THEM_EDGE' THEN 8 ELSE 5 END)::BIGINT AS penalty
       FROM patches WHERE NOT (action = 'THEM_EDGE' AND price > 95000) AND NOT (action = 'XOA_EDGE' AND to_id LIKE '%7') GROUP BY 1)"""),
     "drop_blacklisted": _PATCHED("SELECT doc_id, code, action, price FROM patches WHERE (doc_id, code) NOT IN (SELECT (doc_id, code) FROM patches WHERE price > 90000)"),
-    "reject_known_edges": _PATCHED("SELECT doc_id, action, from_id, to_id, relation_type, price FROM patches WHERE action <> 'THEM_EDGE' OR (from_id, to_id, relation_type) NOT IN (SELECT (from_id, to_id, relation_type) FROM edges_raw WHERE price < 50000)"),
+    "reject_known_edges": _PATCHED("SELECT doc_id, action, from_id, to_id, relation_type, price FROM patches WHERE action <> 'THEM_EDGE' OR (from_id, to_id, relation_type) NOT IN (SELECT (from_id, to_id, relation_type) FROM edges_raw)"),
     "patch_telemetry": _PATCHED("""SELECT doc_id, count(*) AS proposed, count(*) FILTER (WHERE bad) AS rejected, count(*) FILTER (WHERE NOT bad) AS applied FROM (SELECT *, (doc_id, code) IN (SELECT (doc_id, code) FROM patches WHERE price > 90000) AS bad FROM patches) GROUP BY ROLLUP (doc_id)"""),
     "relation_inventory": _edges("SELECT doc_id, relation_type, array_to_string(list_sort(list(DISTINCT to_id)), ', ') AS targets FROM edges_raw GROUP BY 1, 2"),
     "schema_violations": _edges("""SELECT relation_type, CASE WHEN relation_type IN (SELECT relation_type FROM edges) THEN 'wrong_ends' ELSE 'unknown_type' END AS kind, count(*) AS n FROM edges_raw
@@ -379,10 +383,11 @@ ORACLE = {
     "orphan_nodes": _edges(f"WITH {_ENDS} SELECT * FROM nodes_gappy WHERE id NOT IN (SELECT id FROM ends)", "nodes_gappy"),
     "inject_missing_nodes": _edges(f"""WITH {_ENDS} SELECT * FROM nodes_gappy UNION ALL SELECT id, CASE WHEN id LIKE 'BT%' THEN 'BaiThuoc' ELSE 'ViThuoc' END, split_part(id, '_', 2) FROM ends
       WHERE id NOT IN (SELECT id FROM nodes_gappy) AND (id NOT LIKE 'BT%' OR id IN (SELECT from_id FROM edges_raw WHERE relation_type = 'BAO_GOM_VI_THUOC'))""", "nodes_gappy"),
-    "collect_garbage": _edges("""WITH few AS (SELECT * FROM edges_raw WHERE price > 89000), kept AS (SELECT * FROM few WHERE from_id IN (SELECT from_id FROM few WHERE relation_type = 'BAO_GOM_VI_THUOC'))
+    "collect_garbage": _edges(f"""WITH {_FINE}, kept AS (SELECT * FROM fine WHERE from_id IN (SELECT from_id FROM fine WHERE relation_type = 'BAO_GOM_VI_THUOC'))
       SELECT id, 'node' AS kind FROM nodes_gappy WHERE id IN (SELECT from_id FROM kept UNION SELECT to_id FROM kept) UNION ALL SELECT from_id || '>' || to_id, 'edge' FROM kept""", "nodes_gappy"),
-    "isolated_hubs": _edges("""WITH few AS (SELECT * FROM edges_raw WHERE price > 80000), u AS (SELECT id AS hub_id, (SELECT max(CASE WHEN few.from_id = n.id AND relation_type IN ('CHU_TRI_BENH', 'CO_CONG_NANG') THEN 1 ELSE 0 END) FROM few WHERE few.from_id = n.id OR few.to_id = n.id) AS useful FROM nodes_gappy n)
-      SELECT hub_id, CASE WHEN useful IS NULL THEN 'ERROR' ELSE 'WARNING' END AS level, CASE WHEN useful IS NULL THEN 'ISOLATED_NODE' ELSE 'NO_TREATMENT_EDGE' END AS code FROM u WHERE coalesce(useful, 0) = 0""", "nodes_gappy"),
+    "isolated_hubs": _edges(f"""WITH {_FINE}, e AS (SELECT from_id AS id, relation_type IN ('CHU_TRI_BENH', 'CO_CONG_NANG') AS useful FROM fine UNION ALL SELECT to_id, false FROM fine), u AS (SELECT id, bool_or(useful) AS useful FROM e GROUP BY 1),
+      hubs AS (SELECT id FROM nodes_gappy UNION ALL SELECT DISTINCT from_id FROM fine)
+      SELECT h.id AS hub_id, CASE WHEN useful IS NULL THEN 'ERROR' ELSE 'WARNING' END AS level, CASE WHEN useful IS NULL THEN 'ISOLATED_NODE' ELSE 'NO_TREATMENT_EDGE' END AS code FROM hubs h LEFT JOIN u ON u.id = h.id WHERE NOT coalesce(useful, false)""", "nodes_gappy"),
     "drop_lazy_evidence": _edges("SELECT description, count(*) AS n FROM edges_raw WHERE description NOT IN ('O1', 'F2') GROUP BY 1"),
     "drop_vague_targets": _edges("SELECT relation_type, CASE WHEN to_id IN (SELECT 'VT_' || p_partkey FROM part WHERE p_size = 7) THEN 'dropped' ELSE 'kept' END AS part, count(*) AS n FROM edges_raw GROUP BY 1, 2"),
     "drop_vague_categories": _edges("""SELECT from_id, relation_type, count(*) AS n FROM edges_raw WHERE NOT (relation_type = 'CHU_TRI_BENH' AND to_id LIKE '%3' AND from_id IN (SELECT from_id FROM edges_raw WHERE relation_type = 'CHU_TRI_BENH' AND to_id NOT LIKE '%3')) GROUP BY 1, 2"""),
@@ -396,7 +401,7 @@ ORACLE = {
       SELECT coalesce(x.canonical_id, a) AS from_id, coalesce(y.canonical_id, b) AS to_id, count(*) AS n FROM e LEFT JOIN lookup x ON x.key = lower(a) LEFT JOIN lookup y ON y.key = lower(b) GROUP BY 1, 2"""),
     "knowledge_signature": oracle(("nodes", "edges"), f"WITH {_SIGN} SELECT id, md5(signature) AS signature, length(signature) AS length FROM signed"),
     "embedding_text": oracle(("nodes", "edges"), f"WITH {_SIGN} SELECT n.id, concat_ws('. ', name, label, CASE WHEN alias <> '' THEN 'aka ' || alias END, left(signature, 250)) AS text FROM nodes n LEFT JOIN signed s ON s.id = n.id"),
-    "pending_embeddings": "SELECT 'VT_' || p_partkey AS id, p_partkey IN (SELECT vec_id FROM embeddings) AS cached FROM part",
+    "pending_embeddings": oracle(("nodes",), "SELECT id, id IN (SELECT 'VT_' || vec_id FROM embeddings) AS cached FROM nodes WHERE label = 'ViThuoc'"),
     "richness_score": _edges("""WITH n AS (SELECT doc_id, count(*) FILTER (WHERE relation_type = 'CO_CONG_NANG') AS cn, count(*) FILTER (WHERE relation_type = 'CHU_TRI_BENH') AS b FROM edges_raw GROUP BY 1),
       d AS (SELECT o_orderkey AS doc_id, coalesce(cn, 0) AS cn, coalesce(b, 0) AS b, (CASE WHEN o_orderstatus = 'F' THEN 10 ELSE 0 END) + (CASE WHEN o_orderpriority LIKE '1%' THEN 5 ELSE 0 END) + (CASE WHEN o_custkey % 3 > 0 THEN 5 ELSE 0 END)
         + (CASE WHEN o_custkey % 2 > 0 THEN 5 ELSE 0 END) + (CASE WHEN o_custkey % 5 > 1 THEN 5 ELSE 0 END) + (CASE WHEN o_custkey % 4 > 0 THEN 10 ELSE 0 END) AS base FROM orders LEFT JOIN n ON n.doc_id = o_orderkey)
@@ -404,17 +409,18 @@ ORACLE = {
     "chunk_items": _edges(f"SELECT from_id, part, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT from_id, doc_id, (row_number() OVER (PARTITION BY from_id ORDER BY {_ORDER}) - 1) // 6 + 1 AS part FROM edges_raw) GROUP BY 1, 2"),
     "carry_anchor": f"WITH {_PAGES} SELECT book, page, anchor, start_page FROM placed",
     "merge_spilled_text": f"""WITH {_PAGES}, p AS (SELECT *, lag(text) OVER (PARTITION BY book, anchor ORDER BY page) AS before FROM placed WHERE anchor IS NOT NULL AND trim(text) <> ''),
-      j AS (SELECT book, anchor, string_agg(CASE WHEN before IS NULL THEN '[T' || page || ']: ' || text WHEN regexp_matches(before, '[.:!?]$') THEN chr(10) || '[T' || page || ']: ' || text ELSE ' ' || text END, '' ORDER BY page) AS t FROM p GROUP BY 1, 2)
-      SELECT book, anchor, md5(t) AS digest, length(t) AS length FROM j""",
+      j AS (SELECT book, anchor, page // 4 AS part, string_agg(CASE WHEN before IS NULL THEN '[T' || page || ']: ' || text WHEN regexp_matches(before, '[.:!?]$') THEN chr(10) || '[T' || page || ']: ' || text ELSE ' ' || text END, '' ORDER BY page) AS t FROM p GROUP BY 1, 2, 3)
+      SELECT book, anchor, part, md5(t) AS digest, length(t) AS length FROM j""",
     "merge_split_recipes": """WITH i AS (SELECT conv_id AS doc_id, turn AS pos, CASE WHEN role = 'assistant' THEN text || ' [src]' ELSE text END AS t, CASE WHEN role = 'assistant' OR contains(text, '[src]') THEN 1 ELSE 0 END AS has FROM conversations),
       g AS (SELECT *, coalesce(sum(has) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island FROM i),
       m AS (SELECT doc_id, island, string_agg(t, ' ' ORDER BY pos) AS t, min(pos) AS pos FROM g GROUP BY 1, 2) SELECT doc_id, min(pos) AS pos, md5(t) AS digest FROM m GROUP BY doc_id, t""",
-    "evidence_filter": """WITH e AS (SELECT p_partkey AS doc_id, p_type, p_size % 3 AS r, p_size % 5 = 0 AS inferred, p_size % 5 <> 0 AND p_type <> 'SMALL' OR contains(p_name, lower(p_type)) AND p_type <> 'SMALL' AS held FROM part),
-      v AS (SELECT doc_id, CASE WHEN r < 2 AND inferred THEN 'D' WHEN r = 0 AND NOT held THEN 'D' WHEN r = 1 AND NOT held THEN 'W' WHEN r = 2 AND inferred AND p_type = 'ECONOMY' THEN 'W' WHEN r = 2 AND inferred THEN 'D' ELSE 'O' END AS v FROM e)
-      SELECT doc_id, 'KEPT' AS level FROM v WHERE v <> 'D' UNION ALL SELECT doc_id, CASE WHEN v = 'D' THEN 'FIXED' ELSE 'WARNING' END FROM v WHERE v <> 'O'""",
+    "evidence_filter": """WITH e AS (SELECT p_partkey AS doc_id, p_type, p_size % 4 AS r, p_size % 5 AS i, lower(p_name) || (['suy luận', ' dựa trên công năng', ' có lẽ', ' ' || lower(p_type), ' ' || lower(p_type)])[p_size % 5 + 1] AS t,
+        length(p_name) + (CASE p_size % 5 WHEN 0 THEN 9 WHEN 1 THEN 19 WHEN 2 THEN 6 ELSE 1 + length(p_type) END) AS n FROM part),
+      v AS (SELECT *, CASE WHEN r < 2 AND i < 2 THEN 'D' WHEN r < 2 AND (p_type = 'SMALL' OR NOT contains(t, lower(p_type))) THEN CASE r WHEN 0 THEN 'D' ELSE 'W' END WHEN r = 2 AND i IN (0, 2) THEN CASE p_type WHEN 'ECONOMY' THEN 'N' ELSE 'D' END ELSE 'O' END AS v FROM e)
+      SELECT doc_id, 'KEPT' AS level, (n + CASE v WHEN 'N' THEN 31 ELSE 0 END)::INT AS length FROM v WHERE v <> 'D' UNION ALL SELECT doc_id, CASE WHEN v = 'D' THEN 'FIXED' ELSE 'WARNING' END, 0 FROM v WHERE v <> 'O'""",
     "fuse_fragments": _edges("""WITH f AS (SELECT * FROM edges_raw WHERE doc_id IN (SELECT doc_id FROM edges_raw WHERE relation_type = 'BAO_GOM_VI_THUOC'))
       SELECT doc_id, count(DISTINCT (from_id, relation_type, to_id)) AS n_edges, count(*) AS n_merged, round(max(CASE WHEN coalesce(confidence, 0) = 0 THEN 0.75 ELSE confidence END), 4) AS best FROM f GROUP BY 1"""),
-    "join_bronze": "SELECT doc_id || (['_bai_thuoc', '_duoc_ly', '_dinh_danh', ''])[doc_id % 4 + 1] || '.json' AS file, doc_id::VARCHAR AS doc_id, md5(text) AS digest FROM documents WHERE source <> 'src3'",
+    "join_bronze": "SELECT doc_id || (['_bai_thuoc', '_duoc_ly', '_dinh_danh', ''])[doc_id % 4 + 1] || '.json' AS file, doc_id::VARCHAR AS doc_id, md5(text) AS digest FROM documents",
     "hub_properties": "SELECT p_partkey::VARCHAR AS id, CASE WHEN p_size % 2 = 0 THEN p_name WHEN p_size > 10 THEN 'other' END AS name, CASE WHEN p_size > 10 AND p_size % 3 <> 0 THEN p_brand END AS brand FROM part",
     "link_attributes": "SELECT p_size AS doc_id, array_to_string(list_sort(list(DISTINCT CASE WHEN p_type = 'SMALL' THEN 'T_SMALL' ELSE 'T_' || p_type[1:3] END)), ',') AS taste FROM part GROUP BY 1",
     "merge_identity": "SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 3 > 0 AND c_acctbal > 0 THEN c_name WHEN c_custkey % 5 > 0 THEN 'second' END AS name, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS kind FROM customer WHERE c_custkey % 3 > 0 OR c_custkey % 5 > 0",
@@ -424,7 +430,7 @@ ORACLE = {
     "strip_null_words": "SELECT p_partkey, p_name || ' ' || p_type AS text FROM part",
     "label_from_prefix": oracle(("nodes",), "SELECT id, label, split_part(id, '_', 1) || '_' AS prefix, list_reduce(list_transform(string_split(lower(replace(substr(id, length(split_part(id, '_', 1)) + 2), '_', ' ')), ' '), lambda w: upper(w[1]) || w[2:]), lambda a, b: a || ' ' || b) AS name FROM nodes"),
     "normalize_prefix": oracle(("nodes",), """WITH c AS (SELECT id, split_part(id, '_', 1) || '_' AS p, upper(substr(id, length(split_part(id, '_', 1)) + 2)) AS core FROM nodes)
-      SELECT id, (CASE WHEN p = 'VT_' THEN 'VI_THUOC_' ELSE p END) || (CASE WHEN core = 'ECONOMY' THEN 'THRIFT' ELSE core END) AS same, 'CN_' || core AS as_function, p || core AS linked FROM c"""),
+      SELECT id, (CASE WHEN p = 'VT_' THEN 'VI_THUOC_' ELSE p END) || (CASE WHEN core = 'ECONOMY' THEN 'THRIFT' ELSE core END) AS same, 'CN_' || CASE WHEN p = 'NB_' THEN p ELSE '' END || core AS as_function, p || core AS linked FROM c"""),
     "clean_entity_name": "SELECT p_partkey, upper(p_name[1]) || p_name[2:] || ' x' AS name FROM part",
 }
 _NAMES = "evidence_filter fuse_fragments join_bronze hub_properties link_attributes merge_identity first_wins skip_processed merge_edges merge_nodes confidence_stats validation_score gate_summary route_quarantine rank_by_richness audit_score drop_blacklisted reject_known_edges patch_telemetry apply_patches relation_inventory schema_violations duplicate_edges direction_conflicts cycles ghost_nodes orphan_nodes inject_missing_nodes collect_garbage isolated_hubs drop_lazy_evidence drop_vague_targets drop_vague_categories orient_edges integrity_report harvest_dictionary enrich_aliases build_lookup dictionary_link knowledge_signature embedding_text pending_embeddings richness_score chunk_items carry_anchor merge_spilled_text merge_split_recipes strip_accents normalize_id clean_text strip_null_words label_from_prefix normalize_prefix clean_entity_name"

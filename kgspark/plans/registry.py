@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curation, events, ledger, retrieval
+from . import curation, events, ledger, repair, retrieval
 
-_FAMILIES = (retrieval, ledger, curation, events)
+_FAMILIES = (retrieval, ledger, curation, repair, events)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

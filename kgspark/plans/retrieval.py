@@ -10,10 +10,10 @@ from kgspark.operators import retrieve as R
 from .tables import load, oracle
 
 _MATCH = """
-  ((position(' ' IN q.{kw}) > 0 AND (position(q.{kw} IN n.name) > 0 OR position(upper(replace(q.{kw}, ' ', '_')) IN upper(n.id)) > 0))
-   OR (position(' ' IN q.{kw}) = 0 AND (upper(n.id) = upper(q.{kw}) OR position(' ' || q.{kw} || ' ' IN ' ' || n.name || ' ') > 0))
-   OR (n.label IN ('Benh', 'TrieuChung') AND position(q.{kw} IN n.alias) > 0))
-  AND q.{kw} <> ''"""
+  q.{kw} = ''
+   OR (position(' ' IN q.{kw}) > 0 AND (position(q.{kw} IN n.name) > 0 OR position(upper(replace(strip_accents(q.{kw}), ' ', '_')) IN upper(n.id)) > 0))
+   OR (position(' ' IN q.{kw}) = 0 AND (upper(n.id) = upper(strip_accents(q.{kw})) OR position(' ' || q.{kw} || ' ' IN ' ' || n.name || ' ') > 0))
+   OR (n.label IN ('Benh', 'TrieuChung') AND position(q.{kw} IN n.alias) > 0)"""
 
 
 def _hit(kw: str) -> str:
@@ -28,9 +28,8 @@ def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return load(spark, sf_dir, "nodes"), load(spark, sf_dir, "edges")
 
 
-def _questions(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
-    q = load(spark, sf_dir, "questions")
-    return q.where(F.col("kind").isin(*kinds)) if kinds else q
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "questions")
 
 
 def match_entity(spark, sf_dir):
@@ -40,17 +39,17 @@ def match_entity(spark, sf_dir):
 
 def hop_forward(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
-    return R.hop(nodes, edges, _questions(spark, sf_dir, "herb_id", "phrase"), ("CO_TINH", "CO_VI", "QUY_KINH"))
+    return R.hop(nodes, edges, _questions(spark, sf_dir), ("CO_TINH", "CO_VI", "QUY_KINH"))
 
 
 def hop_backward(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
-    return R.hop(nodes, edges, _questions(spark, sf_dir, "herb_id"), ("BAO_GOM_VI_THUOC",), "backward", "BaiThuoc")
+    return R.hop(nodes, edges, _questions(spark, sf_dir), ("BAO_GOM_VI_THUOC",), "backward", "BaiThuoc")
 
 
 def two_hop_remedy(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
-    return R.two_hop_remedy(nodes, edges, _questions(spark, sf_dir, "herb_id", "phrase"))
+    return R.two_hop_remedy(nodes, edges, _questions(spark, sf_dir))
 
 
 def check_relation(spark, sf_dir):
@@ -60,33 +59,33 @@ def check_relation(spark, sf_dir):
 
 def treatments_of(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
-    return R.treatments_of(nodes, edges, _questions(spark, sf_dir, "disease"))
+    return R.treatments_of(nodes, edges, _questions(spark, sf_dir))
 
 
 def herbs_by_attribute(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
-    return R.herbs_by_attribute(nodes, edges, _questions(spark, sf_dir, "phrase", "word"))
+    return R.herbs_by_attribute(nodes, edges, _questions(spark, sf_dir))
 
 
 def intersect_relations(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
-    q = _questions(spark, sf_dir, "phrase").withColumn("kw1", F.substring_index("kw1", " ", 1))
+    q = _questions(spark, sf_dir).withColumn("kw1", F.substring_index("kw1", " ", 1))
     return R.intersect_relations(nodes, edges, q)
 
 
 def usage_lookup(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
-    return R.usage_lookup(nodes, edges, _questions(spark, sf_dir, "remedy"))
+    return R.usage_lookup(nodes, edges, _questions(spark, sf_dir))
 
 
 def entity_overview(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
-    return R.entity_overview(nodes, edges, _questions(spark, sf_dir, "word", "disease"))
+    return R.entity_overview(nodes, edges, _questions(spark, sf_dir))
 
 
 def neighbourhood(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
-    return R.neighbourhood(nodes, edges, _questions(spark, sf_dir, "disease", "remedy"))
+    return R.neighbourhood(nodes, edges, _questions(spark, sf_dir))
 
 
 def display_nodes(spark, sf_dir):
@@ -104,7 +103,9 @@ def endpoint_ids(spark, sf_dir):
 
 
 def remedies_without_ingredients(spark, sf_dir):
-    return R.remedies_without_ingredients(load(spark, sf_dir, "edges_raw").where("price > 88000"))
+    # A supplier's orders are dealt out to many remedies with a few edges each.
+    fine = F.concat("from_id", F.lit("_"), (F.col("doc_id") % 400).cast("string"))
+    return R.remedies_without_ingredients(load(spark, sf_dir, "edges_raw").withColumn("from_id", fine))
 
 
 def constraint_intersection(spark, sf_dir):
@@ -171,49 +172,44 @@ _HITS = """hits AS (SELECT doc_id AS question_id, pos, relation_type AS relation
   price, seen_at, source_id, description FROM edges_raw)"""
 
 
-def _ask(kinds: str = "") -> str:
-    return f"asked AS (SELECT * FROM questions{f' WHERE kind IN ({kinds})' if kinds else ''})"
-
-
-def _q(sql: str, kinds: str = "", both: bool = False) -> str:
-    parts = [_ask(kinds), _hit("kw1").replace("FROM questions q", "FROM asked q")]
-    if both:
-        parts.append(_hit("kw2").replace("FROM questions q", "FROM asked q"))
-    return oracle(("nodes", "edges", "questions"), f"WITH {', '.join(parts)} {sql}")
+def _q(sql: str, both: bool = False) -> str:
+    parts = [_hit("kw1"), _hit("kw2")] if both else [_hit("kw1")]
+    return oracle(("nodes", "edges", "questions"), f"WITH asked AS (SELECT * FROM questions), {', '.join(parts)} {sql}")
 
 
 ORACLE = {
     "match_entity": _q("SELECT DISTINCT question_id AS key, id, label, name FROM kw1_hits"),
-    "hop_forward": _q(_first(f"SELECT DISTINCT question_id, h.name AS subject, relation_type AS relation, t.name AS object, e.from_id, e.to_id FROM {_FROM} WHERE relation_type IN ('CO_TINH', 'CO_VI', 'QUY_KINH')", "subject, relation, object, from_id, to_id"), "'herb_id', 'phrase'"),
-    "hop_backward": _q(_first(f"SELECT DISTINCT question_id, f.name AS subject, relation_type AS relation, h.name AS object, e.from_id, e.to_id FROM {_TO} WHERE relation_type = 'BAO_GOM_VI_THUOC' AND f.label = 'BaiThuoc'", "subject, relation, object, from_id, to_id"), "'herb_id'"),
+    "hop_forward": _q(_first(f"SELECT DISTINCT question_id, h.name AS subject, relation_type AS relation, t.name AS object, e.from_id, e.to_id FROM {_FROM} WHERE relation_type IN ('CO_TINH', 'CO_VI', 'QUY_KINH')", "subject, relation, object, from_id, to_id")),
+    "hop_backward": _q(_first(f"SELECT DISTINCT question_id, f.name AS subject, relation_type AS relation, h.name AS object, e.from_id, e.to_id FROM {_TO} WHERE relation_type = 'BAO_GOM_VI_THUOC' AND f.label = 'BaiThuoc'", "subject, relation, object, from_id, to_id")),
     "two_hop_remedy": _q(_first("""SELECT DISTINCT question_id, h.name AS subject, r.name AS remedy, t.name AS object, h.id AS herb_id, r.id AS remedy_id, t.id AS target_id
       FROM kw1_hits h JOIN edges c ON c.to_id = h.id AND c.relation_type = 'BAO_GOM_VI_THUOC'
       JOIN edges d ON d.from_id = c.from_id AND d.relation_type IN ('CHU_TRI_BENH', 'CHU_TRI_TRIEU_CHUNG')
-      JOIN nodes r ON r.id = c.from_id JOIN nodes t ON t.id = d.to_id WHERE h.label = 'ViThuoc'""", "subject, remedy, object, herb_id, remedy_id, target_id"), "'herb_id', 'phrase'"),
+      JOIN nodes r ON r.id = c.from_id JOIN nodes t ON t.id = d.to_id WHERE h.label = 'ViThuoc'""", "subject, remedy, object, herb_id, remedy_id, target_id")),
     "check_relation": _q("""SELECT question_id, question_id IN (SELECT a.question_id FROM kw1_hits a JOIN edges e ON e.from_id = a.id JOIN kw2_hits b ON b.id = e.to_id AND a.question_id = b.question_id
       WHERE relation_type IN ('CO_CHUA_HOAT_CHAT', 'CHU_TRI_BENH', 'CO_TINH')) AS found FROM asked""", both=True),
-    "treatments_of": _q(_first(f"SELECT DISTINCT question_id, CASE WHEN f.label = 'BaiThuoc' THEN 1 ELSE 2 END AS rank, f.name AS subject, relation_type AS relation, h.name AS object, e.from_id, e.to_id FROM {_TO} WHERE h.label IN ('Benh', 'TrieuChung') AND relation_type IN ('CHU_TRI_BENH', 'CHU_TRI_TRIEU_CHUNG', 'CO_CONG_NANG', 'CO_TAC_DUNG_DUOC_LY')", "rank, subject, relation, object, from_id, to_id"), "'disease'"),
-    "herbs_by_attribute": _q(_first("SELECT DISTINCT question_id, f.name AS subject, relation_type AS relation, h.name AS object, e.from_id, e.to_id FROM kw2_hits h JOIN edges e ON e.to_id = h.id JOIN nodes f ON f.id = e.from_id WHERE relation_type IN ('CO_TINH', 'CO_VI', 'QUY_KINH')", "subject, relation, object, from_id, to_id"), "'phrase', 'word'", True),
-    "intersect_relations": oracle(("nodes", "edges", "questions"), f"""WITH asked AS (SELECT question_id, kind, split_part(kw1, ' ', 1) AS kw1, kw2 FROM questions WHERE kind = 'phrase'), {_hit('kw1').replace('FROM questions q', 'FROM asked q')}, {_hit('kw2').replace('FROM questions q', 'FROM asked q')}
+    "treatments_of": _q(_first(f"SELECT DISTINCT question_id, CASE WHEN f.label = 'BaiThuoc' THEN 1 ELSE 2 END AS rank, f.name AS subject, relation_type AS relation, h.name AS object, e.from_id, e.to_id FROM {_TO} WHERE h.label IN ('Benh', 'TrieuChung') AND relation_type IN ('CHU_TRI_BENH', 'CHU_TRI_TRIEU_CHUNG', 'CO_CONG_NANG', 'CO_TAC_DUNG_DUOC_LY')", "rank, subject, relation, object, from_id, to_id")),
+    "herbs_by_attribute": _q(_first("SELECT DISTINCT question_id, f.name AS subject, relation_type AS relation, h.name AS object, e.from_id, e.to_id FROM kw2_hits h JOIN edges e ON e.to_id = h.id JOIN nodes f ON f.id = e.from_id WHERE relation_type IN ('CO_TINH', 'CO_VI', 'QUY_KINH')", "subject, relation, object, from_id, to_id"), True),
+    "intersect_relations": oracle(("nodes", "edges", "questions"), f"""WITH asked AS (SELECT question_id, kind, split_part(kw1, ' ', 1) AS kw1, kw2 FROM questions), {_hit('kw1').replace('FROM questions q', 'FROM asked q')}, {_hit('kw2').replace('FROM questions q', 'FROM asked q')}
       {_first("SELECT DISTINCT a.question_id, n.name AS subject, n.id AS from_id FROM kw1_hits a JOIN edges x ON x.to_id = a.id JOIN edges y ON y.from_id = x.from_id JOIN kw2_hits b ON b.id = y.to_id AND b.question_id = a.question_id JOIN nodes n ON n.id = x.from_id WHERE n.label = 'ViThuoc'", 'subject, from_id')}"""),
     "usage_lookup": _q(_first("""SELECT DISTINCT a.question_id, a.name AS subject, e.relation_type AS relation, b.name AS object, a.id AS a_id, b.id AS b_id
       FROM kw1_hits a JOIN (SELECT from_id AS x, to_id AS y, relation_type FROM edges UNION SELECT to_id, from_id, relation_type FROM edges) e ON e.x = a.id JOIN kw2_hits b ON b.id = e.y AND a.question_id = b.question_id
-      WHERE relation_type IN ('CHU_TRI_BENH', 'CHU_TRI_TRIEU_CHUNG', 'CO_CONG_NANG', 'CO_TAC_DUNG_DUOC_LY')""", "subject, relation, object, a_id, b_id"), "'remedy'", True),
+      WHERE relation_type IN ('CHU_TRI_BENH', 'CHU_TRI_TRIEU_CHUNG', 'CO_CONG_NANG', 'CO_TAC_DUNG_DUOC_LY')""", "subject, relation, object, a_id, b_id"), True),
     "entity_overview": _q(_first("""SELECT DISTINCT question_id, h.name AS subject, coalesce(e.relation_type, '-') AS relation, coalesce(e.to_name, '-') AS object, h.id AS from_id, coalesce(e.to_id, '-') AS to_id
-      FROM kw1_hits h LEFT JOIN (SELECT e.*, n.name AS to_name FROM edges e JOIN nodes n ON n.id = e.to_id) e ON e.from_id = h.id""", "subject, relation, object, from_id, to_id"), "'word', 'disease'"),
+      FROM kw1_hits h LEFT JOIN (SELECT e.*, n.name AS to_name FROM edges e JOIN nodes n ON n.id = e.to_id) e ON e.from_id = h.id""", "subject, relation, object, from_id, to_id")),
 }
 _NEAR = _first("""SELECT DISTINCT q.question_id, a.name AS source, b.name AS target, e.relation_type AS relation, a.id AS a_id, b.id AS b_id
       FROM asked q JOIN kw1_hits a ON a.question_id = q.question_id AND position(q.kw1 IN a.name) > 0
       JOIN (SELECT from_id AS x, to_id AS y, relation_type FROM edges UNION ALL SELECT to_id, from_id, relation_type FROM edges) e ON e.x = a.id JOIN nodes b ON b.id = e.y""", "source, target, relation, a_id, b_id", 40)
 ORACLE |= {
-    "neighbourhood": _q(_NEAR, "'disease', 'remedy'"),
-    "display_nodes": _q(f"""SELECT question_id, id, name, min(grp) AS grp FROM (SELECT question_id, a_id AS id, source AS name, 1 AS grp FROM ({_NEAR}) UNION ALL SELECT question_id, b_id, target, 2 FROM ({_NEAR})) GROUP BY 1, 2, 3""", "'disease', 'remedy'"),
-    "negative_pairs": oracle(("nodes", "edges"), """WITH c AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS number FROM nodes WHERE label = 'HoatChat'),
-      d AS (SELECT DISTINCT h.id AS herb_id, c.id AS compound_id FROM (SELECT id, unnest([1, 2, 3]) AS k FROM nodes WHERE label = 'ViThuoc') h
-            JOIN c ON c.number = ('0x' || substr(md5('42:' || h.id || ':' || h.k), 1, 8))::BIGINT % (SELECT count(*) FROM c))
+    "neighbourhood": _q(_NEAR),
+    "display_nodes": _q(f"""SELECT question_id, id, name, min(grp) AS grp FROM (SELECT question_id, a_id AS id, source AS name, 1 AS grp FROM ({_NEAR}) UNION ALL SELECT question_id, b_id, target, 2 FROM ({_NEAR})) GROUP BY 1, 2, 3"""),
+    "negative_pairs": oracle(("nodes", "edges"), """WITH s AS (SELECT id, ('0x' || substr(md5('42:' || id), 1, 8))::BIGINT % 64 AS slot FROM nodes WHERE label = 'HoatChat'),
+      c AS (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY id) - 1 AS number, count(*) OVER (PARTITION BY slot) AS size FROM s),
+      h AS (SELECT id, md5('42:' || id || ':' || k) AS d FROM (SELECT id, unnest([1, 2, 3]) AS k FROM nodes WHERE label = 'ViThuoc')),
+      d AS (SELECT DISTINCT h.id AS herb_id, c.id AS compound_id FROM h JOIN c ON c.slot = ('0x' || d[1:8])::BIGINT % 64 AND c.number = ('0x' || d[9:16])::BIGINT % c.size)
       SELECT * FROM d WHERE (herb_id, compound_id) NOT IN (SELECT (from_id, to_id) FROM edges WHERE relation_type = 'CO_CHUA_HOAT_CHAT')"""),
     "endpoint_ids": oracle(("edges",), "SELECT from_id AS id FROM edges UNION SELECT to_id FROM edges"),
-    "remedies_without_ingredients": oracle(("edges_raw",), "SELECT from_id AS remedy_id FROM edges_raw WHERE price > 88000 AND relation_type = 'CHU_TRI_BENH' EXCEPT SELECT from_id FROM edges_raw WHERE price > 88000 AND relation_type = 'BAO_GOM_VI_THUOC'"),
+    "remedies_without_ingredients": oracle(("edges_raw",), "WITH fine AS (SELECT from_id || '_' || doc_id % 400 AS remedy_id, relation_type FROM edges_raw) SELECT remedy_id FROM fine WHERE relation_type = 'CHU_TRI_BENH' EXCEPT SELECT remedy_id FROM fine WHERE relation_type = 'BAO_GOM_VI_THUOC'"),
     "constraint_intersection": oracle(("edges",), "SELECT from_id FROM edges WHERE relation_type = 'CO_TINH' AND to_id = 'T_ECONOMY' INTERSECT SELECT from_id FROM edges WHERE relation_type = 'QUY_KINH' AND to_id = 'K_3'"),
     "facts_per_entity": oracle(("nodes", "edges"), "SELECT e.from_id, e.relation_type, list_sort(list(DISTINCT t.name))[1:5] AS facts FROM edges e JOIN nodes s ON s.id = e.from_id AND s.label = 'BaiThuoc' JOIN nodes t ON t.id = e.to_id GROUP BY 1, 2"),
     "multi_constraint_groups": oracle(("nodes", "edges"), """SELECT a.to_id AS first_id, b.to_id AS second_id, count(DISTINCT a.from_id) AS n_herbs, list_sort(list(DISTINCT n.name))[1:10] AS herbs

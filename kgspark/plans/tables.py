@@ -28,6 +28,8 @@ UNION ALL SELECT 'VT_' || CAST(p_partkey AS STRING), 'CO_CHUA_HOAT_CHAT', 'HC_'
 UNION ALL SELECT DISTINCT 'BT_' || CAST(l_suppkey AS STRING), 'BAO_GOM_VI_THUOC', 'VT_' || CAST(l_partkey AS STRING) FROM lineitem
 UNION ALL SELECT 'BT_' || CAST(s_suppkey AS STRING), 'CHU_TRI_BENH', 'B_' || CAST(s_nationkey AS STRING) FROM supplier
 UNION ALL SELECT 'B_' || CAST(n_nationkey AS STRING), 'THUOC_NHOM_BENH', 'NB_' || CAST(n_regionkey AS STRING) FROM nation
+UNION ALL SELECT DISTINCT 'VT_NHAN_SAM_' || CAST(p_size AS STRING), 'CO_TINH', 'T_' || p_type FROM part
+UNION ALL SELECT 'BT_' || CAST(s_suppkey AS STRING), 'BAO_GOM_VI_THUOC', 'VT_NHAN_SAM_' || CAST(s_suppkey % 50 + 1 AS STRING) FROM supplier
 """
 NODES = """
 SELECT 'VT_' || CAST(p_partkey AS STRING) AS id, 'ViThuoc' AS label, lower(p_name) AS name, lower(p_type) AS alias FROM part
@@ -37,6 +39,7 @@ UNION ALL SELECT 'NB_' || CAST(r_regionkey AS STRING), 'NhomBenh', lower(r_name)
 UNION ALL SELECT DISTINCT 'T_' || p_type, 'TinhVi', lower(p_type), '' FROM part
 UNION ALL SELECT DISTINCT 'V_' || replace(p_brand, '#', '_'), 'TinhVi', lower(p_brand), '' FROM part
 UNION ALL SELECT DISTINCT 'K_' || CAST(p_size % 12 AS STRING), 'KinhMach', 'meridian ' || CAST(p_size % 12 AS STRING), '' FROM part
+UNION ALL SELECT DISTINCT 'VT_NHAN_SAM_' || CAST(p_size AS STRING), 'ViThuoc', 'ginseng ' || CAST(p_size AS STRING), '' FROM part
 UNION ALL SELECT DISTINCT 'HC_' || w, 'HoatChat', w, '' FROM (SELECT split_part(p_name, ' ', 1) AS w FROM part UNION SELECT split_part(p_name, ' ', 2) FROM part) AS words
 """
 NODES_GAPPY = """
@@ -56,6 +59,7 @@ SELECT dense_rank() OVER (ORDER BY kind, kw1, kw2) AS question_id, kind, kw1, kw
   UNION SELECT DISTINCT 'word', split_part(lower(p_name), ' ', 2), lower(p_brand) FROM part
   UNION SELECT DISTINCT 'remedy', lower(s_name), lower(n_name) FROM supplier JOIN nation ON s_nationkey = n_nationkey
   UNION SELECT DISTINCT 'disease', lower(n_name), '' FROM nation
+  UNION SELECT DISTINCT 'accent', 'nhân sâm ' || CAST(p_size AS STRING), lower(p_type) FROM part
   UNION SELECT DISTINCT 'herb_id', 'vt_' || CAST(p_partkey AS STRING), 'hc_' || split_part(lower(p_name), ' ', 1) FROM part
 ) AS q
 """

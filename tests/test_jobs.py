@@ -36,8 +36,8 @@ def test_accents_and_ids(spark):
 
 
 def test_attribute_ids(spark):
-    given = ["T_T_ON", "V_CAY_CAY", "T_CAY", "T_CAY_ON", "T_KHONG_DOC", "K_TAM_BAO", "k_kinh_than", "V_VI_NGOT", "T_ON"]
-    assert column(spark, given, T.clean_attribute_id) == ["T_ON", "V_CAY", "V_CAY", "T_ON", None, "K_TAM_BAO", "K_THAN", "V_NGOT", "T_ON"]
+    given = ["T_T_ON", "V_CAY_CAY", "T_CAY", "T_CAY_ON", "T_KHONG_DOC", "K_TAM_BAO", "k_kinh_than", "V_VI_NGOT", "T_ON", None, "V_HAM", "K_DAN", "T_AN_THAN", "K_VI", "V_THAO_QUA", "v cay"]
+    assert column(spark, given, T.clean_attribute_id) == ["T_ON", "V_CAY", "V_CAY", "T_ON", None, "K_TAM_BAO", "K_THAN", "V_NGOT", "T_ON", None, "V_HAM", "K_DAN", None, "K_VI", None, "V_CAY"]
 
 
 def test_texts(spark):
@@ -144,12 +144,45 @@ def test_matching(spark):
     nodes = spark.createDataFrame([("VT_1", "ViThuoc", "red ginger", ""), ("VT_2", "ViThuoc", "gingerbread", ""), ("B_1", "Benh", "cough", "dry cough, hoarse")], "id string, label string, name string, alias string")
     asked = spark.createDataFrame([(1, "ginger"), (2, "vt_2"), (3, "d ging"), (4, "arse"), (5, ""), (6, "dry cough")], "key int, keyword string")
     got = sorted((r.key, r.id) for r in R.match_entities(nodes, asked).collect())
-    assert got == [(1, "VT_1"), (2, "VT_2"), (3, "VT_1"), (4, "B_1"), (6, "B_1")]
+    assert got == [(1, "VT_1"), (2, "VT_2"), (3, "VT_1"), (4, "B_1"), (5, "B_1"), (5, "VT_1"), (5, "VT_2"), (6, "B_1")]
     assert R.match_entity(nodes, "").count() == 3 and R.match_entity(nodes, "Ginger").count() == 1
     one = R.split_usage_question(spark.createDataFrame([(1, "gừng chữa ho", None)], "question_id int, kw1 string, kw2 string")).first()
     assert (one.kw1, one.kw2) == ("gừng", "ho")
 
 
+def test_accented_keywords_match_ids(spark):
+    nodes = spark.createDataFrame([("VT_ICH_MAU", "ViThuoc", "motherwort", None), ("T_ON", "TinhVi", "warm", "")], "id string, label string, name string, alias string")
+    asked = spark.createDataFrame([(1, "ích mẫu"), (2, "t_ôn"), (3, "đ"), (4, None)], "key int, keyword string")
+    assert sorted((r.key, r.id) for r in R.match_entities(nodes, asked).collect()) == [(1, "VT_ICH_MAU"), (2, "T_ON")]
+    assert R.match_entity(nodes, "Ích mẫu").count() == 1
+
+
+def test_two_hop_rows_of_equal_names(spark):
+    """Herbs that share a name share the places of their rows."""
+    nodes = spark.createDataFrame([(f"VT_{i}", "ViThuoc", f"herb {i // 3}", "") for i in range(9)] + [(f"BT_{i}", "BaiThuoc", f"r{i % 4}", "") for i in range(12)] + [("B_1", "Benh", "ill", "")], "id string, label string, name string, alias string")
+    rng = random.Random(1)
+    rows = {(f"BT_{rng.randrange(12)}", "BAO_GOM_VI_THUOC", f"VT_{rng.randrange(9)}") for _ in range(60)} | {(f"BT_{i}", "CHU_TRI_BENH", "B_1") for i in range(0, 12, 2)}
+    asked = spark.createDataFrame([(1, "herb", ""), (2, "vt_4", "")], "question_id int, kw1 string, kw2 string")
+    name, want = {r.id: r.name for r in nodes.collect()}, []
+    for q, ok in ((1, lambda i: True), (2, lambda i: i == "VT_4")):
+        found = sorted((name[h], name[b], "ill", h, b, "B_1") for b, kind, h in rows if kind[0:3] == "BAO" and (b, "CHU_TRI_BENH", "B_1") in rows and ok(h))
+        want += [(q, *f) for f in found[:5]]
+    out = R.two_hop_remedy(nodes, spark.createDataFrame(sorted(rows), "from_id string, relation_type string, to_id string"), asked, 5)
+    assert sorted(tuple(r) for r in out.collect()) == sorted(want)
+
+
+def test_cycles_by_one_walk():
+    rng = random.Random(5)
+    for _ in range(200):
+        out = {}
+        for _ in range(rng.randint(0, 14)):
+            out.setdefault(str(rng.randrange(8)), []).append(str(rng.randrange(8)))
+        reach = {n: set(out[n]) for n in out}
+        for _ in range(8):
+            reach = {n: r.union(*(reach.get(m, set()) for m in r)) for n, r in reach.items()}
+        assert sorted(C._on_cycles(out)) == sorted(n for n in out if n in reach[n])
+
+
 def test_ledger(spark):
     rows = [(1, 1, "out", 5.0, False, 1), (2, 1, "in", 10.0, False, 2), (3, 1, "out", 10.0, False, 3), (4, 1, "in", 3.0, False, 4), (5, 1, "out", 4.0, False, 5), (6, 1, "out", 4.0, True, 6), (7, 2, "out", 1.0, True, 1)]
     df = spark.createDataFrame(rows, "id long, user_id long, type string, amount double, forced boolean, created_at long")
