@@ -14,8 +14,9 @@ from .tokens import tokenizer, vocabulary
 
 CAPACITY = 2048
 END_ID = 0
-#: Pieces that one task packs; more make no measurable difference to the number of sequences.
+#: Pieces that one task packs at once, and how many groups' emptiest sequences the next round packs together.
 GROUP_PIECES = 8192
+JOINED_GROUPS = 64
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -72,109 +73,179 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = 2000) -> list[list[int]]:
-    """Empty underfull bins by exchanges that increase the sum of squared fills.
-
-    Between the emptiest bin and the other underfull ones: move an item, exchange one for one (a longer item
-    leaves, a shorter one comes), or one for two that are shorter together. Each step makes the fuller
-    bin fuller, so the squared fill grows and the emptiest bin runs dry; it ends when the words left could not
-    fill one bin less, or no step helps.
-    """
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    least = -(-sum(fill) // capacity)
-    live = sum(1 for f in fill if f)
-    stuck: set[int] = set()
-    for _ in range(rounds):
-        if live <= least:
-            break
-        open_bins = [b for b in range(len(bins)) if 0 < fill[b] < capacity]
-        sources = [b for b in open_bins if b not in stuck]
-        if len(open_bins) < 2 or not sources:
-            break
-        a = min(sources, key=lambda b: fill[b])
-        changed = False
-        for b in sorted((b for b in open_bins if b != a and fill[b] >= fill[a]), key=lambda b: -fill[b])[:256]:
-            space = capacity - fill[b]
-            mine = {lengths[i]: i for i in bins[a]}
-            # Move the longest item that fits.
-            fits = [n for n in mine if n <= space]
-            if fits:
-                i = mine[max(fits)]
-                bins[a].remove(i)
-                bins[b].append(i)
-                fill[a] -= lengths[i]
-                fill[b] += lengths[i]
-                changed = True
+def bound(lengths: np.ndarray, capacity: int) -> int:
+    """No packing has fewer bins: what all items fill, or those that can't share a bin with another such one."""
+    return max(-(-int(lengths.sum()) // capacity), int((2 * lengths > capacity).sum()))
+
+
+class Search:
+    """Bins while items move between them. Each step takes from a bin and makes a fuller one fuller, so the sum of squared fills
+    grows."""
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
+        self.n = np.asarray(lengths, dtype=np.int64)
+        self.bin_of = np.empty(len(self.n), dtype=np.int64)
+        for b, items in enumerate(bins):
+            self.bin_of[items] = b
+        self.fill = np.bincount(self.bin_of, weights=self.n, minlength=len(bins)).astype(np.int64)
+        self.capacity = capacity
+
+    def _put(self, item, b: int) -> None:
+        np.subtract.at(self.fill, self.bin_of[item], self.n[item])
+        self.bin_of[item] = b
+        self.fill[b] += self.n[item].sum()
+
+    def _room(self, a: int) -> np.ndarray:
+        """Room of the bins that a may give to, which are those as full as itself or fuller; 0 for all others."""
+        room = np.where(self.fill >= self.fill[a], self.capacity - self.fill, 0)
+        room[a] = 0
+        return room
+
+    def _sums(self, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sums, pairs) of two items of one bin each; one pair for each bin and sum."""
+        items = items[np.lexsort((self.n[items], self.bin_of[items]))]
+        first, second = [], []
+        for shift in range(1, len(items)):
+            same = np.flatnonzero(self.bin_of[items[shift:]] == self.bin_of[items[:-shift]])
+            if not len(same):
                 break
-            # One for one, or one for two: what b gains is the difference, as close to its space as can be.
-            theirs = {lengths[j]: j for j in bins[b]}
-            best = None
-            short = sorted(theirs)
-            for n, i in mine.items():
-                for x in short:
-                    if x >= n:
-                        break
-                    if 0 < n - x <= space and (best is None or n - x > best[0]):
-                        best = (n - x, i, [theirs[x]])
-                for p, j in enumerate(bins[b]):
-                    for k in bins[b][p + 1 :]:
-                        gain = n - lengths[j] - lengths[k]
-                        if 0 < gain <= space and (best is None or gain > best[0]):
-                            best = (gain, i, [j, k])
-            if best:
-                gain, i, back = best
-                bins[a].remove(i)
-                bins[b].append(i)
-                for j in back:
-                    bins[b].remove(j)
-                    bins[a].append(j)
-                fill[a] -= gain
-                fill[b] += gain
-                changed = True
+            first.append(items[same])
+            second.append(items[same + shift])
+        if not first:
+            return np.zeros(0, dtype=np.int64), np.zeros((0, 2), dtype=np.int64)
+        pairs = np.stack((np.concatenate(first), np.concatenate(second)), axis=1)
+        return self.n[pairs].sum(axis=1), pairs
+
+    def _exchange(self, a: int, mine: np.ndarray, mine_size: np.ndarray, theirs: np.ndarray, their_size: np.ndarray, room: np.ndarray) -> bool:
+        """The exchange between a and another bin after which the squared fill has grown most; rows of mine and theirs change places."""
+        where = self.bin_of[theirs[:, 0]]
+        most, best = 0, None
+        for k in np.unique(mine_size, return_index=True)[1]:
+            d = mine_size[k] - their_size
+            gain = np.where((d > 0) & (d <= room[where]), d * (self.fill[where] - self.fill[a] + d), 0)
+            j = int(gain.argmax()) if len(gain) else 0
+            if len(gain) and gain[j] > most:
+                most, best = gain[j], (k, j)
+        if best is None:
+            return False
+        k, j = best
+        b = int(where[j])
+        self._put(mine[k], b)
+        self._put(theirs[j], a)
+        return True
+
+    def step(self, a: int) -> bool:
+        """Move an item of bin a into the bin that it fits best; else exchange one for one, else one for two or two for one."""
+        mine = np.flatnonzero(self.bin_of == a)
+        mine = mine[np.argsort(-self.n[mine], kind="stable")]
+        room = self._room(a)
+        most = int(room.max(initial=0))
+        fits = mine[self.n[mine] <= most]
+        if len(fits):
+            left = room - self.n[fits[0]]
+            self._put(fits[:1], int(np.where(left >= 0, left, self.capacity).argmin()))
+            return True
+        if not most:
+            return False
+        theirs = np.flatnonzero(room[self.bin_of] > 0)
+        if self._exchange(a, mine[:, None], self.n[mine], theirs[:, None], self.n[theirs], room):
+            return True
+        sums, pairs = self._sums(theirs)
+        if self._exchange(a, mine[:, None], self.n[mine], pairs, sums, room):
+            return True
+        sums, pairs = self._sums(mine)
+        return bool(len(sums)) and self._exchange(a, pairs, sums, theirs[:, None], self.n[theirs], room)
+
+    def drain(self, a: int) -> bool:
+        """Steps until bin a is empty, which is returned, or none helps."""
+        while self.fill[a] > 0 and self.step(a):
+            pass
+        return self.fill[a] == 0
+
+    def run(self) -> None:
+        """Drain the emptiest bins, again and again, until there are as few as can be or a pass over all empties none.
+
+        Then the emptiest bin gives what it can once more, so what is free comes together in it.
+        """
+        least = bound(self.n, self.capacity)
+        emptied = True
+        while emptied:
+            emptied = False
+            for a in np.argsort(self.fill, kind="stable"):
+                if np.count_nonzero(self.fill) <= least:
+                    break
+                if 0 < self.fill[a] < self.capacity:
+                    emptied |= self.drain(int(a))
+            if np.count_nonzero(self.fill) <= least:
                 break
-        if not changed:
-            stuck.add(a)
-        elif not fill[a]:
-            live -= 1
-            stuck.clear()
-    return [b for b in bins if b]
+        some = np.flatnonzero(self.fill)
+        if len(some):
+            self.drain(int(some[self.fill[some].argmin()]))
+
+
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Bins after the search, the emptiest one last."""
+    if not bins:
+        return []
+    search = Search(bins, lengths, capacity)
+    search.run()
+    order = np.argsort(search.bin_of, kind="stable")
+    edges = np.searchsorted(search.bin_of[order], np.arange(len(bins) + 1))
+    out = [order[i:j].tolist() for i, j in zip(edges, edges[1:]) if j > i]
+    return sorted(out, key=lambda b: -int(search.n[b].sum()))
 
 
 def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return local_search(best_fit(lengths, capacity), lengths, capacity)
 
 
-_PACKED = pa.schema([*_PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64())])
+_PACKED = pa.schema([*_PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64()), ("spare", pa.bool_()), ("grp", pa.int64())])
+_PACKED_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, spare boolean, grp long"
 
 
-def _pack(capacity: int):
+def _pack(capacity: int, level: int, last: bool):
     def run(part: pa.Table) -> pa.Table:
         part = part.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         lengths = part.column("length").to_pylist()
-        base = part.column("grp")[0].as_py() << 32
-        sequence, offset = [0] * len(lengths), [0] * len(lengths)
-        for b, items in enumerate(pack_lengths(lengths, capacity)):
+        grp = part.column("grp")[0].as_py()
+        base = level << 60 | grp << 20
+        sequence, offset, spare = [0] * len(lengths), [0] * len(lengths), [False] * len(lengths)
+        bins = pack_lengths(lengths, capacity)
+        for b, items in enumerate(bins):
+            # The emptiest sequence meets those of other groups, unless it is full.
+            release = not last and b == len(bins) - 1 and sum(lengths[i] for i in items) < capacity
             at = 0
             for i in items:
-                sequence[i], offset[i] = base + b, at
+                sequence[i], offset[i], spare[i] = base + b, at, release
                 at += lengths[i]
-        out = part.select(_PIECES.names).append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
-        return out.cast(_PACKED)
+        columns = (pa.array(sequence, pa.int64()), pa.array(offset, pa.int64()), pa.array(spare), pa.array([grp] * len(lengths), pa.int64()))
+        return pa.table([*(part.column(c) for c in _PIECES.names), *columns], names=_PACKED.names).cast(_PACKED)
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str = "", capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str = "", capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, joined: int = JOINED_GROUPS) -> DataFrame:
     """One row per piece of a document with its place in a sequence of at most capacity tokens.
 
     docs: doc_id (long) and text; other columns are left unread. A document is its whole text's ids and an end id
-    (null and empty texts: the end id alone); only documents longer than a sequence are cut. Pieces are dealt to groups
-    of about group_pieces by their hash and each group is packed by itself, so memory is bounded and groups
-    don't meet; a group wastes less than a sequence. Repeated rows are packed as often as they are there.
-    An empty table gives no rows. Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    (null and empty texts: the end id alone); only documents longer than a sequence are cut. Repeated rows are packed as often as
+    they are there. An empty table gives no rows. Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Pieces are dealt to groups of about group_pieces by their row, so equal ones are dealt out too; each group is packed by itself: best
+    fit, longest first, then the local search. The emptiest sequence of each of `joined` groups goes into a group of the next
+    round, until one group is left, so all of them together waste what one does.
     """
     cut = materialize(pieces(docs, tokenizer_path, capacity))
     groups = max(1, round(cut.count() / group_pieces))
-    dealt = cut.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return dealt.groupBy("grp").applyInArrow(_pack(capacity), schema)
+    todo = cut.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    done, level = None, 0
+    while True:
+        last = groups == 1
+        packed = todo.groupBy("grp").applyInArrow(_pack(capacity, level, last), _PACKED_SQL)
+        packed = packed if last else materialize(packed)
+        fixed = packed.where(~F.col("spare")).drop("spare", "grp")
+        done = fixed if done is None else done.unionByName(fixed)
+        if last:
+            return done
+        groups, level = -(-groups // joined), level + 1
+        todo = packed.where("spare").select(*_PIECES.names, F.floor(F.col("grp") / joined).cast("long").alias("grp"))

@@ -309,6 +309,43 @@ def test_local_search_empties_bins():
     assert len(better) == 3 and all(sum(lengths[i] for i in b) <= 10 for b in better)
 
 
+def test_local_search_lowers_the_number_of_sequences():
+    """Where best fit alone stays above the bound; each step makes the sum of squared fills larger."""
+    rng = random.Random(4)
+    for low, high in ((600, 1300), (300, 900)):
+        lengths = [rng.randint(low, high) for _ in range(2000)]
+        first = packing.best_fit(lengths, 2048)
+        assert len(packing.local_search(first, lengths, 2048)) < len(first)
+        search = packing.Search(first, lengths, 2048)
+        squares = [int((search.fill**2).sum())]
+        for a in np.argsort(search.fill)[:30]:
+            while search.fill[a] and search.step(int(a)):
+                squares.append(int((search.fill**2).sum()))
+                assert search.fill.max() <= 2048
+        assert len(squares) > 10 and all(x < y for x, y in zip(squares, squares[1:]))
+        assert (search.fill == np.bincount(search.bin_of, weights=lengths, minlength=len(first))).all()
+
+
+def test_two_for_one():
+    """Only an exchange of one item for two of another bin fills that bin up."""
+    search = packing.Search([[0], [1, 2, 3]], [7, 3, 3, 2], 10)
+    assert search.step(0) and search.fill.tolist() == [5, 10] or search.fill.tolist() == [6, 9]
+    search = packing.Search([[0, 1], [2, 3]], [4, 4, 7, 2], 10)
+    assert search.step(0) and sorted(search.fill.tolist()) == [7, 10]
+
+
+def test_groups_share_what_is_left(spark):
+    """Many small groups end with hardly more sequences than one; equal rows don't land in one group."""
+    rng = random.Random(2)
+    data = [(i, prose(rng, rng.randint(1, 60))) for i in range(600)] + [(None, "one two three")] * 600
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    packed = packing.pack(df, capacity=128, group_pieces=40, joined=3).collect()
+    assert len(packed) >= 1200 and Counter(r.doc_id for r in packed)[None] == 600
+    n, total = check_packing(packed, 128), sum(r.length for r in packed)
+    assert n <= 1.03 * total / 128 + 2
+    assert len({r.sequence_id for r in packed if r.doc_id is None}) > 15
+
+
 def test_best_fit_is_near_the_bound():
     rng = random.Random(1)
     for high in (300, 1500, 2048):
