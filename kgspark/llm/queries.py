@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +29,9 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities", "kinds")
+    """The key is the session's spark.kgspark.surrogates.key; without one each run draws its own."""
+    key = spark.conf.get("spark.kgspark.surrogates.key", None) or secrets.token_hex(32)
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), key).select("doc_id", "text", "n_entities", "kinds")
 
 
 def op6_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
