@@ -16,21 +16,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """A temporary folder, for a session of one machine alone."""
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    return tempfile.mkdtemp(prefix="spark-shared-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset."""
+    """The folder that spark.checkpoint.dir names; where it is unset, as in local tests, a temporary one."""
     sc = spark.sparkContext
-    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-shared-")
+    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or _own_folder(spark)
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the cluster's shared folder.
-
-    The folder is what spark.checkpoint.dir names; only where it is unset, as in
-    local tests, a temporary one is set.
-    """
+    """Cut the lineage with a checkpoint in the cluster's shared folder (see shared_folder)."""
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        sc.setCheckpointDir(_own_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -25,6 +25,8 @@ TRIGGER = 20
 REACH = LENGTH - TRIGGER
 #: Bytes of text whose phrases one bucket takes, on average.
 BUCKET_BYTES = 16_000_000
+#: A trigger with more different phrases than this in a slice of the input is hot: its strings are dealt out one by one.
+HOT = 32
 _GAP = 256  # stands between documents, so no string crosses them
 _AT_ONCE = 1 << 18
 _LEFT, _RIGHT = 64, 192
@@ -151,8 +153,12 @@ def string_hashes(phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 # --- dealing out and matching -------------------------------------------------------------------
 
-_DEALT = pa.schema([("bucket", pa.int32()), ("settled", pa.bool_()), ("payload", pa.binary())])
-_DEALT_SQL = "bucket int, settled boolean, payload binary"
+#: What a dealt row holds: records of triggers, finished marks, hashes of hot triggers; later open triggers, or single strings.
+RECORDS, FINISHED, HOT_KEYS, STRINGS = 0, 1, 2, 3
+#: Marks of a trigger: four times its position and what is known of it.
+REPEAT, OPEN, HOT_OPEN = 0, 1, 2
+_DEALT = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("payload", pa.binary())])
+_DEALT_SQL = "bucket int, kind tinyint, payload binary"
 _MARKS = pa.schema([("doc_id", pa.int64()), ("marks", pa.list_(pa.int64()))])
 _MARKS_SQL = "doc_id long, marks array<long>"
 
@@ -208,25 +214,46 @@ def _settle(key: np.ndarray, second: np.ndarray, doc: np.ndarray):
     return order, repeats, ~repeats & mixed[group]
 
 
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (key >> np.uint64(20)) % np.uint64(buckets)
+
+
+def _by_bucket(kind: int, key: np.ndarray, buckets: int, payload) -> list[tuple]:
+    """A row for each bucket that some keys go to; payload(places) makes its bytes."""
+    bucket = _bucket(key, buckets)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+    return [(int(b), kind, payload(order[edges[int(b)] : edges[int(b) + 1]])) for b in np.unique(bucket)]
+
+
+def _finished(doc: np.ndarray, marks: np.ndarray, buckets: int) -> list[tuple]:
+    """Rows of marks that are known already; any bucket may carry them."""
+    if not len(doc):
+        return []
+    order = np.argsort(doc, kind="stable")
+    cut = np.array_split(order, max(1, min(buckets, len(order) // 4096)))
+    return [(int(doc[c[0]] % buckets), FINISHED, doc[c].astype("<i8").tobytes() + marks[c].astype("<i8").tobytes()) for c in cut]
+
+
 def _deal(key, second, doc, pos, buckets: int):
-    """Records of one slice by bucket. What the slice itself settles goes along as finished marks."""
+    """Records of one slice by bucket. What the slice itself settles goes along as finished marks.
+
+    A trigger that is hot here sends its hash alone; its records are open ones that needn't meet.
+    """
     order, repeats, _ = _settle(key, second, doc)
     settled = order[repeats]
     keep = np.ones(len(key), dtype=bool)
     keep[settled] = False
-    out = []
-    if len(settled):
-        settled = settled[np.argsort(doc[settled], kind="stable")]
-        # These already know their documents; any bucket may carry them.
-        cut = np.array_split(settled, max(1, min(buckets, len(settled) // 4096)))
-        out += [(int(doc[c[0]] % buckets), True, doc[c].astype("<i8").tobytes() + pos[c].astype("<i8").tobytes()) for c in cut]
+    out = _finished(doc[settled], pos[settled] * 4 + REPEAT, buckets)
     key, second, doc, pos = key[keep], second[keep], doc[keep], pos[keep]
-    bucket = (key >> np.uint64(20)) % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-    for b in np.unique(bucket):
-        part = order[edges[int(b)] : edges[int(b) + 1]]
-        out.append((int(b), False, _rows(key[part], second[part], doc[part], pos[part])))
+    own, place, n = np.unique(key, return_inverse=True, return_counts=True)
+    hot = (n > HOT)[place]
+    if hot.any():
+        out += _finished(doc[hot], pos[hot] * 4 + HOT_OPEN, buckets)
+        known = own[n > HOT]
+        out += _by_bucket(HOT_KEYS, known, buckets, lambda at: _six(known[at]))
+        key, second, doc, pos = key[~hot], second[~hot], doc[~hot], pos[~hot]
+    out += _by_bucket(RECORDS, key, buckets, lambda at: _rows(key[at], second[at], doc[at], pos[at]))
     return batch_of(_DEALT, *map(list, zip(*out))) if out else None
 
 
@@ -256,21 +283,34 @@ def _by_document(part: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(doc[edge]), "marks": pa.ListArray.from_arrays(offsets, pa.array(marks))}, schema=_MARKS)
 
 
+def _payloads(part: pa.Table, kind: int) -> list[bytes]:
+    return part.filter(pc.equal(part.column("kind"), kind)).column("payload").to_pylist()
+
+
+def _marks_in(part: pa.Table) -> tuple[list, list]:
+    both = [np.frombuffer(p, dtype="<i8").reshape(2, -1) for p in _payloads(part, FINISHED)]
+    return [b[0] for b in both], [b[1] for b in both]
+
+
 def _match_phrases(part: pa.Table, groups: int) -> pa.Table:
-    """A bucket's records -> marks by document: 2 * position for a repeat, 2 * position + 1 for an open one."""
-    done = part.filter(part.column("settled")).column("payload").to_pylist()
-    rest = part.filter(pc.invert(part.column("settled"))).column("payload").to_pylist()
-    docs, marks = [], []
-    for p in done:
-        both = np.frombuffer(p, dtype="<i8").reshape(2, -1)
-        docs.append(both[0])
-        marks.append(both[1] * 2)
-    if rest:
+    """A bucket's records -> marks by document. Of a trigger that is hot in some slice all that don't repeat are open."""
+    docs, marks = _marks_in(part)
+    if rest := _payloads(part, RECORDS):
         key, second, doc, pos = _read(rest)
         order, repeats, is_open = _settle(key, second, doc)
-        for flags, bit in ((repeats, 0), (is_open, 1)):
-            docs.append(doc[order[flags]])
-            marks.append(pos[order[flags]] * 2 + bit)
+        hot = np.zeros(len(key), dtype=bool)
+        if known := _payloads(part, HOT_KEYS):
+            # Equal lower bits of different hashes only make more triggers hot.
+            hot = np.isin(key, np.concatenate([_eight(p) for p in known]))
+        repeated = np.zeros(len(key), dtype=bool)
+        repeated[order[repeats]] = True
+        opened = np.zeros(len(key), dtype=bool)
+        opened[order[is_open]] = True
+        for flags, bit in ((repeated, REPEAT), (opened & ~hot, OPEN), (hot & ~repeated, HOT_OPEN)):
+            docs.append(doc[flags])
+            marks.append(pos[flags] * 4 + bit)
+    if not docs:
+        docs, marks = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     return _spread(np.concatenate(docs), np.concatenate(marks), groups)
 
 
@@ -282,26 +322,38 @@ def _open_rows(key, phrases, left, right, doc, pos) -> bytes:
     return _six(key) + phrases.tobytes() + left.astype(np.uint8).tobytes() + right.astype(np.uint8).tobytes() + np.diff(doc, prepend=0).astype("<i8").tobytes() + pos.astype("<i8").tobytes()
 
 
+def _strings(phrases: np.ndarray, left: np.ndarray, right: np.ndarray):
+    """(trigger, start, hash, second hash) of the whole strings of LENGTH bytes in phrases."""
+    first, second = string_hashes(phrases)
+    start = np.arange(REACH + 1)
+    there = (start >= REACH - left[:, None].astype(np.int64)) & (start + LENGTH <= REACH + right[:, None].astype(np.int64))
+    row, at = np.nonzero(there)
+    return row, at, first[row, at], second[row, at]
+
+
 def _match_strings(part: pa.Table, groups: int) -> pa.Table:
-    """A bucket's open triggers -> runs of strings that stand in earlier documents: 64 * start + how many, by document."""
+    """A bucket's open triggers and single strings -> runs of strings that stand in earlier documents: 64 * start + how many, by document."""
+    docs, marks = _marks_in(part)
+    docs, marks = [np.zeros(0, dtype=np.int64), *docs], [np.zeros(0, dtype=np.int64), *marks]
+    if single := _payloads(part, STRINGS):
+        first, second, doc, at = _read(single)
+        order, repeats, _ = _settle(first, second, doc)
+        docs.append(doc[order[repeats]])
+        marks.append(at[order[repeats]] * 64 + 1)
     columns = []
-    for p in part.column("payload").to_pylist():
+    for p in _payloads(part, RECORDS):
         n = len(p) // _OPEN_BYTES
         edges = np.cumsum([0, 6 * n, AROUND * n, n, n, 8 * n, 8 * n])
         key, phrases, left, right, doc, pos = (p[i:j] for i, j in zip(edges, edges[1:]))
         columns.append((_eight(key), np.frombuffer(phrases, dtype=np.uint8).reshape(n, AROUND), np.frombuffer(left, dtype=np.uint8), np.frombuffer(right, dtype=np.uint8), np.cumsum(np.frombuffer(doc, dtype="<i8")), np.frombuffer(pos, dtype="<i8")))
-    key, phrases, left, right, doc, pos = (np.concatenate(c) for c in zip(*columns))
-    start = np.arange(REACH + 1)
-    docs, marks = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    key, phrases, left, right, doc, pos = (np.concatenate(c) for c in zip(*columns)) if columns else (np.zeros(0, dtype=np.uint64),) * 6
     portions = 1 + len(key) // 20_000
-    for k in range(portions):  # all triggers of a hash are in one portion
+    for k in range(portions if len(key) else 0):  # all triggers of a hash are in one portion
         own = np.flatnonzero(key % np.uint64(portions) == k)
         if not len(own):
             continue
-        first, second = string_hashes(phrases[own])
-        there = (start >= REACH - left[own, None].astype(np.int64)) & (start + LENGTH <= REACH + right[own, None].astype(np.int64))
-        row, at = np.nonzero(there)
-        order, repeats, _ = _settle(first[row, at], second[row, at], doc[own][row])
+        row, at, first, second = _strings(phrases[own], left[own], right[own])
+        order, repeats, _ = _settle(first, second, doc[own][row])
         hit = np.zeros((len(own), REACH + 3), dtype=np.int8)
         hit[row[order[repeats]], at[order[repeats]] + 1] = 1
         change = np.diff(hit, axis=1)
@@ -333,10 +385,10 @@ def _deal_phrases(buckets: int):
 
 
 def _spans(marks, n: int) -> np.ndarray:
-    """Flags of the starts of strings that repeated triggers (2 * position) settle, in a document of n bytes."""
+    """Flags of the starts of strings that repeated triggers settle, in a document of n bytes."""
     last = n - LENGTH
     change = np.zeros(max(0, last) + 2, dtype=np.int64)
-    q = marks[marks & 1 == 0] >> 1
+    q = marks[marks & 3 == REPEAT] >> 2
     lo, hi = np.maximum(q - REACH, 0), np.minimum(q, last)
     good = lo <= hi
     np.add.at(change, lo[good], 1)
@@ -344,39 +396,66 @@ def _spans(marks, n: int) -> np.ndarray:
     return np.cumsum(change)[: max(0, last) + 1] > 0
 
 
+def _deal_strings(phrases, left, right, doc, pos, buckets: int) -> list[tuple]:
+    """Rows of the strings of hot triggers, by string: of those that stand several times in the slice only the first document's.
+
+    The others are settled here, so however many documents hold a string, a bucket gets one record of it a slice.
+    """
+    out, docs, starts = [], [], []
+    for at in range(0, len(doc), 20_000):
+        row, begin, first, second = _strings(phrases[at : at + 20_000], left[at : at + 20_000], right[at : at + 20_000])
+        docs.append((doc[at : at + 20_000][row], pos[at : at + 20_000][row] - REACH + begin))
+        starts.append((first, second))
+    owner, start = (np.concatenate(x) for x in zip(*docs))
+    first, second = (np.concatenate(x) for x in zip(*starts))
+    if not len(owner):
+        return out
+    # A string may be in the reach of several hot triggers of its document: one record of it is enough.
+    once = np.unique(np.stack((owner, start), axis=1), axis=0, return_index=True)[1]
+    owner, start, first, second = owner[once], start[once], first[once], second[once]
+    order, repeats, _ = _settle(first, second, owner)
+    settled = order[repeats]
+    keep = np.ones(len(owner), dtype=bool)
+    keep[settled] = False
+    out += _finished(owner[settled], start[settled] * 64 + 1, buckets)
+    owner, start, first, second = owner[keep], start[keep], first[keep], second[keep]
+    return out + _by_bucket(STRINGS, first, buckets, lambda i: _rows(first[i], second[i], owner[i], start[i]))
+
+
 def _deal_open(buckets: int):
     def run(batches):
         for batch in slices(batches, max_chars=8_000_000):
             ids = batch.column("doc_id").to_numpy()
             texts = _bytes(batch.column("text"))
             text = Text(texts)
-            at, row = [], []
+            at, row, is_hot = [], [], []
             for i, (start, t, marks) in enumerate(zip(text.starts, texts, batch.column("marks"))):
                 marks = marks.values.to_numpy()
-                q = np.unique(marks[marks & 1 == 1] >> 1)
-                q = q[q < len(t)]
+                open_ones = np.unique(marks[marks & 3 != REPEAT])
+                q, hot = open_ones >> 2, open_ones & 3 == HOT_OPEN
+                inside = q < len(t)
+                q, hot = q[inside], hot[inside]
                 # Those whose strings are all settled already have nothing to ask or to give.
                 if len(q) and len(t) >= LENGTH:
                     settled = np.concatenate(([0], np.cumsum(_spans(marks, len(t)))))
                     lo, hi = np.maximum(q - REACH, 0), np.minimum(q, len(t) - LENGTH) + 1
-                    q = q[(hi > lo) & (settled[np.maximum(hi, lo)] - settled[lo] < hi - lo)]
-                    at.append(start + q)
-                    row.append(np.full(len(q), i))
+                    wanted = (hi > lo) & (settled[np.maximum(hi, lo)] - settled[lo] < hi - lo)
+                    at.append(start + q[wanted])
+                    row.append(np.full(int(wanted.sum()), i))
+                    is_hot.append(hot[wanted])
             if not at or not sum(map(len, at)):
                 continue
-            at, row = np.concatenate(at), np.concatenate(row)
+            at, row, is_hot = np.concatenate(at), np.concatenate(row), np.concatenate(is_hot)
             pos = at - text.starts[row]
             sizes = np.array([len(t) for t in texts])[row]
             key, phrases = phrases_at(text, at)
             left, right = np.minimum(pos, REACH), np.minimum(sizes - pos, LENGTH)
-            bucket = (key >> np.uint64(20)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-            out = []
-            for b in np.unique(bucket):
-                o = order[edges[int(b)] : edges[int(b) + 1]]
-                out.append((int(b), False, _open_rows(key[o], phrases[o], left[o], right[o], ids[row[o]], pos[o])))
-            yield batch_of(_DEALT, *map(list, zip(*out)))
+            out = _deal_strings(phrases[is_hot], left[is_hot], right[is_hot], ids[row[is_hot]], pos[is_hot], buckets) if is_hot.any() else []
+            plain = np.flatnonzero(~is_hot)
+            if len(plain):
+                out += _by_bucket(RECORDS, key[plain], buckets, lambda i: _open_rows(key[plain[i]], phrases[plain[i]], left[plain[i]], right[plain[i]], ids[row[plain[i]]], pos[plain[i]]))
+            if out:
+                yield batch_of(_DEALT, *map(list, zip(*out)))
 
     return run
 
@@ -432,7 +511,10 @@ def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     Positions and 48-bit hashes of triggers and phrases are shuffled, not texts; records that a slice of the
     input settles by itself leave before the shuffle. Texts are shuffled once, to meet their marks; of open triggers
-    the phrase itself is dealt out, and its strings are told apart where all phrases of the trigger meet.
+    the phrase itself is dealt out, and its strings are told apart where all phrases of the trigger meet. A trigger of a passage that
+    many documents hold has ever new phrases at the passage's ends; such hot ones don't meet as a whole: their strings are dealt
+    out one by one, a record of each string a slice. So no group grows with the documents that share a passage, but with HOT records
+    of a trigger, or one of a string, for each slice of the input.
     """
     # Without a cast where there is none to do: both joins then have the same plan below, and share its exchange.
     texts = docs.select("doc_id" if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long"), "text")
@@ -446,7 +528,7 @@ def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
         return spread.groupBy("grp").applyInArrow(_by_document, _MARKS_SQL)
 
     marks = materialize(marks_of(phrases, _match_phrases))
-    pending = marks.where(F.exists("marks", lambda m: m % 2 == 1))
+    pending = marks.where(F.exists("marks", lambda m: m % 4 != REPEAT))
     open_phrases = known.join(pending, "doc_id").mapInArrow(_deal_open(buckets), _DEALT_SQL)
     starts = marks_of(open_phrases, _match_strings).withColumnRenamed("marks", "starts")
     both = marks.join(starts, "doc_id", "left")

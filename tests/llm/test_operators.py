@@ -119,6 +119,28 @@ def test_substring_dedup_many_overlaps(spark, monkeypatch, bucket_bytes):
         assert {k: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for k, r in got.items()} == brute_substrings(data)
 
 
+@pytest.mark.parametrize("hot", [0, 2, 10**9])
+def test_substring_dedup_of_hot_passages(spark, monkeypatch, hot):
+    """A passage in most documents behind ever new text, a short line that ends differently, copies, and texts beyond a slice."""
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 5000)
+    rng = random.Random(21)
+    passage, line = prose(rng, 30), "see the terms of use at the end of this page and "
+    data = [(i, " ".join([prose(rng, rng.randint(0, 8)), passage if i % 3 else prose(rng, 9), prose(rng, rng.randint(0, 5)), line + prose(rng, 4)])) for i in range(150)]
+    data += [(200 + i, data[i][1]) for i in range(0, 150, 7)] + [(400, (passage + " é ") * 3), (401, passage[:49]), (402, passage[:50])]
+    got = by_id(substring_dedup.substring_dedup(spark.createDataFrame(data, "doc_id long, text string").repartition(4)))
+    assert {k: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for k, r in got.items()} == brute_substrings(data)
+
+
+def test_substring_dedup_of_long_texts(spark):
+    """Texts longer than what is hashed at once, with passages of each other across the cut."""
+    rng = random.Random(22)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(600_000))
+    data = [(1, base), (2, base[250_000:300_000] + "".join(rng.choice("xyz ") for _ in range(300_000)) + base[262_100:262_200]), (3, "q" * 300_000), (4, "q" * 70 + base[:60])]
+    got = by_id(substring_dedup.substring_dedup(spark.createDataFrame(data, "doc_id long, text string").repartition(2)))
+    assert {k: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for k, r in got.items()} == brute_substrings(data)
+
+
 # 2
 
 
