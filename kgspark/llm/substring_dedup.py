@@ -25,8 +25,11 @@ TRIGGER = 20
 REACH = LENGTH - TRIGGER
 #: Bytes of text whose phrases one bucket takes, on average.
 BUCKET_BYTES = 16_000_000
-#: A trigger with more different phrases than this in a slice of the input is hot: its strings are dealt out one by one.
-HOT = 32
+#: A trigger with about so many different phrases or more is hot: its strings are dealt out one by one. Which ones are is
+#: estimated on one document in SAMPLE_SHARE; it only settles where the work is done, never what comes out. At most HOT_KEYS are told.
+HOT_PHRASES = 20_000
+SAMPLE_SHARE = 64
+HOT_KEYS = 1 << 18
 _GAP = 256  # stands between documents, so no string crosses them
 _AT_ONCE = 1 << 18
 _LEFT, _RIGHT = 64, 192
@@ -153,8 +156,8 @@ def string_hashes(phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 # --- dealing out and matching -------------------------------------------------------------------
 
-#: What a dealt row holds: records of triggers, finished marks, hashes of hot triggers; later open triggers, or single strings.
-RECORDS, FINISHED, HOT_KEYS, STRINGS = 0, 1, 2, 3
+#: What a dealt row holds: records of triggers (later open ones with their phrases), finished marks, or single strings.
+RECORDS, FINISHED, STRINGS = 0, 1, 2
 #: Marks of a trigger: four times its position and what is known of it.
 REPEAT, OPEN, HOT_OPEN = 0, 1, 2
 _DEALT = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("payload", pa.binary())])
@@ -235,24 +238,18 @@ def _finished(doc: np.ndarray, marks: np.ndarray, buckets: int) -> list[tuple]:
     return [(int(doc[c[0]] % buckets), FINISHED, doc[c].astype("<i8").tobytes() + marks[c].astype("<i8").tobytes()) for c in cut]
 
 
-def _deal(key, second, doc, pos, buckets: int):
-    """Records of one slice by bucket. What the slice itself settles goes along as finished marks.
-
-    A trigger that is hot here sends its hash alone; its records are open ones that needn't meet.
-    """
+def _deal(key, second, doc, pos, buckets: int, hot_keys: np.ndarray):
+    """Records of one slice by bucket. What the slice itself settles goes along as finished marks, and so do the open ones of hot
+    triggers, which needn't meet."""
     order, repeats, _ = _settle(key, second, doc)
     settled = order[repeats]
     keep = np.ones(len(key), dtype=bool)
     keep[settled] = False
     out = _finished(doc[settled], pos[settled] * 4 + REPEAT, buckets)
     key, second, doc, pos = key[keep], second[keep], doc[keep], pos[keep]
-    own, place, n = np.unique(key, return_inverse=True, return_counts=True)
-    hot = (n > HOT)[place]
-    if hot.any():
-        out += _finished(doc[hot], pos[hot] * 4 + HOT_OPEN, buckets)
-        known = own[n > HOT]
-        out += _by_bucket(HOT_KEYS, known, buckets, lambda at: _six(known[at]))
-        key, second, doc, pos = key[~hot], second[~hot], doc[~hot], pos[~hot]
+    hot = np.isin(key, hot_keys)
+    out += _finished(doc[hot], pos[hot] * 4 + HOT_OPEN, buckets)
+    key, second, doc, pos = key[~hot], second[~hot], doc[~hot], pos[~hot]
     out += _by_bucket(RECORDS, key, buckets, lambda at: _rows(key[at], second[at], doc[at], pos[at]))
     return batch_of(_DEALT, *map(list, zip(*out))) if out else None
 
@@ -293,24 +290,14 @@ def _marks_in(part: pa.Table) -> tuple[list, list]:
 
 
 def _match_phrases(part: pa.Table, groups: int) -> pa.Table:
-    """A bucket's records -> marks by document. Of a trigger that is hot in some slice all that don't repeat are open."""
+    """A bucket's records -> marks by document."""
     docs, marks = _marks_in(part)
     if rest := _payloads(part, RECORDS):
         key, second, doc, pos = _read(rest)
         order, repeats, is_open = _settle(key, second, doc)
-        hot = np.zeros(len(key), dtype=bool)
-        if known := _payloads(part, HOT_KEYS):
-            # Equal lower bits of different hashes only make more triggers hot.
-            hot = np.isin(key, np.concatenate([_eight(p) for p in known]))
-        repeated = np.zeros(len(key), dtype=bool)
-        repeated[order[repeats]] = True
-        opened = np.zeros(len(key), dtype=bool)
-        opened[order[is_open]] = True
-        for flags, bit in ((repeated, REPEAT), (opened & ~hot, OPEN), (hot & ~repeated, HOT_OPEN)):
-            docs.append(doc[flags])
-            marks.append(pos[flags] * 4 + bit)
-    if not docs:
-        docs, marks = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for flags, bit in ((repeats, REPEAT), (is_open, OPEN)):
+            docs.append(doc[order[flags]])
+            marks.append(pos[order[flags]] * 4 + bit)
     return _spread(np.concatenate(docs), np.concatenate(marks), groups)
 
 
@@ -368,22 +355,44 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def _deal_phrases(buckets: int):
-    def run(batches):
-        for batch in slices(batches, max_chars=16_000_000):
-            ids = batch.column("doc_id").to_numpy()
-            text = Text(_bytes(batch.column("text")))
-            found = [np.concatenate(x) for x in zip(*triggers(text))]
-            if not len(found[0]):
-                continue
-            at, key, second = found
+def _found(batches):
+    """(doc ids, positions, trigger hashes, phrase hashes) of slices of the input that hold a trigger."""
+    for batch in slices(batches, max_chars=16_000_000):
+        ids = batch.column("doc_id").to_numpy()
+        text = Text(_bytes(batch.column("text")))
+        at, key, second = [np.concatenate(x) for x in zip(*triggers(text))]
+        if len(at):
             row = np.searchsorted(text.starts, at, side="right") - 1
-            if (out := _deal(key, second, ids[row], at - text.starts[row], buckets)) is not None:
+            yield ids[row], at - text.starts[row], key, second
+
+
+def _deal_phrases(buckets: int, hot_keys):
+    def run(batches):
+        for doc, pos, key, second in _found(batches):
+            if (out := _deal(key, second, doc, pos, buckets, hot_keys.value)) is not None:
                 yield out
 
     return run
 
 
+_COUNTS = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+
+
+def _count_phrases(batches):
+    for _, _, key, second in _found(batches):
+        pairs = np.unique(np.stack((key, second), axis=1), axis=0)
+        own, n = np.unique(pairs[:, 0], return_counts=True)
+        yield batch_of(_COUNTS, own.view(np.int64), n)
+
+
+def hot_triggers(known: DataFrame) -> np.ndarray:
+    """Hashes of the triggers with the most phrases, HOT_KEYS at most, where a share of the documents makes HOT_PHRASES likely."""
+    some = known.where(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(SAMPLE_SHARE)) == 0)
+    counts = some.mapInArrow(_count_phrases, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") * SAMPLE_SHARE >= HOT_PHRASES).orderBy(F.desc("n"), "key").limit(HOT_KEYS).select("key").toArrow()
+    return np.sort(found.column("key").to_numpy().view(np.uint64))
+
+
 def _spans(marks, n: int) -> np.ndarray:
     """Flags of the starts of strings that repeated triggers settle, in a document of n bytes."""
     last = n - LENGTH
@@ -513,15 +522,15 @@ def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     input settles by itself leave before the shuffle. Texts are shuffled once, to meet their marks; of open triggers
     the phrase itself is dealt out, and its strings are told apart where all phrases of the trigger meet. A trigger of a passage that
     many documents hold has ever new phrases at the passage's ends; such hot ones don't meet as a whole: their strings are dealt
-    out one by one, a record of each string a slice. So no group grows with the documents that share a passage, but with HOT records
-    of a trigger, or one of a string, for each slice of the input.
+    out one by one, and of each string a slice of the input sends one record, however many documents hold it.
     """
     # Without a cast where there is none to do: both joins then have the same plan below, and share its exchange.
     texts = docs.select("doc_id" if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long"), "text")
     known = texts.where("doc_id is not null")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
-    phrases = known.mapInArrow(_deal_phrases(buckets), _DEALT_SQL)
+    hot_keys = docs.sparkSession.sparkContext.broadcast(hot_triggers(known))
+    phrases = known.mapInArrow(_deal_phrases(buckets, hot_keys), _DEALT_SQL)
 
     def marks_of(dealt: DataFrame, match) -> DataFrame:
         spread = dealt.groupBy("bucket").applyInArrow(lambda part: match(part, buckets), _SPREAD_SQL)

@@ -122,7 +122,8 @@ def test_substring_dedup_many_overlaps(spark, monkeypatch, bucket_bytes):
 @pytest.mark.parametrize("hot", [0, 2, 10**9])
 def test_substring_dedup_of_hot_passages(spark, monkeypatch, hot):
     """A passage in most documents behind ever new text, a short line that ends differently, copies, and texts beyond a slice."""
-    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    monkeypatch.setattr(substring_dedup, "HOT_PHRASES", hot)
+    monkeypatch.setattr(substring_dedup, "SAMPLE_SHARE", 2)
     monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 5000)
     rng = random.Random(21)
     passage, line = prose(rng, 30), "see the terms of use at the end of this page and "
