@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .retrieve import HERB, REMEDY, check_relation, entity_overview, hop, intersect_relations, treatments_of, two_hop_remedy, usage_lookup
+from .retrieve import CONTAINS, HERB, REMEDY, TREATS, check_relation, entity_overview, first_names, hop, intersect_relations, negative_pairs, treatments_of, two_hop_remedy, usage_lookup
+
+COMPOUND = "HoatChat"
 
 #: How each intent is asked, in the order they are tried: (intent, pattern with its keywords).
 PATTERNS = (
@@ -36,32 +38,82 @@ def _difficulty(key: Column) -> Column:
     return F.when(n < 50, "easy").when(n < 80, "medium").otherwise("hard")
 
 
-def generate_qa(nodes: DataFrame, edges: DataFrame, per_pattern: int, seed: int = 42, k: int = 5) -> DataFrame:
-    """pattern, key, question, facts, difficulty: per_pattern questions of each of four patterns, drawn by digest.
+#: What a relation is called in questions and contexts, and its intent.
+ATTRIBUTES = {
+    "CO_VI": ("Vị", "TIM_VI"), "CO_TINH": ("Tính", "TIM_TINH"), "QUY_KINH": ("Quy kinh", "TIM_QUY_KINH"), "CO_CHUA_HOAT_CHAT": ("Hoạt chất", "TIM_HOAT_CHAT_CUA_THUOC"),
+    "CO_CONG_NANG": ("Công năng", "TIM_CONG_NANG"), "CO_TAC_DUNG_DUOC_LY": ("Tác dụng dược lý", "TIM_TAC_DUNG_DUOC_LY"),
+}
+CHECKED = ("CO_VI", "CO_TINH", "QUY_KINH", "CO_CHUA_HOAT_CHAT")
+#: The first line of a context.
+CONTEXT_HEAD = "Dữ liệu dược điển:"
+
+
+def _context(kind: str, name: Column, label: Column | str, values: Column) -> Column:
+    """What an answer may be drawn from: a head, "kind: name" and "- label: values"."""
+    label = F.lit(label) if isinstance(label, str) else label
+    return F.concat(F.lit(f"{CONTEXT_HEAD}\n{kind}: "), name, F.lit("\n- "), label, F.lit(": "), values)
 
-    single: an attribute of a herb; multi_hop: what remedies with a herb treat; multi_relation: herbs of a nature and a
-    meridian; treatment: what treats an illness. Facts are sorted and cut to k.
+
+def generate_qa(nodes: DataFrame, edges: DataFrame, usage: DataFrame, per_pattern: int, second: tuple[str, ...] = TREATS, seed: int = 42, k: int = 5) -> DataFrame:
+    """pattern, intent, key, question, context, facts, answer, difficulty: per_pattern questions of each pattern, drawn by digest.
+
+    single: an attribute of a herb; multi_hop: what remedies with a herb treat; positive and negative: whether a herb has an attribute
+    that it has, or a compound that it hasn't (half of per_pattern each); multi_relation: herbs of a nature that also have an edge of
+    the second kind to one thing, more than one; how_to: dosage and use (usage: from_id, to_id, dosage, how) of a treatment;
+    treatment: what treats an illness. Facts are the first k, sorted.
     """
     name = lambda side: nodes.select(F.col("id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name"), F.col("label").alias(f"{side}_label"))
     named = edges.join(name("from"), "from_id").join(name("to"), "to_id")
-    facts = lambda c: F.slice(F.sort_array(F.collect_set(c)), 1, k)
-    single = named.where((F.col("from_label") == HERB) & (F.col("relation_type") == "CO_TINH")).groupBy(F.col("from_id").alias("key"), "from_name").agg(facts("to_name").alias("facts"))
-    single = single.select(F.lit("single").alias("pattern"), "key", F.concat("from_name", F.lit(" có tính gì?")).alias("question"), "facts")
-    inside = edges.where("relation_type = 'BAO_GOM_VI_THUOC'").select(F.col("from_id").alias("remedy_id"), F.col("to_id").alias("herb_id"))
-    treats = named.where((F.col("from_label") == REMEDY) & (F.col("relation_type") == "CHU_TRI_BENH")).select(F.col("from_id").alias("remedy_id"), "to_name")
-    herbs = nodes.where(F.col("label") == HERB).select(F.col("id").alias("herb_id"), "name")
-    # Distinct pairs before the names: a remedy's degree doesn't multiply.
-    hop = inside.join(treats, "remedy_id").select("herb_id", "to_name").distinct().groupBy("herb_id").agg(facts("to_name").alias("facts")).join(herbs, "herb_id")
-    hop = hop.select(F.lit("multi_hop").alias("pattern"), F.col("herb_id").alias("key"), F.concat(F.lit("bài thuốc có "), "name", F.lit(" chữa gì?")).alias("question"), "facts")
-    of = lambda rel, c: named.where((F.col("relation_type") == rel) & (F.col("from_label") == HERB)).select("from_id", "from_name", F.col("to_name").alias(c), F.col("to_id").alias(f"{c}_id"))
-    both = of("CO_TINH", "a").join(of("QUY_KINH", "b").drop("from_name"), "from_id").groupBy("a", "a_id", "b", "b_id").agg(facts("from_name").alias("facts"))
-    both = both.select(F.lit("multi_relation").alias("pattern"), F.concat_ws("+", "a_id", "b_id").alias("key"), F.concat(F.lit("vị thuốc nào có "), "a", F.lit(" và "), "b", F.lit("?")).alias("question"), "facts")
-    cure = named.where("relation_type = 'CHU_TRI_BENH'").groupBy(F.col("to_id").alias("key"), "to_name").agg(facts("from_name").alias("facts"))
-    cure = cure.select(F.lit("treatment").alias("pattern"), "key", F.concat(F.lit("thuốc nào chữa "), "to_name", F.lit("?")).alias("question"), "facts")
-    everything = single.unionByName(hop).unionByName(both).unionByName(cure)
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    joined, c = F.array_join("facts", ", "), F.col
+    pick = lambda part: F.element_at(F.create_map(*[F.lit(x) for r, v in ATTRIBUTES.items() for x in (r, v[part])]), c("relation_type"))
+
+    def row(df: DataFrame, pattern: str, intent, key, question, context, answer=joined) -> DataFrame:
+        return df.select(F.lit(pattern).alias("pattern"), (F.lit(intent) if isinstance(intent, str) else intent).alias("intent"), key.alias("key"), question.alias("question"), context.alias("context"), "facts", answer.alias("answer"))
+
+    of_herb = named.where((c("from_label") == HERB) & c("relation_type").isin(*ATTRIBUTES))
+    single = first_names(of_herb, ["from_id", "from_name", "relation_type"], "to_name", k, "facts")
+    parts = [row(single, "single", pick(1), F.concat_ws(":", "from_id", "relation_type"), text(c("from_name"), " có ", F.lower(pick(0)), " gì?"), _context("Vị thuốc", c("from_name"), pick(0), joined))]
+
+    inside = edges.where(c("relation_type") == CONTAINS).select(c("from_id").alias("remedy_id"), c("to_id").alias("herb_id"))
+    treats = named.where((c("from_label") == REMEDY) & c("relation_type").isin(*TREATS)).select(c("from_id").alias("remedy_id"), "to_name")
+    herbs = nodes.where(c("label") == HERB).select(c("id").alias("herb_id"), "name")
+    hop = first_names(inside.join(treats, "remedy_id"), ["herb_id"], "to_name", k, "facts").join(herbs, "herb_id")
+    parts.append(row(hop, "multi_hop", "TIM_CONG_DUNG_BAI_THUOC_TU_VI_THUOC", c("herb_id"), text("bài thuốc có ", c("name"), " chữa gì?"), _context("Vị thuốc", c("name"), "Tham gia bài thuốc chữa các bệnh", joined)))
+
+    said = lambda yes: text("Có, " if yes else "Không, ", c("from_name"), " có " if yes else " không chứa hoạt chất ", *([F.lower(pick(0)), " "] if yes else []), c("to_name"))
+    positive = of_herb.where(c("relation_type").isin(*CHECKED)).select("from_id", "to_id", "relation_type", "from_name", "to_name").distinct().withColumn("facts", F.array(F.lit("Có")))
+    parts.append(row(positive, "positive", "KIEM_TRA_BOOLEAN", F.concat_ws("+", "from_id", "relation_type", "to_id"), text(c("from_name"), " có ", F.lower(pick(0)), " ", c("to_name"), " không?"), _context("Vị thuốc", c("from_name"), pick(0), c("to_name")), said(True)))
+    pairs = negative_pairs(herbs.select("herb_id"), nodes.where(c("label") == COMPOUND).select(c("id").alias("compound_id")), edges, seed=seed)
+    negative = pairs.select(c("herb_id").alias("from_id"), c("compound_id").alias("to_id")).join(name("from"), "from_id").join(name("to"), "to_id").withColumn("facts", F.array(F.lit("Không")))
+    parts.append(row(negative, "negative", "KIEM_TRA_BOOLEAN", F.concat_ws("-", "from_id", "to_id"), text(c("from_name"), " có chứa hoạt chất ", c("to_name"), " không?"), _context("Vị thuốc", c("from_name"), "Ghi chú hoạt chất", text("Không chứa ", c("to_name"))), said(False)))
+
+    of = lambda kinds, side: of_two.where(c("relation_type").isin(*kinds)).select("from_id", "from_name", c("to_name").alias(side), c("to_id").alias(f"{side}_id"))
+    of_two = named.where(c("from_label") == HERB)
+    both = of(("CO_TINH",), "a").join(of(second, "b").drop("from_name"), "from_id").select("a", "a_id", "b", "b_id", "from_id", "from_name").distinct()
+    many = both.groupBy("a_id", "b_id").agg(F.countDistinct("from_name").alias("n")).where("n > 1").select("a_id", "b_id")
+    two = first_names(both.join(many, ["a_id", "b_id"], "left_semi"), ["a", "a_id", "b", "b_id"], "from_name", k, "facts")
+    parts.append(row(two, "multi_relation", "TIM_DA_QUAN_HE", F.concat_ws("+", "a_id", "b_id"), text("vị thuốc nào có ", c("a"), " và ", c("b"), "?"), _context("Bộ lọc tìm kiếm", text(c("a"), " và ", c("b")), "Các vị thuốc thỏa mãn", joined)))
+
+    plain = lambda x: F.trim(F.replace(F.coalesce(x, F.lit("")), F.lit("$"), F.lit("")))
+    used = usage.join(name("from"), "from_id").join(name("to"), "to_id").withColumns({"dosage": plain(c("dosage")), "how": plain(c("how"))})
+    used = used.groupBy("from_id", "to_id", "from_name", "to_name").agg(F.min(F.when(c("dosage") != "", c("dosage"))).alias("dosage"), F.min(F.when(c("how") != "", c("how"))).alias("how"))
+    used = used.withColumn("facts", F.filter(F.array("dosage", "how"), lambda x: x.isNotNull())).where(F.size("facts") > 0)
+    lines = F.concat_ws(", ", text("Liều dùng: ", c("dosage")), text("Cách dùng: ", c("how")))
+    unknown = lambda x: F.coalesce(x, F.lit("Theo chỉ định"))
+    parts.append(row(used, "how_to", "TIM_HUONG_DAN_SU_DUNG", F.concat_ws("+", "from_id", "to_id"), text("cách dùng ", c("from_name"), " chữa ", c("to_name"), "?"), _context("Điều trị bệnh", c("to_name"), text("Sử dụng ", c("from_name")), lines), text("Liều dùng: ", unknown(c("dosage")), ", cách dùng: ", unknown(c("how")))))
+
+    cure = first_names(named.where(c("relation_type").isin(*TREATS)), ["to_id", "to_name"], "from_name", k, "facts")
+    parts.append(row(cure, "treatment", "TIM_THUOC_CHUA_BENH", c("to_id"), text("thuốc nào chữa ", c("to_name"), "?"), _context("Bệnh/Triệu chứng", c("to_name"), "Các thuốc chữa trị", joined)))
+
+    everything = parts[0]
+    for p in parts[1:]:
+        everything = everything.unionByName(p)
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), "pattern", "key"))
     place = F.row_number().over(Window.partitionBy("pattern").orderBy(digest, "key"))
-    return everything.withColumn("place", place).where(F.col("place") <= per_pattern).select("pattern", "key", "question", "facts", _difficulty(F.concat_ws(":", "pattern", "key")).alias("difficulty"))
+    most = F.when(c("pattern").isin("positive", "negative"), per_pattern // 2).otherwise(per_pattern)
+    drawn = everything.withColumn("place", place).where(c("place") <= most).drop("place")
+    return drawn.withColumn("difficulty", _difficulty(F.concat_ws(":", "pattern", "key")))
 
 
 def grounded_answers(answers: DataFrame, hits: DataFrame, refusals: tuple[str, ...] = ("không có thông tin", "no record")) -> DataFrame:

@@ -31,8 +31,18 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 30, min_score:
 
     queries and vectors: id (long), embedding. Blocks of queries meet blocks of vectors as one row each, a matrix product
     finds the best k of a pair of blocks, and a window the best of all. Equal scores go by vec_id.
+
+    A grid of cells deals out the work: a block of vectors goes to one row of it, a block of queries to one column, and a cell
+    joins what came to it by key. Nothing is broadcast, and a cell holds a bounded number of blocks of either side.
     """
-    pairs = _blocks(vectors, "v", rows).crossJoin(_blocks(queries, "q", rows))
+
+    def lines(df: DataFrame, blocks: int) -> int:
+        return max(1, -(-df.count() // (rows * blocks)))
+
+    down, across = lines(vectors, 16), lines(queries, 4)
+    deal = lambda df, name, n: _blocks(df, name, rows).withColumn(name, F.pmod(F.xxhash64(f"{name}_ids"), F.lit(n)))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    pairs = deal(vectors, "v", down).withColumn("q", every(across)).join(deal(queries, "q", across).withColumn("v", every(down)), ["v", "q"]).drop("v", "q")
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def search(batches):

@@ -97,7 +97,9 @@ def parse_questions(spark, sf_dir):
 
 
 def generate_qa(spark, sf_dir):
-    return Q.generate_qa(load(spark, sf_dir, "nodes"), load(spark, sf_dir, "edges"), 40)
+    raw = load(spark, sf_dir, "edges_raw").where("relation_type = 'CHU_TRI_BENH'")
+    usage = raw.select("from_id", "to_id", F.concat(F.lit("$"), "dosage", F.lit("$")).alias("dosage"), F.when(F.col("pos") == 1, F.col("description")).alias("how"))
+    return Q.generate_qa(load(spark, sf_dir, "nodes"), load(spark, sf_dir, "edges"), usage, 40, ("QUY_KINH",))
 
 
 def answer_questions(spark, sf_dir):
@@ -127,13 +129,26 @@ ORACLE = {
     "parse_questions": """SELECT p_partkey AS question_id, (['TIM_HUONG_DAN', 'TIM_DA_QUAN_HE', 'KIEM_TRA_BOOLEAN', 'TIM_BAI_THUOC_CHUA_BENH', 'TIM_DIEU_TRI', 'TIM_TINH_VI', 'TONG_QUAN'])[p_partkey % 7 + 1] AS intent,
       CASE p_partkey % 7 WHEN 1 THEN lower(p_type) WHEN 4 THEN lower(p_type) WHEN 6 THEN lower(p_name) || ' thế nào' ELSE lower(p_name) END AS k1,
       CASE p_partkey % 7 WHEN 0 THEN lower(p_type) WHEN 1 THEN lower(p_brand) WHEN 2 THEN lower(p_type) END AS k2 FROM part""",
-    "generate_qa": oracle(("nodes", "edges"), """WITH s AS (SELECT 'single' AS pattern, f.id AS key, f.name || ' có tính gì?' AS question, list_sort(list(DISTINCT t.name))[1:5] AS facts FROM edges e JOIN nodes f ON f.id = e.from_id JOIN nodes t ON t.id = e.to_id WHERE f.label = 'ViThuoc' AND relation_type = 'CO_TINH' GROUP BY f.id, f.name
-      UNION ALL SELECT 'multi_hop', h.id, 'bài thuốc có ' || h.name || ' chữa gì?', list_sort(list(DISTINCT t.name))[1:5] FROM edges c JOIN edges d ON d.from_id = c.from_id JOIN nodes h ON h.id = c.to_id JOIN nodes t ON t.id = d.to_id WHERE c.relation_type = 'BAO_GOM_VI_THUOC' AND d.relation_type = 'CHU_TRI_BENH' GROUP BY h.id, h.name
-      UNION ALL SELECT 'multi_relation', a.to_id || '+' || b.to_id, 'vị thuốc nào có ' || x.name || ' và ' || y.name || '?', list_sort(list(DISTINCT h.name))[1:5] FROM edges a JOIN edges b ON a.from_id = b.from_id JOIN nodes h ON h.id = a.from_id AND h.label = 'ViThuoc' JOIN nodes x ON x.id = a.to_id JOIN nodes y ON y.id = b.to_id
-        WHERE a.relation_type = 'CO_TINH' AND b.relation_type = 'QUY_KINH' GROUP BY a.to_id, b.to_id, x.name, y.name
-      UNION ALL SELECT 'treatment', t.id, 'thuốc nào chữa ' || t.name || '?', list_sort(list(DISTINCT f.name))[1:5] FROM edges e JOIN nodes f ON f.id = e.from_id JOIN nodes t ON t.id = e.to_id WHERE relation_type = 'CHU_TRI_BENH' GROUP BY t.id, t.name),
-      r AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY md5('42:' || pattern || ':' || key), key) AS place, ('0x' || md5(pattern || ':' || key)[1:6])::BIGINT % 100 AS n FROM s)
-      SELECT pattern, key, question, facts, CASE WHEN n < 50 THEN 'easy' WHEN n < 80 THEN 'medium' ELSE 'hard' END AS difficulty FROM r WHERE place <= 40"""),
+    "generate_qa": oracle(("nodes", "edges", "edges_raw"), """WITH h(x) AS (SELECT 'Dữ liệu dược điển:' || chr(10)), lab AS (SELECT * FROM (VALUES ('CO_VI', 'Vị', 'TIM_VI'), ('CO_TINH', 'Tính', 'TIM_TINH'), ('QUY_KINH', 'Quy kinh', 'TIM_QUY_KINH'), ('CO_CHUA_HOAT_CHAT', 'Hoạt chất', 'TIM_HOAT_CHAT_CUA_THUOC')) AS l(relation_type, label, intent)),
+      n AS (SELECT e.from_id, e.to_id, e.relation_type, f.name AS fn, t.name AS tn, f.label AS fl FROM edges e JOIN nodes f ON f.id = e.from_id JOIN nodes t ON t.id = e.to_id),
+      s1 AS (SELECT from_id, fn, relation_type, list_sort(list(DISTINCT tn))[1:5] AS facts FROM n JOIN lab USING (relation_type) WHERE fl = 'ViThuoc' GROUP BY 1, 2, 3),
+      s2 AS (SELECT h.id, h.name, list_sort(list(DISTINCT d.tn))[1:5] AS facts FROM edges c JOIN n d ON d.from_id = c.from_id AND d.fl = 'BaiThuoc' JOIN nodes h ON h.id = c.to_id AND h.label = 'ViThuoc' WHERE c.relation_type = 'BAO_GOM_VI_THUOC' AND d.relation_type = 'CHU_TRI_BENH' GROUP BY 1, 2),
+      s3 AS (SELECT DISTINCT from_id, to_id, relation_type, fn, tn, label FROM n JOIN lab USING (relation_type) WHERE fl = 'ViThuoc'),
+      comp AS (SELECT id, name, slot, row_number() OVER (PARTITION BY slot ORDER BY id) - 1 AS number, count(*) OVER (PARTITION BY slot) AS size FROM (SELECT id, name, ('0x' || substr(md5('42:' || id), 1, 8))::BIGINT % 64 AS slot FROM nodes WHERE label = 'HoatChat')),
+      hk AS (SELECT id, name, md5('42:' || id || ':' || k) AS d FROM (SELECT id, name, unnest([1, 2, 3]) AS k FROM nodes WHERE label = 'ViThuoc')),
+      s4 AS (SELECT DISTINCT hk.id AS from_id, c.id AS to_id, hk.name AS fn, c.name AS tn FROM hk JOIN comp c ON c.slot = ('0x' || d[1:8])::BIGINT % 64 AND c.number = ('0x' || d[9:16])::BIGINT % c.size WHERE (hk.id, c.id) NOT IN (SELECT (from_id, to_id) FROM edges WHERE relation_type = 'CO_CHUA_HOAT_CHAT')),
+      s5 AS (SELECT a.to_id AS a_id, a.tn AS a, b.to_id AS b_id, b.tn AS b, list_sort(list(DISTINCT a.fn))[1:5] AS facts FROM n a JOIN n b ON a.from_id = b.from_id WHERE a.fl = 'ViThuoc' AND a.relation_type = 'CO_TINH' AND b.relation_type = 'QUY_KINH' GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT a.fn) > 1),
+      s6 AS (SELECT r.from_id, r.to_id, f.name AS fn, t.name AS tn, min(dosage) AS dosage, min(CASE WHEN pos = 1 THEN description END) AS how FROM edges_raw r JOIN nodes f ON f.id = r.from_id JOIN nodes t ON t.id = r.to_id WHERE relation_type = 'CHU_TRI_BENH' GROUP BY 1, 2, 3, 4),
+      s7 AS (SELECT to_id, tn, list_sort(list(DISTINCT fn))[1:5] AS facts FROM n WHERE relation_type = 'CHU_TRI_BENH' GROUP BY 1, 2),
+      q AS (SELECT 'single' AS pattern, intent, from_id || ':' || relation_type AS key, fn || ' có ' || lower(label) || ' gì?' AS question, x || 'Vị thuốc: ' || fn || chr(10) || '- ' || label || ': ' || array_to_string(facts, ', ') AS context, facts, array_to_string(facts, ', ') AS answer FROM s1 JOIN lab USING (relation_type), h
+        UNION ALL SELECT 'multi_hop', 'TIM_CONG_DUNG_BAI_THUOC_TU_VI_THUOC', id, 'bài thuốc có ' || name || ' chữa gì?', x || 'Vị thuốc: ' || name || chr(10) || '- Tham gia bài thuốc chữa các bệnh: ' || array_to_string(facts, ', '), facts, array_to_string(facts, ', ') FROM s2, h
+        UNION ALL SELECT 'positive', 'KIEM_TRA_BOOLEAN', from_id || '+' || relation_type || '+' || to_id, fn || ' có ' || lower(label) || ' ' || tn || ' không?', x || 'Vị thuốc: ' || fn || chr(10) || '- ' || label || ': ' || tn, ['Có'], 'Có, ' || fn || ' có ' || lower(label) || ' ' || tn FROM s3, h
+        UNION ALL SELECT 'negative', 'KIEM_TRA_BOOLEAN', from_id || '-' || to_id, fn || ' có chứa hoạt chất ' || tn || ' không?', x || 'Vị thuốc: ' || fn || chr(10) || '- Ghi chú hoạt chất: Không chứa ' || tn, ['Không'], 'Không, ' || fn || ' không chứa hoạt chất ' || tn FROM s4, h
+        UNION ALL SELECT 'multi_relation', 'TIM_DA_QUAN_HE', a_id || '+' || b_id, 'vị thuốc nào có ' || a || ' và ' || b || '?', x || 'Bộ lọc tìm kiếm: ' || a || ' và ' || b || chr(10) || '- Các vị thuốc thỏa mãn: ' || array_to_string(facts, ', '), facts, array_to_string(facts, ', ') FROM s5, h
+        UNION ALL SELECT 'how_to', 'TIM_HUONG_DAN_SU_DUNG', from_id || '+' || to_id, 'cách dùng ' || fn || ' chữa ' || tn || '?', x || 'Điều trị bệnh: ' || tn || chr(10) || '- Sử dụng ' || fn || ': ' || concat_ws(', ', 'Liều dùng: ' || dosage, 'Cách dùng: ' || how), list_filter([dosage, how], lambda v: v IS NOT NULL), 'Liều dùng: ' || coalesce(dosage, 'Theo chỉ định') || ', cách dùng: ' || coalesce(how, 'Theo chỉ định') FROM s6, h WHERE dosage IS NOT NULL OR how IS NOT NULL
+        UNION ALL SELECT 'treatment', 'TIM_THUOC_CHUA_BENH', to_id, 'thuốc nào chữa ' || tn || '?', x || 'Bệnh/Triệu chứng: ' || tn || chr(10) || '- Các thuốc chữa trị: ' || array_to_string(facts, ', '), facts, array_to_string(facts, ', ') FROM s7, h),
+      r AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY md5('42:' || pattern || ':' || key), key) AS place, ('0x' || md5(pattern || ':' || key)[1:6])::BIGINT % 100 AS d FROM q)
+      SELECT pattern, intent, key, question, context, facts, answer, CASE WHEN d < 50 THEN 'easy' WHEN d < 80 THEN 'medium' ELSE 'hard' END AS difficulty FROM r WHERE place <= CASE WHEN pattern IN ('positive', 'negative') THEN 20 ELSE 40 END"""),
     "grounded_answers": oracle(("edges_raw",), """WITH a AS (SELECT o_orderkey AS question_id, CASE WHEN o_orderstatus = 'F' THEN 'no record of it.' ELSE 'take bt_' || (o_custkey % 100) || ' twice.' END AS t FROM orders)
       SELECT question_id, contains(t, 'no record') OR NOT EXISTS (SELECT 1 FROM edges_raw h WHERE h.doc_id = question_id) OR EXISTS (SELECT 1 FROM edges_raw h WHERE h.doc_id = question_id AND (contains(t, lower(h.from_id)) OR contains(t, lower(h.to_id)))) AS grounded FROM a"""),
 }
