@@ -14,7 +14,8 @@ from .common import batch_of, materialize, slices, string_list
 CHUNK = 1 << 16
 #: Two primes below 2**31 with a base each: 62 bits in all, and products stay within 64 bits.
 MODULI = ((2147483647, 1315423911), (2147483629, 2654435769 % 2147483629))
-FILTER_BITS = 1 << 22
+#: Bits of the filter for each shared fingerprint, and the least and the most that the filter has.
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 22, 1 << 28
 _SPACES = b" \t\n\v\f\r"
 
 
@@ -76,8 +77,8 @@ def describe(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_describe, "doc_id long, fp long, n_bytes long, n_chars long, text_sha256 string")
 
 
-def _filter_bit(fp: int) -> int:
-    return (fp ^ fp >> 33) & FILTER_BITS - 1
+def _filter_bit(fp: int, size: int) -> int:
+    return (fp ^ fp >> 33) & size - 1
 
 
 _CHUNKS = pa.schema([("fp", pa.int64()), ("n_bytes", pa.int64()), ("chunk_no", pa.int64()), ("chunk", pa.binary())])
@@ -90,7 +91,7 @@ def _chunks(sketch):
             rows = []
             for text in string_list(batch.column("text")):
                 data = _normal(text)
-                bit = _filter_bit(fp := fingerprint(data))
+                bit = _filter_bit(fp := fingerprint(data), 8 * len(bits))
                 if bits[bit >> 3] >> (bit & 7) & 1:
                     rows += [(fp, len(data), i, data[i * CHUNK : (i + 1) * CHUNK]) for i in range(-(-len(data) // CHUNK))]
             if rows:
@@ -102,15 +103,19 @@ def _chunks(sketch):
 def false_matches(docs: DataFrame, shared: DataFrame) -> DataFrame:
     """Keys (fp, n_bytes) under which texts differ, by comparing the chunks at the same place.
 
-    shared: the keys that more than one document has. A bitmap of fixed size (FILTER_BITS) lets most other
-    texts stay where they are; the join after it is exact. Equal chunks meet before the shuffle
-    (least and greatest chunk of a place), so a huge group costs no more than its tasks.
+    shared: the keys that more than one document has. A bitmap of MOST_BITS at most, sized by their number, lets most other
+    texts stay where they are; those that it lets through by chance are compared too, which changes nothing. Equal chunks meet before
+    the shuffle (least and greatest chunk of a place), so a huge group costs no more than its tasks.
     """
     spark = docs.sparkSession
-    bit = F.col("fp").bitwiseXOR(F.shiftright("fp", 33)).bitwiseAND(F.lit(FILTER_BITS - 1))
+    size = LEAST_BITS
+    wanted = BITS_A_KEY * shared.count()
+    while size < wanted and size < MOST_BITS:
+        size *= 2
+    bit = F.col("fp").bitwiseXOR(F.shiftright("fp", 33)).bitwiseAND(F.lit(size - 1))
     words = shared.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
-    sketch = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    for row in words.toLocalIterator():  # FILTER_BITS / 64 rows at most
+    sketch = np.zeros(size // 64, dtype=np.int64)
+    for row in words.toLocalIterator():  # MOST_BITS / 64 rows at most
         sketch[row.word] = row.bits
     held = spark.sparkContext.broadcast(sketch.tobytes())
     rows = docs.select("text").mapInArrow(_chunks(held), "fp long, n_bytes long, chunk_no long, chunk binary")
@@ -136,9 +141,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         split = meta.withColumn("own_sha", F.lit(""))
     else:
         split = meta.join(false, key, "left").withColumn("own_sha", F.when(F.col("false_match"), F.col("text_sha256")).otherwise(F.lit("")))
-    best = F.max(F.struct("n_chars", F.col("doc_id").isNotNull().alias("has"), (-F.col("doc_id")).alias("first"), (-F.col("row")).alias("row")))
+    best = F.max(F.struct("n_chars", F.col("doc_id").isNotNull().alias("has"), F.bitwise_not(F.col("doc_id")).alias("first"), F.bitwise_not(F.col("row")).alias("row")))
     groups = split.groupBy(*key, "own_sha").agg(best.alias("best"), F.count("*").alias("group_size"))
-    return split.join(groups, [*key, "own_sha"]).select("doc_id", (-F.col("best.first")).alias("keep_id"), "group_size", (F.col("row") == -F.col("best.row")).alias("kept"), "text_sha256", "n_bytes")
+    return split.join(groups, [*key, "own_sha"]).select("doc_id", F.bitwise_not(F.col("best.first")).alias("keep_id"), "group_size", (F.col("row") == F.bitwise_not(F.col("best.row"))).alias("kept"), "text_sha256", "n_bytes")
 
 
 def keep_exact(docs: DataFrame) -> DataFrame:

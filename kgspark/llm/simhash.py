@@ -264,11 +264,12 @@ def links(prints: DataFrame) -> DataFrame:
 # --- components ---------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node and root (the least node it reaches) of every node of an edge (u, v).
 
-    Alternates large-star and small-star steps, which only move edges to smaller ends, until nothing changes.
-    Each round is a checkpoint in the shared folder; the driver sees only a count and a sum.
+    Alternates large-star and small-star steps, which only move edges to smaller ends, until nothing changes; that is after
+    about as many rounds as the logarithm of the largest component, squared. Each round is a checkpoint in the shared folder; the
+    driver sees only a count and a sum.
     """
 
     def state(e: DataFrame) -> tuple:
@@ -289,15 +290,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     edges = materialize(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     before = state(edges)
-    if before[0]:
-        for _ in range(max_rounds):
-            edges = materialize(star(star(edges, True), False))
-            now = state(edges)
-            if now == before:
-                break
-            before = now
-        else:
-            raise RuntimeError(f"components: not settled after {max_rounds} rounds")
+    while before[0]:
+        edges = materialize(star(star(edges, True), False))
+        now = state(edges)
+        if now == before:
+            break
+        before = now
     nodes = edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
     return nodes.union(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 

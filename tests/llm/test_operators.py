@@ -829,11 +829,22 @@ def test_equal_fingerprints_of_different_texts(spark, monkeypatch):
 
     real = exact_dedup._chunks
     monkeypatch.setattr(exact_dedup, "_chunks", chunks)
-    monkeypatch.setattr(exact_dedup, "_filter_bit", lambda fp: 7)
+    monkeypatch.setattr(exact_dedup, "_filter_bit", lambda fp, size: 7)
     got = by_id(exact_dedup.exact_dedup(df))
     assert {d: r.keep_id for d, r in got.items()} == {1: 3, 2: 2, 3: 3, 4: 4, 5: 2}
 
 
+def test_exact_dedup_of_long_texts_and_extreme_ids(spark):
+    """Texts of several chunks that differ in the last byte alone, the smallest and largest ids, and columns named as the result's."""
+    rng = random.Random(9)
+    base = "".join(rng.choice("abcdef") for _ in range(200_000))
+    data = [(-(2**63), base, 1), (2**63 - 1, base, 2), (5, base + " ", 3), (6, base[:-1] + "z", 4), (7, base[:-1] + "z", 5), (None, base, 6)]
+    df = spark.createDataFrame(data, "doc_id long, text string, group_size long").repartition(3)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(df).collect()}
+    assert got == {-(2**63): (5, 4, False), 2**63 - 1: (5, 4, False), 5: (5, 4, True), None: (5, 4, False), 6: (6, 2, True), 7: (6, 2, False)}
+    assert sorted(r.group_size for r in exact_dedup.keep_exact(df).collect()) == [3, 4]
+
+
 # 10
 
 
@@ -921,3 +932,41 @@ def test_pipeline(spark, docs, rows, tmp_path):
         for k, start in enumerate(range(0, size, 2048)):
             want[d, k, start, min(2048, size - start)] += n
     assert Counter((r.doc_id, r.piece, r.start, r.length) for r in packed) == want
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null and shared ids with different texts stay apart, repeated rows become one, other columns don't disturb; empty tables give none."""
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(80)) for _ in range(6)]
+    data = [(None, texts[0], "a", 1, True), (None, texts[1], "a", 2, True), (3, texts[2], "a", 3, None), (3, texts[3], "a", 4, None), (4, texts[4], None, 5, None), (4, texts[4], None, 5, None), (5, None, "a", 6, None), (6, "", "b", 7, None), (7, "few words", "b", 8, None)]
+    schema = "doc_id long, text string, source string, n_words long, kept boolean"
+    spark.createDataFrame(data, schema).repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    check_packing(packed, 2048)
+    plain = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    crc = lambda t: zlib.crc32(np.array([*plain.encode(t, add_special_tokens=False).ids, 0], dtype="<u4").tobytes())
+    assert {(r.doc_id, r.ids_crc32) for r in packed} <= {(d, crc(t)) for d, t, *_ in data[:6]}
+    assert len({(r.doc_id, r.ids_crc32) for r in packed}) >= 4
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_stages_keep_columns(spark, docs, odd):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for df in (docs, odd):
+            assert stage(spark, df, "").columns == df.columns, name
+
+
+@pytest.mark.parametrize("run", [
+    lambda d: substring_dedup.substring_dedup(d), lambda d: langid.language_id(d), lambda d: quality.quality(d), lambda d: packing.pack(d), lambda d: pii.pseudonymize(d, "k"),
+    lambda d: simhash.near_dedup(d), lambda d: exact_dedup.exact_dedup(d), lambda d: mixing.mix(d),
+])
+def test_columns_named_as_the_operators_name_theirs(spark, run):
+    names = "marks starts lang_pred score component_id fingerprint bucket kind payload _found _row _words grp size target order finish keep_id h h2 piece length".split()
+    rows = [(i, f"some text with number {i} and mail a{i}@b.de", "en", "s", *["x"] * len(names)) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names))
+    assert run(df).count() == 12
