@@ -1,10 +1,12 @@
-"""Removal of long repeated byte strings by trigger hashing, in place of prefix-free parsing: no suffix array is built.
+"""Removal of long repeated byte strings by prefix-free parsing, to the depth that the question needs.
 
 A rolling hash picks triggers that depend on the nearby bytes alone: every string of LENGTH bytes holds one, at the same
 place wherever the string stands. The text around a trigger (as far as strings of LENGTH bytes that hold it
-reach) is its phrase. Phrases, not text, are dealt out and sorted by (trigger, phrase): equal phrases prove all their
-strings equal at once, which settles the long repeats. Only where one trigger has different phrases, at the ends of
-repeats, the strings themselves are sorted.
+reach) is its phrase; phrases overlap, so no string is cut. Parse: phrases are dealt out and sorted by (trigger, phrase,
+document): equal phrases prove all their strings equal at once, which settles the long repeats. Dictionary: where one trigger has
+different phrases, at the ends of repeats, the suffixes of the distinct ones are sorted by their bytes, and with the parse's
+documents that gives the first document of every string. Both orders go as deep as LENGTH bytes; the order of whole
+suffixes of the corpus, which would take rounds of shuffles, isn't worked out.
 """
 
 from __future__ import annotations
@@ -318,6 +320,42 @@ def _strings(phrases: np.ndarray, left: np.ndarray, right: np.ndarray):
     return row, at, first[row, at], second[row, at]
 
 
+def _equal_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the order of the rows' bytes, number of each place's group of equal rows, in that order)."""
+    keys = np.ascontiguousarray(rows).view(np.dtype((np.bytes_, rows.shape[1]))).ravel()
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    return order, np.cumsum(np.concatenate(([0], (ordered[1:] != ordered[:-1]).astype(np.int64))))
+
+
+def first_documents(phrases: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each occurrence of a phrase and each start in it, the first document with the string of LENGTH bytes there.
+
+    The distinct phrases are the dictionary; which one stands at each place is the parse. The dictionary's suffixes are sorted by
+    their bytes, as deep as a string is long, so equal strings are neighbours; a suffix brings along the first document that the parse has
+    its phrase in, and the least of a run of neighbours is the string's. Starts where no whole string is there get the largest
+    number.
+    """
+    most = np.iinfo(np.int64).max
+    full = np.concatenate((phrases, left[:, None].astype(np.uint8), right[:, None].astype(np.uint8)), axis=1)
+    order, number = _equal_rows(full)
+    parse = np.empty(len(doc), dtype=np.int64)
+    parse[order] = number
+    entry = order[np.concatenate(([True], number[1:] != number[:-1]))]  # a place of each phrase of the dictionary
+    earliest = np.full(len(entry), most)
+    np.minimum.at(earliest, parse, doc)
+    start = np.arange(REACH + 1)
+    there = (start >= REACH - left[entry, None].astype(np.int64)) & (start + LENGTH <= REACH + right[entry, None].astype(np.int64))
+    phrase, at = np.nonzero(there)
+    first = np.full((len(entry), REACH + 1), most)
+    if len(phrase):
+        suffixes = np.lib.stride_tricks.sliding_window_view(phrases[entry], LENGTH, axis=1)[phrase, at]
+        order, number = _equal_rows(suffixes)
+        least = np.minimum.reduceat(earliest[phrase[order]], np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1]))))
+        first[phrase[order], at[order]] = least[number]
+    return first[parse]
+
+
 def _match_strings(part: pa.Table, groups: int) -> pa.Table:
     """A bucket's open triggers and single strings -> runs of strings that stand in earlier documents: 64 * start + how many, by document."""
     docs, marks = _marks_in(part)
@@ -339,10 +377,8 @@ def _match_strings(part: pa.Table, groups: int) -> pa.Table:
         own = np.flatnonzero(key % np.uint64(portions) == k)
         if not len(own):
             continue
-        row, at, first, second = _strings(phrases[own], left[own], right[own])
-        order, repeats, _ = _settle(first, second, doc[own][row])
         hit = np.zeros((len(own), REACH + 3), dtype=np.int8)
-        hit[row[order[repeats]], at[order[repeats]] + 1] = 1
+        hit[:, 1:-1] = first_documents(phrases[own], left[own], right[own], doc[own]) < doc[own][:, None]
         change = np.diff(hit, axis=1)
         r, begin = np.nonzero(change == 1)
         _, end = np.nonzero(change == -1)

@@ -133,6 +133,26 @@ def test_substring_dedup_of_hot_passages(spark, monkeypatch, hot):
     assert {k: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for k, r in got.items()} == brute_substrings(data)
 
 
+def test_first_documents_by_suffix_order():
+    rng = np.random.default_rng(4)
+    n, around = 300, substring_dedup.AROUND
+    pool = rng.integers(0, 3, (40, around), dtype=np.uint8)
+    phrases = pool[rng.integers(0, 40, n)]
+    phrases[:150, 40:] = pool[0, 40:]
+    left, right = rng.integers(0, substring_dedup.REACH + 1, n), rng.integers(20, substring_dedup.LENGTH + 1, n)
+    doc = rng.integers(0, 50, n)
+    got, seen = substring_dedup.first_documents(phrases, left, right, doc), {}
+    whole = lambda i, k: k >= substring_dedup.REACH - left[i] and k + 50 <= substring_dedup.REACH + right[i]
+    for i in range(n):
+        for k in range(substring_dedup.REACH + 1):
+            if whole(i, k):
+                w = phrases[i, k : k + 50].tobytes()
+                seen[w] = min(seen.get(w, 99), doc[i])
+    for i in range(n):
+        for k in range(substring_dedup.REACH + 1):
+            assert got[i, k] == (seen[phrases[i, k : k + 50].tobytes()] if whole(i, k) else np.iinfo(np.int64).max)
+
+
 def test_substring_dedup_of_long_texts(spark):
     """Texts longer than what is hashed at once, with passages of each other across the cut."""
     rng = random.Random(22)
