@@ -41,7 +41,7 @@ class PieceTokenizer:
     keep: how many pieces' ids stay in memory between batches.
     """
 
-    def __init__(self, path: str, lower: bool, keep: int = 800_000):
+    def __init__(self, path: str, lower: bool, keep: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
