@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.functions.text import label_from_prefix, name_from_id
+from kgspark.sources.shared import materialize
 
 CONTAINS = "BAO_GOM_VI_THUOC"
 TREATS = ("CHU_TRI_BENH", "CHU_TRI_TRIEU_CHUNG")
@@ -107,7 +108,7 @@ def rank_by_richness(scored: DataFrame, score: str = "score", key: str = "doc_id
     within, and moved up by the rows of the partitions before. A checkpoint holds which row went where.
     """
     order = [F.desc(score), F.asc(key)]
-    dealt = scored.repartitionByRange(buckets, *order).withColumn("_b", F.spark_partition_id()).checkpoint()
+    dealt = materialize(scored.repartitionByRange(buckets, *order).withColumn("_b", F.spark_partition_id()))
     edges = dealt.groupBy("_b").agg(F.count("*").alias("_n"))  # a row for each partition
     ahead = edges.withColumn("_ahead", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = F.row_number().over(Window.partitionBy("_b").orderBy(*order))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .retrieve import CONTAINS, HERB, REMEDY, TREATS, check_relation, entity_overview, first_names, hop, intersect_relations, negative_pairs, treatments_of, two_hop_remedy, usage_lookup
+from kgspark.sources.shared import materialize
+
+from .retrieve import CONTAINS, HERB, REMEDY, TREATS, check_relation, entity_overview, first_names, hop, intersect_relations, keyword_hits, negative_pairs, treatments_of, two_hop_remedy, usage_lookup
 
 COMPOUND = "HoatChat"
 
@@ -134,20 +136,25 @@ def grounded_answers(answers: DataFrame, hits: DataFrame, refusals: tuple[str, .
 def answer_questions(questions: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 30) -> DataFrame:
     """question_id, intent, subject, relation, object of every parsed question (intent, k1, k2), by the lookup of its intent.
 
-    The table is split by intent, each part is answered as a batch, and the parts are put together.
+    All keywords are matched once, in a checkpoint; the table is split by intent, each part is answered as a batch, and the parts
+    are put together.
     """
     asked = questions.select("question_id", "intent", F.coalesce("k1", F.lit("")).alias("kw1"), F.coalesce("k2", F.lit("")).alias("kw2"))
     of = lambda *names: asked.where(F.col("intent").isin(*names))
     one = lambda df, subject="subject", relation="relation", object="object": df.select("question_id", F.col(subject).alias("subject"), (F.col(relation) if relation else F.lit("-")).alias("relation"), F.col(object).alias("object"))
+    # Of the second keyword only those intents' that look at it: an empty one matches everything.
+    two = F.col("intent").isin("TIM_HUONG_DAN", "TIM_DA_QUAN_HE", "KIEM_TRA_BOOLEAN")
+    hits = materialize(keyword_hits(asked.withColumn("kw2", F.when(two, F.col("kw2"))), nodes))
+    edges = materialize(edges)
     parts = [
-        one(usage_lookup(nodes, edges, of("TIM_HUONG_DAN"), k)),
-        one(intersect_relations(nodes, edges, of("TIM_DA_QUAN_HE"), k), relation="", object="from_id"),
-        check_relation(nodes, edges, of("KIEM_TRA_BOOLEAN"), ("CHU_TRI_BENH", "CHU_TRI_TRIEU_CHUNG", "CO_CHUA_HOAT_CHAT", "BAO_GOM_VI_THUOC")).select("question_id", F.lit("-").alias("subject"), F.lit("-").alias("relation"), F.col("found").cast("string").alias("object")),
-        one(two_hop_remedy(nodes, edges, of("TIM_BAI_THUOC_CHUA_BENH"), k), relation="remedy"),
-        one(treatments_of(nodes, edges, of("TIM_DIEU_TRI"), limit=k)),
-        one(hop(nodes, edges, of("TIM_TINH_VI"), ("CO_TINH", "CO_VI", "QUY_KINH"), limit=k)),
-        one(hop(nodes, edges, of("TIM_THANH_PHAN"), ("BAO_GOM_VI_THUOC", "CO_CHUA_HOAT_CHAT"), limit=k)),
-        one(entity_overview(nodes, edges, of("TONG_QUAN"), k)),
+        one(usage_lookup(nodes, edges, of("TIM_HUONG_DAN"), k, hits)),
+        one(intersect_relations(nodes, edges, of("TIM_DA_QUAN_HE"), k, hits), relation="", object="from_id"),
+        check_relation(nodes, edges, of("KIEM_TRA_BOOLEAN"), ("CHU_TRI_BENH", "CHU_TRI_TRIEU_CHUNG", "CO_CHUA_HOAT_CHAT", "BAO_GOM_VI_THUOC"), hits).select("question_id", F.lit("-").alias("subject"), F.lit("-").alias("relation"), F.col("found").cast("string").alias("object")),
+        one(two_hop_remedy(nodes, edges, of("TIM_BAI_THUOC_CHUA_BENH"), k, hits), relation="remedy"),
+        one(treatments_of(nodes, edges, of("TIM_DIEU_TRI"), limit=k, hits=hits)),
+        one(hop(nodes, edges, of("TIM_TINH_VI"), ("CO_TINH", "CO_VI", "QUY_KINH"), limit=k, hits=hits)),
+        one(hop(nodes, edges, of("TIM_THANH_PHAN"), ("BAO_GOM_VI_THUOC", "CO_CHUA_HOAT_CHAT"), limit=k, hits=hits)),
+        one(entity_overview(nodes, edges, of("TONG_QUAN"), k, hits)),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -82,23 +82,33 @@ def _named(nodes: DataFrame, side: str) -> DataFrame:
     return nodes.select(F.col("id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name"), F.col("label").alias(f"{side}_label"))
 
 
-def _matched(questions: DataFrame, nodes: DataFrame, keyword: str, side: str) -> DataFrame:
-    found = match_entities(nodes, questions.select(F.col("question_id").alias("key"), F.col(keyword).alias("keyword")))
-    return found.select(F.col("key").alias("question_id"), F.col("id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name"), F.col("label").alias(f"{side}_label"))
+def keyword_hits(questions: DataFrame, nodes: DataFrame) -> DataFrame:
+    """side (kw1 or kw2), question_id, id, name, label: what all questions' keywords match, to be worked out once for several lookups."""
+    side = lambda kw: questions.select(F.struct(F.lit(kw).alias("side"), "question_id").alias("key"), F.col(kw).alias("keyword"))
+    return match_entities(nodes, side("kw1").union(side("kw2"))).select("key.side", "key.question_id", "id", "name", "label")
 
 
-def hop(nodes: DataFrame, edges: DataFrame, questions: DataFrame, relations: Sequence[str], direction: str = "forward", target_label: str | None = None, limit: int = LIMIT) -> DataFrame:
+def _matched(questions: DataFrame, nodes: DataFrame, keyword: str, side: str, hits: DataFrame | None = None) -> DataFrame:
+    """The nodes that each question's keyword matches, looked up, or from keyword_hits of these and other questions."""
+    if hits is None:
+        found = match_entities(nodes, questions.select(F.col("question_id").alias("key"), F.col(keyword).alias("keyword"))).withColumnRenamed("key", "question_id")
+    else:
+        found = hits.where(F.col("side") == keyword).join(questions.select("question_id"), "question_id", "left_semi")
+    return found.select("question_id", F.col("id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name"), F.col("label").alias(f"{side}_label"))
+
+
+def hop(nodes: DataFrame, edges: DataFrame, questions: DataFrame, relations: Sequence[str], direction: str = "forward", target_label: str | None = None, limit: int = LIMIT, hits: DataFrame | None = None) -> DataFrame:
     """One hop from the nodes that kw1 matches, along or against the edges of some relations."""
     start, end = ("from", "to") if direction == "forward" else ("to", "from")
     wanted = edges.where(F.col("relation_type").isin(*relations))
-    hits = _matched(questions, nodes, "kw1", start).join(wanted, f"{start}_id").join(_named(nodes, end), f"{end}_id")
+    hits = _matched(questions, nodes, "kw1", start, hits).join(wanted, f"{start}_id").join(_named(nodes, end), f"{end}_id")
     if target_label is not None:
         hits = hits.where(F.col(f"{end}_label") == target_label)
     out = hits.select("question_id", F.col("from_name").alias("subject"), F.col("relation_type").alias("relation"), F.col("to_name").alias("object"), "from_id", "to_id").distinct()
     return first_rows(out, ["subject", "relation", "object", "from_id", "to_id"], limit)
 
 
-def two_hop_remedy(nodes: DataFrame, edges: DataFrame, questions: DataFrame, limit: int = LIMIT) -> DataFrame:
+def two_hop_remedy(nodes: DataFrame, edges: DataFrame, questions: DataFrame, limit: int = LIMIT, hits: DataFrame | None = None) -> DataFrame:
     """Herb <- contains - remedy - treats -> disease or symptom.
 
     A herb's first rows are the same for every question, so they are worked out once a herb; of the herbs that a
@@ -106,7 +116,7 @@ def two_hop_remedy(nodes: DataFrame, edges: DataFrame, questions: DataFrame, lim
     """
     inside = edges.where(F.col("relation_type") == CONTAINS).select(F.col("from_id").alias("remedy_id"), F.col("to_id").alias("herb_id")).distinct()
     treats = edges.where(F.col("relation_type").isin(*TREATS)).select(F.col("from_id").alias("remedy_id"), F.col("to_id").alias("target_id")).distinct()
-    matched = _matched(questions, nodes, "kw1", "herb").where(F.col("herb_label") == HERB).select("question_id", "herb_id", "herb_name")
+    matched = _matched(questions, nodes, "kw1", "herb", hits).where(F.col("herb_label") == HERB).select("question_id", "herb_id", "herb_name")
     named = treats.join(_named(nodes, "remedy"), "remedy_id").join(_named(nodes, "target"), "target_id")
     rows = inside.join(matched.select("herb_id").distinct(), "herb_id", "left_semi").join(named, "remedy_id")
     order = ["remedy_name", "target_name", "remedy_id", "target_id"]
@@ -121,17 +131,17 @@ def two_hop_remedy(nodes: DataFrame, edges: DataFrame, questions: DataFrame, lim
     return first_rows(out, ["subject", "remedy", "object", "herb_id", "remedy_id", "target_id"], limit)
 
 
-def check_relation(nodes: DataFrame, edges: DataFrame, questions: DataFrame, relations: Sequence[str]) -> DataFrame:
+def check_relation(nodes: DataFrame, edges: DataFrame, questions: DataFrame, relations: Sequence[str], hits: DataFrame | None = None) -> DataFrame:
     """question_id and found: whether an edge joins a node that kw1 matches to one that kw2 matches."""
-    left, right = _matched(questions, nodes, "kw1", "from"), _matched(questions, nodes, "kw2", "to")
+    left, right = _matched(questions, nodes, "kw1", "from", hits), _matched(questions, nodes, "kw2", "to", hits)
     wanted = edges.where(F.col("relation_type").isin(*relations)).select("from_id", "to_id").distinct()
     yes = left.select("question_id", "from_id").join(wanted, "from_id").join(right.select("question_id", "to_id"), ["question_id", "to_id"]).select("question_id").distinct()
     return questions.select("question_id").join(yes.withColumn("hit", F.lit(True)), "question_id", "left").select("question_id", F.coalesce("hit", F.lit(False)).alias("found"))
 
 
-def treatments_of(nodes: DataFrame, edges: DataFrame, questions: DataFrame, prefer: str = REMEDY, limit: int = LIMIT) -> DataFrame:
+def treatments_of(nodes: DataFrame, edges: DataFrame, questions: DataFrame, prefer: str = REMEDY, limit: int = LIMIT, hits: DataFrame | None = None) -> DataFrame:
     """What treats, or has a function on, a disease or symptom that kw1 matches; sources of the preferred label first."""
-    target = _matched(questions, nodes, "kw1", "to").where(F.col("to_label").isin(DISEASE, SYMPTOM))
+    target = _matched(questions, nodes, "kw1", "to", hits).where(F.col("to_label").isin(DISEASE, SYMPTOM))
     wanted = edges.where(F.col("relation_type").isin(*TREATS, *FUNCTION))
     hits = target.join(wanted, "to_id").join(_named(nodes, "from"), "from_id")
     out = hits.select("question_id", F.when(F.col("from_label") == prefer, 1).otherwise(2).alias("rank"), F.col("from_name").alias("subject"), F.col("relation_type").alias("relation"), F.col("to_name").alias("object"), "from_id", "to_id").distinct()
@@ -144,21 +154,21 @@ def herbs_by_attribute(nodes: DataFrame, edges: DataFrame, questions: DataFrame,
     return hop(nodes, edges, asked, relations, "backward", None, limit)
 
 
-def intersect_relations(nodes: DataFrame, edges: DataFrame, questions: DataFrame, limit: int = LIMIT) -> DataFrame:
+def intersect_relations(nodes: DataFrame, edges: DataFrame, questions: DataFrame, limit: int = LIMIT, hits: DataFrame | None = None) -> DataFrame:
     """Herbs with an edge to what kw1 matches and an edge to what kw2 matches."""
 
     def sources(keyword: str) -> DataFrame:
-        return _matched(questions, nodes, keyword, "to").select("question_id", "to_id").join(edges.select("from_id", "to_id"), "to_id").select("question_id", "from_id").distinct()
+        return _matched(questions, nodes, keyword, "to", hits).select("question_id", "to_id").join(edges.select("from_id", "to_id"), "to_id").select("question_id", "from_id").distinct()
 
     both = sources("kw1").join(sources("kw2"), ["question_id", "from_id"]).join(_named(nodes, "from"), "from_id").where(F.col("from_label") == HERB)
     return first_rows(both.select("question_id", F.col("from_name").alias("subject"), "from_id"), ["subject", "from_id"], limit)
 
 
-def usage_lookup(nodes: DataFrame, edges: DataFrame, questions: DataFrame, limit: int = LIMIT) -> DataFrame:
+def usage_lookup(nodes: DataFrame, edges: DataFrame, questions: DataFrame, limit: int = LIMIT, hits: DataFrame | None = None) -> DataFrame:
     """Treats or function edges, either way, between what kw1 and kw2 match."""
     wanted = edges.where(F.col("relation_type").isin(*TREATS, *FUNCTION))
     either = wanted.select(F.col("from_id").alias("a_id"), F.col("to_id").alias("b_id"), "relation_type").union(wanted.select("to_id", "from_id", "relation_type")).distinct()
-    a, b = _matched(questions, nodes, "kw1", "a"), _matched(questions, nodes, "kw2", "b")
+    a, b = _matched(questions, nodes, "kw1", "a", hits), _matched(questions, nodes, "kw2", "b", hits)
     hits = a.join(either, "a_id").join(b, ["question_id", "b_id"])
     out = hits.select("question_id", F.col("a_name").alias("subject"), F.col("relation_type").alias("relation"), F.col("b_name").alias("object"), "a_id", "b_id").distinct()
     return first_rows(out, ["subject", "relation", "object", "a_id", "b_id"], limit)
@@ -171,10 +181,10 @@ def split_usage_question(questions: DataFrame) -> DataFrame:
     return questions.withColumns({"kw1": F.when(two, F.trim(parts[0])).otherwise(F.col("kw1")), "kw2": F.when(two, F.trim(parts[1])).otherwise(F.col("kw2"))})
 
 
-def entity_overview(nodes: DataFrame, edges: DataFrame, questions: DataFrame, limit: int = LIMIT) -> DataFrame:
+def entity_overview(nodes: DataFrame, edges: DataFrame, questions: DataFrame, limit: int = LIMIT, hits: DataFrame | None = None) -> DataFrame:
     """Every node that kw1 matches with its outgoing edges, or with defaults if it has none."""
     out = edges.join(_named(nodes, "to"), "to_id").select("from_id", "relation_type", "to_name", "to_id")
-    hits = _matched(questions, nodes, "kw1", "from").join(out, "from_id", "left")
+    hits = _matched(questions, nodes, "kw1", "from", hits).join(out, "from_id", "left")
     shown = hits.select("question_id", F.col("from_name").alias("subject"), F.coalesce("relation_type", F.lit("-")).alias("relation"), F.coalesce("to_name", F.lit("-")).alias("object"), "from_id", F.coalesce("to_id", F.lit("-")).alias("to_id")).distinct()
     return first_rows(shown, ["subject", "relation", "object", "from_id", "to_id"], limit)
 
