@@ -27,7 +27,7 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 
 def _cut(path: str, capacity: int):
     def run(batches):
-        encode = tokenizer(path or vocabulary(VOCABULARY), lower=True).encode
+        encode = tokenizer(path or vocabulary(VOCABULARY), lower=True, keep=400_000).encode
         for batch in slices(batches, max_chars=12_000_000):
             ids = batch.column("doc_id").to_pylist()
             rows = []

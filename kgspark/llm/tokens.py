@@ -41,7 +41,7 @@ class PieceTokenizer:
     keep: how many pieces' ids stay in memory between batches.
     """
 
-    def __init__(self, path: str, lower: bool, keep: int = 400_000):
+    def __init__(self, path: str, lower: bool, keep: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -130,14 +130,15 @@ class PieceTokenizer:
             row = stop
 
 
-_LOADED: dict[tuple[str, bool], PieceTokenizer] = {}
+_LOADED: dict[tuple, PieceTokenizer] = {}
 
 
-def tokenizer(path: str, lower: bool) -> PieceTokenizer:
+def tokenizer(path: str, lower: bool, keep: int = 800_000) -> PieceTokenizer:
     """One per Python worker and file."""
-    if (path, lower) not in _LOADED:
-        _LOADED[path, lower] = PieceTokenizer(path, lower)
-    return _LOADED[path, lower]
+    key = (path, lower, keep)
+    if key not in _LOADED:
+        _LOADED[key] = PieceTokenizer(*key)
+    return _LOADED[key]
 
 
 def vocabulary(name: str) -> str:
