@@ -25,6 +25,7 @@ EPOCHS = 10
 BATCH = 32
 STEP, SOFT_STEP = 0.3, 0.05
 THRESHOLD = 0.3
+WORDS_AT_ONCE = 1 << 16  # distinct words whose n-grams are worked on together
 _TRIM = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _BYTES = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -35,6 +36,10 @@ _BASE = np.uint64(0xD6E8FEB86659FD93)
 
 def subwords(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, edges): hashed byte n-grams of each word between "<" and ">"; word i has edges[i] ... edges[i + 1]."""
+    if len(words) > WORDS_AT_ONCE:
+        parts = [subwords(words.slice(at, WORDS_AT_ONCE)) for at in range(0, len(words), WORDS_AT_ONCE)]
+        sizes = np.concatenate([np.diff(edges) for _, edges in parts])
+        return np.concatenate([buckets for buckets, _ in parts]), np.concatenate(([0], np.cumsum(sizes)))
     marked = pc.binary_join_element_wise("<", pc.utf8_trim(words, characters=_TRIM), ">", "")
     if isinstance(marked, pa.ChunkedArray):
         marked = marked.combine_chunks()
@@ -89,9 +94,12 @@ def _segment_means(scores: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def word_scores(gains: np.ndarray, buckets: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Mean gain of each word's subwords."""
-    n = np.diff(edges)
-    total = np.concatenate(([0.0], np.cumsum(gains[buckets], dtype=np.float64)))
-    return (total[edges[1:]] - total[edges[:-1]]) / np.maximum(n, 1)
+    out = np.zeros(len(edges) - 1)
+    for at in range(0, len(out), WORDS_AT_ONCE):
+        own = edges[at : at + WORDS_AT_ONCE + 1]
+        total = np.concatenate(([0.0], np.cumsum(gains[buckets[own[0] : own[-1]]], dtype=np.float64)))[own - own[0]]
+        out[at : at + WORDS_AT_ONCE] = np.diff(total) / np.maximum(np.diff(own), 1)
+    return out
 
 
 # --- model --------------------------------------------------------------------------------------
@@ -152,7 +160,11 @@ def _log_odds(labels: np.ndarray, index: np.ndarray, counts: np.ndarray, buckets
     pairs = np.unique(row * n_words + index)
     word, toxic = pairs % n_words, labels[pairs // n_words] == 1
     seen = [np.bincount(word[flag], minlength=n_words) for flag in (toxic, ~toxic)]
-    each = [np.bincount(buckets, weights=np.repeat(n, np.diff(edges)), minlength=1 << BUCKET_BITS) for n in seen]
+    each = np.zeros((2, 1 << BUCKET_BITS))
+    for at in range(0, n_words, WORDS_AT_ONCE):
+        own = edges[at : at + WORDS_AT_ONCE + 1]
+        for total, n in zip(each, seen):
+            total += np.bincount(buckets[own[0] : own[-1]], weights=np.repeat(n[at : at + WORDS_AT_ONCE], np.diff(own)), minlength=1 << BUCKET_BITS)
     return np.log((each[0] + 0.5) / (labels == 1).sum()) - np.log((each[1] + 0.5) / (labels == 0).sum())
 
 
