@@ -117,6 +117,12 @@ def grounded_answers(spark, sf_dir):
 ORACLE = {
     "stream_payments": LEDGER_ORACLE["match_bank_transactions"],
     "stream_ledger": LEDGER_ORACLE["apply_ledger"],
+    "stream_login_sessions": """WITH e AS (SELECT event_id AS id, user_id, ts, CASE event_type WHEN 'signup' THEN 'create' WHEN 'purchase' THEN 'complete' ELSE 'read' END AS kind, row_number() OVER w AS n, count(*) FILTER (WHERE event_type = 'signup') OVER w AS part
+        FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+      s AS (SELECT *, epoch_us(ts) - epoch_us(first_value(ts) OVER (PARTITION BY user_id, part ORDER BY n)) > 600000000 AS old FROM e),
+      f AS (SELECT *, min(n) FILTER (WHERE old) OVER p AS late, min(n) FILTER (WHERE kind = 'complete' AND NOT old) OVER p AS done FROM s WINDOW p AS (PARTITION BY user_id, part)),
+      g AS (SELECT *, min(n) FILTER (WHERE kind = 'read' AND n > done) OVER (PARTITION BY user_id, part) AS used FROM f)
+      SELECT id, user_id, CASE WHEN part = 0 THEN 'none' WHEN kind = 'create' THEN 'created' WHEN n > least(coalesce(late, n), coalesce(used, n)) THEN 'none' WHEN n = late THEN 'expired' WHEN n = used THEN 'consumed' WHEN kind = 'complete' THEN 'completed' ELSE 'pending' END AS outcome FROM g""",
     "stream_daily_queries": "SELECT ts::DATE AS day, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1",
     "stream_query_cache": "SELECT DISTINCT props AS question FROM events",
     "stream_deletions": "SELECT event_id AS id, user_id, epoch_us(nxt) - epoch_us(ts) < 86400000000 AS superseded FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events WHERE event_type = 'error') WHERE nxt IS NOT NULL",
