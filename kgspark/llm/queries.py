@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, idfile, langid, mixing, packing, pii, quality, simhash, substring_dedup, toxicity
+from . import exact_dedup, hard_negatives, idfile, langid, mixing, packing, pii, quality, simhash, substring_dedup, toxicity, vector_codes
 from .common import shared_folder, table
 
 
@@ -54,6 +54,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(hard_negatives.moved_labels(table(spark, sf_dir, "embeddings")))
+
+
 OPERATORS = (
     op1_substring_dedup,
     op2_language_id,
@@ -65,6 +73,8 @@ OPERATORS = (
     op8_toxicity,
     op9_exact_dedup,
     op10_mixing,
+    op11_vector_codes,
+    op13_hard_negatives,
 )
 
 
@@ -73,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality": quality.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
+    return {"op3_quality": quality.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL, "op11_vector_codes": vector_codes.ORACLE_SQL, "op13_hard_negatives": hard_negatives.ORACLE_SQL}
