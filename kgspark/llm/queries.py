@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, hard_negatives, idfile, langid, mixing, packing, pii, quality, simhash, substring_dedup, toxicity, vector_codes
+from . import exact_dedup, hard_negatives, idfile, langid, mixing, packing, pii, quality, recompression, simhash, substring_dedup, toxicity, vector_codes
 from .common import shared_folder, table
 
 
@@ -58,6 +58,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
 
 
+def op12_word_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.word_dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(hard_negatives.moved_labels(table(spark, sf_dir, "embeddings")))
 
@@ -74,6 +78,7 @@ OPERATORS = (
     op9_exact_dedup,
     op10_mixing,
     op11_vector_codes,
+    op12_word_dedup,
     op13_hard_negatives,
 )
 
@@ -83,4 +88,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality": quality.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL, "op11_vector_codes": vector_codes.ORACLE_SQL, "op13_hard_negatives": hard_negatives.ORACLE_SQL}
+    return {
+        "op3_quality": quality.ORACLE_SQL,
+        "op9_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op10_mixing": mixing.ORACLE_SQL,
+        "op11_vector_codes": vector_codes.ORACLE_SQL,
+        "op12_word_dedup": recompression.ORACLE_SQL,
+        "op13_hard_negatives": hard_negatives.ORACLE_SQL,
+    }
