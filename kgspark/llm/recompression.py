@@ -495,16 +495,16 @@ def word_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -
     each, one for some three words; texts are shuffled once, after most windows are settled.
     """
     longest = rounds_for(window)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
+    # No cast where there is none to do: both joins then have the same plan below, and share its exchange.
+    texts = docs.select("doc_id" if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
     known = texts.where("doc_id is not null")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups, buckets = max(1, -(-total // GROUP_BYTES)), max(1, -(-total // BUCKET_BYTES))
-    known = known.withColumn("grp", F.pmod(F.xxhash64("doc_id", "key"), F.lit(groups)).cast("int"))
-    letters = known.select("grp", "doc_id", "key", "text").mapInArrow(_letters(longest), _LETTERS_SQL)
+    grp = F.pmod(F.xxhash64("doc_id", "key"), F.lit(groups)).cast("int").alias("grp")
+    letters = known.select(grp, "doc_id", "key", "text").mapInArrow(_letters(longest), _LETTERS_SQL)
     shared = materialize(ask(letters, 1, buckets, _to_symbols(window, longest), _SYMBOLS_SQL))
     marks = materialize(ask(shared, 2, buckets, _to_marks(window), _MARKS_SQL))
-    left = marks.where("octet_length(windows) > 0").select("doc_id", "key", "windows")
-    # The same exchange of the texts serves this join and the last one.
+    left = marks.where("octet_length(windows) > 0").select("grp", "doc_id", "key", "windows")
     windows = known.join(left, ["doc_id", "key"]).select("grp", "doc_id", "key", "text", "windows").mapInArrow(_open_windows(window), _OPEN_SQL)
     found = ask(windows, 2, buckets, _to_found, _FOUND_SQL).select("doc_id", "key", "found")
     both = marks.select("doc_id", "key", "settled").join(found, ["doc_id", "key"], "left")
