@@ -9,12 +9,16 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.functions.text import label_from_prefix, name_from_id
 from kgspark.sources.shared import materialize
 
+from .retrieve import endpoint_ids
+from .substrings import contains_join
+
 CONTAINS = "BAO_GOM_VI_THUOC"
 TREATS = ("CHU_TRI_BENH", "CHU_TRI_TRIEU_CHUNG")
 EDGE_KEY = ("from_id", "relation_type", "to_id")
@@ -36,30 +40,64 @@ def fold_texts(texts: Column) -> Column:
     return F.aggregate(texts, F.lit(""), add)
 
 
-def merge_edges(edges: DataFrame, order: Sequence[str], keys: Sequence[str] = EDGE_KEY, default_confidence: float = 0.75) -> DataFrame:
+#: Distinct descriptions of a key from which on they are held against each other by a join instead of in one row.
+MANY_TEXTS = 1000
+
+
+def merge_edges(edges: DataFrame, order: Sequence[str], keys: Sequence[str] = EDGE_KEY, default_confidence: float = 0.75, fill: Sequence[str] = (), policy: str = "first", many: int = MANY_TEXTS) -> DataFrame:
     """One edge for each key: the first dosage, folded descriptions, all sources sorted, the highest confidence, how many.
 
-    Exact repeats of a description go first, by a summing aggregation, so the ordered fold sees distinct texts only.
-    A null or zero confidence counts as the default.
+    fill: other properties, each filled with a value of the key that isn't empty: the first, or by policy "longest" the longest one, then the
+    first. A null or zero confidence counts as the default. Exact repeats of a description go first, by a summing aggregation, so the ordered
+    fold sees distinct texts only. A key with many of them is folded by a join: a text goes if an earlier one contains it, which is met by its rarest
+    piece, and no row holds more than the texts that stay.
     """
+    if policy not in ("first", "longest"):
+        raise ValueError("policy is first or longest")
     confidence = F.when(F.coalesce("confidence", F.lit(0.0)) == 0, default_confidence).otherwise(F.col("confidence"))
     place = F.struct(*order)
+    there = lambda c: F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", place)
+    rank = lambda c: F.when(there(c).isNotNull(), F.struct(F.lit(0) if policy == "first" else -F.length(F.col(c).cast("string")), place))
     texts = edges.groupBy(*keys, F.coalesce("description", F.lit("")).alias("description")).agg(
         F.min(place).alias("place"),
-        F.min_by("dosage", F.when(F.coalesce("dosage", F.lit("")) != "", place)).alias("dosage"),
-        F.min(F.when(F.coalesce("dosage", F.lit("")) != "", place)).alias("dosage_place"),
+        F.min_by("dosage", there("dosage")).alias("dosage"),
+        F.min(there("dosage")).alias("dosage_place"),
         F.collect_set("source_id").alias("sources"),
         F.max(confidence).alias("confidence"),
-        F.count("*").alias("n"),
+        F.count("*").alias("_rows"),
+        *[F.min_by(F.struct(rank(c).alias("rank"), F.col(c).alias("value")), rank(c)).alias(f"_fill_{c}") for c in fill],
     )
-    merged = texts.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("place", "description"))).alias("parts"),
+    summed = [
         F.min_by("dosage", "dosage_place").alias("dosage"),
         F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_list("sources")))), ",").alias("source_id"),
         F.max("confidence").alias("confidence"),
-        F.sum("n").alias("n_merged"),
-    )
-    return merged.withColumn("description", fold_texts(F.transform("parts", lambda p: p["description"]))).drop("parts")
+        F.sum("_rows").alias("n_merged"),
+        *[F.min_by(f"_fill_{c}.value", f"_fill_{c}.rank").alias(c) for c in fill],
+    ]
+    parts = F.sort_array(F.collect_list(F.struct("place", "description"))).alias("parts")
+    folded = fold_texts(F.transform("parts", lambda p: p["description"]))
+    large = edges.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= many).select(*keys)
+    if large.isEmpty():
+        return texts.groupBy(*keys).agg(parts, *summed).withColumn("description", folded).drop("parts")
+    texts = materialize(texts)
+    # Where a text holds the mark between texts, or blanks at an end, it could be found across two others: such keys are folded in a row.
+    odd = F.bool_or(F.col("description").contains("|") | (F.trim("description") != F.col("description")))
+    hot = texts.groupBy(*keys).agg(F.count("*").alias("_n"), odd.alias("_odd")).where((F.col("_n") >= many) & ~F.col("_odd")).select(*keys, F.lit(True).alias("_hot"))
+    hot = materialize(hot)
+    own = texts.select(*keys, "place", "description")
+    kept = own.join(hot, list(keys), "left_anti").unionByName(_uncontained(own.join(hot, list(keys), "left_semi"), keys))
+    told = kept.groupBy(*keys).agg(parts).join(hot, list(keys), "left")
+    told = told.select(*keys, F.when(F.col("_hot"), F.array_join(F.transform("parts", lambda p: p["description"]), " | ")).otherwise(folded).alias("description"))
+    return texts.groupBy(*keys).agg(*summed).join(told, list(keys))
+
+
+def _uncontained(texts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """texts (keys, place, description) without those that an earlier one of the key contains, and without empty ones."""
+    texts = texts.where("description <> ''")
+    later = texts.select(*keys, F.col("place").alias("_place"), F.col("description").alias("_part"))
+    inside = contains_join(texts, later, "description", "_part", keys).where(F.col("place") < F.col("_place"))
+    gone = inside.select(*keys, F.col("_place").alias("place")).distinct()
+    return texts.join(gone, [*keys, "place"], "left_anti")
 
 
 def merge_nodes(nodes: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -101,12 +139,13 @@ def gate_summary(scored: DataFrame) -> DataFrame:
     return scored.agg(total.alias("documents"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("quarantined"), F.sum("errors").alias("errors"), F.sum("warnings").alias("warnings"), F.sum("fixed").alias("fixed"), F.round(100 * F.count_if("passed") / total, 2).alias("pass_rate"))
 
 
-def rank_by_richness(scored: DataFrame, score: str = "score", key: str = "doc_id", buckets: int = 64) -> DataFrame:
+def rank_by_richness(scored: DataFrame, score: str = "score", key: str = "doc_id", rows: int = 1_000_000) -> DataFrame:
     """Global rank by score, descending, then key.
 
-    Rows are range-sorted into partitions (up to `buckets`, by score and key together, so equal scores are dealt out too), numbered
+    Rows are range-sorted into partitions of about `rows` (by score and key together, so equal scores are dealt out too), numbered
     within, and moved up by the rows of the partitions before. A checkpoint holds which row went where.
     """
+    buckets = -(-scored.count() // rows) or 1
     order = [F.desc(score), F.asc(key)]
     dealt = materialize(scored.repartitionByRange(buckets, *order).withColumn("_b", F.spark_partition_id()))
     edges = dealt.groupBy("_b").agg(F.count("*").alias("_n"))  # a row for each partition
@@ -150,40 +189,69 @@ def patch_telemetry(patches: DataFrame, rejects: DataFrame) -> DataFrame:
     return marked.rollup("doc_id").agg(F.count("*").alias("proposed"), bad.alias("rejected"), (F.count("*") - bad).alias("applied"))
 
 
-def apply_patches(edges: DataFrame, patches: DataFrame) -> DataFrame:
-    """Edges of every document after its patches, in their order; documents without patches pass as they are.
+def rename_map(patches: DataFrame) -> DataFrame:
+    """doc_id, id, new_id: what the renames (SUA_ID) of a document, one after another, make of an id that is there from the start.
 
-    edges: doc_id, pos, from_id, to_id, relation_type, description. patches: doc_id, pos, action, from_id, to_id,
-    relation_type, description. SUA_ID renames from_id to to_id; XOA_EDGE removes edges between two ids, whatever the type; THEM_EDGE
+    Each rename is linked to the next one of the id that it makes; links are then followed two, four, eight ... at a time.
+    """
+    order = F.struct("pos", "from_id", "to_id", "relation_type", "description")
+    renames = patches.where("action = 'SUA_ID' and from_id is not null and to_id is not null and from_id <> to_id").select("doc_id", order.alias("place"), F.col("from_id").alias("old"), F.col("to_id").alias("new"))
+    renames = materialize(renames.distinct())
+    uses = renames.select("doc_id", F.col("old").alias("id"), "place", F.col("place").alias("used"), F.lit(None).cast("string").alias("new"))
+    makes = renames.select("doc_id", F.col("new").alias("id"), "place", F.lit(None).cast(renames.schema["place"].dataType).alias("used"), "new")
+    after = Window.partitionBy("doc_id", "id").orderBy("place").rowsBetween(1, Window.unboundedFollowing)
+    linked = uses.unionByName(makes).withColumn("next", F.first("used", ignorenulls=True).over(after)).where("new is not null").select("doc_id", "place", "new", "next")
+    linked = materialize(linked)
+    while not linked.where("next is not null").isEmpty():
+        ahead = linked.select("doc_id", F.col("place").alias("next"), F.col("new").alias("_new"), F.col("next").alias("_next"))
+        linked = materialize(linked.join(ahead, ["doc_id", "next"], "left").select("doc_id", "place", F.coalesce("_new", "new").alias("new"), F.col("_next").alias("next")))
+    first = renames.groupBy("doc_id", F.col("old").alias("id")).agg(F.min("place").alias("place"))
+    return first.join(linked, ["doc_id", "place"]).select("doc_id", "id", F.col("new").alias("new_id"))
+
+
+def apply_patches(nodes: DataFrame, edges: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of every document after its patches, in their order; documents without patches pass as they are.
+
+    nodes: doc_id, id and more. edges: doc_id, pos, from_id, to_id, relation_type, description. patches: doc_id, pos, action, from_id, to_id,
+    relation_type, description. SUA_ID renames from_id to to_id, in nodes too; XOA_EDGE removes edges between two ids, whatever the type; THEM_EDGE
     and SUA_PROPERTIES set type and description of the first edge between two ids, and THEM_EDGE appends one if there is none.
     """
+    renamed = nodes.join(rename_map(patches), ["doc_id", "id"], "left").withColumn("id", F.coalesce("new_id", "id")).select(*nodes.columns)
     columns = ["doc_id", "pos", "from_id", "to_id", "relation_type", "description"]
     touched = patches.select("doc_id").distinct()
     rest = edges.select(*columns).join(touched, "doc_id", "left_anti")
     todo = edges.select(*columns).join(touched, "doc_id", "left_semi").withColumn("action", F.lit(None).cast("string"))
     both = todo.unionByName(patches.select(*columns, "action"))
     ordered = both.repartition("doc_id").sortWithinPartitions("doc_id", "pos", "from_id", "to_id", "relation_type", "description")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.select(*columns).schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        doc, rows, todo = None, [], []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, rows, todo, kinds = None, [], [], None
         for part in batches:
-            out = []
-            for row in zip(*(part[c].astype(object).where(part[c].notna(), None) for c in [*columns, "action"])):
+            out, kinds = [], [part.schema.field(c) for c in columns]
+            for row in zip(*(part.column(c).to_pylist() for c in [*columns, "action"])):
                 if row[0] != doc:
                     out += _patched(rows, todo)
                     doc, rows, todo = row[0], [], []
                 (todo if row[6] else rows).append(row)
-            yield pd.DataFrame(out, columns=columns)
-        yield pd.DataFrame(_patched(rows, todo), columns=columns)
+            yield _table(out, kinds)
+        if kinds:
+            yield _table(_patched(rows, todo), kinds)
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.select(*columns).schema)
-    return rest.unionByName(ordered.mapInPandas(run, schema))
+    return renamed, rest.unionByName(ordered.mapInArrow(run, schema))
+
+
+def _table(rows: list[list], fields: list[pa.Field]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=pa.schema(fields))
 
 
 def _patched(edges: list[tuple], patches: list[tuple]) -> list[list]:
     """One document's edges after its patches; both as (doc_id, pos, from_id, to_id, relation_type, description, action)."""
     rows = [list(e[:6]) for e in edges]
     for doc, pos, a, b, kind, text, action in patches:
+        if a is None or b is None:
+            continue
         if action == "SUA_ID":
             for r in rows:
                 r[2], r[3] = (b if r[2] == a else r[2]), (b if r[3] == a else r[3])
@@ -227,16 +295,13 @@ def direction_conflicts(edges: DataFrame) -> DataFrame:
     return edges.join(first, ["doc_id", "from_id", "to_id"]).where("pos > reverse_pos")
 
 
-def _endpoints(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("from_id").alias("id")).union(edges.select("to_id")).distinct()
-
-
 def ghost_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return _endpoints(edges).join(nodes.select("id"), "id", "left_anti")
+    return endpoint_ids(edges).join(nodes.select("id"), "id", "left_anti")
 
 
-def orphan_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return nodes.join(_endpoints(edges), "id", "left_anti")
+def orphan_nodes(nodes: DataFrame, edges: DataFrame, hubs: DataFrame | None = None) -> DataFrame:
+    """Nodes that no edge uses and that are no hubs (id)."""
+    return nodes.join(endpoint_ids(edges, hubs), "id", "left_anti")
 
 
 def inject_missing_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -248,12 +313,12 @@ def inject_missing_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id", "label", "name").unionByName(made)
 
 
-def collect_garbage(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Without edges that start at a remedy that contains nothing, then without nodes that no edge uses."""
+def collect_garbage(nodes: DataFrame, edges: DataFrame, hubs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Without edges that start at a remedy that contains nothing, then without nodes that no edge uses and that are no hubs (id)."""
     filled = edges.where(F.col("relation_type") == CONTAINS).select("from_id").distinct()
     starts = F.col("from_id").startswith("BT_")
     kept = edges.where(~starts).unionByName(edges.where(starts).join(filled, "from_id", "left_semi").select(*edges.columns))
-    return nodes.join(_endpoints(kept), "id", "left_semi"), kept
+    return nodes.join(endpoint_ids(kept, hubs), "id", "left_semi"), kept
 
 
 def isolated_hubs(hubs: DataFrame, edges: DataFrame) -> DataFrame:
@@ -337,7 +402,7 @@ def build_lookup(dictionary: DataFrame) -> DataFrame:
 
 def dictionary_link(edges: DataFrame, lookup: DataFrame) -> DataFrame:
     """Both ends through the lookup, else as they are. Distinct ids are linked, then joined back."""
-    ids = _endpoints(edges)
+    ids = endpoint_ids(edges)
     linked = ids.join(lookup, F.lower(ids["id"]) == lookup["key"], "left").select("id", F.coalesce("canonical_id", "id").alias("new_id"))
     out = edges.join(linked.withColumnsRenamed({"id": "from_id", "new_id": "new_from"}), "from_id").join(linked.withColumnsRenamed({"id": "to_id", "new_id": "new_to"}), "to_id")
     return out.withColumns({"from_id": F.col("new_from"), "to_id": F.col("new_to")}).drop("new_from", "new_to").select(*edges.columns)
@@ -358,9 +423,19 @@ def knowledge_signature(nodes: DataFrame, edges: DataFrame, most: int | None = 1
 
 
 def embedding_text(nodes: DataFrame, signature: DataFrame, chars: int = 250) -> DataFrame:
-    """The text to embed of each node: name, label, aliases and the head of its signature."""
+    """The text to embed of each node (id, name, label; alias, hint, description if there): who it is, its whole signature, the head of its description."""
+    there = lambda c: F.coalesce(F.col(c), F.lit("")) if c in nodes.columns else F.lit("")
     out = nodes.join(signature, "id", "left")
-    return out.select("id", F.concat_ws(". ", "name", "label", F.when(F.coalesce("alias", F.lit("")) != "", F.concat(F.lit("aka "), "alias")), F.when(F.col("signature").isNotNull(), F.substring("signature", 1, chars))).alias("text"))
+    # The words between, which the vectors in use were made with.
+    text = F.concat(
+        F.lit("Thực thể YHCT: "), there("name"),
+        F.lit(". Phân loại: "), F.coalesce("label", F.lit("ThucThe")),
+        F.lit(". Tên gọi khác: "), there("alias"),
+        F.lit(". Định nghĩa & Gợi ý tìm kiếm: "), there("hint"),
+        F.lit(" Đặc điểm lâm sàng & Quan hệ: "), F.trim(F.coalesce("signature", F.lit(""))),
+        F.lit(" Mô tả cơ bản: "), F.substring(there("description"), 1, chars),
+    )
+    return out.select("id", F.trim(text).alias("text"))
 
 
 def pending_embeddings(nodes: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -435,8 +510,59 @@ def _on_cycles(out: dict[str, list[str]]) -> list[str]:
     return found
 
 
-def cycles(edges: DataFrame) -> DataFrame:
-    """doc_id, cyclic nodes of each document (in a cycle of two or more, or a self loop), after trimming."""
+def _reach(start: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes (doc_id, color, node) that some node of start reaches along edges (doc_id, color, from_id, to_id), start included."""
+    found = front = materialize(start)
+    while not front.isEmpty():
+        ahead = front.withColumnRenamed("node", "from_id").join(edges, ["doc_id", "color", "from_id"]).select("doc_id", "color", F.col("to_id").alias("node")).distinct()
+        front = materialize(ahead.join(found, ["doc_id", "color", "node"], "left_anti"))
+        found = materialize(found.unionByName(front))
+    return found
+
+
+def cyclic_nodes(edges: DataFrame) -> DataFrame:
+    """doc_id, node of each node on a cycle, for documents of any size: components by colours, joins alone.
+
+    Each node takes the greatest id from which it can be reached as its colour; the nodes of a colour that also reach the node it is named after
+    are that one's strongly connected component. They are taken out, edges between colours can't be on a cycle, and the rest goes round again.
+    """
+    edges = materialize(edges.select("doc_id", "from_id", "to_id").distinct())
+    loops = edges.where("from_id = to_id").select("doc_id", F.col("from_id").alias("node"))
+    edges, out = trim_acyclic(edges.where("from_id <> to_id")), [loops]
+    while True:
+        edges = materialize(edges)
+        if edges.isEmpty():
+            break
+        ends = edges.select("doc_id", F.col("from_id").alias("node")).union(edges.select("doc_id", "to_id")).distinct()
+        colors = materialize(ends.withColumn("color", F.col("node")))
+        while True:
+            sent = edges.join(colors.withColumnRenamed("node", "from_id"), ["doc_id", "from_id"]).groupBy("doc_id", F.col("to_id").alias("node")).agg(F.max("color").alias("sent"))
+            new = colors.join(sent, ["doc_id", "node"], "left").withColumn("moved", F.coalesce(F.col("sent") > F.col("color"), F.lit(False)))
+            new = materialize(new.select("doc_id", "node", F.greatest("color", "sent").alias("color"), "moved"))
+            colors = new.drop("moved")
+            if new.where("moved").isEmpty():
+                break
+        side = lambda c: colors.withColumnsRenamed({"node": f"{c}_id", "color": f"_{c}"})
+        colored = edges.join(side("from"), ["doc_id", "from_id"]).join(side("to"), ["doc_id", "to_id"]).where("_from = _to")
+        edges = materialize(colored.select("doc_id", F.col("_from").alias("color"), "from_id", "to_id"))
+        back = edges.select("doc_id", "color", F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))
+        parts = _reach(colors.where("node = color").select("doc_id", "color", "node"), back)
+        many = parts.groupBy("doc_id", "color").agg(F.count("*").alias("n")).where("n > 1")
+        out.append(parts.join(many, ["doc_id", "color"], "left_semi").select("doc_id", "node"))
+        for end in ("from_id", "to_id"):
+            edges = edges.join(parts.select("doc_id", F.col("node").alias(end)), ["doc_id", end], "left_anti")
+        edges = trim_acyclic(edges.select("doc_id", "from_id", "to_id"))
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found.distinct()
+
+
+def cycles(edges: DataFrame, most: int = 100_000) -> DataFrame:
+    """doc_id, cyclic nodes of each document (in a cycle of two or more, or a self loop), after trimming.
+
+    A document of at most so many edges is walked by one task, a larger one by joins (cyclic_nodes).
+    """
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list[str]] = {}
@@ -445,8 +571,12 @@ def cycles(edges: DataFrame) -> DataFrame:
         found = _on_cycles(out)
         return pd.DataFrame({"doc_id": pd.Series([part["doc_id"].iloc[0]] * len(found), dtype="int64"), "node": pd.Series(found, dtype="object")})
 
-    pairs = trim_acyclic(edges.select("doc_id", "from_id", "to_id").distinct())
-    return pairs.groupBy("doc_id").applyInPandas(run, "doc_id long, node string")
+    pairs = materialize(trim_acyclic(edges.select("doc_id", "from_id", "to_id").distinct()))
+    large = pairs.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > most).select("doc_id")
+    if large.isEmpty():
+        return pairs.groupBy("doc_id").applyInPandas(run, "doc_id long, node string")
+    walked = pairs.join(large, "doc_id", "left_anti").groupBy("doc_id").applyInPandas(run, "doc_id long, node string")
+    return walked.unionByName(cyclic_nodes(pairs.join(large, "doc_id", "left_semi")))
 
 
 def carry_anchor(pages: DataFrame, anchors: DataFrame, block: int = 1024) -> DataFrame:

@@ -54,13 +54,16 @@ def users_newest_first(users: DataFrame, root_email: str | None = None) -> DataF
     return flagged.drop("root_email").orderBy(F.desc("id"))
 
 
-def match_bank_transactions(invoices: DataFrame, transfers: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Each invoice with the first transfer that pays it: same key, amount at least the invoice's, paid in
-    [created - 600 s, created + 86400 s]. An equi-join on the key; amount and time are residual."""
+def match_bank_transactions(invoices: DataFrame, transfers: DataFrame, key: int) -> DataFrame:
+    """Each invoice (id, amount, created_at) with the first transfer (tx_id, content, amount, paid_at) that pays it.
+
+    The transfer's text holds the invoice's payment code; its amount is at least the invoice's, paid in [created - 600 s, created + 86400 s]. An
+    equi-join on the decoded id; amount and time are residual.
+    """
     seconds = F.col("paid_at").cast("timestamp").cast("double") - F.col("created_at").cast("timestamp").cast("double")
-    t = transfers.withColumnRenamed("amount", "paid")
+    t = transfers.select("tx_id", "paid_at", F.col("amount").alias("paid"), decode_payment_id(F.col("content"), key).alias("id"))
     near = (seconds >= -EARLY_SECONDS) & (seconds <= LATE_SECONDS)
-    pairs = invoices.join(t, list(key)).where(near & (F.col("paid") >= F.col("amount")))
+    pairs = invoices.join(t, "id").where(near & (F.col("paid") >= F.col("amount")))
     first = F.min_by(F.struct("tx_id", "paid_at", "paid"), F.struct("paid_at", "tx_id"))
     return pairs.groupBy("id").agg(first.alias("tx")).select("id", "tx.tx_id", "tx.paid_at", "tx.paid")
 

@@ -12,9 +12,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.functions.text import clean_attribute_id, normalize_id, normalize_plain_id, normalize_prefix, strip_accents
+from kgspark.functions.text import clean_attribute_id, label_from_prefix, name_from_id, normalize_id, normalize_plain_id, normalize_prefix, strip_accents
 
-from .curate import CONTAINS, DNA, INFERRED_DNA, INFERRED_OTHER, TREATS, any_phrase, fold_texts
+from .curate import CONTAINS, DNA, EDGE_KEY, INFERRED_DNA, INFERRED_OTHER, TREATS, any_phrase, apply_patches, fold_texts, merge_edges
 
 FUNCTION, CONTAINS_COMPOUND, ACTS = "CO_CONG_NANG", "CO_CHUA_HOAT_CHAT", "CO_TAC_DUNG_DUOC_LY"
 
@@ -164,6 +164,23 @@ def rename_remedies(nodes: DataFrame, edges: DataFrame, hubs: DataFrame) -> tupl
     n = nodes.join(known.select("doc_id", "id", F.col("orphan").alias("_orphan"), "new_id"), ["doc_id", "id"], "left").where(~orphan)
     return n.withColumn("id", F.coalesce("new_id", "id")).select(*nodes.columns), e.select(*edges.columns)
 
+def patch_documents(nodes: DataFrame, edges: DataFrame, patches: DataFrame, hubs: DataFrame, order: Sequence[str] = ("pos",)) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) after patches and all that follows them: remedies named after what they treat, one edge a key, a node for each end.
+
+    nodes: doc_id, id, label, name. edges: as apply_patches has them. hubs: doc_id, hub_id. Missing nodes are made within each document.
+    """
+    nodes, edges = apply_patches(nodes, edges, patches)
+    nodes, edges = rename_remedies(nodes, edges, hubs)
+    plain = lambda c: F.lit(None).cast(c)
+    merged = merge_edges(edges.withColumns({"dosage": plain("string"), "source_id": plain("string"), "confidence": plain("double")}), order, ("doc_id", *EDGE_KEY))
+    ends = merged.select("doc_id", F.col("from_id").alias("id")).union(merged.select("doc_id", "to_id")).distinct()
+    filled = merged.where(F.col("relation_type") == CONTAINS).select("doc_id", F.col("from_id").alias("id")).distinct()
+    missing = ends.join(nodes.select("doc_id", "id"), ["doc_id", "id"], "left_anti")
+    remedy = F.col("id").startswith("BT_")
+    made = missing.where(~remedy).unionByName(missing.where(remedy).join(filled, ["doc_id", "id"], "left_semi"))
+    made = made.select("doc_id", "id", label_from_prefix(F.col("id")).alias("label"), F.lower(name_from_id(F.col("id"))).alias("name"))
+    return nodes.select("doc_id", "id", "label", "name").unionByName(made), merged
+
 
 # attributes
 

@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.functions.text import strip_accents
+from kgspark.sources.shared import materialize
+
+from .substrings import contains_join
 
 HERB, REMEDY, DISEASE, SYMPTOM = "ViThuoc", "BaiThuoc", "Benh", "TrieuChung"
 CONTAINS, HAS_COMPOUND = "BAO_GOM_VI_THUOC", "CO_CHUA_HOAT_CHAT"
@@ -39,25 +42,23 @@ def entity_predicate(node_id: Column, label: Column, name: Column, alias: Column
 def match_entities(nodes: DataFrame, keywords: DataFrame) -> DataFrame:
     """keywords (key, keyword) with the nodes that match: key, id, label, name. Null keywords match nothing, empty ones all.
 
-    Each distinct keyword is looked up once. No nested loop, three equi-joins: a word meets whole words of names, and ids; a phrase's
-    first word meets the ends of words of names and ids, since a phrase may begin inside a word; aliases, of the few labels
-    that have them, are met by the keyword's first three characters. The predicate then runs on those pairs alone.
+    Each distinct keyword is looked up once, by equi-joins: a word meets whole words of names, and ids; a phrase and an alias's part meet the
+    texts that hold their rarest piece (contains_join). The predicate then runs on those pairs alone.
     """
     asked = keywords.where("keyword is not null").select("key", "keyword").distinct()
     words = asked.select("keyword").distinct().withColumn("as_id", keyword_id(F.col("keyword")))
     known = nodes.select("id", "label", "name", F.coalesce("alias", F.lit("")).alias("alias"))
     is_phrase = F.col("keyword").contains(" ")
-    full = words.where("keyword <> ''")
+    full = materialize(words.where("keyword <> ''"))
     met = lambda *terms: F.explode(F.array_distinct(F.array(*[F.lower(t) for t in terms])))
-    by_word = known.withColumn("term", F.explode(F.array_distinct(F.concat(F.split("name", " "), F.array(F.lower("id")))))).join(full.where(~is_phrase).withColumn("term", met("keyword", "as_id")), "term")
-    pieces = F.array_distinct(F.concat(F.split("name", " "), F.split(F.lower("id"), "_")))
-    ends = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: w.substr(i, F.length(w)))
-    heads_of = (F.substring_index("keyword", " ", 1), F.substring_index("as_id", "_", 1))
-    by_phrase = known.withColumn("term", F.explode(F.array_distinct(F.flatten(F.transform(pieces, ends))))).join(full.where(is_phrase).withColumn("term", met(*heads_of)), "term")
-    places = F.sequence(F.lit(1), F.greatest(F.length("alias"), F.lit(1)))
-    heads = lambda n: F.transform(places, lambda i: F.col("alias").substr(i, F.lit(n)))
-    sized = F.flatten(F.array(heads(1), heads(2), heads(3)))
-    by_alias = known.where(F.col("label").isin(DISEASE, SYMPTOM) & (F.col("alias") != "")).withColumn("term", F.explode(F.array_distinct(sized))).join(full.withColumn("term", F.substring("keyword", 1, 3)), "term")
+    by_word = known.withColumn("term", F.explode(F.array_distinct(F.concat(F.split("name", " "), F.array(F.lower("id")))))).join(full.where(~is_phrase).withColumn("term", met("keyword", "as_id")), "term").drop("term")
+    # Names and ids are texts of their own: a phrase is looked for as it is in the one, in the form of an id in the other.
+    phrases = full.where(is_phrase)
+    texts = known.withColumn("text", F.explode(F.array("name", F.upper("id"))))
+    parts = phrases.withColumn("part", F.explode(F.array("keyword", "as_id")))
+    by_phrase = contains_join(texts, parts, "text", "part").drop("text", "part")
+    with_alias = known.where(F.col("label").isin(DISEASE, SYMPTOM) & (F.col("alias") != ""))
+    by_alias = contains_join(with_alias.withColumn("text", F.col("alias")), full.withColumn("part", F.col("keyword")), "text", "part").drop("text", "part")
     pairs = by_word.unionByName(by_phrase).unionByName(by_alias)
     hits = pairs.where(entity_predicate(*[F.col(c) for c in ("id", "label", "name", "alias", "keyword", "as_id")])).select("keyword", "id", "label", "name").distinct()
     # The empty keyword is one row at most.
@@ -223,8 +224,10 @@ def negative_pairs(herbs: DataFrame, compounds: DataFrame, edges: DataFrame, per
     return pairs.join(known, ["herb_id", "compound_id"], "left_anti")
 
 
-def endpoint_ids(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("from_id").alias("id")).union(edges.select("to_id")).distinct()
+def endpoint_ids(edges: DataFrame, hubs: DataFrame | None = None) -> DataFrame:
+    """Ids that edges use, and the hubs' (id), which need no edge."""
+    ids = edges.select(F.col("from_id").alias("id")).union(edges.select("to_id"))
+    return (ids if hubs is None else ids.union(hubs.select("id"))).distinct()
 
 
 def remedies_without_ingredients(edges: DataFrame) -> DataFrame:

@@ -102,7 +102,11 @@ def patch_telemetry(spark, sf_dir):
 
 
 def apply_patches(spark, sf_dir):
-    return C.apply_patches(_raw(spark, sf_dir), _patches(spark, sf_dir))
+    raw = _raw(spark, sf_dir)
+    ids = raw.select("doc_id", F.col("from_id").alias("id")).union(raw.select("doc_id", "to_id")).distinct()
+    nodes, edges = C.apply_patches(ids, raw, _patches(spark, sf_dir))
+    nothing = F.lit(None).cast("string")
+    return edges.unionByName(nodes.select("doc_id", F.lit(None).cast("int").alias("pos"), F.col("id").alias("from_id"), nothing.alias("to_id"), nothing.alias("relation_type"), nothing.alias("description")))
 
 
 def relation_inventory(spark, sf_dir):
@@ -132,8 +136,13 @@ def ghost_nodes(spark, sf_dir):
     return C.ghost_nodes(load(spark, sf_dir, "nodes_gappy"), _raw(spark, sf_dir))
 
 
+def _hubs(spark, sf_dir):
+    """Some of the herbs that the gappy nodes have besides those of edges, without an edge."""
+    return load(spark, sf_dir, "supplier").select(F.concat(F.lit("VT_9"), "s_suppkey", F.lit("9")).alias("id"))
+
+
 def orphan_nodes(spark, sf_dir):
-    return C.orphan_nodes(load(spark, sf_dir, "nodes_gappy"), _raw(spark, sf_dir))
+    return C.orphan_nodes(load(spark, sf_dir, "nodes_gappy"), _raw(spark, sf_dir), _hubs(spark, sf_dir))
 
 
 def inject_missing_nodes(spark, sf_dir):
@@ -141,7 +150,7 @@ def inject_missing_nodes(spark, sf_dir):
 
 
 def collect_garbage(spark, sf_dir):
-    nodes, edges = C.collect_garbage(load(spark, sf_dir, "nodes_gappy"), _fine(spark, sf_dir))
+    nodes, edges = C.collect_garbage(load(spark, sf_dir, "nodes_gappy"), _fine(spark, sf_dir), _hubs(spark, sf_dir))
     return nodes.select(F.col("id"), F.lit("node").alias("kind")).unionByName(edges.select(F.concat_ws(">", "from_id", "to_id").alias("id"), F.lit("edge").alias("kind")))
 
 
@@ -205,8 +214,10 @@ def knowledge_signature(spark, sf_dir):
 
 
 def embedding_text(spark, sf_dir):
-    nodes = load(spark, sf_dir, "nodes")
-    return C.embedding_text(nodes, C.knowledge_signature(nodes, load(spark, sf_dir, "edges")))
+    nodes, about = load(spark, sf_dir, "nodes"), F.concat(F.lit("what is "), "name", F.lit("?"))
+    told = nodes.withColumns({"hint": F.when(F.col("label") != "TinhVi", about), "description": F.when(F.col("alias") != "", F.repeat(F.concat("name", F.lit("; ")), 30))})
+    out = C.embedding_text(told, C.knowledge_signature(nodes, load(spark, sf_dir, "edges"), None))
+    return out.select("id", F.md5("text").alias("text"), F.length("text").alias("length"))
 
 
 def pending_embeddings(spark, sf_dir):
@@ -348,10 +359,28 @@ _DICT = """both_rows AS (SELECT id, label, 'herb ' || name AS name, alias, 0 AS
 _SIGN = """phrases AS (SELECT DISTINCT e.from_id AS id, lower(relation_type) || ' ' || n.name AS phrase FROM edges e JOIN nodes n ON n.id = e.to_id
     UNION SELECT e.to_id, 'of ' || lower(relation_type) || ' ' || n.name FROM edges e JOIN nodes n ON n.id = e.from_id WHERE relation_type IN ('BAO_GOM_VI_THUOC', 'CHU_TRI_BENH', 'CO_CHUA_HOAT_CHAT')),
   signed AS (SELECT id, string_agg(phrase, '; ' ORDER BY phrase) AS signature FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY phrase) AS k FROM phrases) WHERE k <= 1000 GROUP BY id)"""
+_HUBS = "(SELECT 'VT_9' || s_suppkey || '9' FROM supplier)"
 _ENDS = "ends AS (SELECT from_id AS id FROM edges_raw UNION SELECT to_id FROM edges_raw)"
 _PAGES = """pages_of AS (SELECT source AS book, doc_id AS page, text, CASE WHEN doc_id % 7 = 0 THEN 'E' || doc_id END AS entity FROM documents),
   placed AS (SELECT *, last_value(entity IGNORE NULLS) OVER w AS anchor, last_value(CASE WHEN entity IS NOT NULL THEN page END IGNORE NULLS) OVER w AS start_page FROM pages_of WINDOW w AS (PARTITION BY book ORDER BY page ROWS UNBOUNDED PRECEDING))"""
+#: Patches in a document's turn, with what THEM_EDGE and SUA_PROPERTIES make of their ends and type.
+_TURNS = f"""{PATCHES_SQL}, turns AS (SELECT doc_id, pos, action, relation_type, description, row_number() OVER (PARTITION BY doc_id ORDER BY pos, from_id, to_id, relation_type, description) AS k,
+    action IN ('THEM_EDGE', 'SUA_PROPERTIES') AND starts_with(from_id, 'VT_') AND starts_with(to_id, 'BT_') AS swap, CASE WHEN swap THEN to_id ELSE from_id END AS a, CASE WHEN swap THEN from_id ELSE to_id END AS b FROM patches)"""
+_WALK = f"""WITH RECURSIVE {_TURNS},
+  start AS (SELECT doc_id, list(struct_pack(pos := pos, f := from_id, t := to_id, r := relation_type, d := description) ORDER BY pos, from_id, to_id, relation_type, description) AS e FROM edges_raw GROUP BY 1),
+  walk AS (SELECT doc_id, 0::BIGINT AS k, e FROM start UNION ALL SELECT w.doc_id, t.k, CASE t.action
+      WHEN 'SUA_ID' THEN list_transform(w.e, lambda x: struct_pack(pos := x.pos, f := CASE WHEN x.f = a THEN b ELSE x.f END, t := CASE WHEN x.t = a THEN b ELSE x.t END, r := x.r, d := x.d))
+      WHEN 'XOA_EDGE' THEN list_filter(w.e, lambda x: NOT (x.f = a AND x.t = b))
+      ELSE CASE WHEN coalesce(list_position(list_transform(w.e, lambda x: x.f = a AND x.t = b), true), 0) > 0
+        THEN list_transform(w.e, lambda x, i: CASE WHEN i = list_position(list_transform(w.e, lambda y: y.f = a AND y.t = b), true) THEN struct_pack(pos := x.pos, f := x.f, t := x.t, r := t.relation_type, d := t.description) ELSE x END)
+        WHEN t.action = 'THEM_EDGE' THEN list_append(w.e, struct_pack(pos := 1000000 + t.pos, f := a, t := b, r := t.relation_type, d := t.description)) ELSE w.e END END
+    FROM walk w JOIN turns t ON t.doc_id = w.doc_id AND t.k = w.k + 1),
+  ids AS (SELECT DISTINCT doc_id, id FROM (SELECT doc_id, from_id AS id FROM edges_raw UNION SELECT doc_id, to_id FROM edges_raw)),
+  named AS (SELECT doc_id, id, 0::BIGINT AS k, id AS now FROM ids UNION ALL SELECT n.doc_id, n.id, t.k, CASE WHEN t.action = 'SUA_ID' AND now = a THEN b ELSE now END FROM named n JOIN turns t ON t.doc_id = n.doc_id AND t.k = n.k + 1),
+  told AS (SELECT doc_id, unnest(e) AS x FROM (SELECT doc_id, arg_max(e, k) AS e FROM walk GROUP BY 1))
+  SELECT doc_id, x.pos AS pos, x.f AS from_id, x.t AS to_id, x.r AS relation_type, x.d AS description FROM told UNION ALL SELECT doc_id, NULL, arg_max(now, k), NULL, NULL, NULL FROM named GROUP BY doc_id, id"""
 ORACLE = {
+    "apply_patches": oracle(("edges_raw",), _WALK),
     "first_wins": _edges(f"SELECT from_id, relation_type, to_id, doc_id, pos, description FROM (SELECT *, row_number() OVER (PARTITION BY from_id, relation_type, to_id ORDER BY {_ORDER}) AS k FROM edges_raw) WHERE k = 1"),
     "skip_processed": _edges("SELECT o_orderkey AS doc_id FROM orders WHERE o_orderkey NOT IN (SELECT doc_id FROM edges_raw)"),
     "merge_edges": _edges(f"""WITH o AS (SELECT *, row_number() OVER (ORDER BY {_ORDER}) AS k FROM edges_raw),
@@ -380,11 +409,11 @@ ORACLE = {
     "cycles": oracle(("edges_cyclic",), """WITH RECURSIVE pairs AS (SELECT DISTINCT doc_id, from_id, to_id FROM edges_cyclic), reach AS (SELECT doc_id, from_id AS a, to_id AS b FROM pairs UNION SELECT r.doc_id, r.a, p.to_id FROM reach r JOIN pairs p ON p.doc_id = r.doc_id AND p.from_id = r.b)
       SELECT doc_id, a AS node FROM reach WHERE a = b"""),
     "ghost_nodes": _edges(f"WITH {_ENDS} SELECT id FROM ends WHERE id NOT IN (SELECT id FROM nodes_gappy)", "nodes_gappy"),
-    "orphan_nodes": _edges(f"WITH {_ENDS} SELECT * FROM nodes_gappy WHERE id NOT IN (SELECT id FROM ends)", "nodes_gappy"),
+    "orphan_nodes": _edges(f"WITH {_ENDS} SELECT * FROM nodes_gappy WHERE id NOT IN (SELECT id FROM ends) AND (id NOT IN {_HUBS})", "nodes_gappy"),
     "inject_missing_nodes": _edges(f"""WITH {_ENDS} SELECT * FROM nodes_gappy UNION ALL SELECT id, CASE WHEN id LIKE 'BT%' THEN 'BaiThuoc' ELSE 'ViThuoc' END, split_part(id, '_', 2) FROM ends
       WHERE id NOT IN (SELECT id FROM nodes_gappy) AND (id NOT LIKE 'BT%' OR id IN (SELECT from_id FROM edges_raw WHERE relation_type = 'BAO_GOM_VI_THUOC'))""", "nodes_gappy"),
     "collect_garbage": _edges(f"""WITH {_FINE}, kept AS (SELECT * FROM fine WHERE from_id IN (SELECT from_id FROM fine WHERE relation_type = 'BAO_GOM_VI_THUOC'))
-      SELECT id, 'node' AS kind FROM nodes_gappy WHERE id IN (SELECT from_id FROM kept UNION SELECT to_id FROM kept) UNION ALL SELECT from_id || '>' || to_id, 'edge' FROM kept""", "nodes_gappy"),
+      SELECT id, 'node' AS kind FROM nodes_gappy WHERE id IN (SELECT from_id FROM kept UNION SELECT to_id FROM kept) OR id IN {_HUBS} UNION ALL SELECT from_id || '>' || to_id, 'edge' FROM kept""", "nodes_gappy"),
     "isolated_hubs": _edges(f"""WITH {_FINE}, e AS (SELECT from_id AS id, relation_type IN ('CHU_TRI_BENH', 'CO_CONG_NANG') AS useful FROM fine UNION ALL SELECT to_id, false FROM fine), u AS (SELECT id, bool_or(useful) AS useful FROM e GROUP BY 1),
       hubs AS (SELECT id FROM nodes_gappy UNION ALL SELECT DISTINCT from_id FROM fine)
       SELECT h.id AS hub_id, CASE WHEN useful IS NULL THEN 'ERROR' ELSE 'WARNING' END AS level, CASE WHEN useful IS NULL THEN 'ISOLATED_NODE' ELSE 'NO_TREATMENT_EDGE' END AS code FROM hubs h LEFT JOIN u ON u.id = h.id WHERE NOT coalesce(useful, false)""", "nodes_gappy"),
@@ -400,7 +429,13 @@ ORACLE = {
     "dictionary_link": oracle(("nodes",), f"""WITH {_DICT}, e AS (SELECT 'bt_' || l_suppkey AS a, 'herb ' || lower(p_name) AS b FROM lineitem JOIN part ON p_partkey = l_partkey)
       SELECT coalesce(x.canonical_id, a) AS from_id, coalesce(y.canonical_id, b) AS to_id, count(*) AS n FROM e LEFT JOIN lookup x ON x.key = lower(a) LEFT JOIN lookup y ON y.key = lower(b) GROUP BY 1, 2"""),
     "knowledge_signature": oracle(("nodes", "edges"), f"WITH {_SIGN} SELECT id, md5(signature) AS signature, length(signature) AS length FROM signed"),
-    "embedding_text": oracle(("nodes", "edges"), f"WITH {_SIGN} SELECT n.id, concat_ws('. ', name, label, CASE WHEN alias <> '' THEN 'aka ' || alias END, left(signature, 250)) AS text FROM nodes n LEFT JOIN signed s ON s.id = n.id"),
+    "embedding_text": oracle(("nodes", "edges"), """WITH names AS MATERIALIZED (SELECT id, name FROM nodes), links AS MATERIALIZED (SELECT DISTINCT * FROM edges),
+      phrases AS (SELECT e.from_id AS id, lower(relation_type) || ' ' || n.name AS phrase FROM links e JOIN names n ON n.id = e.to_id
+        UNION SELECT e.to_id, 'of ' || lower(relation_type) || ' ' || n.name FROM links e JOIN names n ON n.id = e.from_id WHERE relation_type IN ('BAO_GOM_VI_THUOC', 'CHU_TRI_BENH', 'CO_CHUA_HOAT_CHAT')),
+      signed AS MATERIALIZED (SELECT id, array_to_string(list_sort(list(phrase)), '; ') AS signature FROM phrases GROUP BY id),
+      told AS (SELECT n.id, trim('Thực thể YHCT: ' || name || '. Phân loại: ' || label || '. Tên gọi khác: ' || alias || '. Định nghĩa & Gợi ý tìm kiếm: ' || CASE WHEN label <> 'TinhVi' THEN 'what is ' || name || '?' ELSE '' END
+        || ' Đặc điểm lâm sàng & Quan hệ: ' || coalesce(signature, '') || ' Mô tả cơ bản: ' || CASE WHEN alias <> '' THEN left(repeat(name || '; ', 30), 250) ELSE '' END) AS text FROM nodes n LEFT JOIN signed s ON s.id = n.id)
+      SELECT id, md5(text) AS text, length(text) AS length FROM told"""),
     "pending_embeddings": oracle(("nodes",), "SELECT id, id IN (SELECT 'VT_' || vec_id FROM embeddings) AS cached FROM nodes WHERE label = 'ViThuoc'"),
     "richness_score": _edges("""WITH n AS (SELECT doc_id, count(*) FILTER (WHERE relation_type = 'CO_CONG_NANG') AS cn, count(*) FILTER (WHERE relation_type = 'CHU_TRI_BENH') AS b FROM edges_raw GROUP BY 1),
       d AS (SELECT o_orderkey AS doc_id, coalesce(cn, 0) AS cn, coalesce(b, 0) AS b, (CASE WHEN o_orderstatus = 'F' THEN 10 ELSE 0 END) + (CASE WHEN o_orderpriority LIKE '1%' THEN 5 ELSE 0 END) + (CASE WHEN o_custkey % 3 > 0 THEN 5 ELSE 0 END)

@@ -21,6 +21,11 @@ def chat_table(spark, sf_dir):
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("session_id"), (F.col("conv_id") % 10).alias("user_id"), "role", F.col("text").alias("content"), at.alias("at"))
 
 
+def transfer_text(paid_id):
+    """What a bank says of a transfer that pays an invoice."""
+    return F.concat(F.lit("CT DEN:0123 "), F.lower(L.encode_payment_id(paid_id, KEY)), F.lit(" GD 77"))
+
+
 def payment_code(spark, sf_dir):
     p = load(spark, sf_dir, "payments").select("id", L.encode_payment_id(F.col("id"), KEY).alias("code"))
     text = F.concat(F.lit("transfer "), F.lower("code"), F.lit(" thank you"))
@@ -48,7 +53,7 @@ def users_newest_first(spark, sf_dir):
 
 
 def match_bank_transactions(spark, sf_dir):
-    return L.match_bank_transactions(load(spark, sf_dir, "invoices"), load(spark, sf_dir, "transfers"), ["user_id"])
+    return L.match_bank_transactions(load(spark, sf_dir, "invoices"), load(spark, sf_dir, "transfers").withColumn("content", transfer_text(F.col("paid_id"))), KEY)
 
 
 def dashboard_totals(spark, sf_dir):
@@ -105,7 +110,7 @@ ORACLE = {
     "recent_transactions": oracle(("payments",), "SELECT id, user_id, amount_vnd, created_at FROM payments ORDER BY created_at DESC, id DESC LIMIT 5"),
     "users_newest_first": oracle(("users",), "SELECT id, email, role, role = 'admin' AND email = (SELECT min_by(email, id) FROM users WHERE role = 'admin') AS is_root FROM users ORDER BY id DESC"),
     "match_bank_transactions": oracle(("invoices", "transfers"), """SELECT id, tx_id, paid_at, paid FROM (SELECT i.id, t.tx_id, t.paid_at, t.amount AS paid, row_number() OVER (PARTITION BY i.id ORDER BY t.paid_at, t.tx_id) AS place
-      FROM invoices i JOIN transfers t ON t.user_id = i.user_id AND t.amount >= i.amount AND epoch_us(t.paid_at) - epoch_us(i.created_at) BETWEEN -600000000 AND 86400000000) WHERE place = 1"""),
+      FROM invoices i JOIN transfers t ON t.paid_id = i.id AND t.amount >= i.amount AND epoch_us(t.paid_at) - epoch_us(i.created_at) BETWEEN -600000000 AND 86400000000) WHERE place = 1"""),
     "dashboard_totals": oracle(("payments", "users", "nodes"), f"WITH {CHAT_SQL} SELECT (SELECT round(sum(amount_vnd), 2) FROM payments WHERE status = 'completed') AS revenue, (SELECT count(*) FROM users) AS n_users, (SELECT count(*) FROM chat WHERE role = 'user') AS n_queries, (SELECT count(*) FROM nodes) AS n_nodes"),
     "revenue_by_type": oracle(("payments",), "SELECT status, transaction_type, round(sum(amount_vnd), 2) AS revenue, count(*) AS n FROM payments WHERE status = 'completed' AND transaction_type <> 'admin' GROUP BY CUBE (status, transaction_type)"),
     "daily_queries": oracle((), f"WITH {CHAT_SQL} SELECT d::DATE AS day, count(c.id) AS n FROM generate_series(DATE '2023-12-14', DATE '2024-01-12', INTERVAL 1 DAY) g(d) LEFT JOIN chat c ON c.at::DATE = d::DATE AND c.role = 'user' GROUP BY 1"),

@@ -99,7 +99,7 @@ def negative_pairs(spark, sf_dir):
 
 
 def endpoint_ids(spark, sf_dir):
-    return R.endpoint_ids(load(spark, sf_dir, "edges"))
+    return R.endpoint_ids(load(spark, sf_dir, "edges"), load(spark, sf_dir, "nodes_gappy"))
 
 
 def remedies_without_ingredients(spark, sf_dir):
@@ -208,7 +208,7 @@ ORACLE |= {
       h AS (SELECT id, md5('42:' || id || ':' || k) AS d FROM (SELECT id, unnest([1, 2, 3]) AS k FROM nodes WHERE label = 'ViThuoc')),
       d AS (SELECT DISTINCT h.id AS herb_id, c.id AS compound_id FROM h JOIN c ON c.slot = ('0x' || d[1:8])::BIGINT % 64 AND c.number = ('0x' || d[9:16])::BIGINT % c.size)
       SELECT * FROM d WHERE (herb_id, compound_id) NOT IN (SELECT (from_id, to_id) FROM edges WHERE relation_type = 'CO_CHUA_HOAT_CHAT')"""),
-    "endpoint_ids": oracle(("edges",), "SELECT from_id AS id FROM edges UNION SELECT to_id FROM edges"),
+    "endpoint_ids": oracle(("edges", "nodes_gappy"), "SELECT from_id AS id FROM edges UNION SELECT to_id FROM edges UNION SELECT id FROM nodes_gappy"),
     "remedies_without_ingredients": oracle(("edges_raw",), "WITH fine AS (SELECT from_id || '_' || doc_id % 400 AS remedy_id, relation_type FROM edges_raw) SELECT remedy_id FROM fine WHERE relation_type = 'CHU_TRI_BENH' EXCEPT SELECT remedy_id FROM fine WHERE relation_type = 'BAO_GOM_VI_THUOC'"),
     "constraint_intersection": oracle(("edges",), "SELECT from_id FROM edges WHERE relation_type = 'CO_TINH' AND to_id = 'T_ECONOMY' INTERSECT SELECT from_id FROM edges WHERE relation_type = 'QUY_KINH' AND to_id = 'K_3'"),
     "facts_per_entity": oracle(("nodes", "edges"), "SELECT e.from_id, e.relation_type, list_sort(list(DISTINCT t.name))[1:5] AS facts FROM edges e JOIN nodes s ON s.id = e.from_id AND s.label = 'BaiThuoc' JOIN nodes t ON t.id = e.to_id GROUP BY 1, 2"),

@@ -78,7 +78,7 @@ INVOICES = """
 SELECT event_id AS id, user_id, value AS amount, ts AS created_at FROM events WHERE event_type = 'signup'
 """
 TRANSFERS = """
-SELECT event_id AS tx_id, user_id, value * 2 AS amount, ts AS paid_at FROM events WHERE event_type = 'purchase'
+SELECT event_id AS tx_id, event_id - event_id % 8 AS paid_id, value * 2 AS amount, ts AS paid_at FROM events WHERE event_type = 'purchase'
 """
 LEDGER = """
 SELECT event_id AS id, user_id, CASE WHEN event_type IN ('signup', 'purchase') THEN 'in' ELSE 'out' END AS type,

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .buckets import BucketTable
+
 ENTITY = "entity struct<entity_type: string, id: string, ten_raw: string, display_name: string, canonical_name: string, variants: array<string>, properties: map<string, string>, error: string>"
 EDGE = "struct<`from`: string, `to`: string, relation_type: string, properties: map<string, string>, source: struct<source_id: string>, confidence_score: double>"
 SILVER = f"{ENTITY}, nodes array<struct<id: string, label: string, properties: map<string, string>>>, relationships array<{EDGE}>, claims array<struct<source: struct<source_id: string>, confidence_score: double>>"
@@ -85,17 +87,38 @@ def write_csv_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Nodes by label and edges by type as Parquet; one node an id, one edge a key, and no edge without both ends."""
-    one = nodes.dropDuplicates(["id"])
-    ids = one.select("id")
-    kept = edges.dropDuplicates(["from_id", "relation_type", "to_id"]).join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
-    one.write.mode("overwrite").partitionBy("label").parquet(f"{path}/nodes")
-    kept.write.mode("overwrite").partitionBy("relation_type").parquet(f"{path}/edges")
+def one_a_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One whole row of each key, the same one whatever the order of rows."""
+    row = F.struct(*df.columns)
+    best = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max_by(row, F.to_json(row)).alias("_row"))
+    return best.select("_row.*")
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str, buckets: int = 64, version: int | None = None) -> None:
+    """Load nodes (id, ...) and edges (from_id, relation_type, to_id, ...) into the graph under path, which the first load begins.
+
+    A node or edge that is there keeps its properties, and those of the load that aren't null replace them or are added. Of
+    several rows of one key in a load one counts. Edges without both ends, in the graph or the load, are left out. Nodes and edges lie in
+    buckets by their keys; a later load writes the touched buckets alone. version: the load's number, under which it can be run again.
+    """
+    spark, edge_key = nodes.sparkSession, ["from_id", "relation_type", "to_id"]
+    node_table, edge_table = BucketTable(spark, f"{path}/nodes"), BucketTable(spark, f"{path}/edges")
+    nodes, edges = one_a_key(nodes, ["id"]), one_a_key(edges, edge_key)
+    first = not node_table.exists() or version == 0
+    if first:
+        node_table.create(nodes, ["id"], buckets)
+    else:
+        node_table.upsert(nodes, version)
+    ids = node_table.read().select("id")
+    kept = edges.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select(*edges.columns)
+    if first:
+        edge_table.create(kept, edge_key, buckets)
+    else:
+        edge_table.upsert(kept, version)
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+    return BucketTable(spark, f"{path}/nodes").read(), BucketTable(spark, f"{path}/edges").read()
 
 
 def read_relational(spark: SparkSession, path: str, names: list[str], jdbc: dict | None = None) -> dict[str, DataFrame]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,18 +11,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType
 
+from kgspark.operators.ledger import decode_payment_id
+from kgspark.sources.buckets import BucketTable
 from kgspark.sources.shared import shared_folder
 
-SESSION_SECONDS = 600
+#: Microseconds that a login session and a request for deletion last.
+SESSION, DAY = 600 * 10**6, 86_400 * 10**6
 
 
 def shared_path(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and return what it wrote, with the number of the batch that wrote it."""
-    spark, path = stream.sparkSession, shared_path(stream.sparkSession)
+def drain(stream: DataFrame, mode: str = "append", path: str | None = None) -> DataFrame:
+    """Run a stream over what is there and return what it wrote, with the number of the batch that wrote it.
+
+    path: where its output and state are kept, to go on from later; by default a new folder.
+    """
+    spark = stream.sparkSession
+    path = path or shared_path(spark)
 
     def save(batch: DataFrame, number: int) -> None:
         # A batch that is run again overwrites its own folder.
@@ -34,20 +41,64 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{path}/out")
 
 
-def stream_payments(invoices: DataFrame, transfers: DataFrame, delay: str = "15 minutes") -> DataFrame:
-    """Invoices (id, user_id, amount, created_at) joined with transfers (tx_id, user_id, paid, paid_at) that may pay them.
+def _timed(events: DataFrame, key: str, order: list[str], step, due, end, schema: str, state: str) -> DataFrame:
+    """Rows of events folded into a state for each key, in order in each batch, that ends by itself when the watermark passes its time.
 
-    An interval join, so the state holds a day of either side. A payment of several transfers is credited by its first.
+    step(held or None, row) -> (held or None, result rows); due(held) -> the microsecond after which it is over; end(held) -> the result
+    rows of its end. An end is told once, by the next event of the key or by the watermark alone, and nothing of it is kept.
+    """
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def run(found: tuple, parts: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        held, out = (group.get if group.exists else None), []
+        if not group.hasTimedOut:
+            rows = pd.concat(list(parts)).sort_values(order)
+            for row in rows.itertuples(index=False):
+                held, more = step(held, row)
+                out += more
+        # A timer is set in milliseconds, and fires when the watermark is beyond it.
+        if held is not None and (group.hasTimedOut or due(held) // 1000 < group.getCurrentWatermarkMs()):
+            out += end(held)
+            held = None
+        if held is not None:
+            group.update(held)
+            group.setTimeoutTimestamp(due(held) // 1000)
+        elif group.exists:
+            group.remove()
+        if out:
+            yield pd.DataFrame([(*row[:1], found[0], *row[1:]) for row in out], columns=names)
+
+    return events.groupBy(key).applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _micros(at: pd.Timestamp) -> int:
+    return at.value // 1000
+
+
+def _time(micros: int) -> pd.Timestamp:
+    return pd.Timestamp(micros, unit="us")
+
+
+def stream_payments(invoices: DataFrame, transfers: DataFrame, key: int, delay: str = "15 minutes") -> DataFrame:
+    """Invoices (id, amount, created_at) with the first transfer (tx_id, content, paid, paid_at) that pays each: id, tx_id, paid_at, paid.
+
+    The invoice's id is decoded from the transfer's text. Its amount must be met, from ten minutes before the invoice to a day after. An interval join,
+    so that the state holds a day of either side; then a state for each paid invoice, for as long as the join can still find a transfer of it. So an
+    invoice is credited once, whether transfers of it, or one transfer again, come in one batch or in several.
     """
     i = invoices.withWatermark("created_at", delay)
-    t = transfers.withColumnRenamed("user_id", "payer").withWatermark("paid_at", delay)
+    decoded = transfers.withColumn("paid_id", decode_payment_id(F.col("content"), key)).where("paid_id is not null")
+    t = decoded.select("paid_id", "tx_id", "paid", "paid_at").withWatermark("paid_at", delay)
     when = F.expr("paid_at >= created_at - INTERVAL 600 SECONDS AND paid_at <= created_at + INTERVAL 86400 SECONDS")
-    return i.join(t, (F.col("user_id") == F.col("payer")) & when & (F.col("paid") >= F.col("amount"))).select("id", "tx_id", "paid_at", "paid")
+    pairs = i.join(t, (F.col("id") == F.col("paid_id")) & when & (F.col("paid") >= F.col("amount")))
+    pairs = pairs.select("id", "tx_id", "paid_at", "paid", F.unix_micros("created_at").alias("created"))
 
+    def step(held, row):
+        return (held, []) if held is not None else ((row.created,), [(row.id, row.tx_id, row.paid_at, row.paid)])
 
-def credit_once(pairs: DataFrame) -> DataFrame:
-    """The first transfer of each invoice."""
-    return pairs.groupBy("id").agg(F.min_by(F.struct("tx_id", "paid_at", "paid"), F.struct("paid_at", "tx_id")).alias("tx")).select("id", "tx.*")
+    # The key comes back from the group, so the row's own copy is taken off again.
+    out = _timed(pairs, "id", ["paid_at", "tx_id"], step, lambda held: held[0] + DAY, lambda held: [], "invoice long, id long, tx_id long, paid_at timestamp, paid double", "created long")
+    return out.select("id", "tx_id", "paid_at", "paid")
 
 
 def ledger_step(balance: float, kind: str, amount: float, forced: bool) -> tuple[float, float, bool]:
@@ -75,37 +126,35 @@ def stream_ledger(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(run, schema, "balance double", "append", GroupStateTimeout.NoTimeout)
 
 
-def session_step(opened: float | None, done: bool, kind: str, at: float) -> tuple[float | None, bool, str]:
-    """A login session (when it was opened, whether it is completed) and an event -> the session after it, and what happened.
+def session_step(held: tuple | None, row) -> tuple[tuple | None, list]:
+    """A login session (its create event, when it was opened, whether it is completed) and an event -> the session after it, and what to tell.
 
-    create opens one anew; complete and read work within SESSION_SECONDS; a completed session is handed out once, on read.
+    create opens one anew; complete and read work within SESSION of it; a completed session is handed out once, on read.
     """
-    if kind == "create":
-        return at, False, "created"
-    if opened is None or at - opened > SESSION_SECONDS:
-        return None, False, "expired" if opened is not None else "none"
-    if kind == "complete":
-        return opened, True, "completed"
-    return (None, False, "consumed") if done else (opened, False, "pending")
+    at, out = _micros(row.at), []
+    if held is not None and at - held[1] > SESSION:
+        out, held = session_end(held), None
+    if row.kind == "create":
+        return (row.id, at, False), [*out, (row.id, "created", row.at)]
+    if held is None:
+        return None, [*out, (row.id, "none", row.at)]
+    if row.kind == "complete":
+        return (*held[:2], True), [*out, (row.id, "completed", row.at)]
+    return (None, [*out, (row.id, "consumed", row.at)]) if held[2] else (held, [*out, (row.id, "pending", row.at)])
 
 
-def stream_login_sessions(events: DataFrame) -> DataFrame:
-    """Events (id, user_id, kind, at) -> id, user_id, outcome; one session a user, in time order in each batch."""
+def session_end(held: tuple) -> list:
+    return [(held[0], "expired", _time(held[1] + SESSION))]
 
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(["at", "id"])
-        opened, done = state.get if state.exists else (None, False)
-        out = []
-        for i, kind, at in zip(rows["id"], rows["kind"], rows["at"]):
-            opened, done, outcome = session_step(opened, done, kind, at.timestamp())
-            out.append((i, key[0], outcome))
-        if opened is None:
-            state.remove()
-        else:
-            state.update((opened, done))
-        yield pd.DataFrame(out, columns=["id", "user_id", "outcome"])
 
-    return events.groupBy("user_id").applyInPandasWithState(run, "id long, user_id long, outcome string", "opened double, done boolean", "append", GroupStateTimeout.NoTimeout)
+def stream_login_sessions(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Events (id, user_id, kind, at) -> id, user_id, outcome, told_at; one session a user.
+
+    Each event has its outcome. A session that runs out says so once, under its create event's id and the time that it ended at,
+    when the watermark gets there, whether or not its user comes back.
+    """
+    timed = events.withWatermark("at", delay)
+    return _timed(timed, "user_id", ["at", "id"], session_step, lambda held: held[1] + SESSION, session_end, "id long, user_id long, outcome string, told_at timestamp", "id long, opened long, done boolean")
 
 
 def stream_daily_counts(events: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -118,19 +167,48 @@ def stream_query_cache(questions: DataFrame, delay: str = "40 days") -> DataFram
     return questions.withWatermark("at", delay).dropDuplicatesWithinWatermark(["question"]).select("question")
 
 
-def stream_deletions(requests: DataFrame) -> DataFrame:
-    """Requests (id, user_id, at): a new one ends the user's pending one before it, if that isn't over after a day anyway."""
+def deletion_step(held: tuple | None, row) -> tuple[tuple | None, list]:
+    """A pending request (id, token, when) and an event -> the pending request after it, and what to tell.
 
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(["at", "id"])
-        pending = state.get if state.exists else None
-        out = []
-        for i, at in zip(rows["id"], rows["at"]):
-            now = at.timestamp()
-            if pending is not None:
-                out.append((pending[0], key[0], now - pending[1] < 86_400))
-            pending = (int(i), now)
-        state.update(pending)
-        yield pd.DataFrame(out, columns=["id", "user_id", "superseded"])
-
-    return requests.groupBy("user_id").applyInPandasWithState(run, "id long, user_id long, superseded boolean", "id long, at double", "append", GroupStateTimeout.NoTimeout)
+    A request ends the one before it. A confirmation with the pending one's token, within DAY of it, approves it, once.
+    """
+    at, out = _micros(row.at), []
+    if held is not None and at - held[2] >= DAY:
+        out, held = deletion_end(held), None
+    if row.kind == "request":
+        ended = [] if held is None else [(held[0], "superseded", row.at)]
+        return (row.id, row.token, at), out + ended
+    if held is not None and row.token == held[1]:
+        return None, [*out, (row.id, "approved", row.at)]
+    return held, [*out, (row.id, "failed", row.at)]
+
+
+def deletion_end(held: tuple) -> list:
+    return [(held[0], "expired", _time(held[2] + DAY))]
+
+
+def stream_deletions(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Events (id, user_id, kind, token, at) -> id, user_id, outcome, told_at; kind is request or confirm.
+
+    A request is told of when it ends without approval: superseded by the user's next one, or expired a day after it, by the watermark alone if
+    need be. A confirmation is approved or failed (another token, too late, or used already).
+    """
+    timed = events.withWatermark("at", delay)
+    return _timed(timed, "user_id", ["at", "id"], deletion_step, lambda held: held[2] + DAY, deletion_end, "id long, user_id long, outcome string, told_at timestamp", "id long, token string, at long")
+
+
+def stream_cascade_delete(approved: DataFrame, tables: Mapping[str, str]) -> None:
+    """Take the users that a stream approves (user_id) out of every table; runs until the stream is used up.
+
+    tables: the user column of the BucketTable at each path, which is its key. A batch is change number batch + 1 of each table, worked out from the one before, so
+    a batch that is run again, after a failure between two tables too, leaves what one run leaves. Buckets without such users stay as they are.
+    """
+    spark = approved.sparkSession
+
+    def delete(batch: DataFrame, number: int) -> None:
+        users = batch.select("user_id").distinct()
+        for path, key in tables.items():
+            BucketTable(spark, path).delete(users.withColumnRenamed("user_id", key), number + 1)
+
+    query = approved.writeStream.foreachBatch(delete).outputMode("append").option("checkpointLocation", f"{shared_path(spark)}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
