@@ -22,10 +22,10 @@ BOOLEAN, BOTH, USAGE, CURES, REMEDY_OF = "KIEM_TRA_BOOLEAN", "TIM_DA_QUAN_HE", "
 RULES = (
     (USAGE, r"để chữa bệnh .*?, vị thuốc .*? được dùng với liều lượng", ((r"để chữa bệnh (.*?), vị thuốc (.*?) được dùng với liều lượng", 2, 1),), ()),
     (BOTH, r"(?s)^(?=.*vừa có tính)(?=.*vừa trực tiếp chữa bệnh)", ((r"vừa có tính (.*?) vừa trực tiếp chữa bệnh (.*)", 1, 2),), ()),
-    (BOOLEAN, r"(không|ko)\z", ((r"vị thuốc (.*?) có (vị|tính|quy kinh|chứa hoạt chất|quy vào kinh) (.*?) không", 1, 3),), ("không", "vị thuốc")),
+    # The last forms of this rule and of TIM_VI are for questions that generate_qa asks and the others leave whole.
+    (BOOLEAN, r"(không|ko)\z", ((r"vị thuốc (.*?) có (vị|tính|quy kinh|chứa hoạt chất|quy vào kinh) (.*?) không", 1, 3), (r"vị thuốc (.*?) có hoạt chất (.*?) không", 1, 2)), ("không", "vị thuốc")),
     (REMEDY_OF, r"tham gia vào bài thuốc|bằng bài thuốc chứa", ((r"vị thuốc (.*?) tham gia vào bài thuốc", 1, 0), (r"bằng bài thuốc chứa (.*)", 1, 0)), ()),
     (CURES, r"dùng vị thuốc hoặc bài thuốc nào để chữa|uống thuốc gì", ((r"bệnh (.*?) có thể dùng", 1, 0),), ("chữa bệnh",)),
-    # The last form is for a question that generate_qa asks and the others leave whole.
     ("TIM_VI", r"có vị gì|vị của", ((r"vị thuốc (.*?) có vị gì", 1, 0), (r"vị của (.*?) là", 1, 0), (r"cho tôi biết vị của (.*)", 1, 0)), ()),
     ("TIM_TINH", r"có tính gì|tính chất của", ((r"vị thuốc (.*?) có tính gì", 1, 0), (r"tính chất của (.*?) là", 1, 0)), ()),
     ("TIM_QUY_KINH", r"quy vào kinh nào|kinh mạch nào", ((r"vị thuốc (.*?) quy vào kinh nào", 1, 0), (r"kinh mạch nào liên quan đến (.*)", 1, 0)), ()),
