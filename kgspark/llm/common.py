@@ -37,6 +37,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def own_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for columns of one's own that df has no column of, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def word_array(text: Column) -> Column:
     """Words of a text as array<string>: maximal runs without ASCII white space; null has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACES}]+"), lambda w: w != F.lit(""))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, materialize, slices, string_list
+from .common import batch_of, materialize, own_names, slices, string_list
 
 CHUNK = 1 << 16
 #: Two primes below 2**31 with a base each: 62 bits in all, and products stay within 64 bits.
@@ -147,12 +147,13 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_exact(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_dedup drops: same columns, one row for each group."""
-    sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "").cast("binary"), 256)
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
-    numbered = docs.withColumn("_sha", sha)
-    joined = numbered.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("_sha") == F.col("kept_sha")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
+    """docs without the rows that exact_dedup drops: same columns, of any names, and one row for each group."""
+    sha, kept_id, kept_sha = own_names(docs, "_sha", "_kept_id", "_kept_sha")
+    normal = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "")
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha))
+    numbered = docs.withColumn(sha, F.sha2(normal.cast("binary"), 256))
+    joined = numbered.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(sha) == F.col(kept_sha)), "left_semi")
+    return joined.dropDuplicates(["doc_id", sha]).select(*docs.columns)
 
 
 #: DuckDB SQL for op9_exact_dedup.

@@ -7,18 +7,20 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch_of, draw, held_out, slices
 
 BITS = 15
 GRAMS = (1, 2, 3)
-#: Training draws about so many rows of each language, and not more than ROWS in all; languages beyond the LANGUAGES most frequent
-#: ones aren't learnt. Texts of any length are drawn; the driver gets their n-gram counts, 2 ** BITS a row at most.
+#: Training draws about so many rows of each language, and not more than ROWS in all where each language has LEAST_ROWS; and of those, in the
+#: order of a hash, so many that they hold MOST_GRAMS distinct n-grams, each text's counted for itself (one text of a language at least). This
+#: bounds what the driver holds, by languages; prediction has no such bounds.
 ROWS_PER_LANGUAGE = 400
 ROWS = 4000
-LANGUAGES = 256
+LEAST_ROWS = 50
+MOST_GRAMS = 16_000_000
 EPOCHS = 4
 #: Follow-the-regularised-leader: step size, its smoothing, and the two penalties of the elastic net.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.01
@@ -154,26 +156,29 @@ def _counted(batches):
         yield batch_of(_COUNTED, batch.column("lang"), batch.column("h"), batch.column("h2"), some, counts)
 
 
-def fit(docs: DataFrame) -> Model | None:
+def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, most_rows: int = ROWS, most_grams: int = MOST_GRAMS) -> Model | None:
     """A model from documents that aren't held out and have a language; None without any.
 
     The inverse frequencies cover all documents that aren't held out, the weights a bounded sample in hash order.
     """
     may = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")))
     rows = may.where("lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").collect()}  # a row for each language
     if not counts:
         return None
     idf = inverse_frequencies(may)
-    each = max(1, min(ROWS_PER_LANGUAGE, ROWS // len(counts)))
+    each = min(rows_per_language, max(LEAST_ROWS, most_rows // len(counts)))
     u = draw(F.col("doc_id"))
     share = F.create_map(*[x for k, v in counts.items() for x in (F.lit(k), F.lit(min(1.0, each / v)))])
     # Rows may share an id: the order is by the text too, so runs agree.
     drawn = rows.where(u < share[F.col("lang")]).withColumns({"h": F.xxhash64("doc_id"), "h2": F.xxhash64("text", "lang")})
     counted = drawn.select("lang", "h", "h2", "text").mapInArrow(_counted, "lang string, h long, h2 long, grams array<int>, counts array<int>")
-    got = counted.orderBy("h", "h2").limit(2 * each * len(counts)).toArrow()
-    grams, n = ([np.asarray(x.values) for x in got.column(c)] for c in ("grams", "counts"))
-    return train(list(zip(grams, n)), got.column("lang").to_pylist(), idf) if got.num_rows else None
+    so_far = Window.partitionBy("lang").orderBy("h", "h2").rowsBetween(Window.unboundedPreceding, 0)
+    sized = counted.withColumn("held", F.sum(F.size("grams")).over(so_far)).withColumn("nth", F.count("*").over(so_far))
+    fitting = sized.where((F.col("nth") == 1) | ((F.col("held") <= most_grams // len(counts)) & (F.col("nth") <= 2 * each))).select("lang", "h", "h2", "grams", "counts")
+    got = fitting.orderBy("h", "h2").toArrow()
+    some, n = ([np.asarray(x.values) for x in got.column(c)] for c in ("grams", "counts"))
+    return train(list(zip(some, n)), got.column("lang").to_pylist(), idf) if got.num_rows else None
 
 
 _PREDICTED = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -199,13 +204,13 @@ def _predict(held):
     return run
 
 
-def language_id(docs: DataFrame) -> DataFrame:
+def language_id(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, most_rows: int = ROWS, most_grams: int = MOST_GRAMS) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each document, by its whole text alone.
 
     docs: doc_id (long), text and lang. Learns from text and non-null lang of rows whose crc32(doc_id as text) mod 4
     isn't 2, of any length. Long texts are counted in slices and predicted whole. Texts that are null or have no letter, and all texts if there is nothing to learn from, get "und" with
     score 0; others the likeliest language and its calibrated probability. Repeated rows come back as they are.
     """
-    held = docs.sparkSession.sparkContext.broadcast(fit(docs))
+    held = docs.sparkSession.sparkContext.broadcast(fit(docs, rows_per_language, most_rows, most_grams))
     out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_predict(held), "doc_id long, lang_pred string, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

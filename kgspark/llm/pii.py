@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, own_names
 
 #: Rounds of new attempts for surrogates that collide; each round leaves far fewer. What is left then is numbered.
 MAX_ROUNDS = 12
@@ -275,12 +275,13 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     meet the table of surrogates; a text is cut at its entities and joined again.
     """
     docs = docs.drop("n_entities", "kinds")
+    found_in, row, shown = own_names(docs, "_found", "_row", "_shown")
     text = F.coalesce("text", F.lit(""))
     found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    marked = materialize(docs.withColumn("_found", found).withColumn("_row", F.monotonically_increasing_id()))
-    clean = marked.where(F.size("_found") == 0)
-    dirty = marked.where(F.size("_found") > 0)
-    mentions = dirty.select("_row", F.posexplode("_found").alias("pos", "mention")).withColumn("kind", kind_of(F.col("mention")))
+    marked = materialize(docs.withColumn(found_in, found).withColumn(row, F.monotonically_increasing_id()))
+    clean = marked.where(F.size(found_in) == 0)
+    dirty = marked.where(F.size(found_in) > 0)
+    mentions = dirty.select(F.col(row).alias("_row"), F.posexplode(found_in).alias("pos", "mention")).withColumn("kind", kind_of(F.col("mention")))
     mentions = mentions.withColumn("kind", F.when(is_real(F.col("kind"), F.col("mention")), F.col("kind")))
     kind, mention = F.col("kind"), F.col("mention")
     mentions = materialize(mentions.withColumns({"entity": canonical(kind, mention), "given": given_name(kind, mention), "female": F.when(kind == "name", is_female(mention))}))
@@ -290,10 +291,10 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     first = values.where("kind = 'given'").select(F.col("entity").alias("given"), F.col("surrogate").alias("first_name"))
     ready = known.join(values, ["kind", "entity"]).join(first, "given", "left").select("mention", _render(kind, mention, F.col("surrogate"), F.col("first_name")).alias("shown"))
     ready = mentions.select("_row", "pos", "mention", "kind").join(ready, "mention", "left").withColumn("shown", F.coalesce("shown", "mention"))
-    per = ready.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("pos", "shown"))).alias("_shown"), F.count("kind").alias("n_entities"), F.sort_array(F.collect_set("kind")).alias("kinds"))
+    per = ready.groupBy(F.col("_row").alias(row)).agg(F.sort_array(F.collect_list(F.struct("pos", "shown"))).alias(shown), F.count("kind").alias("n_entities"), F.sort_array(F.collect_set("kind")).alias("kinds"))
     pieces = F.split("text", F.lit(ANY), -1)
-    text = F.array_join(F.zip_with(pieces, F.transform("_shown", lambda x: x["shown"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    replaced = dirty.join(per, "_row").withColumn("text", text)
+    text = F.array_join(F.zip_with(pieces, F.transform(shown, lambda x: x["shown"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    replaced = dirty.join(per, row).withColumn("text", text)
     columns = [*docs.columns, "n_entities", "kinds"]
     untouched = clean.withColumn("n_entities", F.lit(0).cast("long")).withColumn("kinds", F.array().cast("array<string>"))
     return replaced.select(*columns).unionByName(untouched.select(*columns))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, draw, word_array
+from .common import SPACES, draw, own_names, word_array
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -106,25 +106,25 @@ COSTS = {
 }
 
 
-def base_metrics(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
-    words = docs.withColumn("_words", word_array(F.col("text")))
+def base_metrics(docs: DataFrame, held: str = "_words") -> DataFrame:
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed, and the words themselves in a column named held."""
+    words = docs.withColumn(held, word_array(F.col("text")))
     lines = _bind(_lines(_text()), lambda x: F.size(x) - F.size(F.array_distinct(x)))
     out = words.select(
         "*",
-        F.size("_words").cast("long").alias("n_words"),
-        _word_chars(F.col("_words")).alias("word_chars"),
+        F.size(held).cast("long").alias("n_words"),
+        _word_chars(F.col(held)).alias("word_chars"),
         _symbols(_text()).alias("n_symbols"),
         lines.cast("long").alias("n_dup_lines"),
-        repeat_words(F.col("_words")).alias("n_repeat_words"),
+        repeat_words(F.col(held)).alias("n_repeat_words"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
 
-def _measured() -> Measures:
+def _measured(held: str = "_words") -> Measures:
     """The columns of base_metrics."""
-    return Measures(_text(), *[F.col(c) for c in ("_words", "n_words", "word_chars", "n_symbols", "n_repeat_words")])
+    return Measures(_text(), *[F.col(c) for c in (held, "n_words", "word_chars", "n_symbols", "n_repeat_words")])
 
 
 def _cascade(m: Measures, order: Sequence[str]) -> Column:
@@ -187,10 +187,11 @@ def quality(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     rejects it. The rules stand in one CASE in the order of cascade_order. Empty texts fail few_words. Texts of any length are
     taken whole, in n log n of their words. Repeated rows are judged alike and all come back. An empty table gives no rows.
     """
-    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "_words"]
+    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     docs = docs.drop(*own)
+    (held,) = own_names(docs, "_words")
     order = [name for name, _, _ in cascade_order(docs, sample_rows)]
-    return base_metrics(docs).withColumn("kept", _cascade(_measured(), order)).drop("_words")
+    return base_metrics(docs, held).withColumn("kept", _cascade(_measured(held), order)).drop(held)
 
 
 def keep_good(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, materialize, slices, string_list
+from .common import batch_of, materialize, own_names, slices, string_list
 
 SHINGLE = 3
 SEED = 42
@@ -326,12 +326,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     of repeated rows one. Rows are told apart by id and text, so unrelated texts without an id, or with the same one,
     all stay.
     """
-    keyed = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    prints = materialize(keyed.select(F.col("doc_id").cast("long"), "text", "_sha").mapInArrow(_keyed_fingerprints, "doc_id long, fp long, sha string"))
+    sha, kept_id, kept_sha = own_names(docs, "_sha", "_kept_id", "_kept_sha")
+    keyed = docs.withColumn(sha, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    prints = materialize(keyed.select(F.col("doc_id").cast("long"), "text", F.col(sha).alias("_sha")).mapInArrow(_keyed_fingerprints, "doc_id long, fp long, sha string"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "sha")).alias("first")
     nodes = materialize(prints.groupBy("fp").agg(first))
     roots = components(links(nodes.select("fp")))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("first", F.coalesce("root", "fp").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_kept_id"), F.col("first.sha").alias("_kept_sha"))
-    joined = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias(kept_id), F.col("first.sha").alias(kept_sha))
+    joined = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(sha) == F.col(kept_sha)), "left_semi")
+    return joined.dropDuplicates(["doc_id", sha]).select(*docs.columns)

@@ -16,7 +16,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch_of, materialize, slices
@@ -392,14 +392,14 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 
 def _found(batches):
-    """(doc ids, positions, trigger hashes, phrase hashes) of slices of the input that hold a trigger."""
+    """(doc ids, positions, trigger hashes, phrase hashes) of slices of the input that hold a trigger. ahead: see _placed."""
     for batch in slices(batches, max_chars=16_000_000):
         ids = batch.column("doc_id").to_numpy()
         text = Text(_bytes(batch.column("text")))
         at, key, second = [np.concatenate(x) for x in zip(*triggers(text))]
         if len(at):
             row = np.searchsorted(text.starts, at, side="right") - 1
-            yield ids[row], at - text.starts[row], key, second
+            yield ids[row], at - text.starts[row] + batch.column("ahead").to_numpy()[row], key, second
 
 
 def _deal_phrases(buckets: int, hot_keys):
@@ -434,6 +434,7 @@ def _spans(marks, n: int) -> np.ndarray:
     last = n - LENGTH
     change = np.zeros(max(0, last) + 2, dtype=np.int64)
     q = marks[marks & 3 == REPEAT] >> 2
+    q = q[(q >= 0) & (q < n)]
     lo, hi = np.maximum(q - REACH, 0), np.minimum(q, last)
     good = lo <= hi
     np.add.at(change, lo[good], 1)
@@ -474,11 +475,12 @@ def _deal_open(buckets: int):
             texts = _bytes(batch.column("text"))
             text = Text(texts)
             at, row, is_hot = [], [], []
+            ahead = batch.column("ahead").to_numpy()
             for i, (start, t, marks) in enumerate(zip(text.starts, texts, batch.column("marks"))):
-                marks = marks.values.to_numpy()
+                marks = marks.values.to_numpy() - 4 * ahead[i]
                 open_ones = np.unique(marks[marks & 3 != REPEAT])
                 q, hot = open_ones >> 2, open_ones & 3 == HOT_OPEN
-                inside = q < len(t)
+                inside = (q >= 0) & (q < len(t))  # the others are of rows with the same id
                 q, hot = q[inside], hot[inside]
                 # Those whose strings are all settled already have nothing to ask or to give.
                 if len(q) and len(t) >= LENGTH:
@@ -491,14 +493,14 @@ def _deal_open(buckets: int):
             if not at or not sum(map(len, at)):
                 continue
             at, row, is_hot = np.concatenate(at), np.concatenate(row), np.concatenate(is_hot)
-            pos = at - text.starts[row]
+            pos, ahead = at - text.starts[row], ahead[row]
             sizes = np.array([len(t) for t in texts])[row]
             key, phrases = phrases_at(text, at)
             left, right = np.minimum(pos, REACH), np.minimum(sizes - pos, LENGTH)
-            out = _deal_strings(phrases[is_hot], left[is_hot], right[is_hot], ids[row[is_hot]], pos[is_hot], buckets) if is_hot.any() else []
+            out = _deal_strings(phrases[is_hot], left[is_hot], right[is_hot], ids[row[is_hot]], (pos + ahead)[is_hot], buckets) if is_hot.any() else []
             plain = np.flatnonzero(~is_hot)
             if len(plain):
-                out += _by_bucket(RECORDS, key[plain], buckets, lambda i: _open_rows(key[plain[i]], phrases[plain[i]], left[plain[i]], right[plain[i]], ids[row[plain[i]]], pos[plain[i]]))
+                out += _by_bucket(RECORDS, key[plain], buckets, lambda i: _open_rows(key[plain[i]], phrases[plain[i]], left[plain[i]], right[plain[i]], ids[row[plain[i]]], (pos + ahead)[plain[i]]))
             if out:
                 yield batch_of(_DEALT, *map(list, zip(*out)))
 
@@ -530,9 +532,9 @@ def _remove(with_text: bool):
         none = np.zeros(0, dtype=np.int64)
         for batch in slices(batches):
             rows = []
-            for t, marks, starts in zip(_bytes(batch.column("text")), batch.column("marks"), batch.column("starts")):
-                marks = marks.values.to_numpy() if marks.is_valid else none
-                starts = starts.values.to_numpy() if starts.is_valid else none
+            for t, ahead, marks, starts in zip(_bytes(batch.column("text")), batch.column("ahead").to_pylist(), batch.column("marks"), batch.column("starts")):
+                marks = marks.values.to_numpy() - 4 * ahead if marks.is_valid else none
+                starts = starts.values.to_numpy() - 64 * ahead if starts.is_valid else none
                 if len(marks) or len(starts):
                     gone = removed_bytes(len(t), marks, starts)
                     rest = np.frombuffer(t, dtype=np.uint8)[~gone].tobytes()
@@ -545,13 +547,29 @@ def _remove(with_text: bool):
     return run
 
 
+def _placed(texts: DataFrame) -> DataFrame:
+    """texts (doc_id, text) with ahead: where the row begins in its document, if rows that share an id stood side by side with gaps between.
+
+    So positions tell them apart, and none is earlier than the other. Nearly always no id is shared and ahead is 0; equal rows have one place.
+    """
+    rows = texts.select("doc_id", F.xxhash64("text").alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n")).distinct()
+    shared = rows.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    if shared.isEmpty():
+        return texts.withColumn("ahead", F.lit(0).cast("long"))
+    before = Window.partitionBy("doc_id").orderBy("key", "n").rowsBetween(Window.unboundedPreceding, -1)
+    places = rows.join(shared, "doc_id", "left_semi").withColumn("ahead", F.coalesce(F.sum(F.col("n") + LENGTH).over(before), F.lit(0)))
+    keyed = texts.withColumn("key", F.xxhash64("text")).withColumn("n", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    return materialize(keyed.join(places, ["doc_id", "key", "n"], "left").select("doc_id", "text", F.coalesce("ahead", F.lit(0).cast("long")).alias("ahead")))
+
+
 def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """One row per document: what is left after its long repeats of documents with smaller ids are removed.
 
     docs: doc_id (long) and text; other columns are left unread. Texts count as UTF-8 bytes, null as empty. Each byte of a
     LENGTH-byte string that also stands in a document with a smaller doc_id goes; matches never cross documents, and are
     judged on the input. Texts shorter than LENGTH lose nothing. A document with a null id neither loses nor
-    gives anything. Rows that repeat an id are taken as the same document. An empty table gives no rows.
+    gives anything. Rows that share an id are documents of their own, none smaller than the other; repeated rows come back as often as they
+    are there. An empty table gives no rows.
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, kept (binary).
 
     Positions and 48-bit hashes of triggers and phrases are shuffled, not texts; records that a slice of the
@@ -562,7 +580,7 @@ def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """
     # Without a cast where there is none to do: both joins then have the same plan below, and share its exchange.
     texts = docs.select("doc_id" if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long"), "text")
-    known = texts.where("doc_id is not null")
+    known = _placed(texts.where("doc_id is not null"))
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
     hot_keys = docs.sparkSession.sparkContext.broadcast(hot_triggers(known))
@@ -579,7 +597,7 @@ def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     both = marks.join(starts, "doc_id", "left")
     # The same exchange of the texts serves this join and the one above.
     nothing = F.lit(None).cast("array<bigint>")
-    nameless = texts.where("doc_id is null").withColumn("marks", nothing).withColumn("starts", nothing)
+    nameless = texts.where("doc_id is null").withColumn("ahead", F.lit(0).cast("long")).withColumn("marks", nothing).withColumn("starts", nothing)
     marked = known.join(both, "doc_id", "left").unionByName(nameless)
     out = marked.mapInArrow(_remove(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if with_text else out.drop("kept")

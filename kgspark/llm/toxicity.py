@@ -7,15 +7,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch_of, draw, held_out, slices
 
-#: Training draws about so many rows of each label, twice as many at most, and of a longer text so many words, in segments
-#: spread evenly over it. This bounds what the driver holds; scoring has no such bounds.
+#: Training draws about so many rows of each label, twice as many at most, in the order of a hash, and whole texts of so many bytes of each
+#: label at most (one text at least). This bounds what the driver holds; scoring has no such bounds.
 ROWS_PER_LABEL = 2500
-WORDS_PER_TEXT = 1 << 14
+BYTES_PER_LABEL = 64 << 20
 DIM = 8
 BUCKET_BITS = 18
 GRAMS = (3, 4, 5, 6)
@@ -226,43 +226,27 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 5) ->
     return model
 
 
-_EXCERPT = pa.schema([("toxic", pa.int32()), ("h", pa.int64()), ("h2", pa.int64()), ("text", pa.string())])
-
-
-def _excerpts(batches):
-    """Texts of at most WORDS_PER_TEXT words: of longer ones so many segments, spread evenly from the first to the last."""
-    keep = WORDS_PER_TEXT // SEGMENT
-    for batch in slices(batches):
-        texts = []
-        for text in batch.column("text").to_pylist():
-            words = (text or "").split()
-            if len(words) > WORDS_PER_TEXT:
-                segments = -(-len(words) // SEGMENT)
-                words = [w for k in range(keep) for w in words[k * segments // keep * SEGMENT :][:SEGMENT]]
-                text = " ".join(words)
-            texts.append(text)
-        yield batch_of(_EXCERPT, batch.column("toxic").cast(pa.int32()), batch.column("h"), batch.column("h2"), texts)
-
-
-def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL, bytes_per_label: int = BYTES_PER_LABEL) -> Model | None:
     """A model of labels.toxic from a bounded sample of rows that aren't held out; None if a label is missing.
 
-    The sample has at most ROWS_PER_LABEL ids of each label, in the order of a hash, of texts of any length; the share of ones is that of
-    all rows that may be learnt from. An id with several labels counts as toxic if one of them says so.
+    The sample has at most rows_per_label ids of each label, in the order of a hash, and of their whole texts those that together have
+    bytes_per_label bytes at most; the share of ones is that of all rows that may be learnt from. An id with several labels counts as toxic if one of them says so.
     """
     rows = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     counts = {r["toxic"]: r["count"] for r in rows.where(F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect()}
     if not counts.get(0) or not counts.get(1):
         return None
-    share = {y: min(1.0, ROWS_PER_LABEL / counts[y]) for y in (0, 1)}
+    share = {y: min(1.0, rows_per_label / counts[y]) for y in (0, 1)}
     u = draw(F.col("doc_id"))
     wanted = rows.where(u < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
-    ids = [wanted.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(ROWS_PER_LABEL) for y in (0, 1)]
-    ids = ids[0].union(ids[1])  # at most 2 * ROWS_PER_LABEL rows
+    ids = [wanted.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_label) for y in (0, 1)]
+    ids = ids[0].union(ids[1])  # at most 2 * rows_per_label rows
     # An id may have several rows with different texts: the order is by the text too, so runs agree.
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("toxic", F.xxhash64("doc_id").alias("h"), F.xxhash64("text", "doc_id").alias("h2"), "text")
-    excerpts = sample.mapInArrow(_excerpts, "toxic int, h long, h2 long, text string")
-    got = excerpts.orderBy("h", "h2").limit(2 * ROWS_PER_LABEL).toPandas()
+    so_far = Window.partitionBy("toxic").orderBy("h", "h2").rowsBetween(Window.unboundedPreceding, 0)
+    sized = sample.withColumn("bytes", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(so_far)).withColumn("nth", F.count("*").over(so_far))
+    fitting = sized.where((F.col("bytes") <= bytes_per_label) | (F.col("nth") == 1)).select("toxic", "h", "h2", "text")
+    got = fitting.orderBy("h", "h2").limit(2 * rows_per_label).toPandas()
     y = got["toxic"].to_numpy(dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return None
@@ -282,13 +266,13 @@ def _score(held):
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows_per_label: int = ROWS_PER_LABEL, bytes_per_label: int = BYTES_PER_LABEL) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: label 1 likelier) and predicted (score >= threshold) of each document.
 
     docs: doc_id (long) and text; labels: doc_id and toxic. Learns from labelled rows whose crc32(doc_id as text) mod 4
     isn't 2, and scores by the whole text alone. Texts without a word (null, empty, blank) score 0, as does everything
     if there is nothing to learn from. Rows repeated with an id come back as often as they are there.
     """
-    held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, rows_per_label, bytes_per_label))
     scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_score(held), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kgspark.llm import exact_dedup, idfile, langid, mixing, packing, pii, quality, simhash, substring_dedup, toxicity
+from kgspark.llm import exact_dedup, idfile, langid, mixing, packing, pii, quality, recompression, simhash, substring_dedup, toxicity
 from kgspark.llm.tokens import vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -748,9 +748,8 @@ def test_toxic_scores_against_brute_force():
         assert score == pytest.approx(1 / (1 + np.exp(-(1.5 * (worst + 0.25) - 0.5))))
 
 
-def test_toxicity_learns_from_long_texts(spark, monkeypatch):
-    """All labelled texts are longer than what training takes of one, and rows that share an id are told apart."""
-    monkeypatch.setattr(toxicity, "WORDS_PER_TEXT", 240)
+def test_toxicity_learns_from_long_texts(spark):
+    """Texts are learnt from whole, and rows that share an id are told apart."""
     rng = random.Random(11)
     make = lambda bad, n: " ".join(("grobl" + rng.choice(["ax", "ix"]) if bad and k % 20 == 7 else rng.choice(WORDS)) for k in range(n))
     data = [(i, make(i % 3 == 0, 400)) for i in range(240)] + [(1, make(False, 300)), (1000, make(True, 5)), (1001, make(True, 30_000)), (1002, make(False, 30_000))]
@@ -764,6 +763,17 @@ def test_toxicity_learns_from_long_texts(spark, monkeypatch):
     assert sorted(map(str, out)) == sorted(map(str, toxicity.toxicity(df.repartition(2), labels).collect()))
 
 
+def test_toxicity_learns_within_a_bound_of_bytes(spark):
+    """A text of a million words takes no cutting; those of a label that don't fit the bound are left out, but for one."""
+    long = [(i, ("grobl " if i % 2 else "") + "alpha beta " * (500_000 if i == 6 else 50)) for i in range(40)]
+    docs = spark.createDataFrame(long, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    assert toxicity.fit(docs, labels) is not None
+    assert toxicity.fit(docs, labels, bytes_per_label=1) is not None
+    out = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels, bytes_per_label=100_000).collect()}
+    assert len(out) == 40 and all(0 <= x <= 1 for x in out.values())
+
+
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1"), reason="no test data")
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
@@ -981,12 +991,61 @@ def test_stages_keep_columns(spark, docs, odd):
             assert stage(spark, df, "").columns == df.columns, name
 
 
+def test_substrings_of_rows_that_share_an_id(spark):
+    """Rows of one id lose nothing to each other, and no row loses what another one of its id does."""
+    rng = random.Random(12)
+    first, other, tail = prose(rng, 40), prose(rng, 40), " a tail of some length that stands nowhere else at all"
+    rows = [(1, first), (2, first + tail), (2, other), (2, other), (3, other[:120] + first[:90]), (3, tail + tail), (3, None), (4, first), (4, first)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("x")).withColumn("ahead", F.lit(7))
+    seen, want = {}, []
+    for d, t in rows:
+        b = (t or "").encode()
+        for i in range(len(b) - 49):
+            seen.setdefault(b[i : i + 50], set()).add(d)
+    for d, t in rows:
+        b = (t or "").encode()
+        gone = set()
+        for i in range(len(b) - 49):
+            if min(seen[b[i : i + 50]]) < d:
+                gone |= set(range(i, i + 50))
+        want.append((d, len(b), len(gone)))
+    got = substring_dedup.substring_dedup(df.repartition(3)).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed) for r in got) == sorted(want)
+
+
+def test_mix_of_rows_that_share_an_id_is_the_same_again(spark):
+    data = [(7, "w " * (1 + i % 9) + f"x{i}", "a") for i in range(40)] + [(8, "same text", "a")] * 5 + [(i + 100, "v " * 6, "b") for i in range(40)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    runs = [sorted((r.doc_id, r.size, r.taken) for r in mixing.mix(df.repartition(n)).collect()) for n in (1, 2, 5, 9)]
+    assert all(r == runs[0] for r in runs)
+    taken = Counter(r.text for r in mixing.take(df.repartition(3)).collect())
+    words = sum(n * len(t.split()) for t, n in taken.items())
+    assert words == sum(x[2] for x in runs[0]) and taken == Counter(r.text for r in mixing.take(df.repartition(8)).collect())
+
+
+NAMES = "marks starts ahead lang_pred score component_id fingerprint bucket kind payload _found _row _shown _words _sha _kept_id _kept_sha kept_id kept_sha _id _source _size _digest _copies _copy _same _nth digest grp size target order finish keep_id h h2 piece length key names toxic bytes nth held".split()
+
+
+@pytest.fixture(scope="module")
+def named(spark):
+    """Rows with columns of all the names that operators use, whose values tell what row they are of."""
+    rows = [(i, f"some text with number {i} of many and mail a{i}@b.de for ever and a day or two", "en", "s", *[f"{n}{i}" for n in NAMES]) for i in range(12)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in NAMES))
+
+
 @pytest.mark.parametrize("run", [
-    lambda d: substring_dedup.substring_dedup(d), lambda d: langid.language_id(d), lambda d: quality.quality(d), lambda d: packing.pack(d), lambda d: pii.pseudonymize(d, "k"),
-    lambda d: simhash.near_dedup(d), lambda d: exact_dedup.exact_dedup(d), lambda d: mixing.mix(d),
+    lambda d: substring_dedup.substring_dedup(d), lambda d: langid.language_id(d), lambda d: packing.pack(d), lambda d: simhash.near_dedup(d), lambda d: exact_dedup.exact_dedup(d), lambda d: mixing.mix(d),
+    lambda d: recompression.word_dedup(d), lambda d: toxicity.toxicity(d, d.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))),
 ])
-def test_columns_named_as_the_operators_name_theirs(spark, run):
-    names = "marks starts lang_pred score component_id fingerprint bucket kind payload _found _row _words grp size target order finish keep_id h h2 piece length".split()
-    rows = [(i, f"some text with number {i} and mail a{i}@b.de", "en", "s", *["x"] * len(names)) for i in range(12)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names))
-    assert run(df).count() == 12
+def test_columns_named_as_the_operators_name_theirs(named, run):
+    assert sorted(r.doc_id for r in run(named).collect()) == list(range(12))
+
+
+def test_id_files_of_such_columns(spark, named, tmp_path):
+    assert idfile.id_files(named, str(tmp_path)).count() == 12
+
+
+@pytest.mark.parametrize("run", [lambda d: quality.quality(d), lambda d: pii.pseudonymize(d, "k"), lambda d: quality.keep_good(d), lambda d: exact_dedup.keep_exact(d), lambda d: simhash.keep_one(d), lambda d: mixing.take(d)])
+def test_such_columns_keep_their_values(named, run):
+    rows = run(named).collect()
+    assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in NAMES)
