@@ -391,6 +391,11 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def _ahead(batch) -> np.ndarray:
+    """Where each row begins in its document (see _placed)."""
+    return batch.column("ahead").to_numpy() if "ahead" in batch.schema.names else np.zeros(batch.num_rows, dtype=np.int64)
+
+
 def _found(batches):
     """(doc ids, positions, trigger hashes, phrase hashes) of slices of the input that hold a trigger. ahead: see _placed."""
     for batch in slices(batches, max_chars=16_000_000):
@@ -399,7 +404,7 @@ def _found(batches):
         at, key, second = [np.concatenate(x) for x in zip(*triggers(text))]
         if len(at):
             row = np.searchsorted(text.starts, at, side="right") - 1
-            yield ids[row], at - text.starts[row] + batch.column("ahead").to_numpy()[row], key, second
+            yield ids[row], at - text.starts[row] + _ahead(batch)[row], key, second
 
 
 def _deal_phrases(buckets: int, hot_keys):
@@ -475,7 +480,7 @@ def _deal_open(buckets: int):
             texts = _bytes(batch.column("text"))
             text = Text(texts)
             at, row, is_hot = [], [], []
-            ahead = batch.column("ahead").to_numpy()
+            ahead = _ahead(batch)
             for i, (start, t, marks) in enumerate(zip(text.starts, texts, batch.column("marks"))):
                 marks = marks.values.to_numpy() - 4 * ahead[i]
                 open_ones = np.unique(marks[marks & 3 != REPEAT])
@@ -532,7 +537,7 @@ def _remove(with_text: bool):
         none = np.zeros(0, dtype=np.int64)
         for batch in slices(batches):
             rows = []
-            for t, ahead, marks, starts in zip(_bytes(batch.column("text")), batch.column("ahead").to_pylist(), batch.column("marks"), batch.column("starts")):
+            for t, ahead, marks, starts in zip(_bytes(batch.column("text")), _ahead(batch).tolist(), batch.column("marks"), batch.column("starts")):
                 marks = marks.values.to_numpy() - 4 * ahead if marks.is_valid else none
                 starts = starts.values.to_numpy() - 64 * ahead if starts.is_valid else none
                 if len(marks) or len(starts):
@@ -550,12 +555,12 @@ def _remove(with_text: bool):
 def _placed(texts: DataFrame) -> DataFrame:
     """texts (doc_id, text) with ahead: where the row begins in its document, if rows that share an id stood side by side with gaps between.
 
-    So positions tell them apart, and none is earlier than the other. Nearly always no id is shared and ahead is 0; equal rows have one place.
+    So positions tell them apart, and none is earlier than the other; equal rows have one place. Where no id is shared, texts stay as they are.
     """
     rows = texts.select("doc_id", F.xxhash64("text").alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n")).distinct()
     shared = rows.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
     if shared.isEmpty():
-        return texts.withColumn("ahead", F.lit(0).cast("long"))
+        return texts
     before = Window.partitionBy("doc_id").orderBy("key", "n").rowsBetween(Window.unboundedPreceding, -1)
     places = rows.join(shared, "doc_id", "left_semi").withColumn("ahead", F.coalesce(F.sum(F.col("n") + LENGTH).over(before), F.lit(0)))
     keyed = texts.withColumn("key", F.xxhash64("text")).withColumn("n", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
@@ -597,7 +602,10 @@ def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     both = marks.join(starts, "doc_id", "left")
     # The same exchange of the texts serves this join and the one above.
     nothing = F.lit(None).cast("array<bigint>")
-    nameless = texts.where("doc_id is null").withColumn("ahead", F.lit(0).cast("long")).withColumn("marks", nothing).withColumn("starts", nothing)
+    nameless = texts.where("doc_id is null")
+    if "ahead" in known.columns:
+        nameless = nameless.withColumn("ahead", F.lit(0).cast("long"))
+    nameless = nameless.withColumn("marks", nothing).withColumn("starts", nothing)
     marked = known.join(both, "doc_id", "left").unionByName(nameless)
     out = marked.mapInArrow(_remove(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if with_text else out.drop("kept")
