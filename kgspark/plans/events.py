@@ -88,6 +88,66 @@ def write_graph(spark, sf_dir):
     return found.unionByName(edges.select(key.alias("id"), nothing.alias("label"), nothing.alias("name"), nothing.alias("alias"), F.lit(None).cast("long").alias("seen"), "description"))
 
 
+def _silver_files(spark, sf_dir):
+    """A folder with a JSON document of each supplier, every one whose nation is 3 cut off, and an error in those of nation 5."""
+    n, raw = load(spark, sf_dir, "supplier"), load(spark, sf_dir, "edges_raw")
+    relation = F.struct(F.col("from_id").alias("from"), F.col("to_id").alias("to"), "relation_type", F.struct("source_id").alias("source"), F.col("confidence").alias("confidence_score"))
+    per = raw.groupBy("from_id").agg(F.sort_array(F.collect_set(relation)).alias("relationships"))
+    entity = F.struct(F.concat(F.lit("BT_"), "s_suppkey").alias("id"), F.col("s_name").alias("display_name"), F.when(F.col("s_nationkey") == 5, "no answer").alias("error"))
+    whole = n.withColumn("from_id", F.concat(F.lit("BT_"), "s_suppkey")).join(per, "from_id", "left").select("s_nationkey", F.to_json(F.struct(entity.alias("entity"), "relationships")).alias("value"))
+    path = f"{S.shared_path(spark)}/silver"
+    cut = F.when(F.col("s_nationkey") == 3, F.substring("value", 1, 40)).otherwise(F.col("value"))
+    whole.select(cut.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+def read_documents(spark, sf_dir):
+    docs = io.read_documents(spark, _silver_files(spark, sf_dir)).where("_corrupt_record is null")
+    return docs.select(F.col("entity.id").alias("id"), F.col("entity.display_name").alias("name"), F.coalesce(F.size("relationships"), F.lit(0)).alias("n"), F.col("entity.error").alias("error"))
+
+
+def corrupt_record_stats(spark, sf_dir):
+    return io.corrupt_record_stats(io.read_documents(spark, _silver_files(spark, sf_dir)).cache())
+
+
+def compact_documents(spark, sf_dir):
+    """The edges of all documents, read from the compacted files."""
+    out = f"{S.shared_path(spark)}/bronze"
+    io.compact_documents(spark, _silver_files(spark, sf_dir), out)
+    edges = io.explode_edges(spark.read.parquet(out))
+    return edges.groupBy("from_id", "relation_type").agg(F.count("*").alias("n"), F.max("pos").alias("last"))
+
+
+def read_page_text(spark, sf_dir):
+    path = f"{S.shared_path(spark)}/pages"
+    pages = load(spark, sf_dir, "part").groupBy(F.col("p_size").alias("page")).agg(F.array_join(F.sort_array(F.collect_list("p_name")), "\n").alias("value"))
+    pages.repartition("page").write.partitionBy("page").text(path)
+    return io.read_page_text(spark, path).select("page", F.md5(F.trim(F.regexp_replace("text", "\\n$", ""))).alias("digest"))
+
+
+def append_report(spark, sf_dir):
+    """Two reports in one folder."""
+    path, o = f"{S.shared_path(spark)}/report", load(spark, sf_dir, "orders")
+    for status in ("F", "O"):
+        io.append_report(o.where(F.col("o_orderstatus") == status).select(F.col("o_orderkey").alias("doc_id"), F.lit(status).alias("status"), F.round("o_totalprice", 2).alias("score")), path)
+    return spark.read.schema("doc_id long, status string, score double").json(path)
+
+
+def write_csv_report(spark, sf_dir):
+    path = f"{S.shared_path(spark)}/csv"
+    io.write_csv_report(load(spark, sf_dir, "documents").select("doc_id", "lang", F.length("text").alias("n")), path)
+    return spark.read.option("header", True).schema("doc_id long, lang string, n int").csv(path)
+
+
+def read_relational(spark, sf_dir):
+    path = S.shared_path(spark)
+    for name in ("users", "payments"):
+        load(spark, sf_dir, name).write.parquet(f"{path}/{name}.parquet")
+    tables = io.read_relational(spark, path, ["users", "payments"])
+    joined = tables["payments"].join(tables["users"].select(F.col("id").alias("user_id"), "role"), "user_id")
+    return joined.groupBy("role", "status").agg(F.count("*").alias("n"), F.round(F.sum("amount_vnd"), 2).alias("total"))
+
+
 def repair_json(spark, sf_dir):
     e = load(spark, sf_dir, "events")
     k = F.col("event_id") % 5
@@ -230,6 +290,16 @@ ORACLE = {
       e2 AS (SELECT from_id, relation_type, to_id, min(description) AS description FROM edges_raw WHERE from_id IN (SELECT id FROM n2) AND to_id IN (SELECT id FROM n2) GROUP BY 1, 2, 3),
       e AS (SELECT from_id, relation_type, to_id, description FROM e1 FULL JOIN e2 USING (from_id, relation_type, to_id))
       SELECT id, label, name, alias, seen, NULL AS description FROM n2 UNION ALL SELECT from_id || '|' || relation_type || '|' || to_id, NULL, NULL, NULL, NULL, description FROM e"""),
+    "read_documents": oracle(("edges_raw",), """SELECT 'BT_' || s_suppkey AS id, s_name AS name, coalesce(n, 0)::INT AS n, CASE WHEN s_nationkey = 5 THEN 'no answer' END AS error
+      FROM supplier LEFT JOIN (SELECT from_id, count(*) AS n FROM (SELECT DISTINCT from_id, to_id, relation_type, source_id, confidence FROM edges_raw) GROUP BY 1) e ON e.from_id = 'BT_' || s_suppkey WHERE s_nationkey <> 3"""),
+    "corrupt_record_stats": "SELECT count(*) AS files, count(*) FILTER (WHERE s_nationkey NOT IN (3, 5)) AS good, count(*) FILTER (WHERE s_nationkey IN (3, 5)) AS damaged, round(100 * count(*) FILTER (WHERE s_nationkey IN (3, 5)) / count(*), 2) AS damaged_percent FROM supplier",
+    "compact_documents": oracle(("edges_raw",), """WITH e AS (SELECT DISTINCT from_id, to_id, relation_type, source_id, confidence FROM edges_raw JOIN supplier ON from_id = 'BT_' || s_suppkey WHERE s_nationkey <> 3),
+      p AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY to_id, relation_type, source_id, confidence NULLS FIRST) - 1 AS pos FROM e)
+      SELECT from_id, relation_type, count(*) AS n, max(pos)::INT AS last FROM p GROUP BY 1, 2"""),
+    "read_page_text": "SELECT p_size AS page, md5(array_to_string(list_sort(list(p_name)), chr(10))) AS digest FROM part GROUP BY 1",
+    "append_report": "SELECT o_orderkey AS doc_id, o_orderstatus AS status, round(o_totalprice, 2) AS score FROM orders WHERE o_orderstatus IN ('F', 'O')",
+    "write_csv_report": "SELECT doc_id, lang, length(text)::INT AS n FROM documents",
+    "read_relational": oracle(("users", "payments"), "SELECT role, status, count(*) AS n, round(sum(amount_vnd), 2) AS total FROM payments p JOIN users u ON u.id = p.user_id GROUP BY 1, 2"),
     "repair_json": "SELECT event_id, CASE WHEN event_id % 5 <> 3 THEN (props->>'$.k')::BIGINT END AS k FROM events",
     "toc_by_page": """SELECT p_size AS page, count(*)::INT AS n, string_agg(p_name || '/' || (CASE WHEN p_brand = 'Brand#1' THEN p_type ELSE 'VI_THUOC' END), ';' ORDER BY p_name, CASE WHEN p_brand = 'Brand#1' THEN p_type ELSE 'VI_THUOC' END) AS candidates FROM part GROUP BY 1""",
     "flatten_text": """WITH c AS (SELECT conv_id, min_by(text, turn) FILTER (WHERE role = 'system') AS s, min_by(text, turn) FILTER (WHERE role = 'user') AS u FROM conversations GROUP BY 1)
@@ -264,5 +334,5 @@ ORACLE = {
 }
 QUERIES = {
     f.__name__: f
-    for f in (stream_payments, stream_ledger, stream_login_sessions, stream_daily_queries, stream_query_cache, stream_deletions, stream_cascade_delete, write_graph, repair_json, toc_by_page, flatten_text, vector_topk, parse_questions, generate_qa, answer_questions, grounded_answers)
+    for f in (stream_payments, stream_ledger, stream_login_sessions, stream_daily_queries, stream_query_cache, stream_deletions, stream_cascade_delete, write_graph, read_documents, corrupt_record_stats, compact_documents, read_page_text, append_report, write_csv_report, read_relational, repair_json, toc_by_page, flatten_text, vector_topk, parse_questions, generate_qa, answer_questions, grounded_answers)
 }

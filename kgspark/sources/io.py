@@ -43,11 +43,34 @@ def corrupt_record_stats(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("files"), F.count_if(~bad).alias("good"), F.count_if(bad).alias("damaged"), F.round(100 * F.count_if(bad) / F.count("*"), 2).alias("damaged_percent"))
 
 
+def natural_key(name: Column) -> Column:
+    """A text that sorts as names with numbers in them are counted: page2 before page10."""
+    parts = F.split(F.lower(name), r"(?<=\d)(?=\D)|(?<=\D)(?=\d)")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, 20, "0")).otherwise(p)), "")
+
+
+def compact_documents(spark: SparkSession, path: str, out: str, schema: str | StructType = SILVER, file_bytes: int = 128 << 20) -> None:
+    """Many small JSON files, a document each, as a few Parquet files of about file_bytes of JSON, in the natural order of the file names.
+
+    Rows are those of read_documents, damaged ones too, with the source's size and time as file_size and file_time. Later jobs read the columns that
+    they need of few large files instead of opening every small one; the range of names in each is in its statistics. Overwrites out.
+    """
+    docs = read_documents(spark, path, schema).withColumns({"file_size": F.col("_metadata.file_size"), "file_time": F.col("_metadata.file_modification_time")})
+    total = docs.agg(F.sum("file_size")).first()[0] or 0
+    key = natural_key(F.col("file"))
+    placed = docs.withColumn("place", key).repartitionByRange(max(1, -(-total // file_bytes)), "place", "file").sortWithinPartitions("place", "file")
+    placed.write.mode("overwrite").parquet(out)
+
+
 def read_page_text(spark: SparkSession, path: str) -> DataFrame:
-    """page (number in the file name, 999999 without one), text, of one text file a page."""
-    pages = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_name").alias("file"))
-    number = F.regexp_extract("file", r"(\d+)", 1)
-    return pages.withColumn("page", F.when(number == "", 999_999).otherwise(number.cast("int")))
+    """page, text and file of one text file a page, under path or in folders of it named page=<number>.
+
+    The page is the folder's number, else the first number in the file's name, 999999 without one.
+    """
+    pages = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    pages = pages.select(F.col("value").alias("text"), F.col("_metadata.file_name").alias("file"), F.regexp_extract("_metadata.file_path", r"/page=(\d+)/[^/]*$", 1).alias("folder"))
+    number = F.when(F.col("folder") != "", F.col("folder")).otherwise(F.regexp_extract("file", r"(\d+)", 1))
+    return pages.withColumn("page", F.when(number == "", 999_999).otherwise(number.cast("int"))).drop("folder")
 
 
 def toc_by_page(toc: DataFrame, group: str = "VI_THUOC") -> DataFrame:

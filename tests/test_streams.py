@@ -172,3 +172,17 @@ def test_write_graph_upserts_touched_buckets_alone(spark, tmp_path):
     after = files(BucketTable(spark, path))
     assert all(after[f] == t for f, t in before.items())
     assert 1 <= len([d for d in os.listdir(f"{path}/nodes/data/version=1") if d.startswith("bucket")]) <= 2
+
+
+def test_documents_are_compacted_in_natural_order(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in (10, 9, 100, 1):
+        (tmp_path / "in" / f"page_{i}.json").write_text('{"entity": {"id": "VT_%d"}, "relationships": []}' % i)
+    (tmp_path / "in" / "page_2.json").write_text('{"entity": {')
+    io.compact_documents(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert [r.file for r in rows] == ["page_1.json", "page_2.json", "page_9.json", "page_10.json", "page_100.json"]
+    assert [r.entity.id if r._corrupt_record is None else None for r in rows] == ["VT_1", None, "VT_9", "VT_10", "VT_100"]
+    io.compact_documents(spark, str(tmp_path / "in"), str(tmp_path / "out"), file_bytes=60)
+    parts = [f for f in os.listdir(tmp_path / "out") if f.endswith(".parquet")]
+    assert len(parts) > 1 and spark.read.parquet(str(tmp_path / "out")).count() == 5
