@@ -37,6 +37,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def number_of_parts(spark: SparkSession, size: int, part: int) -> list[int]:
+    """Arguments of a repartition that keep a part to about `part` of `size`; none where the session's number of partitions does."""
+    wanted = -(-size // part)
+    return [wanted] if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")) else []
+
+
 def own_names(df: DataFrame, *wanted: str) -> list[str]:
     """Names for columns of one's own that df has no column of, whatever the case."""
     taken, out = {c.lower() for c in df.columns}, []

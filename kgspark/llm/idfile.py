@@ -20,11 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, slices
+from .common import batch_of, number_of_parts, slices
 from .tokens import tokenizer, vocabulary
 
 MAGIC = b"IDC2"
 BLOCK_IDS = 1 << 20
+#: Bytes of text that a task encodes into its file.
+FILE_BYTES = 1 << 28
 RUN = 256
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
@@ -350,11 +352,14 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str = "", vocabulary_s
 
     path: a new folder. file_no counts the ranges of doc_id, block_no the blocks of a file; Parquet is only their
     envelope, so any store that Spark writes to will do, with its commit of whole tasks. Null texts count as
-    empty; null ids come first.
+    empty; null ids come first. A file takes about FILE_BYTES of text, or less: there are as many as the session has
+    shuffle partitions, more where that is needed.
     """
     # The hash deals out repeated and null ids too.
     keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_h"))
-    ordered = keyed.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").drop("_h")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = number_of_parts(docs.sparkSession, size, FILE_BYTES)
+    ordered = keyed.repartitionByRange(*parts, "doc_id", "_h").sortWithinPartitions("doc_id", "_h").drop("_h")
     blocks = ordered.mapInArrow(_encode(tokenizer_path, vocabulary_size), _BLOCKS_SQL)
     blocks.write.option("compression", "uncompressed").parquet(path)
 
@@ -398,7 +403,8 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
     files = blocks.groupBy("file_no").agg(F.sum("n_ids").alias("n"))
     ahead = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     files = files.select("file_no", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
-    ordered = blocks.select("file_no", "block_no", "block").repartitionByRange("file_no").sortWithinPartitions("file_no", "block_no")
+    parts = number_of_parts(spark, (blocks.agg(F.max("file_no")).first()[0] or 0) + 1, 1)
+    ordered = blocks.select("file_no", "block_no", "block").repartitionByRange(*parts, "file_no").sortWithinPartitions("file_no", "block_no")
     parts = ordered.mapInArrow(_decode(with_ids), _READ_SQL)
     out = parts.join(files, "file_no").select("doc_id", (F.col("ahead") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "ids")
     return out if with_ids else out.drop("ids")

@@ -122,12 +122,31 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(F.aggregate(each, F.lit(0), lambda a, x: a + x), F.lit(10))
 
 
+def _mod97(number: Column) -> Column:
+    """What an account number leaves modulo 97, letters counting from A = 10."""
+
+    def step(rest: Column, c: Column) -> Column:
+        letter = F.ascii(c) - 55
+        return F.pmod(F.when(letter >= 10, rest * 100 + letter).otherwise(rest * 10 + F.ascii(c) - 48), F.lit(97))
+
+    return F.aggregate(_characters(number), F.lit(0), step)
+
+
+def _iban(entity: Column, rest: Column) -> Column:
+    """An account number of entity's country before rest, with check digits that leave what the entity's own leave: right ones stay right."""
+    country, after = entity.substr(F.lit(1), F.lit(2)), F.length(entity)
+    own = _mod97(F.concat(entity.substr(F.lit(5), after), entity.substr(F.lit(1), F.lit(4))))
+    check = F.pmod(own - _mod97(F.concat(rest, country, F.lit("00"))), F.lit(97))
+    # Check digits run from 02 to 98.
+    return F.concat(country, F.lpad(F.when(check < 2, check + 97).otherwise(check).cast("string"), 2, "0"), rest)
+
+
 def surrogate(kind: Column, entity: Column, female: Column, attempt: Column, key: str) -> Column:
     """The keyed replacement of a canonical entity, in canonical form.
 
     email: local part and host keep their shape, the last two labels become example with the same top
     domain; phone: the first digit stays; card: same length, same check sum; ip: an address of 10.0.0.0/8 (from the fifth attempt on, any);
-    iban: country and length stay; key: its prefix stays; secret: its shape; name (a family name) and given: same script, given
+    iban: country, length and what it leaves modulo 97 stay; key: its prefix stays; secret: its shape; name (a family name) and given: same script, given
     names of the same gender (that of the digest where it is unknown). The attempt number enters the digest. Shapes can be used up, so
     from the fifth attempt on a phone's first digit is free and all but ip grow, by a digit or syllable an attempt (a local part by
     two letters).
@@ -149,7 +168,7 @@ def surrogate(kind: Column, entity: Column, female: Column, attempt: Column, key
     card = F.concat(body, last.cast("string"))
     net = F.when(attempt < IN_SHAPE, F.lit(10)).otherwise(_draw(digest, F.lit(3), 223) + 1).cast("string")
     ip = F.concat_ws(".", net, *[_draw(digest, F.lit(k), 256).cast("string") for k in range(3)])
-    iban = F.concat(entity.substr(F.lit(1), F.lit(2)), shaped.substr(F.lit(3), F.length(entity)), digits)
+    iban = _iban(entity, F.concat(shaped.substr(F.lit(5), F.length(entity)), digits))
     head = F.regexp_extract(entity, f"^({KEY_HEADS})", 1)
     secret = F.concat(head, shaped.substr(F.length(head) + 1, F.length(entity)), digits)
     cyrillic = entity.rlike(r"^\p{IsCyrillic}")
@@ -186,7 +205,7 @@ def numbered(kind: Column, entity: Column, number: Column, width: Column) -> Col
     last = F.pmod(_luhn(entity) - _luhn(F.concat(F.lit("4"), places, F.lit("0"))), F.lit(10))
     card = F.concat(F.lit("4"), places, last.cast("string"))
     ip = F.concat(F.lit("fd00::"), F.regexp_replace(F.lpad(F.lower(F.hex(number)), 16, "0"), "(.{4})(?=.)", "$1:"))
-    iban = F.concat(entity.substr(F.lit(1), F.lit(2)), places)
+    iban = _iban(entity, places)
     out = F.when(kind == "email", email).when(kind == "card", card).when(kind == "ip", ip).when(kind == "iban", iban)
     head = F.regexp_extract(entity, f"^({KEY_HEADS})", 1)
     return out.when(kind == "key", F.concat(head, places)).when(kind.isin("name", "given"), name).when(kind == "secret", F.concat(F.lit("s"), places)).when(kind == "ssn", F.concat(F.lit("8"), places)).otherwise(F.concat(F.lit("9"), places))
@@ -263,19 +282,28 @@ def entities_of(mentions: DataFrame) -> DataFrame:
     return whole.unionByName(first)
 
 
+def _bare(text: Column, names: Column) -> tuple[Column, Column]:
+    """(text with each full name of names (full, shown) replaced where it stands as whole words, how many there are)."""
+    full = F.array_join(F.transform(names, lambda n: n["full"]), "|")
+    pattern = F.concat(F.lit(r"(?=\p{Lu})(?<![\p{L}\p{M}])(?:"), full, F.lit(r")(?![\p{L}\p{M}]|['’-]\p{Lu})"))
+    found, shown = F.regexp_extract_all(text, pattern, F.lit(0)), F.map_from_entries(names)
+    rest = F.split(text, pattern, -1)
+    return F.array_join(F.zip_with(rest, F.transform(found, lambda f: shown[f]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""), F.size(found)
+
+
 def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     """docs with text replaced by one without the detected personal data, and n_entities and kinds; other columns stay.
 
     docs: text; columns named n_entities or kinds are replaced. key: a secret; who knows it can tell which surrogate an entity has.
     One entity has one surrogate in all documents, whatever its format or form of address; different entities have different ones, and no
     surrogate is an entity of the corpus. Given and family names have theirs each, so a family keeps one name and a person
-    both. Null texts stay null. Repeated rows get the same text each. Texts of any length are taken whole; patterns are bounded, so
+    both; where a text has a full name after a form of address, the same full name is replaced wherever it stands in that text. Null texts stay null. Repeated rows get the same text each. Texts of any length are taken whole; patterns are bounded, so
     they don't recurse. An empty table gives no rows.
     The patterns run once a row; what they find is kept in a checkpoint with the row, by a number of its own. Only rows with an entity
     meet the table of surrogates; a text is cut at its entities and joined again.
     """
     docs = docs.drop("n_entities", "kinds")
-    found_in, row, shown = own_names(docs, "_found", "_row", "_shown")
+    found_in, row, shown, full = own_names(docs, "_found", "_row", "_shown", "_full")
     text = F.coalesce("text", F.lit(""))
     found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     marked = materialize(docs.withColumn(found_in, found).withColumn(row, F.monotonically_increasing_id()))
@@ -289,12 +317,18 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     # Each distinct mention is written once; then rows take theirs.
     known = mentions.where("kind is not null").select("mention", "kind", "entity", "given").distinct()
     first = values.where("kind = 'given'").select(F.col("entity").alias("given"), F.col("surrogate").alias("first_name"))
-    ready = known.join(values, ["kind", "entity"]).join(first, "given", "left").select("mention", _render(kind, mention, F.col("surrogate"), F.col("first_name")).alias("shown"))
+    ready = known.join(values, ["kind", "entity"]).join(first, "given", "left")
+    called = F.when((kind == "name") & F.col("given").isNotNull(), F.struct(F.concat_ws(" ", "given", "entity").alias("full"), F.concat_ws(" ", "first_name", "surrogate").alias("shown")))
+    ready = ready.select("mention", _render(kind, mention, F.col("surrogate"), F.col("first_name")).alias("shown"), called.alias("called"))
     ready = mentions.select("_row", "pos", "mention", "kind").join(ready, "mention", "left").withColumn("shown", F.coalesce("shown", "mention"))
-    per = ready.groupBy(F.col("_row").alias(row)).agg(F.sort_array(F.collect_list(F.struct("pos", "shown"))).alias(shown), F.count("kind").alias("n_entities"), F.sort_array(F.collect_set("kind")).alias("kinds"))
+    per = ready.groupBy(F.col("_row").alias(row)).agg(F.sort_array(F.collect_list(F.struct("pos", "shown"))).alias(shown), F.count("kind").alias("n_entities"), F.sort_array(F.collect_set("kind")).alias("kinds"), F.collect_set("called").alias(full))
     pieces = F.split("text", F.lit(ANY), -1)
-    text = F.array_join(F.zip_with(pieces, F.transform(shown, lambda x: x["shown"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    replaced = dirty.join(per, row).withColumn("text", text)
+    between = F.transform(pieces, lambda p: _bare(p, F.col(full))[0])
+    further = F.aggregate(pieces, F.lit(0), lambda n, p: n + _bare(p, F.col(full))[1])
+    named = F.size(full) > 0
+    text = F.array_join(F.zip_with(F.when(named, between).otherwise(pieces), F.transform(shown, lambda x: x["shown"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    n_entities = F.col("n_entities") + F.when(named, further).otherwise(0)
+    replaced = dirty.join(per, row).withColumns({"text": text, "n_entities": n_entities})
     columns = [*docs.columns, "n_entities", "kinds"]
     untouched = clean.withColumn("n_entities", F.lit(0).cast("long")).withColumn("kinds", F.array().cast("array<string>"))
     return replaced.select(*columns).unionByName(untouched.select(*columns))

@@ -8,11 +8,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, materialize, own_names, slices, string_list
+from .common import batch_of, materialize, number_of_parts, own_names, slices, string_list
 
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 2
+#: Keys that a task links, about: 64 MB of them.
+KEYS_A_PART = 1 << 22
 #: Bits of a fingerprint's three segments, each at most the code's 23.
 SEGMENTS = (22, 21, 21)
 #: Generator polynomial of the binary Golay code of length 23, dimension 12 and distance 7.
@@ -257,7 +259,8 @@ def _link(batches):
 def links(prints: DataFrame) -> DataFrame:
     """Links (u, v), u < v, between distinct fingerprints (column fp) that join all within MAX_BITS bits."""
     keys = prints.mapInArrow(_emit_keys, "key long, fp long")
-    shared = keys.repartition("key").sortWithinPartitions("key", "fp")
+    parts = number_of_parts(prints.sparkSession, prints.count() * 16, KEYS_A_PART)
+    shared = keys.repartition(*parts, "key").sortWithinPartitions("key", "fp")
     return shared.mapInArrow(_link, "u long, v long").distinct()
 
 
@@ -269,11 +272,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps, which only move edges to smaller ends, until nothing changes; that is after
     about as many rounds as the logarithm of the largest component, squared. Each round is a checkpoint in the shared folder; the
-    driver sees only a count and a sum.
+    driver sees only a count and a digest, and where these repeat, whether there is a link that wasn't there before.
     """
 
     def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select(F.col("u").alias("n"), F.col("v").alias("m")).union(e.select(F.col("v").alias("n"), F.col("u").alias("m")))
@@ -291,11 +294,12 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     before = state(edges)
     while before[0]:
-        edges = materialize(star(star(edges, True), False))
-        now = state(edges)
-        if now == before:
+        moved = materialize(star(star(edges, True), False))
+        now = state(moved)
+        # As many links, none of them new: the same ones.
+        if now == before and moved.join(edges, ["u", "v"], "left_anti").isEmpty():
             break
-        before = now
+        edges, before = moved, now
     nodes = edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
     return nodes.union(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 

@@ -494,6 +494,56 @@ def test_one_person_has_one_name(spark):
     assert other[1] != got[1]
 
 
+def mod97(s):
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
+
+
+def test_account_numbers_stay_right(spark):
+    right = ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "FR14 2004 1010 0505 0001 3M02 606", "BE68 5390 0754 7034"]
+    wrong = ["DE88 3704 0044 0532 0130 00", "GB30NWBK60161331926819"]
+    df = spark.createDataFrame([(i, f"pay {n} now") for i, n in enumerate(right + wrong)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.pseudonymize(df, "k").collect()}
+    for i, n in enumerate(right + wrong):
+        shown = got[i].removeprefix("pay ").removesuffix(" now")
+        assert shown != n and len(shown) == len(n) and [c == " " for c in shown] == [c == " " for c in n] and shown[:2] == n[:2]
+        assert mod97(shown.replace(" ", "")) == mod97(n.replace(" ", "")), (n, shown)
+    assert [mod97(got[i][4:-4].replace(" ", "")) for i in range(4)] == [1] * 4
+    grown = spark.createDataFrame([("iban", "GB29NWBK60161331926819", a) for a in range(12)], "kind string, entity string, attempt int")
+    tried = grown.select(pii.surrogate(F.col("kind"), F.col("entity"), F.lit(None).cast("boolean"), F.col("attempt"), "k").alias("s"), pii.numbered(F.col("kind"), F.col("entity"), F.col("attempt"), F.lit(25)).alias("t")).collect()
+    assert all(mod97(x) == 1 for r in tried for x in (r.s, r.t)) and len({x for r in tried for x in (r.s, r.t)}) == 24
+
+
+def test_full_names_again_in_the_same_text(spark):
+    data = [
+        (1, "Mr John Smith or John Smith; John Smith's and Then John Smith, Herr Jan Ek, Jan Ek"),
+        (2, "John Smith alone"),
+        (3, "Mr Smith and John Smith"),
+        (4, "Mr John Smith, Aljohn Smith, John Smithson, John Smith-Ek, john smith, mail j@x.de John Smith"),
+        (5, "Господин Иван Петров и Иван Петров"),
+    ]
+    df = spark.createDataFrame([(*d, "x") for d in data], "doc_id long, text string, _full string")
+    rows = {r.doc_id: r for r in pii.pseudonymize(df, "k").collect()}
+    assert {r._full for r in rows.values()} == {"x"}
+    got = {i: r.text for i, r in rows.items()}
+    john, smith = got[1].split()[1:3]
+    jan, ek = got[1].split("Herr ")[1].split(",")[0].split()
+    assert got[1] == f"Mr {john} {smith} or {john} {smith}; {john} {smith}'s and Then {john} {smith}, Herr {jan} {ek}, {jan} {ek}" and rows[1].n_entities == 6
+    assert len({john, smith, jan, ek, "John", "Smith", "Jan", "Ek"}) == 8
+    assert got[2] == data[1][1] and rows[2].n_entities == 0
+    assert got[3] == f"Mr {smith} and John Smith" and rows[3].n_entities == 1
+    assert got[4].startswith(f"Mr {john} {smith}, Aljohn Smith, John Smithson, John Smith-Ek, john smith, mail ") and got[4].endswith(f" {john} {smith}") and rows[4].n_entities == 3
+    ivan, petrov = got[5].split()[1:3]
+    assert got[5] == f"Господин {ivan} {petrov} и {ivan} {petrov}" and rows[5].n_entities == 2 and ivan != "Иван"
+
+
+def test_many_full_names_in_a_long_text(spark):
+    names = [f"{a.title()} {b.title()}" for a in pii.SYLLABLES["latin"] for b in pii.SYLLABLES["latin"]]
+    text = " ".join(f"Mr {n} and then {n} went" for n in names) + " nobody" * 100_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (got,) = pii.pseudonymize(df, "k").collect()
+    assert got.n_entities == 2 * len(names) and not [n for n in names if n in got.text]
+
+
 def test_what_only_looks_personal_stays(spark):
     stays = ["Total 12.345.678 items", "order 1234567890123", "card 4111 1111 1111 1112", "version 10.2.3 of 2024-01-02", "the token is here", "password: please"]
     goes = ["token = 'a1b2c3d4e5'", "PASSWORD=hunter22222", "ghp_" + "a1" * 18, "xoxb-1234567890-ab", "AIza" + "b2" * 17 + "c", "sk_live_" + "x1" * 9, "4111-1111-1111-1111"]
@@ -580,6 +630,19 @@ def test_contexts_beat_order_0_and_zlib():
     assert size < len(zlib.compress(ids.astype("<u2").tobytes(), 9)) / len(ids)
 
 
+def test_files_by_size(spark, docs, tmp_path, monkeypatch):
+    """More files than the session has partitions read back as the same ids."""
+    once = sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in idfile.id_files(docs, str(tmp_path)).collect())
+    monkeypatch.setattr(idfile, "FILE_BYTES", 2000)
+    idfile.write_ids(docs, f"{tmp_path}/many")
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert spark.read.parquet(f"{tmp_path}/many").select("file_no").distinct().count() > most
+    got = idfile.read_ids(spark, f"{tmp_path}/many").orderBy("start").collect()
+    assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == once
+    ends = [r.start + r.n_tokens for r in got]
+    assert [r.start for r in got] == [0, *ends[:-1]] and [r.doc_id for r in got] == sorted(r.doc_id for r in got)
+
+
 def test_id_files(spark, docs, rows, empty, odd, tmp_path):
     path = str(tmp_path / "ids")
     idfile.write_ids(docs, path)
@@ -673,6 +736,13 @@ def test_simhash(docs, rows, empty, odd):
     assert kept.columns == odd.columns and kept.count() == 2
 
 
+def test_links_in_many_parts(spark, monkeypatch):
+    prints = spark.createDataFrame([(i * 7,) for i in range(300)], "fp long")
+    once = {tuple(r) for r in simhash.links(prints).collect()}
+    monkeypatch.setattr(simhash, "KEYS_A_PART", 100)
+    assert {tuple(r) for r in simhash.links(prints).collect()} == once and once
+
+
 def test_chains_of_near_fingerprints(spark):
     rng = random.Random(6)
     values = set()
