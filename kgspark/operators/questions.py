@@ -143,11 +143,10 @@ def generate_qa(nodes: DataFrame, edges: DataFrame, usage: DataFrame, per_patter
     fill = lambda template, col: F.replace(template, F.lit("X"), low(col))
 
     def row(df: DataFrame, pattern: str, intent, key, question, context, facts=names, answer=joined, most: int = per_pattern) -> DataFrame:
-        """The first `most` of a pattern. question: a text, or two of which the key's digest takes one."""
-        own = digest(pattern, key)
-        one = question if isinstance(question, Column) else F.when(F.conv(F.substring(own, 32, 1), 16, 10).cast("int") % 2 == 0, question[0]).otherwise(question[1])
-        rows = df.select(F.lit(pattern).alias("pattern"), (F.lit(intent) if isinstance(intent, str) else intent).alias("intent"), key.alias("key"), one.alias("question"), context.alias("context"), facts.alias("facts"), answer.alias("answer"), own.alias("digest"))
-        return rows.orderBy("digest", "key").limit(most).drop("digest")
+        """The first `most` of a pattern. question: a text, or two of which the key's digest takes one. Texts are written for what is drawn alone."""
+        first = df.withColumn("key", key).withColumn("digest", digest(pattern, c("key"))).orderBy("digest", "key").limit(most)
+        one = question if isinstance(question, Column) else F.when(F.conv(F.substring("digest", 32, 1), 16, 10).cast("int") % 2 == 0, question[0]).otherwise(question[1])
+        return first.select(F.lit(pattern).alias("pattern"), (F.lit(intent) if isinstance(intent, str) else intent).alias("intent"), "key", one.alias("question"), context.alias("context"), facts.alias("facts"), answer.alias("answer"))
 
     of_herb = named.where((c("from_label") == HERB) & c("relation_type").isin(*ATTRIBUTES))
     single = first_names(of_herb, ["from_id", "from_name", "relation_type"], "to_name", k, "facts")

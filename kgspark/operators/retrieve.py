@@ -206,15 +206,17 @@ def display_nodes(links: DataFrame) -> DataFrame:
     return both.groupBy("question_id", "id", "name").agg(F.min("grp").alias("grp"))
 
 
-def negative_pairs(herbs: DataFrame, compounds: DataFrame, edges: DataFrame, per_herb: int = 3, seed: int = 42, slots: int = 64) -> DataFrame:
+def negative_pairs(herbs: DataFrame, compounds: DataFrame, edges: DataFrame, per_herb: int = 3, seed: int = 42, slots: int = 64, rows: int = 1 << 18) -> DataFrame:
     """(herb, compound) pairs without an edge, a few candidates a herb drawn by hash; never all pairs.
 
-    herbs: herb_id; compounds: compound_id. Compounds are numbered within each of some slots, by their digest, so no task numbers them
-    all. Candidate k of a herb is the compound whose slot and number its digest gives, modulo what there is.
+    herbs: herb_id; compounds: compound_id. Compounds are numbered within each slot, by their digest: there are as many slots as keep one to about
+    `rows`, and no fewer than `slots`. Candidate k of a herb is the compound whose slot and number its digest gives, modulo what there is.
     """
+    compounds = compounds.distinct()
+    slots = max(slots, -(-compounds.count() // rows))
     digest = lambda *c: F.md5(F.concat_ws(":", F.lit(str(seed)), *c))
     part = lambda d, at, below: (F.conv(F.substring(d, at, 8), 16, 10).cast("long") % below).cast("int")
-    numbered = compounds.distinct().withColumn("slot", part(digest("compound_id"), 1, slots))
+    numbered = compounds.withColumn("slot", part(digest("compound_id"), 1, slots))
     numbered = numbered.withColumn("number", F.row_number().over(Window.partitionBy("slot").orderBy("compound_id")) - 1)
     sizes = numbered.groupBy("slot").agg(F.count("*").alias("size"))  # a row for each slot
     drawn = herbs.distinct().withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(per_herb)))).withColumn("digest", digest("herb_id", F.col("k").cast("string")))
