@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kgspark.sources.shared import materialize
 
-from .retrieve import CONTAINS, HERB, REMEDY, TREATS, check_relation, entity_overview, first_names, hop, intersect_relations, keyword_hits, negative_pairs, treatments_of, two_hop_remedy, usage_lookup
+from .retrieve import CONTAINS, HERB, REMEDY, TREATS, check_relation, entity_overview, first_names, hop, intersect_relations, keyword_keys, negative_pairs, treatments_of, two_hop_remedy, usage_lookup
 
 COMPOUND = "HoatChat"
 
@@ -221,7 +221,7 @@ def answer_questions(questions: DataFrame, nodes: DataFrame, edges: DataFrame, k
     asked = materialize(questions.select("question_id", "intent", some(F.col("k1")).alias("kw1"), some(F.col("k2")).alias("kw2")))
     of = lambda name: asked.where(F.col("intent") == name)
     one = lambda df, subject="subject", relation="relation", object="object": df.select("question_id", F.col(subject).alias("subject"), (F.col(relation) if relation else F.lit("-")).alias("relation"), F.col(object).alias("object"))
-    hits = materialize(keyword_hits(asked, nodes))
+    hits = materialize(keyword_keys(nodes, asked.select(F.col("kw1").alias("keyword")).union(asked.select("kw2"))))
     edges = materialize(edges)
     checked = (*ATTRIBUTES, *TREATS, CONTAINS)
     parts = [

@@ -6,7 +6,7 @@ Results have question_id and the record columns; at most `limit` rows a question
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,31 +39,55 @@ def entity_predicate(node_id: Column, label: Column, name: Column, alias: Column
     return (keyword == "") | F.when(keyword.contains(" "), phrase).otherwise(word) | by_alias
 
 
-def match_entities(nodes: DataFrame, keywords: DataFrame) -> DataFrame:
-    """keywords (key, keyword) with the nodes that match: key, id, label, name. Null keywords match nothing, empty ones all.
+def _keys(node_id: Column, name: Column, label: Column, alias: Column) -> Column:
+    """What keywords find a node by, as (kind, text): its id, its name, and a disease's alias. Nodes of one name share a key."""
+    key = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    return F.filter(F.array(key("id", node_id), key("name", name), key("alias", F.when(label.isin(DISEASE, SYMPTOM), alias))), lambda k: k["text"].isNotNull())
+
 
-    Each distinct keyword is looked up once, by equi-joins: a word meets whole words of names, and ids; a phrase and an alias's part meet the
-    texts that hold their rarest piece (contains_join). The predicate then runs on those pairs alone.
+def keyword_keys(nodes: DataFrame, keywords: DataFrame) -> DataFrame:
+    """keyword, kind, text: the node keys that each keyword finds. Null keywords find nothing, empty ones all.
+
+    Each distinct keyword is looked up once, in distinct ids, names and aliases, by equi-joins: a word meets whole words of names, and ids; a phrase and
+    an alias's part meet the texts that hold their rarest piece (contains_join). So there are no more rows than distinct keywords have distinct texts.
     """
-    asked = keywords.where("keyword is not null").select("key", "keyword").distinct()
-    words = asked.select("keyword").distinct().withColumn("as_id", keyword_id(F.col("keyword")))
-    known = nodes.select("id", "label", "name", F.coalesce("alias", F.lit("")).alias("alias"))
-    is_phrase = F.col("keyword").contains(" ")
+    words = keywords.where("keyword is not null").select("keyword").distinct().withColumn("as_id", keyword_id(F.col("keyword")))
     full = materialize(words.where("keyword <> ''"))
-    met = lambda *terms: F.explode(F.array_distinct(F.array(*[F.lower(t) for t in terms])))
-    by_word = known.withColumn("term", F.explode(F.array_distinct(F.concat(F.split("name", " "), F.array(F.lower("id")))))).join(full.where(~is_phrase).withColumn("term", met("keyword", "as_id")), "term").drop("term")
-    # Names and ids are texts of their own: a phrase is looked for as it is in the one, in the form of an id in the other.
-    phrases = full.where(is_phrase)
-    texts = known.withColumn("text", F.explode(F.array("name", F.upper("id"))))
-    parts = phrases.withColumn("part", F.explode(F.array("keyword", "as_id")))
-    by_phrase = contains_join(texts, parts, "text", "part").drop("text", "part")
-    with_alias = known.where(F.col("label").isin(DISEASE, SYMPTOM) & (F.col("alias") != ""))
-    by_alias = contains_join(with_alias.withColumn("text", F.col("alias")), full.withColumn("part", F.col("keyword")), "text", "part").drop("text", "part")
-    pairs = by_word.unionByName(by_phrase).unionByName(by_alias)
-    hits = pairs.where(entity_predicate(*[F.col(c) for c in ("id", "label", "name", "alias", "keyword", "as_id")])).select("keyword", "id", "label", "name").distinct()
+    is_phrase = F.col("keyword").contains(" ")
+    single, phrases = full.where(~is_phrase), full.where(is_phrase)
+    ids = nodes.where("id is not null").select("id").distinct().withColumn("large", F.upper("id"))
+    names = nodes.where("name is not null").select("name").distinct()
+    aliases = nodes.where(F.col("label").isin(DISEASE, SYMPTOM) & (F.col("alias") != "")).select("alias").distinct()
+    found = lambda df, kind, text: df.select("keyword", F.lit(kind).alias("kind"), F.col(text).alias("text"))
+    by_word = names.withColumn("keyword", F.explode(F.array_distinct(F.split("name", " ")))).join(single.select("keyword"), "keyword")
+    parts = [
+        found(ids.join(single.withColumnRenamed("as_id", "large"), "large"), "id", "id"),
+        found(by_word, "name", "name"),
+        # A phrase is looked for as it is in names, in the form of an id in ids.
+        found(contains_join(ids, phrases, "large", "as_id"), "id", "id"),
+        found(contains_join(names, phrases, "name", "keyword"), "name", "name"),
+        found(contains_join(aliases, full, "alias", "keyword"), "alias", "alias"),
+    ]
     # The empty keyword is one row at most.
-    everything = known.withColumn("keyword", F.lit("")).join(F.broadcast(words.where("keyword = ''").select("keyword")), "keyword")
-    return asked.join(hits.unionByName(everything.select("keyword", "id", "label", "name")), "keyword").select("key", "id", "label", "name").distinct()
+    empty = F.broadcast(words.where("keyword = ''").select("keyword"))
+    parts += [found(names.crossJoin(empty), "name", "name"), found(nodes.where("name is null and id is not null").select("id").distinct().crossJoin(empty), "id", "id")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
+def _keyed(nodes: DataFrame, side: str) -> DataFrame:
+    """Nodes with their keys, a row for each: <side>_id, <side>_name, <side>_label, kind, text."""
+    keys = _keys(F.col("id"), F.col("name"), F.col("label"), F.col("alias"))
+    return nodes.withColumn("_key", F.explode(keys)).select(F.col("id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name"), F.col("label").alias(f"{side}_label"), "_key.kind", "_key.text")
+
+
+def match_entities(nodes: DataFrame, keywords: DataFrame) -> DataFrame:
+    """keywords (key, keyword) with the nodes that match: key, id, label, name. Null keywords match nothing, empty ones all."""
+    asked = keywords.where("keyword is not null").select("key", "keyword").distinct()
+    found = _keyed(nodes, "n").join(keyword_keys(nodes, asked), ["kind", "text"]).select("keyword", F.col("n_id").alias("id"), F.col("n_label").alias("label"), F.col("n_name").alias("name")).distinct()
+    return asked.join(found, "keyword").select("key", "id", "label", "name").distinct()
 
 
 def match_entity(nodes: DataFrame, keyword: str) -> DataFrame:
@@ -83,70 +107,85 @@ def _named(nodes: DataFrame, side: str) -> DataFrame:
     return nodes.select(F.col("id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name"), F.col("label").alias(f"{side}_label"))
 
 
-def keyword_hits(questions: DataFrame, nodes: DataFrame) -> DataFrame:
-    """side (kw1 or kw2), question_id, id, name, label: what all questions' keywords match, to be worked out once for several lookups."""
-    side = lambda kw: questions.select(F.struct(F.lit(kw).alias("side"), "question_id").alias("key"), F.col(kw).alias("keyword"))
-    return match_entities(nodes, side("kw1").union(side("kw2"))).select("key.side", "key.question_id", "id", "name", "label")
+def first_distinct(rows: DataFrame, by: Sequence[str], order: Sequence[str], limit: int) -> DataFrame:
+    """The first distinct rows of each key. What is dropped is dropped before the shuffle too, so a hot key sends `limit` rows a task."""
+    place = F.dense_rank().over(Window.partitionBy(*by).orderBy(*order))
+    return rows.select(*by, *order).withColumn("_place", place).where(F.col("_place") <= limit).drop("_place").distinct()
+
 
+def _found(questions: DataFrame, nodes: DataFrame, keyword: str, hits: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Questions with a keyword (question_id, keyword), and the keys that their keywords find, looked up or out of keyword_keys of these and other ones."""
+    asked = questions.select("question_id", F.col(keyword).alias("keyword")).where("keyword is not null").distinct()
+    return asked, keyword_keys(nodes, asked) if hits is None else hits.join(asked.select("keyword").distinct(), "keyword", "left_semi")
 
-def _matched(questions: DataFrame, nodes: DataFrame, keyword: str, side: str, hits: DataFrame | None = None) -> DataFrame:
-    """The nodes that each question's keyword matches, looked up, or from keyword_hits of these and other questions."""
-    if hits is None:
-        found = match_entities(nodes, questions.select(F.col("question_id").alias("key"), F.col(keyword).alias("keyword"))).withColumnRenamed("key", "question_id")
-    else:
-        found = hits.where(F.col("side") == keyword).join(questions.select("question_id"), "question_id", "left_semi")
-    return found.select("question_id", F.col("id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name"), F.col("label").alias(f"{side}_label"))
+
+def _nodes_of(keys: DataFrame, nodes: DataFrame, side: str) -> DataFrame:
+    """keyword and the nodes that it matches: <side>_id, <side>_name, <side>_label."""
+    return _keyed(nodes, side).join(keys, ["kind", "text"]).select("keyword", f"{side}_id", f"{side}_name", f"{side}_label").distinct()
+
+
+def _first_found(asked: DataFrame, keys: DataFrame, nodes: DataFrame, side: str, rows: Callable[[DataFrame], DataFrame], order: Sequence[str], limit: int, fits: Column | None = None) -> DataFrame:
+    """The first rows of what each question's keyword finds: question_id and the columns of order.
+
+    rows: from start nodes (<side>_id, <side>_name, <side>_label, by) to their rows, with `by` as it was. The first rows of a name are found once for all of
+    its nodes and keywords, then those of a keyword; questions meet no more than these. So many questions with few keywords, or many nodes with
+    few names, cost no more than the nodes' rows. fits: a condition on keyword and a row that all names' keys meet.
+    """
+    start, columns = _keyed(nodes, side), [f"{side}_id", f"{side}_name", f"{side}_label"]
+    names = keys.where("kind = 'name'").select("keyword", F.col("text").alias("by"))
+    named = start.where("kind = 'name'").select(*columns, F.col("text").alias("by")).join(names.select("by").distinct(), "by", "left_semi")
+    single = start.where("kind <> 'name'").join(keys.where("kind <> 'name'"), ["kind", "text"]).select(*columns, F.col("keyword").alias("by"))
+    found = rows(single).select(F.col("by").alias("keyword"), *order)
+    best = first_distinct(rows(named), ["by"], order, limit).join(names, "by").select("keyword", *order).unionByName(found if fits is None else found.where(fits))
+    return asked.join(first_distinct(best, ["keyword"], order, limit), "keyword").select("question_id", *order)
 
 
 def hop(nodes: DataFrame, edges: DataFrame, questions: DataFrame, relations: Sequence[str], direction: str = "forward", target_label: str | None = None, limit: int = LIMIT, hits: DataFrame | None = None) -> DataFrame:
     """One hop from the nodes that kw1 matches, along or against the edges of some relations."""
     start, end = ("from", "to") if direction == "forward" else ("to", "from")
-    wanted = edges.where(F.col("relation_type").isin(*relations))
-    hits = _matched(questions, nodes, "kw1", start, hits).join(wanted, f"{start}_id").join(_named(nodes, end), f"{end}_id")
-    if target_label is not None:
-        hits = hits.where(F.col(f"{end}_label") == target_label)
-    out = hits.select("question_id", F.col("from_name").alias("subject"), F.col("relation_type").alias("relation"), F.col("to_name").alias("object"), "from_id", "to_id").distinct()
-    return first_rows(out, ["subject", "relation", "object", "from_id", "to_id"], limit)
+    asked, keys = _found(questions, nodes, "kw1", hits)
+    ends = _named(nodes, end) if target_label is None else _named(nodes, end).where(F.col(f"{end}_label") == target_label)
+    wanted = edges.where(F.col("relation_type").isin(*relations)).join(ends, f"{end}_id")
+    rows = lambda starts: starts.join(wanted, f"{start}_id").select("by", F.col("from_name").alias("subject"), F.col("relation_type").alias("relation"), F.col("to_name").alias("object"), "from_id", "to_id")
+    return _first_found(asked, keys, nodes, start, rows, ["subject", "relation", "object", "from_id", "to_id"], limit)
 
 
 def two_hop_remedy(nodes: DataFrame, edges: DataFrame, questions: DataFrame, limit: int = LIMIT, hits: DataFrame | None = None) -> DataFrame:
-    """Herb <- contains - remedy - treats -> disease or symptom.
+    """Herb <- contains - remedy - treats -> disease or symptom. Of a remedy's targets the first ones are enough."""
+    asked, keys = _found(questions, nodes, "kw1", hits)
+    inside = edges.where(F.col("relation_type") == CONTAINS).select(F.col("from_id").alias("remedy_id"), F.col("to_id").alias("herb_id"))
+    treats = edges.where(F.col("relation_type").isin(*TREATS)).select(F.col("from_id").alias("remedy_id"), F.col("to_id").alias("target_id"))
+    named = first_distinct(treats.join(_named(nodes, "target"), "target_id"), ["remedy_id"], ["target_name", "target_id"], limit).join(_named(nodes, "remedy"), "remedy_id")
+    found = inside.join(named, "remedy_id")
+    rows = lambda herbs: herbs.where(F.col("herb_label") == HERB).join(found, "herb_id").select("by", F.col("herb_name").alias("subject"), F.col("remedy_name").alias("remedy"), F.col("target_name").alias("object"), "herb_id", "remedy_id", "target_id")
+    return _first_found(asked, keys, nodes, "herb", rows, ["subject", "remedy", "object", "herb_id", "remedy_id", "target_id"], limit)
 
-    A herb's first rows are the same for every question, so they are worked out once a herb; of the herbs that a
-    question matches, only those are joined whose names come before the limit is reached.
-    """
-    inside = edges.where(F.col("relation_type") == CONTAINS).select(F.col("from_id").alias("remedy_id"), F.col("to_id").alias("herb_id")).distinct()
-    treats = edges.where(F.col("relation_type").isin(*TREATS)).select(F.col("from_id").alias("remedy_id"), F.col("to_id").alias("target_id")).distinct()
-    matched = _matched(questions, nodes, "kw1", "herb", hits).where(F.col("herb_label") == HERB).select("question_id", "herb_id", "herb_name")
-    named = treats.join(_named(nodes, "remedy"), "remedy_id").join(_named(nodes, "target"), "target_id")
-    rows = inside.join(matched.select("herb_id").distinct(), "herb_id", "left_semi").join(named, "remedy_id")
-    order = ["remedy_name", "target_name", "remedy_id", "target_id"]
-    place = F.row_number().over(Window.partitionBy("herb_id").orderBy(*order))
-    rows = rows.select("herb_id", *order).withColumn("_k", place).where(F.col("_k") <= limit).drop("_k")
-    sizes = rows.groupBy("herb_id").agg(F.count("*").alias("n"))
-    by_name = Window.partitionBy("question_id").orderBy("herb_name").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    # Rows of names before this one; equal names share their places.
-    before = F.sum("n").over(by_name) - F.sum("n").over(Window.partitionBy("question_id", "herb_name"))
-    needed = matched.join(sizes, "herb_id").withColumn("before", before).where(F.col("before") < limit)
-    out = needed.join(rows, "herb_id").select("question_id", F.col("herb_name").alias("subject"), F.col("remedy_name").alias("remedy"), F.col("target_name").alias("object"), "herb_id", "remedy_id", "target_id")
-    return first_rows(out, ["subject", "remedy", "object", "herb_id", "remedy_id", "target_id"], limit)
+
+def _pairs(questions: DataFrame) -> DataFrame:
+    return questions.select("question_id", "kw1", "kw2").where("kw1 is not null and kw2 is not null").distinct()
+
+
+def _both(questions: DataFrame, nodes: DataFrame, hits: DataFrame | None, side: tuple[str, str]) -> tuple[DataFrame, DataFrame]:
+    """The nodes of the first and of the second keywords: kw1 or kw2, and the columns of their side."""
+    return tuple(_nodes_of(_found(questions, nodes, kw, hits)[1], nodes, s).withColumnRenamed("keyword", kw) for kw, s in zip(("kw1", "kw2"), side))
 
 
 def check_relation(nodes: DataFrame, edges: DataFrame, questions: DataFrame, relations: Sequence[str], hits: DataFrame | None = None) -> DataFrame:
-    """question_id and found: whether an edge joins a node that kw1 matches to one that kw2 matches."""
-    left, right = _matched(questions, nodes, "kw1", "from", hits), _matched(questions, nodes, "kw2", "to", hits)
-    wanted = edges.where(F.col("relation_type").isin(*relations)).select("from_id", "to_id").distinct()
-    yes = left.select("question_id", "from_id").join(wanted, "from_id").join(right.select("question_id", "to_id"), ["question_id", "to_id"]).select("question_id").distinct()
+    """question_id and found: whether an edge joins a node that kw1 matches to one that kw2 matches. Pairs of keywords are looked up, not questions."""
+    left, right = _both(questions, nodes, hits, ("from", "to"))
+    wanted = edges.where(F.col("relation_type").isin(*relations)).select("from_id", "to_id")
+    reached = left.select("kw1", "from_id").join(wanted, "from_id").select("kw1", "to_id").distinct()
+    linked = reached.join(right.select("kw2", "to_id"), "to_id").select("kw1", "kw2").distinct()
+    yes = _pairs(questions).join(linked, ["kw1", "kw2"]).select("question_id").distinct()
     return questions.select("question_id").join(yes.withColumn("hit", F.lit(True)), "question_id", "left").select("question_id", F.coalesce("hit", F.lit(False)).alias("found"))
 
 
 def treatments_of(nodes: DataFrame, edges: DataFrame, questions: DataFrame, prefer: str = REMEDY, limit: int = LIMIT, hits: DataFrame | None = None) -> DataFrame:
     """What treats, or has a function on, a disease or symptom that kw1 matches; sources of the preferred label first."""
-    target = _matched(questions, nodes, "kw1", "to", hits).where(F.col("to_label").isin(DISEASE, SYMPTOM))
-    wanted = edges.where(F.col("relation_type").isin(*TREATS, *FUNCTION))
-    hits = target.join(wanted, "to_id").join(_named(nodes, "from"), "from_id")
-    out = hits.select("question_id", F.when(F.col("from_label") == prefer, 1).otherwise(2).alias("rank"), F.col("from_name").alias("subject"), F.col("relation_type").alias("relation"), F.col("to_name").alias("object"), "from_id", "to_id").distinct()
-    return first_rows(out, ["rank", "subject", "relation", "object", "from_id", "to_id"], limit)
+    asked, keys = _found(questions, nodes, "kw1", hits)
+    wanted = edges.where(F.col("relation_type").isin(*TREATS, *FUNCTION)).join(_named(nodes, "from"), "from_id")
+    rows = lambda starts: starts.where(F.col("to_label").isin(DISEASE, SYMPTOM)).join(wanted, "to_id").select("by", F.when(F.col("from_label") == prefer, 1).otherwise(2).alias("rank"), F.col("from_name").alias("subject"), F.col("relation_type").alias("relation"), F.col("to_name").alias("object"), "from_id", "to_id")
+    return _first_found(asked, keys, nodes, "to", rows, ["rank", "subject", "relation", "object", "from_id", "to_id"], limit)
 
 
 def herbs_by_attribute(nodes: DataFrame, edges: DataFrame, questions: DataFrame, relations: Sequence[str] = ("CO_TINH", "CO_VI", "QUY_KINH"), limit: int = LIMIT) -> DataFrame:
@@ -157,22 +196,22 @@ def herbs_by_attribute(nodes: DataFrame, edges: DataFrame, questions: DataFrame,
 
 def intersect_relations(nodes: DataFrame, edges: DataFrame, questions: DataFrame, limit: int = LIMIT, hits: DataFrame | None = None) -> DataFrame:
     """Herbs with an edge to what kw1 matches and an edge to what kw2 matches."""
-
-    def sources(keyword: str) -> DataFrame:
-        return _matched(questions, nodes, keyword, "to", hits).select("question_id", "to_id").join(edges.select("from_id", "to_id"), "to_id").select("question_id", "from_id").distinct()
-
-    both = sources("kw1").join(sources("kw2"), ["question_id", "from_id"]).join(_named(nodes, "from"), "from_id").where(F.col("from_label") == HERB)
-    return first_rows(both.select("question_id", F.col("from_name").alias("subject"), "from_id"), ["subject", "from_id"], limit)
+    herbs = _named(nodes, "from").where(F.col("from_label") == HERB).select("from_id", "from_name").distinct()
+    of_herbs = edges.select("from_id", "to_id").join(herbs.select("from_id").distinct(), "from_id", "left_semi")
+    first, second = (found.select(kw, "to_id").join(of_herbs, "to_id").select(kw, "from_id").distinct() for kw, found in zip(("kw1", "kw2"), _both(questions, nodes, hits, ("to", "to"))))
+    # A herb has few keywords of either kind; their pairs keep their first herbs, whether they are asked for or not.
+    both = first.join(second, "from_id").join(herbs, "from_id").withColumnRenamed("from_name", "subject")
+    return _pairs(questions).join(first_distinct(both, ["kw1", "kw2"], ["subject", "from_id"], limit), ["kw1", "kw2"]).select("question_id", "subject", "from_id")
 
 
 def usage_lookup(nodes: DataFrame, edges: DataFrame, questions: DataFrame, limit: int = LIMIT, hits: DataFrame | None = None) -> DataFrame:
     """Treats or function edges, either way, between what kw1 and kw2 match."""
     wanted = edges.where(F.col("relation_type").isin(*TREATS, *FUNCTION))
-    either = wanted.select(F.col("from_id").alias("a_id"), F.col("to_id").alias("b_id"), "relation_type").union(wanted.select("to_id", "from_id", "relation_type")).distinct()
-    a, b = _matched(questions, nodes, "kw1", "a", hits), _matched(questions, nodes, "kw2", "b", hits)
-    hits = a.join(either, "a_id").join(b, ["question_id", "b_id"])
-    out = hits.select("question_id", F.col("a_name").alias("subject"), F.col("relation_type").alias("relation"), F.col("b_name").alias("object"), "a_id", "b_id").distinct()
-    return first_rows(out, ["subject", "relation", "object", "a_id", "b_id"], limit)
+    either = wanted.select(F.col("from_id").alias("a_id"), F.col("to_id").alias("b_id"), F.col("relation_type").alias("relation")).union(wanted.select("to_id", "from_id", "relation_type")).distinct()
+    a, b = _both(questions, nodes, hits, ("a", "b"))
+    order = ["subject", "relation", "object", "a_id", "b_id"]
+    both = a.join(either, "a_id").join(b, "b_id").withColumnsRenamed({"a_name": "subject", "b_name": "object"})
+    return _pairs(questions).join(first_distinct(both, ["kw1", "kw2"], order, limit), ["kw1", "kw2"]).select("question_id", *order)
 
 
 def split_usage_question(questions: DataFrame) -> DataFrame:
@@ -184,20 +223,21 @@ def split_usage_question(questions: DataFrame) -> DataFrame:
 
 def entity_overview(nodes: DataFrame, edges: DataFrame, questions: DataFrame, limit: int = LIMIT, hits: DataFrame | None = None) -> DataFrame:
     """Every node that kw1 matches with its outgoing edges, or with defaults if it has none."""
+    asked, keys = _found(questions, nodes, "kw1", hits)
     out = edges.join(_named(nodes, "to"), "to_id").select("from_id", "relation_type", "to_name", "to_id")
-    hits = _matched(questions, nodes, "kw1", "from", hits).join(out, "from_id", "left")
-    shown = hits.select("question_id", F.col("from_name").alias("subject"), F.coalesce("relation_type", F.lit("-")).alias("relation"), F.coalesce("to_name", F.lit("-")).alias("object"), "from_id", F.coalesce("to_id", F.lit("-")).alias("to_id")).distinct()
-    return first_rows(shown, ["subject", "relation", "object", "from_id", "to_id"], limit)
+    none = lambda c: F.coalesce(c, F.lit("-")).alias({"relation_type": "relation", "to_name": "object"}.get(c, c))
+    rows = lambda starts: starts.join(out, "from_id", "left").select("by", F.col("from_name").alias("subject"), none("relation_type"), none("to_name"), "from_id", none("to_id"))
+    return _first_found(asked, keys, nodes, "from", rows, ["subject", "relation", "object", "from_id", "to_id"], limit)
 
 
 def neighbourhood(nodes: DataFrame, edges: DataFrame, questions: DataFrame, limit: int = 40) -> DataFrame:
     """Links, either way, of nodes whose name contains kw1."""
-    asked = questions.select(F.col("question_id").alias("key"), F.col("kw1").alias("keyword"))
-    found = match_entities(nodes, asked).join(asked.select("key", "keyword"), "key").where(F.col("name").contains(F.col("keyword")))
-    start = found.select(F.col("key").alias("question_id"), F.col("id").alias("a_id"), F.col("name").alias("a_name"))
-    either = edges.select(F.col("from_id").alias("a_id"), F.col("to_id").alias("b_id"), "relation_type").union(edges.select("to_id", "from_id", "relation_type"))
-    hits = start.join(either, "a_id").join(_named(nodes, "b"), "b_id").select("question_id", F.col("a_name").alias("source"), F.col("b_name").alias("target"), F.col("relation_type").alias("relation"), "a_id", "b_id").distinct()
-    return first_rows(hits, ["source", "target", "relation", "a_id", "b_id"], limit)
+    asked, keys = _found(questions, nodes, "kw1", None)
+    either = edges.select(F.col("from_id").alias("a_id"), F.col("to_id").alias("b_id"), F.col("relation_type").alias("relation")).union(edges.select("to_id", "from_id", "relation_type"))
+    links = either.join(_named(nodes, "b"), "b_id")
+    rows = lambda starts: starts.join(links, "a_id").withColumnsRenamed({"a_name": "source", "b_name": "target"})
+    # What a keyword finds by an id or an alias may have another name.
+    return _first_found(asked, keys, nodes, "a", rows, ["source", "target", "relation", "a_id", "b_id"], limit, F.col("source").contains(F.col("keyword")))
 
 
 def display_nodes(links: DataFrame) -> DataFrame:

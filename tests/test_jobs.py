@@ -372,3 +372,38 @@ def test_entry_and_names():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert "two_hop_remedy" in entry.queries()
+
+
+def test_lookups_rank_keywords_not_questions(spark):
+    """Questions that share a keyword meet its first rows alone: no ranking is done for each question, and the rows are those of each question by itself."""
+    nodes = spark.createDataFrame(
+        [(f"VT_{i}", R.HERB, f"herb {i % 3}", None) for i in range(40)] + [("T_A", "TinhVi", "warm", None), ("BT_1", R.REMEDY, None, "x"), ("B_1", R.DISEASE, "fever", "hot herb")],
+        "id string, label string, name string, alias string",
+    )
+    edges = spark.createDataFrame([(f"VT_{i}", "CO_TINH", "T_A") for i in range(40)] * 2 + [("BT_1", R.CONTAINS, f"VT_{i}") for i in range(40)] + [("BT_1", "CHU_TRI_BENH", "B_1")], "from_id string, relation_type string, to_id string")
+    asked = ["herb", "herb 1", "vt_7", "", None, "fever", "bt_1", "hot"]
+    questions = spark.createDataFrame([(i, asked[i % 8], "warm" if i % 3 else "") for i in range(48)], "question_id int, kw1 string, kw2 string")
+    lookups = {
+        "hop": lambda q: R.hop(nodes, edges, q, ("CO_TINH",), limit=5),
+        "two_hop": lambda q: R.two_hop_remedy(nodes, edges, q, 5),
+        "overview": lambda q: R.entity_overview(nodes, edges, q, 5),
+        "near": lambda q: R.neighbourhood(nodes, edges, q, 5),
+        "both": lambda q: R.intersect_relations(nodes, edges, q, 5),
+        "check": lambda q: R.check_relation(nodes, edges, q, ("CO_TINH",)),
+    }
+    rows = {}
+    for name, lookup in lookups.items():
+        out = lookup(questions)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Window" in line and "question_id" in line], name
+        rows[name] = sorted(tuple(r) for r in out.collect())
+    of = lambda name, i: [r[1:] for r in rows[name] if r[0] == i]
+    # herb i is named by i % 3; a name's ids come in the order of text.
+    first = sorted((f"herb {i % 3}", "CO_TINH", "warm", f"VT_{i}", "T_A") for i in range(40))
+    assert of("hop", 0) == of("hop", 3) == of("hop", 40) == first[:5]
+    assert of("hop", 1) == [r for r in first if r[0] == "herb 1"][:5] and of("hop", 2) == [("herb 1", "CO_TINH", "warm", "VT_7", "T_A")] and of("hop", 4) == []
+    assert of("two_hop", 2) == [("herb 1", None, "fever", "VT_7", "BT_1", "B_1")]
+    assert [r[3] for r in of("overview", 5)] == ["B_1"] and [r[3] for r in of("overview", 6)] == ["BT_1"] * 5 and [r[3] for r in of("overview", 7)] == ["B_1"]
+    assert of("near", 7) == [] and len(of("near", 1)) == 5 and {r[0] for r in of("near", 1)} == {"herb 1"}
+    assert [r[1] for r in of("both", 8)] == []
+    assert {x[0] for x in rows["check"] if x[1]} == {i for i in range(48) if asked[i % 8] in ("herb", "herb 1", "vt_7", "")} and len(rows["check"]) == 48
