@@ -338,22 +338,30 @@ def detect_headers(pages: DataFrame, lines: int = 20) -> DataFrame:
     """
     line, after = F.col("l.line"), F.coalesce(F.col("l.after"), F.lit(""))
     full = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: x != "")
-    numbered = F.transform(F.slice(full, 1, lines + 1), lambda x, i: F.struct(i.alias("n"), x.alias("line"), F.get(full, i + 1).alias("after")))
-    each = pages.select("page", F.explode_outer(F.slice(numbered, 1, lines)).alias("l"))
+    # Pages are dealt out before the work on their lines, since a small file may be one task's; nothing is shuffled after that.
+    cut = pages.select("page", "text").repartition("page").select("page", F.slice(full, 1, lines + 1).alias("_full"))
+    number = F.transform(F.slice("_full", 1, lines), lambda x, i: i)
+    zipped = F.arrays_zip(number.alias("n"), F.slice("_full", 1, lines).alias("line"), F.slice("_full", 2, lines).alias("after"))
+    each = cut.select("page", F.explode_outer(zipped).alias("l"))
     picture = any_phrase(F.upper(line), PICTURES)
     roman = F.trim(F.regexp_extract(line, rf"^([IVXLC]+[.\s]+[{UPPER}\s]{{5,}})", 1))
     capitals = (F.upper(after) == after) & (F.lower(after) != after) & ~any_phrase(after, ("1.", "A.", "B.", "HÌNH"))
     name = F.trim(F.regexp_extract(line, rf"^\s*([{UPPER}\s]{{2,}})\s*$", 1))
-    code = name.rlike(r"^[A-Z0-9\s]+$") & (F.length(name) <= 6)
-    named = (name != "") & F.lower(name).rlike(f"[{VOWELS}]") & ~any_phrase(name, NO_ENTITY) & (F.size(F.split(name, r"\s+")) > 1) & ~code & ~any_phrase(name, CHEMISTRY)
-    marked = each.select(
-        "page", F.col("l.n").alias("n"), F.when(~picture & (roman != ""), F.concat(roman, F.when(capitals, F.concat(F.lit(" "), after)).otherwise(""))).alias("group"), F.when(~picture & named, name).alias("name")
+    own = F.col("_name")
+    code = own.rlike(r"^[A-Z0-9\s]+$") & (F.length(own) <= 6)
+    named = (own != "") & F.lower(own).rlike(f"[{VOWELS}]") & ~any_phrase(own, NO_ENTITY) & (F.size(F.split(own, r"\s+")) > 1) & ~code & ~any_phrase(own, CHEMISTRY)
+    # One column after the other, so that each is worked out once a line.
+    marked = each.withColumns({"_roman": roman, "_name": name, "_picture": picture})
+    marked = marked.select(
+        "page",
+        F.col("l.n").alias("n"),
+        F.when(~F.col("_picture") & (F.col("_roman") != ""), F.concat("_roman", F.when(capitals, F.concat(F.lit(" "), after)).otherwise(""))).alias("group"),
+        F.when(~F.col("_picture") & named, F.col("_name")).alias("name"),
     )
-    at = F.min(F.when(F.col("group").isNotNull(), F.col("n")))
-    # The line that is the group's header is no entity's; two candidates are enough to pass it.
-    firsts = marked.groupBy("page").agg(F.min_by("group", F.when(F.col("group").isNotNull(), F.col("n"))).alias("group"), at.alias("at"))
-    names = marked.where("name is not null").join(firsts.select("page", "at"), "page").where("at is null or n <> at").groupBy("page").agg(F.min_by("name", "n").alias("entity_name"))
-    out = firsts.join(names, "page", "left")
+    # The line that is the group's header is no entity's. A page has `lines` candidates at most.
+    found = marked.groupBy("page").agg(F.min(F.when(F.col("group").isNotNull(), F.struct("n", "group"))).alias("g"), F.collect_list(F.when(F.col("name").isNotNull(), F.struct("n", "name"))).alias("names"))
+    first = F.array_min(F.filter("names", lambda x: F.col("g").isNull() | (x["n"] != F.col("g.n"))))["name"]
+    out = found.select("page", F.col("g.group").alias("group"), first.alias("entity_name"))
     return out.select("page", "group", F.when(F.col("entity_name").isNotNull(), normalize_plain_id(strip_accents("entity_name"))).alias("entity_id"), "entity_name")
 
 

@@ -407,3 +407,12 @@ def test_lookups_rank_keywords_not_questions(spark):
     assert of("near", 7) == [] and len(of("near", 1)) == 5 and {r[0] for r in of("near", 1)} == {"herb 1"}
     assert [r[1] for r in of("both", 8)] == []
     assert {x[0] for x in rows["check"] if x[1]} == {i for i in range(48) if asked[i % 8] in ("herb", "herb 1", "vt_7", "")} and len(rows["check"]) == 48
+
+
+def test_headers_of_each_page_in_one_pass(spark):
+    """Pages are dealt out once, and no join puts a page's two headers together."""
+    pages = spark.createDataFrame([(1, "\n I. CÂY THUỐC BỔ\nCÂY MÁT\nDÂY CỦ MÌ"), (2, None), (3, " \n\n"), (4, "a\nb\nBÒ CÔNG ANH\nII. CÂY THUỐC KHÁC\nx\nCÂY SẢ")], "page int, text string")
+    out = P.detect_headers(pages).select("page", "group", "entity_name")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("RepartitionByExpression") == 1
+    assert sorted(map(tuple, out.collect())) == [(1, "I. CÂY THUỐC BỔ CÂY MÁT", "CÂY MÁT"), (2, None, None), (3, None, None), (4, "II. CÂY THUỐC KHÁC", "BÒ CÔNG ANH")]
