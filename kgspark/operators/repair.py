@@ -211,7 +211,8 @@ def repair_attributes(nodes: DataFrame, edges: DataFrame, order: Sequence[str] =
     texts = e.groupBy(*keys, F.coalesce("description", F.lit("")).alias("description")).agg(F.min(F.struct(*order)).alias("_pos"), F.min_by(F.struct(*rest), F.struct(*order)).alias("_rest"))
     one = texts.groupBy(*keys).agg(F.min_by("_rest", "_pos").alias("_rest"), F.sort_array(F.collect_list(F.struct("_pos", "description"))).alias("_parts"))
     merged = one.select(*keys, fold_texts(F.transform("_parts", lambda p: p["description"])).alias("description"), "_rest.*").select(*edges.columns)
-    used = merged.select("doc_id", F.col("from_id").alias("id")).union(merged.select("doc_id", "to_id")).distinct()
+    # Of the edges as they are: merging them changes no end.
+    used = e.select("doc_id", F.explode(F.array_distinct(F.array("from_id", "to_id"))).alias("id")).distinct()
     plain = nodes.where(~attribute("id")).select("doc_id", "id", "label", "name")
     mended = nodes.where(attribute("id")).select("doc_id", clean_attribute_id(F.col("id")).alias("id")).where("id is not null")
     made = used.where(attribute("id"))

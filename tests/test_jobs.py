@@ -416,3 +416,12 @@ def test_headers_of_each_page_in_one_pass(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("RepartitionByExpression") == 1
     assert sorted(map(tuple, out.collect())) == [(1, "I. CÂY THUỐC BỔ CÂY MÁT", "CÂY MÁT"), (2, None, None), (3, None, None), (4, "II. CÂY THUỐC KHÁC", "BÒ CÔNG ANH")]
+
+
+def test_nodes_of_repaired_attributes_need_no_merged_edges(spark):
+    """Which nodes are used is known before edges are merged: no description is grouped for it."""
+    nodes = spark.createDataFrame([(1, "VT_A", "ViThuoc", "a"), (1, "VT_B", "ViThuoc", "b"), (1, "T_ON", "x", "y"), (2, "VT_A", "ViThuoc", "a")], "doc_id int, id string, label string, name string")
+    edges = spark.createDataFrame([(1, 1, "VT_A", "CO_TINH", "T_ON", "one"), (1, 2, "VT_A", "CO_TINH", "T_ON", "two"), (1, 3, "VT_A", "CO_VI", "V_CAY", None)], "doc_id int, pos int, from_id string, relation_type string, to_id string, description string")
+    out = P.repair_attributes(nodes, edges)[0]
+    assert "description" not in [c for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line for c in re.findall(r"[a-z_]+(?=#)", line)]
+    assert sorted((r.doc_id, r.id) for r in out.collect()) == [(1, "T_ON"), (1, "VT_A"), (1, "V_CAY")]
