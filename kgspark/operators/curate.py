@@ -468,8 +468,12 @@ def chunk_items(items: DataFrame, key: str, order: Sequence[str], n: int = 6) ->
 
 
 def trim_acyclic(edges: DataFrame, rounds: int = 3) -> DataFrame:
-    """Without edges that can't be on a cycle of their document: each round drops those into ends or out of sources."""
+    """Without edges that can't be on a cycle of their document: each round drops those into ends or out of sources.
+
+    A round uses its edges three times, so each one's are a checkpoint.
+    """
     for _ in range(rounds):
+        edges = materialize(edges)
         has_out = edges.select("doc_id", F.col("from_id").alias("to_id")).distinct()
         has_in = edges.select("doc_id", F.col("to_id").alias("from_id")).distinct()
         edges = edges.join(has_out, ["doc_id", "to_id"], "left_semi").join(has_in, ["doc_id", "from_id"], "left_semi")

@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.functions.text import clean_attribute_id, label_from_prefix, name_from_id, normalize_id, normalize_plain_id, normalize_prefix, strip_accents
+from kgspark.sources.shared import materialize
 
-from .curate import CONTAINS, DNA, EDGE_KEY, INFERRED_DNA, INFERRED_OTHER, TREATS, any_phrase, apply_patches, fold_texts, merge_edges
+from .curate import CONTAINS, DNA, EDGE_KEY, INFERRED_DNA, INFERRED_OTHER, TREATS, any_phrase, apply_patches, cycles, fold_texts, merge_edges
 
 FUNCTION, CONTAINS_COMPOUND, ACTS = "CO_CONG_NANG", "CO_CHUA_HOAT_CHAT", "CO_TAC_DUNG_DUOC_LY"
 
@@ -386,14 +387,22 @@ def merge_identity_edges(first: DataFrame, second: DataFrame, hubs: DataFrame, s
     return one.join(sources.select("doc_id", "source_id"), "doc_id", "left")
 
 
-def document_integrity(nodes: DataFrame, edges: DataFrame, rules: DataFrame, cyclic: DataFrame) -> DataFrame:
+def document_integrity(nodes: DataFrame, edges: DataFrame, rules: DataFrame, cyclic: DataFrame | None = None) -> DataFrame:
     """doc_id, kind, n: how often each kind of violation occurs in a document; clean documents have no row.
 
-    nodes: doc_id, id. rules: relation_type, from_prefix, to_prefix. cyclic: doc_id, node (see cycles). dangling: an end is missing;
-    cycle: self loops and nodes on longer cycles; schema: ends that the rules don't allow, unknown types, and ids
+    nodes: doc_id, id. rules: relation_type, from_prefix, to_prefix. cyclic: doc_id, node (see cycles, which is asked without it). dangling: an end
+    is missing; cycle: self loops and nodes on longer cycles; schema: ends that the rules don't allow, unknown types, and ids
     without a node; conflict: an edge whose reverse came earlier; duplicate: repeats beyond the first; orphan: nodes without an edge.
+
+    edges are read once, into a checkpoint with a row for each different edge of a document, from which all kinds are counted.
     """
-    whole = edges.where("coalesce(from_id, '') <> '' and coalesce(to_id, '') <> ''").withColumn("relation_type", F.upper("relation_type"))
+    a, b = F.col("from_id"), F.col("to_id")
+    pair = Window.partitionBy("doc_id", F.least(a, b), F.greatest(a, b))
+    first = lambda way: F.min(F.when(way, F.col("pos"))).over(pair)
+    marked = edges.withColumns({"relation_type": F.upper("relation_type"), "_ahead": first(a < b), "_back": first(a > b)})
+    late = F.col("doc_id").isNotNull() & (((a < b) & (F.col("pos") > F.col("_back"))) | ((a > b) & (F.col("pos") > F.col("_ahead"))))
+    each = materialize(marked.groupBy("doc_id", "from_id", "to_id", "relation_type").agg(F.count("*").alias("n"), F.count_if(late).alias("late")))
+    whole = each.where("coalesce(from_id, '') <> '' and coalesce(to_id, '') <> ''")
     kind = lambda df, name, n=F.count("*"): df.groupBy("doc_id").agg(n.alias("n")).select("doc_id", F.lit(name).alias("kind"), F.col("n").cast("long").alias("n"))
     head = lambda c: F.regexp_extract(c, "^([^_]+_)", 1)
     typed = whole.withColumns({"_a": head("from_id"), "_b": head("to_id")})
@@ -402,19 +411,18 @@ def document_integrity(nodes: DataFrame, edges: DataFrame, rules: DataFrame, cyc
     stops = rules.select("relation_type", F.col("to_prefix").alias("_b")).distinct()
     ruled = typed.join(known, "relation_type", "left_semi")
     ends = whole.select("doc_id", F.col("from_id").alias("id")).union(whole.select("doc_id", "to_id")).distinct()
-    own = nodes.select("doc_id", "id").distinct()
-    first = whole.groupBy("doc_id", F.col("from_id").alias("to_id"), F.col("to_id").alias("from_id")).agg(F.min("pos").alias("_reverse"))
+    own = materialize(nodes.select("doc_id", "id").distinct())
     loops = whole.where("from_id = to_id").select("doc_id", F.col("from_id").alias("node"))
-    repeats = whole.groupBy("doc_id", "from_id", "to_id", "relation_type").agg((F.count("*") - 1).alias("more")).where("more > 0")
+    cyclic = cycles(whole) if cyclic is None else cyclic
     parts = [
-        kind(edges.where("coalesce(from_id, '') = '' or coalesce(to_id, '') = ''"), "dangling"),
+        kind(each.where("coalesce(from_id, '') = '' or coalesce(to_id, '') = ''"), "dangling", F.sum("n")),
         kind(cyclic.select("doc_id", "node").union(loops).distinct(), "cycle"),
-        kind(ruled.join(starts, ["relation_type", "_a"], "left_anti"), "schema"),
-        kind(ruled.join(stops, ["relation_type", "_b"], "left_anti"), "schema"),
-        kind(typed.join(known, "relation_type", "left_anti"), "schema"),
+        kind(ruled.join(starts, ["relation_type", "_a"], "left_anti"), "schema", F.sum("n")),
+        kind(ruled.join(stops, ["relation_type", "_b"], "left_anti"), "schema", F.sum("n")),
+        kind(typed.join(known, "relation_type", "left_anti"), "schema", F.sum("n")),
         kind(ends.join(own, ["doc_id", "id"], "left_anti"), "schema"),
-        kind(whole.where("from_id <> to_id").join(first, ["doc_id", "from_id", "to_id"]).where("pos > _reverse"), "conflict"),
-        kind(repeats, "duplicate", F.sum("more")),
+        kind(whole.where("late > 0"), "conflict", F.sum("late")),
+        kind(whole.where("n > 1"), "duplicate", F.sum(F.col("n") - 1)),
         kind(own.join(ends, ["doc_id", "id"], "left_anti"), "orphan"),
     ]
     out = parts[0]
@@ -425,7 +433,8 @@ def document_integrity(nodes: DataFrame, edges: DataFrame, rules: DataFrame, cyc
 
 def integrity_totals(violations: DataFrame, docs: DataFrame) -> DataFrame:
     """kind and n: the violations of all documents by kind, and how many documents (doc_id) passed and failed."""
-    failed = violations.select("doc_id").distinct()
-    ids = docs.select("doc_id").distinct()
-    count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("kind"), "n")
-    return violations.groupBy("kind").agg(F.sum("n").alias("n")).unionByName(count(ids.join(failed, "doc_id", "left_anti"), "passed")).unionByName(count(ids.join(failed, "doc_id", "left_semi"), "failed"))
+    violations = materialize(violations)
+    failed = violations.select("doc_id", F.lit(True).alias("_failed")).distinct()
+    told = docs.select("doc_id").distinct().join(failed, "doc_id", "left").agg(F.count_if(F.col("_failed").isNull()).alias("passed"), F.count_if("_failed").alias("failed"))
+    row = lambda name: F.struct(F.lit(name).alias("kind"), F.col(name).alias("n"))
+    return violations.groupBy("kind").agg(F.sum("n").alias("n")).unionByName(told.select(F.inline(F.array(row("passed"), row("failed")))))

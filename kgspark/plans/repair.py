@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kgspark.functions import text as T
-from kgspark.operators import curate as C
 from kgspark.operators import repair as R
 from kgspark.sources import io
 
@@ -176,7 +175,7 @@ def _integrity(spark, sf_dir):
     nodes = edges.select("doc_id", F.col("from_id").alias("id")).union(edges.select("doc_id", F.lit("N_lonely"))).distinct().where("id <> 'N3'")
     rules = spark.createDataFrame([("CONTAINS", "N", "N"), ("TREATS", "X_", "")], "relation_type string, from_prefix string, to_prefix string")
     rules = rules.withColumns({c: F.when(F.col(c) == "N", "").otherwise(F.col(c)) for c in ("from_prefix", "to_prefix")})
-    return R.document_integrity(nodes, edges, rules, C.cycles(edges.where("to_id <> ''")))
+    return R.document_integrity(nodes, edges, rules)
 
 
 def document_integrity(spark, sf_dir):

@@ -425,3 +425,30 @@ def test_nodes_of_repaired_attributes_need_no_merged_edges(spark):
     out = P.repair_attributes(nodes, edges)[0]
     assert "description" not in [c for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line for c in re.findall(r"[a-z_]+(?=#)", line)]
     assert sorted((r.doc_id, r.id) for r in out.collect()) == [(1, "T_ON"), (1, "VT_A"), (1, "V_CAY")]
+
+
+def counted(spark, df):
+    """df, and an accumulator of how many of its rows were read, each time that they were."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(run, df.schema), seen
+
+
+def test_integrity_reads_edges_once(spark):
+    rows = [(1, 1, "A_a", "A_b", "x"), (1, 2, "A_b", "A_a", "x"), (1, 3, "A_a", "A_b", "X"), (1, 4, "A_b", "A_a", "y"), (1, 5, "A_c", "A_c", "x"), (1, 6, "A_c", "", "x"), (2, 1, "A_a", None, "x"), (3, 1, "A_a", "A_b", "x"), (3, 9, "B_d", "A_a", "x")]
+    edges, seen = counted(spark, spark.createDataFrame(rows, "doc_id long, pos long, from_id string, to_id string, relation_type string"))
+    nodes = spark.createDataFrame([(1, "A_a"), (1, "A_b"), (1, "A_z"), (3, "A_a"), (3, "A_b")], "doc_id long, id string")
+    rules = spark.createDataFrame([("X", "A_", "A_")], "relation_type string, from_prefix string, to_prefix string")
+    found = P.document_integrity(nodes, edges, rules)
+    out = {(r.doc_id, r.kind): r.n for r in found.collect()}
+    assert out == {(1, "dangling"): 1, (2, "dangling"): 1, (1, "cycle"): 3, (1, "schema"): 2, (3, "schema"): 2, (1, "conflict"): 3, (1, "duplicate"): 1, (1, "orphan"): 1}
+    assert seen.value == len(rows)
+    violations, read = counted(spark, spark.createDataFrame([(1, "cycle", 2), (1, "orphan", 1), (2, "cycle", 1)], "doc_id long, kind string, n long"))
+    docs, asked = counted(spark, spark.range(1, 6).withColumnRenamed("id", "doc_id"))
+    assert {r.kind: r.n for r in P.integrity_totals(violations, docs).collect()} == {"cycle": 3, "orphan": 1, "passed": 3, "failed": 2}
+    assert (read.value, asked.value) == (3, 5)
