@@ -155,6 +155,22 @@ def test_cascading_deletes_run_again(spark, tmp_path):
     assert BucketTable(spark, str(tmp_path / "users")).version == 2
 
 
+def test_cascading_deletes_work_out_users_once(spark, tmp_path):
+    tables = {}
+    for name in ("users", "payments", "tokens"):
+        tables[str(tmp_path / name)] = "id"
+        BucketTable(spark, str(tmp_path / name)).create(spark.range(20), ["id"], buckets=4)
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    S.stream_cascade_delete(stream(spark, str(tmp_path / "in"), "user_id long", [(3,), (4,), (3,)]).mapInArrow(run, "user_id long"), tables)
+    assert seen.value == 3 and all(sorted(r.id for r in BucketTable(spark, p).read().collect()) == [i for i in range(20) if i not in (3, 4)] for p in tables)
+
+
 def test_write_graph_upserts_touched_buckets_alone(spark, tmp_path):
     path = str(tmp_path / "g")
     nodes = spark.createDataFrame([(f"n{i}", "X", f"name {i}") for i in range(50)], "id string, label string, name string")
