@@ -67,11 +67,17 @@ _MARKS = _combining()
 
 @F.arrow_udf(StringType())
 def strip_accents(s: pa.Array) -> pa.Array:
-    """đ and Đ to d and D, then compatibility decomposition without combining marks. Whole Arrow arrays; ASCII passes as it is."""
-    if pc.all(pc.string_is_ascii(s)).as_py() is not False:
+    """đ and Đ to d and D, then compatibility decomposition without combining marks. Whole Arrow arrays; ASCII passes as it is.
+
+    Only the texts of a batch that aren't ASCII are worked on, each different one once.
+    """
+    odd = pc.fill_null(pc.invert(pc.string_is_ascii(s)), False)
+    if not pc.any(odd).as_py():
         return s
-    plain = pc.replace_substring(pc.replace_substring(s, "đ", "d"), "Đ", "D")
-    return pc.replace_substring_regex(pc.utf8_normalize(plain, form="NFKD"), _MARKS, "")
+    texts = s.filter(odd).dictionary_encode()
+    plain = pc.replace_substring(pc.replace_substring(texts.dictionary, "đ", "d"), "Đ", "D")
+    plain = pc.replace_substring_regex(pc.utf8_normalize(plain, form="NFKD"), _MARKS, "")
+    return pc.replace_with_mask(s, odd, plain.take(texts.indices))
 
 
 def normalize_plain_id(text: Column) -> Column:
@@ -125,11 +131,12 @@ def normalize_prefix(id_: Column, target: str | Column | None = None, synonyms:
     A column as target may be null or empty: then the id keeps its own prefix. An empty or null id gives an empty one.
     """
     up = strip_accents(F.upper(F.trim(F.coalesce(id_, F.lit("")))))
-    known = up.rlike("^(" + "|".join(CURATED) + ")")
-    core = F.when(known, F.regexp_replace(id_core(up, CURATED), "^_+|_+$", "")).otherwise(up)
-    for word, other in (synonyms or {}).items():
-        core = F.when(core == word, other).otherwise(core)
-    own = _prefix_case(up, CURATED, F.lit(""))
+    # One match and a lookup: a chain of cases, which each later column holds again, grows into code that isn't compiled.
+    head = F.regexp_extract(up, "^(" + "|".join(sorted(CURATED, key=len, reverse=True)) + ")", 1)
+    own = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in CURATED.items() for x in pair]), head), F.lit(""))
+    core = F.when(head == "", up).otherwise(F.regexp_replace(up.substr(F.length(head) + 1, F.length(up)), "^_+|_+$", ""))
+    if synonyms:
+        core = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in synonyms.items() for x in pair]), core), core)
     wanted = own if target is None else F.when(F.coalesce(F.lit(target) if isinstance(target, str) else target, F.lit("")) == "", own).otherwise(target)
     return F.when(up == "", "").otherwise(F.regexp_replace(F.concat(wanted, core), "^_+|_+$", ""))
 

@@ -68,6 +68,8 @@ def heal_edges(edges: DataFrame, hubs: DataFrame, ontology: Ontology) -> tuple[D
     required = lambda kind: _lookup(kind, ontology.required)
     e = edges.join(hubs.select("doc_id", "hub_id"), "doc_id", "left")
     e = e.withColumns({"_from": start, "_hub": own, "_to": normalize_prefix(F.col("to_id"), required(F.col("relation_type")), dict(ontology.synonyms))})
+    # Unfolded from an array of one, so that what the ids become is worked out once: a filter on it would be pushed below the join and work it out again.
+    e = e.select(*edges.columns, "hub_id", F.inline(F.array(F.struct("_from", "_hub", "_to"))))
     rest = lambda c: F.when(c.contains("_"), F.regexp_replace(c, "^[^_]*_", "")).otherwise(c)
     e = e.withColumn("_from", F.when((F.col("_from") == F.col("_hub")) | F.col("_from").startswith("BT_"), F.col("_from")).otherwise(F.coalesce("hub_id", "_from")))
     e = e.withColumn("_to", F.regexp_replace("_to", "^VT_", "VI_THUOC_"))

@@ -452,3 +452,21 @@ def test_integrity_reads_edges_once(spark):
     docs, asked = counted(spark, spark.range(1, 6).withColumnRenamed("id", "doc_id"))
     assert {r.kind: r.n for r in P.integrity_totals(violations, docs).collect()} == {"cycle": 3, "orphan": 1, "passed": 3, "failed": 2}
     assert (read.value, asked.value) == (3, 5)
+
+
+def test_accents_of_a_text_that_repeats(monkeypatch):
+    worked = []
+    normalize = T.pc.utf8_normalize
+    monkeypatch.setattr(T.pc, "utf8_normalize", lambda a, form: worked.append(len(a)) or normalize(a, form=form))
+    given = T.pa.array(["T_ÔN", "VT_1", None, "Đỗ ﬁ", "T_ÔN", ""] * 50 + ["abc"] * 700)
+    assert T.strip_accents.func(given).to_pylist() == ["T_ON", "VT_1", None, "Do fi", "T_ON", ""] * 50 + ["abc"] * 700
+    assert sum(worked) == 2
+    assert T.strip_accents.func(T.pa.array(["a", None])).to_pylist() == ["a", None] and T.strip_accents.func(T.pa.array([], "string")).to_pylist() == []
+
+
+def test_heal_edges_works_out_ids_once(spark):
+    edges = spark.createDataFrame([(1, 1, "vt_a", "B_X", "CHU_TRI_BENH"), (1, 2, "BT_Ô", " ", "CHU_TRI_BENH"), (2, 1, "HC_1", "S_VAGUE", "CO_VI")], "doc_id int, pos int, from_id string, to_id string, relation_type string")
+    healed = P.heal_edges(edges, spark.createDataFrame([(1, "VI_THUOC_A")], "doc_id int, hub_id string"), P.Ontology(required={"CHU_TRI_BENH": "B_"}, vague=("VAGUE",)))[0]
+    plan = healed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert [tuple(r) for r in healed.collect()] == [(1, 1, "VI_THUOC_A", "B_X", "CHU_TRI_BENH")]
