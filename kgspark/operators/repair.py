@@ -154,19 +154,30 @@ def rename_remedies(nodes: DataFrame, edges: DataFrame, hubs: DataFrame) -> tupl
     own = F.when(F.size(words) > 2, F.array_join(F.slice(words, -2, 2), "_")).otherwise("GENERIC")
     misnamed = kind.isin(*TREATS) & ~F.col("from_id").contains(illness)
     new_id = F.concat(F.lit("BT_"), illness, F.lit("_"), own)
-    per = edges.where(is_remedy).groupBy("doc_id", F.col("from_id").alias("id")).agg(
-        F.bool_or(kind == CONTAINS).alias("filled"), F.bool_or(kind.isin(*TREATS)).alias("treats"), F.max(F.when(misnamed, F.struct("pos", new_id.alias("id"))))["id"].alias("new_id")
-    )
-    known = per.select("doc_id", "id", (F.col("treats") & ~F.col("filled")).alias("orphan"), "new_id")
-    known = known.withColumn("new_id", F.when(~F.col("orphan"), F.col("new_id")))
-    start = known.select("doc_id", F.col("id").alias("from_id"), F.col("orphan").alias("_orphan"), F.col("new_id").alias("_from"))
-    end = known.where("new_id is not null").select("doc_id", F.col("id").alias("to_id"), F.col("new_id").alias("_to"))
-    orphan = F.coalesce("_orphan", F.lit(False))
-    e = edges.join(start, ["doc_id", "from_id"], "left").where(~orphan | kind.isin(*TREATS)).join(end, ["doc_id", "to_id"], "left").join(hubs.select("doc_id", "hub_id"), "doc_id", "left")
-    e = e.withColumns({"from_id": F.when(orphan, F.col("hub_id")).otherwise(F.coalesce("_from", "from_id")), "to_id": F.when(orphan, F.col("to_id")).otherwise(F.coalesce("_to", "to_id"))})
-    n = nodes.join(known.select("doc_id", "id", F.col("orphan").alias("_orphan"), "new_id"), ["doc_id", "id"], "left").where(~orphan)
+    filled, treats, last = F.bool_or(kind == CONTAINS), F.bool_or(kind.isin(*TREATS)), F.max(F.when(misnamed, F.struct("pos", new_id.alias("id"))))
+    # Edges and hubs meet by document first; the windows of a document's remedies, the keys of which hold the document, need no exchange after that.
+    own_edges = Window.partitionBy("doc_id", "from_id")
+    told = edges.join(hubs.select("doc_id", "hub_id"), "doc_id", "left").withColumns({"_treats": treats.over(own_edges), "_filled": filled.over(own_edges), "_last": last.over(own_edges)["id"]})
+    # Ids of no document meet no others.
+    orphan = F.coalesce(is_remedy & F.col("doc_id").isNotNull() & F.col("_treats") & ~F.col("_filled"), F.lit(False))
+    told = told.withColumns({"_orphan": orphan, "_new": F.when(is_remedy & F.col("doc_id").isNotNull() & ~orphan, F.col("_last"))})
+    e = told.where(~F.col("_orphan") | kind.isin(*TREATS))
+    # Only a remedy has a new id, so edges to anything else have nothing to look up, and where none leads to a remedy nothing is shuffled for it.
+    known = edges.where(is_remedy).groupBy("doc_id", F.col("from_id").alias("id")).agg(filled.alias("filled"), treats.alias("treats"), last["id"].alias("new_id"))
+    known = known.select("doc_id", "id", (F.col("treats") & ~F.col("filled")).alias("orphan"), "new_id").withColumn("new_id", F.when(~F.col("orphan"), F.col("new_id")))
+    to_remedy = F.coalesce(F.col("to_id").startswith("BT_"), F.lit(False))
+    nothing = F.lit(None).cast("string")
+    if edges.where(to_remedy).isEmpty():
+        e = e.withColumn("_to", nothing)
+    else:
+        end = known.where("new_id is not null").select("doc_id", F.col("id").alias("to_id"), F.col("new_id").alias("_to"))
+        e = e.where(~to_remedy).withColumn("_to", nothing).unionByName(e.where(to_remedy).join(end, ["doc_id", "to_id"], "left"))
+    e = e.withColumns({"from_id": F.when(F.col("_orphan"), F.col("hub_id")).otherwise(F.coalesce("_new", "from_id")), "to_id": F.when(F.col("_orphan"), F.col("to_id")).otherwise(F.coalesce("_to", "to_id"))})
+    gone = F.coalesce("_orphan", F.lit(False))
+    n = nodes.join(known.select("doc_id", "id", F.col("orphan").alias("_orphan"), "new_id"), ["doc_id", "id"], "left").where(~gone)
     return n.withColumn("id", F.coalesce("new_id", "id")).select(*nodes.columns), e.select(*edges.columns)
 
+
 def patch_documents(nodes: DataFrame, edges: DataFrame, patches: DataFrame, hubs: DataFrame, order: Sequence[str] = ("pos",)) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) after patches and all that follows them: remedies named after what they treat, one edge a key, a node for each end.
 

@@ -470,3 +470,18 @@ def test_heal_edges_works_out_ids_once(spark):
     plan = healed._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
     assert [tuple(r) for r in healed.collect()] == [(1, 1, "VI_THUOC_A", "B_X", "CHU_TRI_BENH")]
+
+
+def test_rename_remedies_shuffles_edges_once(spark):
+    rows = [(1, 1, "BT_A_B_C", "B_HO", "CHU_TRI_BENH"), (1, 2, "BT_A_B_C", "VT_X", "BAO_GOM_VI_THUOC"), (1, 3, "BT_D", "B_SOT", "CHU_TRI_BENH"), (1, 4, "BT_D", "VT_X", "CO_CONG_NANG"), (1, 5, "VT_X", "K_TAM", "QUY_KINH"), (None, 6, "BT_D", "B_SOT", "CHU_TRI_BENH")]
+    schema = "doc_id int, pos int, from_id string, to_id string, relation_type string"
+    nodes, hubs = spark.createDataFrame([(1, "BT_A_B_C"), (1, "BT_D"), (1, "VT_X")], "doc_id int, id string"), spark.createDataFrame([(1, "VT_H")], "doc_id int, hub_id string")
+    want = [(None, 6, "BT_D", "B_SOT", "CHU_TRI_BENH"), (1, 1, "BT_HO_B_C", "B_HO", "CHU_TRI_BENH"), (1, 2, "BT_HO_B_C", "VT_X", "BAO_GOM_VI_THUOC"), (1, 3, "VT_H", "B_SOT", "CHU_TRI_BENH"), (1, 5, "VT_X", "K_TAM", "QUY_KINH")]
+    got = P.rename_remedies(nodes, spark.createDataFrame(rows, schema), hubs)
+    assert sorted((tuple(r) for r in got[1].collect()), key=lambda r: r[1]) == sorted(want, key=lambda r: r[1])
+    assert sorted(tuple(r) for r in got[0].collect()) == [(1, "BT_HO_B_C"), (1, "VT_X")]
+    assert "Aggregate" not in got[1]._jdf.queryExecution().optimizedPlan().toString()
+    # Edges to remedies follow them to their new ids.
+    more = [(1, 7, "VT_X", "BT_A_B_C", "CO_TRONG_BAI_THUOC"), (1, 8, "VT_X", "BT_Z", "CO_TRONG_BAI_THUOC"), (1, 9, "VT_X", None, "CO_TRONG_BAI_THUOC")]
+    got = P.rename_remedies(nodes, spark.createDataFrame(rows + more, schema), hubs)[1]
+    assert [(r.from_id, r.to_id) for r in got.orderBy("pos").collect()] == [("BT_HO_B_C", "B_HO"), ("BT_HO_B_C", "VT_X"), ("VT_H", "B_SOT"), ("VT_X", "K_TAM"), ("BT_D", "B_SOT"), ("VT_X", "BT_HO_B_C"), ("VT_X", "BT_Z"), ("VT_X", None)]
