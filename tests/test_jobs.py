@@ -485,3 +485,21 @@ def test_rename_remedies_shuffles_edges_once(spark):
     more = [(1, 7, "VT_X", "BT_A_B_C", "CO_TRONG_BAI_THUOC"), (1, 8, "VT_X", "BT_Z", "CO_TRONG_BAI_THUOC"), (1, 9, "VT_X", None, "CO_TRONG_BAI_THUOC")]
     got = P.rename_remedies(nodes, spark.createDataFrame(rows + more, schema), hubs)[1]
     assert [(r.from_id, r.to_id) for r in got.orderBy("pos").collect()] == [("BT_HO_B_C", "B_HO"), ("BT_HO_B_C", "VT_X"), ("VT_H", "B_SOT"), ("VT_X", "K_TAM"), ("BT_D", "B_SOT"), ("VT_X", "BT_HO_B_C"), ("VT_X", "BT_Z"), ("VT_X", None)]
+
+
+def test_merge_edges_orders_without_keys(spark):
+    rows = [("a", "r", "b", 2, "y", "", "s2", None), ("a", "r", "b", 1, "x", None, "s1", 0.5), ("a", "r", "b", 3, "y", "3g", "s2", 0.9), ("a", "r", "b", 4, "z", "4g", "s1", 0.1), ("a", "r", "c", 1, None, None, "s1", None)]
+    df = spark.createDataFrame(rows, "from_id string, relation_type string, to_id string, pos int, description string, dosage string, source_id string, confidence double")
+    out = C.merge_edges(df, ["from_id", "pos", "to_id", "relation_type"])
+    assert not re.search(r"struct\(from_id|pos#\d+, to_id", out._jdf.queryExecution().optimizedPlan().toString())
+    assert sorted((r.to_id, r.description, r.dosage, r.source_id, r.confidence, r.n_merged) for r in out.collect()) == [("b", "x | y | z", "3g", "s1,s2", 0.9, 4), ("c", "", None, "s1", 0.75, 1)]
+    assert {r.to_id: r.dosage for r in C.merge_edges(df, ["to_id"]).collect()}["c"] is None
+
+
+def test_patches_meet_edges_in_one_exchange(spark):
+    columns = "doc_id int, pos int, from_id string, to_id string, relation_type string, description string"
+    edges = spark.createDataFrame([(1, 1, "VT_A", "B_X", "CHU_TRI_BENH", "a"), (2, 1, "VT_A", "B_X", "CHU_TRI_BENH", "b"), (None, 1, "VT_A", "B_X", "CHU_TRI_BENH", "c")], columns)
+    patches = spark.createDataFrame([(1, 1, "VT_A", "B_X", "r", "d", "XOA_EDGE"), (1, 2, "VT_A", "B_Y", "r", "e", "THEM_EDGE"), (None, 1, "VT_A", "B_X", "r", "f", "XOA_EDGE"), (None, 2, "VT_A", "B_X", "r", "g", "THEM_EDGE"), (3, 1, "VT_C", "B_Z", "r", "h", "THEM_EDGE")], columns + ", action string")
+    out = C.apply_patches(spark.createDataFrame([(1, "VT_A")], "doc_id int, id string"), edges, patches)[1]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.doc_id or 0, r.pos, r.to_id, r.description) for r in out.collect()) == [(0, 1, "B_X", "c"), (0, 1000002, "B_X", "g"), (1, 1000002, "B_Y", "e"), (2, 1, "B_X", "b"), (3, 1000001, "B_Z", "h")]
