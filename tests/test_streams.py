@@ -202,3 +202,20 @@ def test_documents_are_compacted_in_natural_order(spark, tmp_path):
     io.compact_documents(spark, str(tmp_path / "in"), str(tmp_path / "out"), file_bytes=60)
     parts = [f for f in os.listdir(tmp_path / "out") if f.endswith(".parquet")]
     assert len(parts) > 1 and spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_compaction_opens_files_once(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    for i in (10, 9, 1):
+        (tmp_path / "in" / f"page_{i}.json").write_text('{"entity": {"id": "VT_%d"}, "relationships": []}' % i)
+    real = io.materialize
+
+    def once(df):
+        out = real(df)
+        for file in (tmp_path / "in").iterdir():
+            file.write_text("gone")
+        return out
+
+    monkeypatch.setattr(io, "materialize", once)
+    io.compact_documents(spark, str(tmp_path / "in"), str(tmp_path / "out"), file_bytes=60)
+    assert [r.entity.id for r in spark.read.parquet(str(tmp_path / "out")).orderBy("place").collect()] == ["VT_1", "VT_9", "VT_10"]
