@@ -71,6 +71,20 @@ def test_documents(spark, tmp_path):
     assert [r.page for r in io.read_page_text(spark, str(tmp_path / "t")).orderBy("page").collect()] == [9, 10, 999_999]
 
 
+def test_silver_files(spark, tmp_path):
+    """Tasks move their files into place by themselves, without checksum files; edges meet by remedy once, in tasks of a few documents each."""
+    from pathlib import Path
+
+    from kgspark.plans import events
+
+    folder = events._silver_files(spark, SF, files=5)
+    names = [f.name for f in Path(folder.removeprefix("file:")).iterdir()]
+    docs = io.read_documents(spark, folder)
+    assert sum(n.startswith("part-") for n in names) == docs.count() == spark.read.parquet(f"{SF}/supplier.parquet").count()
+    assert not [n for n in names if n.endswith(".crc")]
+    assert len({n[:10] for n in names if n.startswith("part-")}) > 1
+
+
 def test_write_graph(spark, tmp_path):
     nodes = spark.createDataFrame([("a", "X", "n"), ("b", "Y", "m"), ("a", "X", "n")], "id string, label string, name string")
     edges = spark.createDataFrame([("a", "r", "b"), ("a", "r", "b"), ("a", "r", "z")], "from_id string, relation_type string, to_id string")
