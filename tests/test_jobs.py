@@ -85,6 +85,15 @@ def test_silver_files(spark, tmp_path):
     assert len({n[:10] for n in names if n.startswith("part-")}) > 1
 
 
+def test_corrupt_stats_without_cache(spark, tmp_path):
+    """A field that the figures don't use damages a document too."""
+    (tmp_path / "a.json").write_text(json.dumps({"entity": {"id": "VT_A"}, "claims": []}))
+    (tmp_path / "b.json").write_text(json.dumps({"entity": {"id": "VT_B"}, "claims": "none"}))
+    (tmp_path / "c.json").write_text("{}")
+    stats = io.corrupt_record_stats(io.read_documents(spark, str(tmp_path))).first()
+    assert (stats.files, stats.good, stats.damaged) == (3, 2, 1)
+
+
 def test_write_graph(spark, tmp_path):
     nodes = spark.createDataFrame([("a", "X", "n"), ("b", "Y", "m"), ("a", "X", "n")], "id string, label string, name string")
     edges = spark.createDataFrame([("a", "r", "b"), ("a", "r", "b"), ("a", "r", "z")], "from_id string, relation_type string, to_id string")
