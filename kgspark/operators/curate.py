@@ -100,17 +100,35 @@ def _uncontained(texts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return texts.join(gone, [*keys, "place"], "left_anti")
 
 
-def merge_nodes(nodes: DataFrame, order: Sequence[str]) -> DataFrame:
+def merge_nodes(nodes: DataFrame, order: Sequence[str], rows: int = 500_000, many: int = 100_000) -> DataFrame:
     """One node for each id: the first label, and each property's first value that isn't empty.
 
-    nodes: id, label, props (map). Attribute nodes stand in nearly every document; both steps sum up before they shuffle.
+    nodes: id, label, props (map). Rows meet by id in one exchange, in tasks of about `rows`, which sort them in memory; sums by struct before it
+    would be sorted too, and spill on a large slice of input. Attribute nodes stand in nearly every document: an id of `many` rows or more is dealt
+    out in shares of `many`, and what is first in each share meets again.
     """
-    place = F.struct(*order)
-    labels = nodes.groupBy("id").agg(F.min_by("label", place).alias("label"))
-    values = nodes.select("id", place.alias("place"), F.explode("props").alias("key", "value")).where("value is not null and trim(value) <> '' and value <> 'null'")
-    filled = values.groupBy("id", "key").agg(F.min_by("value", "place").alias("value"))
-    props = filled.groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("props"))
-    return labels.join(props, "id", "left")
+    # An id orders nothing within it.
+    place = F.struct(*([c for c in order if c != "id"] or order))
+    counts = nodes.groupBy("id").agg(F.count("*").alias("_n"))
+    total, largest = counts.agg(F.sum("_n"), F.max("_n")).first()
+    keys, tasks = ["id"], -(-(total or 0) // rows) or 1
+    slim = nodes.select("id", "label", "props", *[c for c in dict.fromkeys(order) if c not in ("id", "label", "props")])
+    if (largest or 0) >= many:
+        # There are fewer such ids than rows / many.
+        shares = F.broadcast(counts.where(F.col("_n") >= many).select("id", F.ceil(F.col("_n") / many).alias("_shares")))
+        slim = slim.join(shares, "id", "left").withColumn("_share", F.coalesce(F.pmod(F.xxhash64(*order), "_shares"), F.lit(0))).drop("_shares")
+        keys = ["id", "_share"]
+    near = slim.repartition(tasks, *keys)
+    # The label is the entry without a key.
+    label = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("label").alias("value")))
+    entries = near.select(*keys, place.alias("place"), F.explode(F.concat(label, F.coalesce(F.map_entries("props"), F.array()))).alias("entry")).select(*keys, "place", "entry.*")
+    entries = entries.where("key is null or (value is not null and trim(value) <> '' and value <> 'null')")
+    first = entries.groupBy(*keys, "key").agg(F.min(F.struct("place", "value")).alias("first"))
+    if len(keys) > 1:
+        first = first.groupBy("id", "key").agg(F.min("first").alias("first"))
+    pair = F.when(F.col("key").isNotNull(), F.struct("key", F.col("first.value").alias("value")))
+    merged = first.groupBy("id").agg(F.max(F.when(F.col("key").isNull(), F.col("first.value"))).alias("label"), F.sort_array(F.collect_list(pair)).alias("_pairs"))
+    return merged.select("id", "label", F.when(F.size("_pairs") > 0, F.map_from_entries("_pairs")).alias("props"))
 
 
 def confidence_stats(claims: DataFrame) -> DataFrame:

@@ -49,8 +49,9 @@ def merge_edges(spark, sf_dir):
 def merge_nodes(spark, sf_dir):
     e = _raw(spark, sf_dir)
     props = F.create_map(F.lit("text"), F.col("description"), F.lit("dose"), F.coalesce("dosage", F.lit("null")))
-    nodes = e.select(F.col("to_id").alias("id"), F.col("source_id").alias("label"), props.alias("props"), *ORDER)
-    out = C.merge_nodes(nodes, ORDER)
+    order = [c for c in ORDER if c != "to_id"]  # which is the id
+    nodes = e.select(F.col("to_id").alias("id"), F.col("source_id").alias("label"), props.alias("props"), *order)
+    out = C.merge_nodes(nodes, order)
     return out.select("id", "label", F.col("props")["text"].alias("text"), F.col("props")["dose"].alias("dose"))
 
 

@@ -167,6 +167,26 @@ def test_merge_nodes(spark):
     assert got["x"].label == "L1" and got["x"].props == {"n": "name", "d": "late", "e": "first"} and got["y"].props is None
 
 
+def test_merge_nodes_hot_ids(spark):
+    """Rows meet in one exchange that no sorted sum comes before; ids of many rows are dealt out, with the same result."""
+    rnd = random.Random(3)
+    rows = [(f"n{rnd.randrange(4) if k % 2 else k}", rnd.choice("AB"), {"p": rnd.choice(["", "x", "null", "y", " "]), f"q{k % 3}": str(k)}, k) for k in range(600)]
+    rnd.shuffle(rows)
+    nodes = spark.createDataFrame(rows, "id string, label string, props map<string, string>, pos int")
+    expected = {}
+    for i, label, props, _ in sorted(rows, key=lambda r: r[3]):
+        had = expected.setdefault(i, (label, {}))[1]
+        for key, value in props.items():
+            if value.strip() and value != "null":
+                had.setdefault(key, value)
+    for kw in ({}, {"rows": 50, "many": 20}):
+        merged = C.merge_nodes(nodes, ["pos"], **kw)
+        assert {r.id: (r.label, r.props or {}) for r in merged.collect()} == expected
+    plan = C.merge_nodes(nodes, ["pos"])._jdf.queryExecution().sparkPlan().toString()
+    below = plan[plan.rindex("Exchange"):] if "Exchange" in plan else plan[plan.rindex("REPARTITION"):]
+    assert "Aggregate" not in below
+
+
 def test_validation_golden(spark):
     issues = spark.createDataFrame([(1, "ERROR"), (1, "WARNING"), (2, "FIXED")] + [(3, "WARNING")] * 30, "doc_id long, level string")
     got = {r.doc_id: (r.score, r.passed) for r in C.validation_score(issues).collect()}
