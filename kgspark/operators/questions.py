@@ -129,7 +129,8 @@ def generate_qa(nodes: DataFrame, edges: DataFrame, usage: DataFrame, per_patter
     the second kind to one thing, more than one; how_to_usage: dosage and use (usage: from_id, to_id, dosage, how) of a treatment;
     treatment_search: what treats an illness. Facts are the first k, sorted. Each question is one that parse_questions reads back.
 
-    Each pattern's questions are drawn by a top-n of their own; names are joined to edges once, in a checkpoint.
+    Each pattern's questions are drawn by a top-n of their own; names are joined to edges once, in a checkpoint. Where facts are gathered for a key
+    of the edges themselves, the keys are drawn first, and facts are gathered for these alone.
     """
     name = lambda side: nodes.select(F.col("id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name"), F.col("label").alias(f"{side}_label"))
     named = materialize(edges.select("from_id", "relation_type", "to_id").join(name("from"), "from_id").join(name("to"), "to_id"))
@@ -148,13 +149,22 @@ def generate_qa(nodes: DataFrame, edges: DataFrame, usage: DataFrame, per_patter
         one = question if isinstance(question, Column) else F.when(F.conv(F.substring("digest", 32, 1), 16, 10).cast("int") % 2 == 0, question[0]).otherwise(question[1])
         return first.select(F.lit(pattern).alias("pattern"), (F.lit(intent) if isinstance(intent, str) else intent).alias("intent"), "key", one.alias("question"), context.alias("context"), facts.alias("facts"), answer.alias("answer"))
 
+    def drawn_keys(df: DataFrame, pattern: str, key: Column, among: DataFrame | None = None) -> DataFrame:
+        """Rows of df whose key is one of the first that `row` could take, out of df's or those of `among`."""
+        keys = (df if among is None else among).select(key.alias("_key")).distinct()
+        first = keys.orderBy(digest(pattern, c("_key")), "_key").limit(per_pattern)
+        return df.withColumn("_key", key).join(F.broadcast(first), "_key", "left_semi").drop("_key")
+
     of_herb = named.where((c("from_label") == HERB) & c("relation_type").isin(*ATTRIBUTES))
-    single = first_names(of_herb, ["from_id", "from_name", "relation_type"], "to_name", k, "facts")
-    parts = [row(single, "single_relation", pick(1), F.concat_ws(":", "from_id", "relation_type"), (fill(pick(2), "from_name"), fill(pick(3), "from_name")), _context("Vị thuốc", called("from_name"), pick(0), joined))]
+    herb_relation = F.concat_ws(":", "from_id", "relation_type")
+    single = first_names(drawn_keys(of_herb, "single_relation", herb_relation), ["from_id", "from_name", "relation_type"], "to_name", k, "facts")
+    parts = [row(single, "single_relation", pick(1), herb_relation, (fill(pick(2), "from_name"), fill(pick(3), "from_name")), _context("Vị thuốc", called("from_name"), pick(0), joined))]
 
     inside = named.where(c("relation_type") == CONTAINS).select(c("from_id").alias("remedy_id"), c("to_id").alias("herb_id"))
     treats = named.where((c("from_label") == REMEDY) & c("relation_type").isin(*TREATS)).select(c("from_id").alias("remedy_id"), "to_name")
     herbs = nodes.where(c("label") == HERB).select(c("id").alias("herb_id"), "name")
+    joined_herbs = inside.join(treats.select("remedy_id").distinct(), "remedy_id", "left_semi").join(herbs, "herb_id", "left_semi")
+    inside = drawn_keys(inside, "multi_hop", c("herb_id"), joined_herbs)
     hop = first_names(inside.join(treats, "remedy_id"), ["herb_id"], "to_name", k, "facts").join(herbs, "herb_id")
     parts.append(row(hop, "multi_hop", REMEDY_OF, c("herb_id"), tuple(fill(F.lit(t), "name") for t in MULTI_HOP), _context("Vị thuốc", called("name"), "Tham gia bài thuốc chữa các bệnh", joined)))
 
@@ -177,13 +187,18 @@ def generate_qa(nodes: DataFrame, edges: DataFrame, usage: DataFrame, per_patter
     parts.append(row(two, "multi_relation", BOTH, F.concat_ws("+", "a_id", "b_id"), asked, _context("Bộ lọc tìm kiếm", text("Tính ", low("a"), " và trực tiếp chữa ", low("b")), "Các vị thuốc thỏa mãn", joined)))
 
     plain = lambda x: F.trim(F.replace(F.coalesce(x, F.lit("")), F.lit("$"), F.lit("")))
-    used = usage.join(name("from"), "from_id").join(name("to"), "to_id").withColumns({"dosage": plain(c("dosage")), "how": plain(c("how"))})
+    used = usage.withColumns({"dosage": plain(c("dosage")), "how": plain(c("how"))}).where("dosage <> '' or how <> ''")
+    pair = F.concat_ws("+", "from_id", "to_id")
+    known = used.select("from_id", "to_id").distinct()
+    for side in ("from", "to"):
+        known = known.join(nodes.select(c("id").alias(f"{side}_id")), f"{side}_id", "left_semi")
+    used = drawn_keys(used, "how_to_usage", pair, known).join(name("from"), "from_id").join(name("to"), "to_id")
     used = used.groupBy("from_id", "to_id", "from_name", "to_name").agg(F.min(F.when(c("dosage") != "", c("dosage"))).alias("dosage"), F.min(F.when(c("how") != "", c("how"))).alias("how"))
     used = used.withColumn("facts", F.filter(F.array("dosage", "how"), lambda x: x.isNotNull())).where(F.size("facts") > 0)
     lines = F.concat_ws(", ", text("Liều dùng: ", c("dosage")), text("Cách dùng: ", c("how")))
     unknown = lambda x: F.coalesce(x, F.lit("Theo chỉ định"))
     about = text("Để chữa bệnh ", low("to_name"), ", vị thuốc ", low("from_name"))
-    parts.append(row(used, "how_to_usage", USAGE, F.concat_ws("+", "from_id", "to_id"), text(about, " được dùng với liều lượng và cách thức như thế nào?"), _context("Điều trị bệnh", called("to_name"), text("Sử dụng ", called("from_name")), lines), c("facts"), text(about, " có liều dùng: ", unknown(c("dosage")), " và cách dùng: ", unknown(c("how")))))
+    parts.append(row(used, "how_to_usage", USAGE, pair, text(about, " được dùng với liều lượng và cách thức như thế nào?"), _context("Điều trị bệnh", called("to_name"), text("Sử dụng ", called("from_name")), lines), c("facts"), text(about, " có liều dùng: ", unknown(c("dosage")), " và cách dùng: ", unknown(c("how")))))
 
     cure = first_names(named.where(c("relation_type").isin(*TREATS)), ["to_id", "to_name"], "from_name", k, "facts")
     parts.append(row(cure, "treatment_search", CURES, c("to_id"), text("Bệnh ", low("to_name"), " có thể dùng vị thuốc hoặc bài thuốc nào để chữa?"), _context("Bệnh/Triệu chứng", called("to_name"), "Các thuốc chữa trị", joined)))

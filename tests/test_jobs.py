@@ -1,5 +1,6 @@
 """Graph, text, ledger and stream jobs on small tables, and all oracles on the smallest given data."""
 
+import hashlib
 import json
 import random
 import re
@@ -417,6 +418,23 @@ def test_entry_and_names():
     assert "two_hop_remedy" in entry.queries()
 
 
+def test_facts_are_gathered_for_drawn_keys(spark):
+    """The questions drawn are the first by digest of all, and facts, remedies and usage are put together for drawn keys alone."""
+    nodes = [*((f"VT_{i}", "ViThuoc", f"herb {i}") for i in range(12)), ("BT_1", "BaiThuoc", "r"), *((f"B_{i}", "Benh", f"b {i}") for i in range(3)), *((f"V_{i}", "TinhVi", f"v {i}") for i in range(3)), *((f"HC_{i}", "HoatChat", f"c {i}") for i in range(3))]
+    edges = [(f"VT_{i}", "CO_VI", f"V_{j}") for i in range(12) for j in range(3)] + [("BT_1", "BAO_GOM_VI_THUOC", f"VT_{i}") for i in range(12)] + [("BT_1", "CHU_TRI_BENH", f"B_{i}") for i in range(3)]
+    usage = [(f"VT_{i}", f"B_{j}", f"${i}g$" if j else " ", "cook" if j == 1 else None) for i in range(12) for j in range(3)] + [("VT_1", "gone", "$1g$", "cook")]
+    n, e = spark.createDataFrame(nodes, "id string, label string, name string"), spark.createDataFrame(edges, "from_id string, relation_type string, to_id string")
+    u = spark.createDataFrame(usage, "from_id string, to_id string, dosage string, how string")
+    few, all_ = Q.generate_qa(n, e, u, 4), Q.generate_qa(n, e, u, 1000)
+    assert len(re.findall(r"Join LeftSemi, .*_key#", few._jdf.queryExecution().optimizedPlan().toString())) == 3
+    rows = {(r.pattern, r.key): r for r in all_.collect()}
+    for pattern, size in (("single_relation", 12), ("multi_hop", 12), ("how_to_usage", 24)):
+        keys = [k for p, k in rows if p == pattern]
+        first = sorted(keys, key=lambda k: hashlib.md5(f"42:{pattern}:{k}".encode()).hexdigest())[:4]
+        assert len(keys) == size
+        assert {r.key: r for r in few.where(F.col("pattern") == pattern).collect()} == {k: rows[pattern, k] for k in first}
+
+
 def test_lookups_rank_keywords_not_questions(spark):
     """Questions that share a keyword meet its first rows alone: no ranking is done for each question, and the rows are those of each question by itself."""
     nodes = spark.createDataFrame(
