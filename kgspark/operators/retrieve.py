@@ -319,11 +319,38 @@ def first_names(named: DataFrame, keys: Sequence[str], name: str, k: int, alias:
     return each.withColumn("_p", place).where(F.col("_p") <= k).groupBy(*keys).agg(F.sort_array(F.collect_list(name)).alias(alias))
 
 
-def facts_per_entity(nodes: DataFrame, edges: DataFrame, label: str, k: int = 5) -> DataFrame:
-    """For each (node of a label, relation): the first k distinct names of its objects, sorted."""
-    subject = nodes.where(F.col("label") == label).select(F.col("id").alias("from_id"))
-    named = edges.join(subject, "from_id").join(_named(nodes, "to"), "to_id")
-    return first_names(named, ["from_id", "relation_type"], "to_name", k, "facts")
+def _bucket(end: str, buckets: int = 1 << 16) -> Column:
+    return F.pmod(F.xxhash64(end), F.lit(buckets))
+
+
+def _meeting(many: DataFrame, one: DataFrame, key: str, spread: str, hot: DataFrame, tasks: int) -> DataFrame:
+    """many joined with one by key in `tasks` tasks and the shares of hot keys: a hot key's rows of `many` are dealt out by `spread`, those of `one` stand in every share."""
+    here = F.broadcast(hot.where(F.col("_end") == key).select("_bucket", "_shares"))
+    shares = F.coalesce("_shares", F.lit(1)).cast("long")
+    told = lambda df: df.withColumn("_bucket", _bucket(key)).join(here, "_bucket", "left")
+    left = told(many).select(*(c for c in many.columns if c != "_share"), F.pmod(F.xxhash64(spread), shares).alias("_share"))
+    right = told(one).select(*one.columns, F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("_share"))
+    return left.repartition(tasks, key, "_share").join(right.repartition(tasks, key, "_share"), [key, "_share"])
+
+
+def facts_per_entity(nodes: DataFrame, edges: DataFrame, label: str, k: int = 5, rows: int = 500_000, many: int = 100_000) -> DataFrame:
+    """For each (node of a label, relation): the first k distinct names of its objects, sorted. Edges may be repeated.
+
+    Edges meet names by object, then labels by subject: two exchanges of all edges, both in tasks of about `rows` edges, however many there are.
+    Ids of `many` edges or more, told by buckets of their hashes, are dealt out in shares of `many`; the first k names of each share meet again.
+    """
+    edges = edges.select("from_id", "relation_type", "to_id").where("from_id is not null and to_id is not null")
+    ends = F.array(*(F.struct(F.lit(c).alias("_end"), _bucket(c).alias("_bucket")) for c in ("from_id", "to_id")))
+    # A few numbers for each bucket, not for each id.
+    counts = materialize(edges.select(F.inline(ends)).groupBy("_end", "_bucket").agg(F.count("*").alias("_n")))
+    total = counts.where("_end = 'from_id'").agg(F.sum("_n")).first()[0]
+    tasks = -(-(total or 0) // rows) or 1
+    hot = counts.where(F.col("_n") >= many).select("_end", "_bucket", F.ceil(F.col("_n") / many).alias("_shares"))
+    named = _meeting(edges, nodes.select(F.col("id").alias("to_id"), F.col("name").alias("to_name")), "to_id", "from_id", hot, tasks)
+    subject = nodes.where(F.col("label") == label).select(F.col("id").alias("from_id")).distinct()
+    each = _meeting(named, subject, "from_id", "to_id", hot, tasks).select("from_id", "relation_type", "_share", "to_name").distinct()
+    place = F.row_number().over(Window.partitionBy("from_id", "relation_type", "_share").orderBy("to_name"))
+    return first_names(each.withColumn("_place", place).where(F.col("_place") <= k), ["from_id", "relation_type"], "to_name", k, "facts")
 
 
 def multi_constraint_groups(nodes: DataFrame, edges: DataFrame, first: str, second: str, k: int = 10) -> DataFrame:

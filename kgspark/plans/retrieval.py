@@ -114,8 +114,7 @@ def constraint_intersection(spark, sf_dir):
 
 
 def facts_per_entity(spark, sf_dir):
-    nodes, edges = _graph(spark, sf_dir)
-    return R.facts_per_entity(nodes, edges, "BaiThuoc")
+    return R.facts_per_entity(load(spark, sf_dir, "nodes"), load(spark, sf_dir, "edges_repeated"), "BaiThuoc")
 
 
 def multi_constraint_groups(spark, sf_dir):

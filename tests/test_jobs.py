@@ -435,6 +435,34 @@ def test_facts_are_gathered_for_drawn_keys(spark):
         assert {r.key: r for r in few.where(F.col("pattern") == pattern).collect()} == {k: rows[pattern, k] for k in first}
 
 
+def test_facts_meet_in_tasks_of_a_size(spark):
+    """The exchanges follow the number of edges, not the session; repeated edges and ids of many edges give the same facts."""
+    rnd = random.Random(5)
+    nodes = [(f"BT_{i}", R.REMEDY if i else None, f"remedy {i}") for i in range(8)] + [("BT_1", R.REMEDY, "again"), (None, R.REMEDY, "none")] + [(f"VT_{i}", R.HERB, f"herb {i % 23}" if i % 9 else None) for i in range(60)]
+    edges = [(f"BT_{rnd.choice([1, 1, 1, *range(8)])}", rnd.choice(["a", "b", None]), f"VT_{rnd.choice([7, 7, *range(70)])}") for _ in range(600)] + [("VT_3", "a", "VT_4"), (None, "a", "VT_1"), ("BT_2", "a", None), ("BT_9", "a", "VT_1")]
+    names, groups = {i: name for i, label, name in nodes if label == R.HERB}, {}
+    for source, relation, to in edges:
+        if to in names and source in {f"BT_{i}" for i in range(1, 8)}:
+            groups.setdefault((source, relation), set()).add(names[to])
+    # A missing name takes the first place.
+    expected = {key: [n for n in sorted(found, key=lambda n: (n is not None, n or ""))[:5] if n is not None] for key, found in groups.items()}
+    n, e = spark.createDataFrame(nodes, "id string, label string, name string"), spark.createDataFrame(edges, "from_id string, relation_type string, to_id string")
+    for kw in ({}, {"rows": 50, "many": 20}, {"rows": 50, "many": 1000}):
+        got = R.facts_per_entity(n, e, R.REMEDY, **kw).collect()
+        assert len(got) == len(expected) and {(r.from_id, r.relation_type): r.facts for r in got} == expected
+    plan = R.facts_per_entity(n, e, R.REMEDY, rows=50, many=20)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"RepartitionByExpression \[to_id#\d+, _share#\d+L\], 13", plan)) == 2
+    assert len(re.findall(r"RepartitionByExpression \[from_id#\d+, _share#\d+L\], 13", plan)) == 2
+
+
+def test_repeated_edges_are_the_edges(spark):
+    from kgspark.plans.tables import load
+
+    edges, repeated = load(spark, SF, "edges"), load(spark, SF, "edges_repeated")
+    assert repeated.distinct().exceptAll(edges.distinct()).isEmpty() and edges.distinct().exceptAll(repeated.distinct()).isEmpty()
+    assert repeated.count() > edges.count()
+
+
 def test_lookups_rank_keywords_not_questions(spark):
     """Questions that share a keyword meet its first rows alone: no ranking is done for each question, and the rows are those of each question by itself."""
     nodes = spark.createDataFrame(
