@@ -45,6 +45,11 @@ def _keys(node_id: Column, name: Column, label: Column, alias: Column) -> Column
     return F.filter(F.array(key("id", node_id), key("name", name), key("alias", F.when(label.isin(DISEASE, SYMPTOM), alias))), lambda k: k["text"].isNotNull())
 
 
+def held_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes as lookups read them, as a checkpoint: one lookup reads them a dozen times, and a plan with what is behind them each time outgrows the driver."""
+    return materialize(nodes.select("id", "label", "name", "alias"))
+
+
 def keyword_keys(nodes: DataFrame, keywords: DataFrame) -> DataFrame:
     """keyword, kind, text: the node keys that each keyword finds. Null keywords find nothing, empty ones all.
 
@@ -85,7 +90,8 @@ def _keyed(nodes: DataFrame, side: str) -> DataFrame:
 
 def match_entities(nodes: DataFrame, keywords: DataFrame) -> DataFrame:
     """keywords (key, keyword) with the nodes that match: key, id, label, name. Null keywords match nothing, empty ones all."""
-    asked = keywords.where("keyword is not null").select("key", "keyword").distinct()
+    asked = materialize(keywords.where("keyword is not null").select("key", "keyword").distinct())
+    nodes = held_nodes(nodes)
     found = _keyed(nodes, "n").join(keyword_keys(nodes, asked), ["kind", "text"]).select("keyword", F.col("n_id").alias("id"), F.col("n_label").alias("label"), F.col("n_name").alias("name")).distinct()
     return asked.join(found, "keyword").select("key", "id", "label", "name").distinct()
 

@@ -4,9 +4,11 @@ import hashlib
 import json
 import random
 import re
+from functools import reduce
 
 import duckdb
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.functions import text as T
@@ -289,6 +291,30 @@ def test_accented_keywords_match_ids(spark):
     assert R.match_entity(nodes, "Ích mẫu").count() == 1
 
 
+#: Lookups on nodes, edges and questions, and the rows they give in test_lookups_read_nodes_once.
+LOOKUPS = {
+    "match_entity": (lambda n, e, q: R.match_entities(n, q.select(F.col("question_id").alias("key"), F.col("kw1").alias("keyword"))), [(1, "VT_1", "ViThuoc", "dry ginger"), (2, "B_1", "Benh", "cough")]),
+}
+
+
+@pytest.mark.parametrize("name", LOOKUPS)
+def test_lookups_read_nodes_once(spark, monkeypatch, name):
+    """No job of a lookup holds what is behind nodes or questions more than once: else its plan outgrows the driver, however few the rows."""
+    of = lambda kind, rows: [spark.createDataFrame([r], kind) for r in rows]
+    filler = [(f"V_{i}", "TinhVi", f"taste {i}", "") for i in range(30)]
+    nodes = reduce(DataFrame.union, of("id string, label string, name string, alias string", [("VT_1", "ViThuoc", "dry ginger", ""), ("B_1", "Benh", "cough", "ill"), ("T_1", "TinhVi", "warm", ""), *filler]))
+    questions = reduce(DataFrame.union, of("question_id int, kw1 string, kw2 string", [(1, "dry ginger", "warm"), (2, "cough", "warm"), *[(2, "cough", "warm")] * 8]))
+    edges = spark.createDataFrame([("VT_1", "CO_TINH", "T_1"), ("VT_1", "CHU_TRI_BENH", "B_1")], "from_id string, relation_type string, to_id string")
+    leaves, held = [], R.materialize
+    count = lambda df: leaves.append(df._jdf.queryExecution().analyzed().collectLeaves().size())
+    monkeypatch.setattr(R, "materialize", lambda df: (count(df), held(df))[1])
+    lookup, want = LOOKUPS[name]
+    out = lookup(nodes, edges, questions)
+    count(out)
+    assert sorted({tuple(r) for r in out.collect()}) == want
+    assert max(leaves) <= 45  # 33 nodes and 10 questions
+
+
 def test_two_hop_rows_of_equal_names(spark):
     """Herbs that share a name share the places of their rows."""
     nodes = spark.createDataFrame([(f"VT_{i}", "ViThuoc", f"herb {i // 3}", "") for i in range(9)] + [(f"BT_{i}", "BaiThuoc", f"r{i % 4}", "") for i in range(12)] + [("B_1", "Benh", "ill", "")], "id string, label string, name string, alias string")
