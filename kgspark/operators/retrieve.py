@@ -7,6 +7,7 @@ Results have question_id and the record columns; at most `limit` rows a question
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -125,6 +126,20 @@ def _found(questions: DataFrame, nodes: DataFrame, keyword: str, hits: DataFrame
     return asked, keyword_keys(nodes, asked) if hits is None else hits.join(asked.select("keyword").distinct(), "keyword", "left_semi")
 
 
+def _looked_up(nodes: DataFrame, questions: DataFrame, keywords: Sequence[str], hits: DataFrame | None) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Nodes, questions, and for each of some columns of keywords the keys that they find; all are read many times, so they are checkpoints.
+
+    With hits, the keyword_keys of these and other questions, the caller has seen to that.
+    """
+    if hits is None:
+        nodes, questions = held_nodes(nodes), materialize(questions.select("question_id", *keywords))
+        each = [questions.select(F.col(kw).alias("keyword")) for kw in keywords]
+        hits = materialize(keyword_keys(nodes, reduce(DataFrame.union, each)))
+        if len(each) == 1:
+            return nodes, questions, [hits]
+    return nodes, questions, [hits.join(questions.select(F.col(kw).alias("keyword")).distinct(), "keyword", "left_semi") for kw in keywords]
+
+
 def _nodes_of(keys: DataFrame, nodes: DataFrame, side: str) -> DataFrame:
     """keyword and the nodes that it matches: <side>_id, <side>_name, <side>_label."""
     return _keyed(nodes, side).join(keys, ["kind", "text"]).select("keyword", f"{side}_id", f"{side}_name", f"{side}_label").distinct()
@@ -171,14 +186,15 @@ def _pairs(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", "kw1", "kw2").where("kw1 is not null and kw2 is not null").distinct()
 
 
-def _both(questions: DataFrame, nodes: DataFrame, hits: DataFrame | None, side: tuple[str, str]) -> tuple[DataFrame, DataFrame]:
-    """The nodes of the first and of the second keywords: kw1 or kw2, and the columns of their side."""
-    return tuple(_nodes_of(_found(questions, nodes, kw, hits)[1], nodes, s).withColumnRenamed("keyword", kw) for kw, s in zip(("kw1", "kw2"), side))
+def _both(nodes: DataFrame, questions: DataFrame, hits: DataFrame | None, side: tuple[str, str]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Nodes and questions as _looked_up has them, then the nodes of the first and of the second keywords: kw1 or kw2, and the columns of their side."""
+    nodes, questions, keys = _looked_up(nodes, questions, ["kw1", "kw2"], hits)
+    return nodes, questions, *(_nodes_of(k, nodes, s).withColumnRenamed("keyword", kw) for k, kw, s in zip(keys, ("kw1", "kw2"), side))
 
 
 def check_relation(nodes: DataFrame, edges: DataFrame, questions: DataFrame, relations: Sequence[str], hits: DataFrame | None = None) -> DataFrame:
     """question_id and found: whether an edge joins a node that kw1 matches to one that kw2 matches. Pairs of keywords are looked up, not questions."""
-    left, right = _both(questions, nodes, hits, ("from", "to"))
+    nodes, questions, left, right = _both(nodes, questions, hits, ("from", "to"))
     wanted = edges.where(F.col("relation_type").isin(*relations)).select("from_id", "to_id")
     reached = left.select("kw1", "from_id").join(wanted, "from_id").select("kw1", "to_id").distinct()
     linked = reached.join(right.select("kw2", "to_id"), "to_id").select("kw1", "kw2").distinct()
@@ -202,9 +218,10 @@ def herbs_by_attribute(nodes: DataFrame, edges: DataFrame, questions: DataFrame,
 
 def intersect_relations(nodes: DataFrame, edges: DataFrame, questions: DataFrame, limit: int = LIMIT, hits: DataFrame | None = None) -> DataFrame:
     """Herbs with an edge to what kw1 matches and an edge to what kw2 matches."""
+    nodes, questions, *found = _both(nodes, questions, hits, ("to", "to"))
     herbs = _named(nodes, "from").where(F.col("from_label") == HERB).select("from_id", "from_name").distinct()
     of_herbs = edges.select("from_id", "to_id").join(herbs.select("from_id").distinct(), "from_id", "left_semi")
-    first, second = (found.select(kw, "to_id").join(of_herbs, "to_id").select(kw, "from_id").distinct() for kw, found in zip(("kw1", "kw2"), _both(questions, nodes, hits, ("to", "to"))))
+    first, second = (ends.select(kw, "to_id").join(of_herbs, "to_id").select(kw, "from_id").distinct() for kw, ends in zip(("kw1", "kw2"), found))
     # A herb has few keywords of either kind; their pairs keep their first herbs, whether they are asked for or not.
     both = first.join(second, "from_id").join(herbs, "from_id").withColumnRenamed("from_name", "subject")
     return _pairs(questions).join(first_distinct(both, ["kw1", "kw2"], ["subject", "from_id"], limit), ["kw1", "kw2"]).select("question_id", "subject", "from_id")
@@ -214,7 +231,7 @@ def usage_lookup(nodes: DataFrame, edges: DataFrame, questions: DataFrame, limit
     """Treats or function edges, either way, between what kw1 and kw2 match."""
     wanted = edges.where(F.col("relation_type").isin(*TREATS, *FUNCTION))
     either = wanted.select(F.col("from_id").alias("a_id"), F.col("to_id").alias("b_id"), F.col("relation_type").alias("relation")).union(wanted.select("to_id", "from_id", "relation_type")).distinct()
-    a, b = _both(questions, nodes, hits, ("a", "b"))
+    nodes, questions, a, b = _both(nodes, questions, hits, ("a", "b"))
     order = ["subject", "relation", "object", "a_id", "b_id"]
     both = a.join(either, "a_id").join(b, "b_id").withColumnsRenamed({"a_name": "subject", "b_name": "object"})
     return _pairs(questions).join(first_distinct(both, ["kw1", "kw2"], order, limit), ["kw1", "kw2"]).select("question_id", *order)

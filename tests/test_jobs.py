@@ -294,6 +294,7 @@ def test_accented_keywords_match_ids(spark):
 #: Lookups on nodes, edges and questions, and the rows they give in test_lookups_read_nodes_once.
 LOOKUPS = {
     "match_entity": (lambda n, e, q: R.match_entities(n, q.select(F.col("question_id").alias("key"), F.col("kw1").alias("keyword"))), [(1, "VT_1", "ViThuoc", "dry ginger"), (2, "B_1", "Benh", "cough")]),
+    "check_relation": (lambda n, e, q: R.check_relation(n, e, q, ("CO_TINH", "CHU_TRI_BENH")), [(1, True), (2, False)]),
 }
 
 
