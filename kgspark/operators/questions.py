@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kgspark.sources.shared import materialize
 
-from .retrieve import CONTAINS, HERB, REMEDY, TREATS, check_relation, entity_overview, first_names, hop, intersect_relations, keyword_keys, negative_pairs, treatments_of, two_hop_remedy, usage_lookup
+from .retrieve import CONTAINS, HERB, REMEDY, TREATS, check_relation, entity_overview, first_names, held_nodes, hop, intersect_relations, keyword_keys, negative_pairs, treatments_of, two_hop_remedy, usage_lookup
 
 COMPOUND = "HoatChat"
 
@@ -228,7 +228,7 @@ def grounded_answers(answers: DataFrame, hits: DataFrame, refusals: tuple[str, .
 def answer_questions(questions: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 30) -> DataFrame:
     """question_id, intent, subject, relation, object of every parsed question (intent, k1, k2), by the lookup of its intent; UNKNOWN gets an overview.
 
-    Questions and what all their keywords match are checkpoints; the table is split by intent, each part is answered as a batch, and the parts
+    Questions, nodes and what all their keywords match are checkpoints; the table is split by intent, each part is answered as a batch, and the parts
     are put together. An empty keyword finds nothing.
     """
     some = lambda x: F.when(F.coalesce(x, F.lit("")) != "", x)
@@ -236,6 +236,7 @@ def answer_questions(questions: DataFrame, nodes: DataFrame, edges: DataFrame, k
     asked = materialize(questions.select("question_id", "intent", some(F.col("k1")).alias("kw1"), some(F.col("k2")).alias("kw2")))
     of = lambda name: asked.where(F.col("intent") == name)
     one = lambda df, subject="subject", relation="relation", object="object": df.select("question_id", F.col(subject).alias("subject"), (F.col(relation) if relation else F.lit("-")).alias("relation"), F.col(object).alias("object"))
+    nodes = held_nodes(nodes)
     hits = materialize(keyword_keys(nodes, asked.select(F.col("kw1").alias("keyword")).union(asked.select("kw2"))))
     edges = materialize(edges)
     checked = (*ATTRIBUTES, *TREATS, CONTAINS)

@@ -120,12 +120,6 @@ def first_distinct(rows: DataFrame, by: Sequence[str], order: Sequence[str], lim
     return rows.select(*by, *order).withColumn("_place", place).where(F.col("_place") <= limit).drop("_place").distinct()
 
 
-def _found(questions: DataFrame, nodes: DataFrame, keyword: str, hits: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Questions with a keyword (question_id, keyword), and the keys that their keywords find, looked up or out of keyword_keys of these and other ones."""
-    asked = questions.select("question_id", F.col(keyword).alias("keyword")).where("keyword is not null").distinct()
-    return asked, keyword_keys(nodes, asked) if hits is None else hits.join(asked.select("keyword").distinct(), "keyword", "left_semi")
-
-
 def _looked_up(nodes: DataFrame, questions: DataFrame, keywords: Sequence[str], hits: DataFrame | None) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """Nodes, questions, and for each of some columns of keywords the keys that they find; all are read many times, so they are checkpoints.
 
@@ -145,8 +139,8 @@ def _nodes_of(keys: DataFrame, nodes: DataFrame, side: str) -> DataFrame:
     return _keyed(nodes, side).join(keys, ["kind", "text"]).select("keyword", f"{side}_id", f"{side}_name", f"{side}_label").distinct()
 
 
-def _first_found(asked: DataFrame, keys: DataFrame, nodes: DataFrame, side: str, rows: Callable[[DataFrame], DataFrame], order: Sequence[str], limit: int, fits: Column | None = None) -> DataFrame:
-    """The first rows of what each question's keyword finds: question_id and the columns of order.
+def _first_found(questions: DataFrame, keys: DataFrame, nodes: DataFrame, side: str, rows: Callable[[DataFrame], DataFrame], order: Sequence[str], limit: int, fits: Column | None = None) -> DataFrame:
+    """The first rows of what each question's kw1 finds: question_id and the columns of order.
 
     rows: from start nodes (<side>_id, <side>_name, <side>_label, by) to their rows, with `by` as it was. The first rows of a name are found once for all of
     its nodes and keywords, then those of a keyword; questions meet no more than these. So many questions with few keywords, or many nodes with
@@ -158,28 +152,29 @@ def _first_found(asked: DataFrame, keys: DataFrame, nodes: DataFrame, side: str,
     single = start.where("kind <> 'name'").join(keys.where("kind <> 'name'"), ["kind", "text"]).select(*columns, F.col("keyword").alias("by"))
     found = rows(single).select(F.col("by").alias("keyword"), *order)
     best = first_distinct(rows(named), ["by"], order, limit).join(names, "by").select("keyword", *order).unionByName(found if fits is None else found.where(fits))
+    asked = questions.select("question_id", F.col("kw1").alias("keyword")).where("keyword is not null").distinct()
     return asked.join(first_distinct(best, ["keyword"], order, limit), "keyword").select("question_id", *order)
 
 
 def hop(nodes: DataFrame, edges: DataFrame, questions: DataFrame, relations: Sequence[str], direction: str = "forward", target_label: str | None = None, limit: int = LIMIT, hits: DataFrame | None = None) -> DataFrame:
     """One hop from the nodes that kw1 matches, along or against the edges of some relations."""
     start, end = ("from", "to") if direction == "forward" else ("to", "from")
-    asked, keys = _found(questions, nodes, "kw1", hits)
+    nodes, questions, (keys,) = _looked_up(nodes, questions, ["kw1"], hits)
     ends = _named(nodes, end) if target_label is None else _named(nodes, end).where(F.col(f"{end}_label") == target_label)
     wanted = edges.where(F.col("relation_type").isin(*relations)).join(ends, f"{end}_id")
     rows = lambda starts: starts.join(wanted, f"{start}_id").select("by", F.col("from_name").alias("subject"), F.col("relation_type").alias("relation"), F.col("to_name").alias("object"), "from_id", "to_id")
-    return _first_found(asked, keys, nodes, start, rows, ["subject", "relation", "object", "from_id", "to_id"], limit)
+    return _first_found(questions, keys, nodes, start, rows, ["subject", "relation", "object", "from_id", "to_id"], limit)
 
 
 def two_hop_remedy(nodes: DataFrame, edges: DataFrame, questions: DataFrame, limit: int = LIMIT, hits: DataFrame | None = None) -> DataFrame:
     """Herb <- contains - remedy - treats -> disease or symptom. Of a remedy's targets the first ones are enough."""
-    asked, keys = _found(questions, nodes, "kw1", hits)
+    nodes, questions, (keys,) = _looked_up(nodes, questions, ["kw1"], hits)
     inside = edges.where(F.col("relation_type") == CONTAINS).select(F.col("from_id").alias("remedy_id"), F.col("to_id").alias("herb_id"))
     treats = edges.where(F.col("relation_type").isin(*TREATS)).select(F.col("from_id").alias("remedy_id"), F.col("to_id").alias("target_id"))
     named = first_distinct(treats.join(_named(nodes, "target"), "target_id"), ["remedy_id"], ["target_name", "target_id"], limit).join(_named(nodes, "remedy"), "remedy_id")
     found = inside.join(named, "remedy_id")
     rows = lambda herbs: herbs.where(F.col("herb_label") == HERB).join(found, "herb_id").select("by", F.col("herb_name").alias("subject"), F.col("remedy_name").alias("remedy"), F.col("target_name").alias("object"), "herb_id", "remedy_id", "target_id")
-    return _first_found(asked, keys, nodes, "herb", rows, ["subject", "remedy", "object", "herb_id", "remedy_id", "target_id"], limit)
+    return _first_found(questions, keys, nodes, "herb", rows, ["subject", "remedy", "object", "herb_id", "remedy_id", "target_id"], limit)
 
 
 def _pairs(questions: DataFrame) -> DataFrame:
@@ -204,10 +199,10 @@ def check_relation(nodes: DataFrame, edges: DataFrame, questions: DataFrame, rel
 
 def treatments_of(nodes: DataFrame, edges: DataFrame, questions: DataFrame, prefer: str = REMEDY, limit: int = LIMIT, hits: DataFrame | None = None) -> DataFrame:
     """What treats, or has a function on, a disease or symptom that kw1 matches; sources of the preferred label first."""
-    asked, keys = _found(questions, nodes, "kw1", hits)
+    nodes, questions, (keys,) = _looked_up(nodes, questions, ["kw1"], hits)
     wanted = edges.where(F.col("relation_type").isin(*TREATS, *FUNCTION)).join(_named(nodes, "from"), "from_id")
     rows = lambda starts: starts.where(F.col("to_label").isin(DISEASE, SYMPTOM)).join(wanted, "to_id").select("by", F.when(F.col("from_label") == prefer, 1).otherwise(2).alias("rank"), F.col("from_name").alias("subject"), F.col("relation_type").alias("relation"), F.col("to_name").alias("object"), "from_id", "to_id")
-    return _first_found(asked, keys, nodes, "to", rows, ["rank", "subject", "relation", "object", "from_id", "to_id"], limit)
+    return _first_found(questions, keys, nodes, "to", rows, ["rank", "subject", "relation", "object", "from_id", "to_id"], limit)
 
 
 def herbs_by_attribute(nodes: DataFrame, edges: DataFrame, questions: DataFrame, relations: Sequence[str] = ("CO_TINH", "CO_VI", "QUY_KINH"), limit: int = LIMIT) -> DataFrame:
@@ -246,21 +241,21 @@ def split_usage_question(questions: DataFrame) -> DataFrame:
 
 def entity_overview(nodes: DataFrame, edges: DataFrame, questions: DataFrame, limit: int = LIMIT, hits: DataFrame | None = None) -> DataFrame:
     """Every node that kw1 matches with its outgoing edges, or with defaults if it has none."""
-    asked, keys = _found(questions, nodes, "kw1", hits)
+    nodes, questions, (keys,) = _looked_up(nodes, questions, ["kw1"], hits)
     out = edges.join(_named(nodes, "to"), "to_id").select("from_id", "relation_type", "to_name", "to_id")
     none = lambda c: F.coalesce(c, F.lit("-")).alias({"relation_type": "relation", "to_name": "object"}.get(c, c))
     rows = lambda starts: starts.join(out, "from_id", "left").select("by", F.col("from_name").alias("subject"), none("relation_type"), none("to_name"), "from_id", none("to_id"))
-    return _first_found(asked, keys, nodes, "from", rows, ["subject", "relation", "object", "from_id", "to_id"], limit)
+    return _first_found(questions, keys, nodes, "from", rows, ["subject", "relation", "object", "from_id", "to_id"], limit)
 
 
 def neighbourhood(nodes: DataFrame, edges: DataFrame, questions: DataFrame, limit: int = 40) -> DataFrame:
     """Links, either way, of nodes whose name contains kw1."""
-    asked, keys = _found(questions, nodes, "kw1", None)
+    nodes, questions, (keys,) = _looked_up(nodes, questions, ["kw1"], None)
     either = edges.select(F.col("from_id").alias("a_id"), F.col("to_id").alias("b_id"), F.col("relation_type").alias("relation")).union(edges.select("to_id", "from_id", "relation_type"))
     links = either.join(_named(nodes, "b"), "b_id")
     rows = lambda starts: starts.join(links, "a_id").withColumnsRenamed({"a_name": "source", "b_name": "target"})
     # What a keyword finds by an id or an alias may have another name.
-    return _first_found(asked, keys, nodes, "a", rows, ["source", "target", "relation", "a_id", "b_id"], limit, F.col("source").contains(F.col("keyword")))
+    return _first_found(questions, keys, nodes, "a", rows, ["source", "target", "relation", "a_id", "b_id"], limit, F.col("source").contains(F.col("keyword")))
 
 
 def display_nodes(links: DataFrame) -> DataFrame:
