@@ -296,6 +296,7 @@ LOOKUPS = {
     "match_entity": (lambda n, e, q: R.match_entities(n, q.select(F.col("question_id").alias("key"), F.col("kw1").alias("keyword"))), [(1, "VT_1", "ViThuoc", "dry ginger"), (2, "B_1", "Benh", "cough")]),
     "check_relation": (lambda n, e, q: R.check_relation(n, e, q, ("CO_TINH", "CHU_TRI_BENH")), [(1, True), (2, False)]),
     "neighbourhood": (R.neighbourhood, [(1, "dry ginger", "cough", "CHU_TRI_BENH", "VT_1", "B_1"), (1, "dry ginger", "warm", "CO_TINH", "VT_1", "T_1"), (2, "cough", "dry ginger", "CHU_TRI_BENH", "B_1", "VT_1")]),
+    "treatments_of": (R.treatments_of, [(2, 2, "dry ginger", "CHU_TRI_BENH", "cough", "VT_1", "B_1")]),
 }
 
 
